@@ -16,6 +16,7 @@ from quire.functions import text as T
 from quire.operators import assemble, checks, completion, extract, intake, prompts, store
 from quire.plans import fixtures as fx
 from quire.plans.fixtures import NOW, with_ctes
+from quire.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -718,3 +719,44 @@ def q_document_usage(spark, root):
     return done.groupBy("route", "language").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("n_pages").cast("bigint").alias("pages"),
         F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+
+
+# ---------------------------------------------------------------- files and streams
+
+def _drop_files(spark: SparkSession, root: str, tag: str) -> str:
+    """Write the uploads as files (one folder per file name) into a fresh folder of the shared dir."""
+    import uuid
+
+    from quire.sources.uploads import write_upload_files
+
+    path = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
+    write_upload_files(fx.uploads(spark, root), path)
+    return path
+
+
+@register("read_uploads")
+def q_read_uploads(spark, root):
+    """Uploads written as files, read back with ``binaryFile`` and the MIME manifest, then routed."""
+    from quire.sources.uploads import read_uploads
+
+    manifest = fx.uploads(spark, root).select("file_name", "content_type")
+    files = read_uploads(spark, _drop_files(spark, root, "uploads"), manifest).withColumn("file_id", F.col("file_name"))
+    routed = intake.route(files, None)
+    return routed.select("file_name", "content_type", "length", "route")
+
+
+@register("incremental_ingest")
+def q_incremental_ingest(spark, root):
+    """The uploads arrive as files; the stream drains them into the document log."""
+    from quire.sources.doclog import DocumentLog
+    from quire.streaming.ingest import start_incremental_ingest
+
+    source = _drop_files(spark, root, "drop")
+    store_root = source + "-store"
+    manifest = fx.uploads(spark, root).select("file_name", "content_type")
+    query = start_incremental_ingest(spark, source, store_root, source + "-checkpoint", manifest, now=NOW)
+    query.awaitTermination()
+    log = DocumentLog(spark, store_root)
+    pages = log.current_pages().groupBy(F.col("document_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n_pages"))
+    return log.current_documents().join(pages, "file_id", "left").select(
+        "file_id", "file_name", "created_at", "updated_at", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))

@@ -1,0 +1,120 @@
+"""Persistent document/page store as an append-only, batch-keyed Parquet log.
+
+Layout under ``root`` (a folder every executor can reach)::
+
+    documents/batch=<id>/   file_id, file_name, created_at, updated_at, metadata, deleted
+    pages/batch=<id>/       document_id, page_number, content
+    commits/batch=<id>/     one row, written last
+
+A batch writes only the documents it touches and their pages, so a write
+costs the batch, not the store. A batch is visible once its commit row
+exists; rerunning a committed batch is a no-op and rerunning a failed one
+overwrites its own folders, so a lost executor or driver at any point leaves
+no partial state visible. The current state is the latest committed row per
+``file_name`` (a partial ``max_by``, combined map-side) and the pages written
+by that same batch. ``compact`` folds the log into one base batch.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from quire.operators import store
+
+DOC_SCHEMA = ("file_id string, file_name string, created_at timestamp_ntz, updated_at timestamp_ntz, "
+              "metadata string, deleted boolean")
+PAGE_SCHEMA = "document_id string, page_number bigint, content string"
+COMMIT_SCHEMA = "committed boolean"
+
+
+class DocumentLog:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root
+
+    def _path(self, table: str, batch: int | None = None) -> str:
+        base = os.path.join(self.root, table)
+        return base if batch is None else os.path.join(base, f"batch={batch}")
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.option("basePath", self._path(table)).parquet(self._path(table))
+        except AnalysisException:  # nothing written yet
+            return self.spark.createDataFrame([], schema + ", batch bigint")
+
+    # --- commits ---
+
+    def committed_batches(self) -> DataFrame:
+        return self._read("commits", COMMIT_SCHEMA).select(F.col("batch").cast("bigint").alias("batch"))
+
+    def is_committed(self, batch: int) -> bool:
+        return self.committed_batches().filter(F.col("batch") == batch).limit(1).count() > 0
+
+    def next_batch(self) -> int:
+        top = self.committed_batches().agg(F.max("batch").alias("m")).first()["m"]
+        return 0 if top is None else int(top) + 1
+
+    # --- writes ---
+
+    def write_batch(self, batch: int, documents: DataFrame, pages: DataFrame) -> bool:
+        """Write one batch; returns False (and writes nothing) when it is already committed."""
+        if self.is_committed(batch):
+            return False
+        docs = documents.select(*store.DOCUMENT_COLUMNS, F.coalesce(
+            F.col("deleted") if "deleted" in documents.columns else F.lit(False), F.lit(False)).alias("deleted"))
+        docs.write.mode("overwrite").parquet(self._path("documents", batch))
+        pages.select(*store.PAGE_COLUMNS).write.mode("overwrite").parquet(self._path("pages", batch))
+        self.spark.createDataFrame([(True,)], COMMIT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+            self._path("commits", batch))
+        return True
+
+    # --- reads ---
+
+    def _committed(self, table: str, schema: str) -> DataFrame:
+        rows = self._read(table, schema).withColumn("batch", F.col("batch").cast("bigint"))
+        return rows.join(F.broadcast(self.committed_batches()), "batch", "left_semi")
+
+    def current_documents(self, include_deleted: bool = False) -> DataFrame:
+        """Latest committed row per ``file_name``, with the batch that wrote it."""
+        docs = self._committed("documents", DOC_SCHEMA)
+        cols = store.DOCUMENT_COLUMNS + ["deleted", "batch"]
+        latest = docs.groupBy("file_name").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("d")).select("d.*")
+        return latest if include_deleted else latest.filter(~F.col("deleted"))
+
+    def current_pages(self) -> DataFrame:
+        """Pages written by the batch that holds each live document's current row."""
+        live = self.current_documents().select(F.col("file_id").alias("document_id"), "batch")
+        pages = self._committed("pages", PAGE_SCHEMA)
+        return pages.join(live, ["document_id", "batch"], "left_semi").select(*store.PAGE_COLUMNS)
+
+    # --- operations ---
+
+    def upsert(self, batch: int, incoming_documents: DataFrame, incoming_pages: DataFrame, now: str,
+               seq: str | None = None) -> bool:
+        """T3 + T4 for one batch. ``incoming_pages`` are keyed by ``file_name``.
+
+        Only stored documents whose name arrives in this batch are read
+        (semi join on the batch's names); pages get the resolved ``file_id``.
+        """
+        names = incoming_documents.select("file_name").distinct()
+        existing = self.current_documents().join(names, "file_name", "left_semi").select(*store.DOCUMENT_COLUMNS)
+        docs = store.upsert_documents(existing, incoming_documents, now, seq)
+        ids = docs.select("file_name", F.col("file_id").alias("document_id"))
+        pages = incoming_pages.join(ids, "file_name").select(*store.PAGE_COLUMNS)
+        return self.write_batch(batch, docs, pages)
+
+    def delete(self, batch: int, keys: DataFrame, now: str) -> bool:
+        """T5: tombstones for the live documents whose ``file_id`` is among ``keys``."""
+        live = self.current_documents().join(keys.select("file_id").distinct(), "file_id", "left_semi")
+        tomb = live.select(*store.DOCUMENT_COLUMNS).withColumn("updated_at", F.lit(now).cast("timestamp_ntz")) \
+            .withColumn("deleted", F.lit(True))
+        empty = self.spark.createDataFrame([], PAGE_SCHEMA)
+        return self.write_batch(batch, tomb, empty)
+
+    def compact(self, batch: int) -> bool:
+        """Fold the current state into one batch; older batches are then shadowed."""
+        return self.write_batch(batch, self.current_documents().drop("batch"), self.current_pages())
