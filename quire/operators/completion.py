@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.plans.joins import checked_broadcast
+from quire.plans.joins import checked_broadcast, literal_frame
 
 # Defaults of the provider settings, the mock provider's reply
 # and model, the gateway's model rule and the error message texts.
@@ -66,7 +66,7 @@ class ProviderRegistry:
         return [r[0] for r in self.rows]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, CONFIG_SCHEMA)
+        return literal_frame(spark, self.rows, CONFIG_SCHEMA)
 
 
 # --- error texts (L14) ---
@@ -150,7 +150,7 @@ def route_provider(requests: DataFrame, registry: ProviderRegistry, provider: st
     cfg = registry.frame(requests.sparkSession).select(
         F.col("provider").alias("_registered"), *[F.col(c).alias("cfg_" + c) for c in
                                                   ("model", "temperature", "max_tokens", "timeout", "host")])
-    cfg = checked_broadcast(cfg, max_rows=10_000)
+    cfg = checked_broadcast(cfg, max_rows=10_000, known_rows=len(registry.rows))
     asked = F.lower(F.col(provider))
     joined = requests.join(cfg, asked == F.col("_registered"), "left")
     error = (F.when(F.col(provider).isNull(), F.lit(NOT_CONFIGURED))

@@ -56,7 +56,9 @@ def _routed_requests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _available_languages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in AVAILABLE_LANGUAGES], "language string")
+    from quire.plans.joins import literal_frame
+
+    return literal_frame(spark, [(x,) for x in AVAILABLE_LANGUAGES], "language string")
 
 
 def _ingested(spark: SparkSession, root: str) -> DataFrame:
@@ -185,7 +187,7 @@ def q_native_text_pages(spark, root):
     " FROM uploads u LEFT JOIN available_languages a ON u.language = a.language", "uploads", "available_languages"))
 def q_resolve_language(spark, root):
     up = fx.uploads(spark, root).select("file_id", "language")
-    return extract.resolve_language(up, _available_languages(spark)).select(
+    return extract.resolve_language(up, _available_languages(spark), known_rows=len(AVAILABLE_LANGUAGES)).select(
         "file_id", F.col("resolved_language").alias("language"), "fallback")
 
 
@@ -711,7 +713,8 @@ def q_health_rollup(spark, root):
 def q_document_usage(spark, root):
     """Uploads -> route -> native text pages -> document text -> parse prompt -> completion -> usage."""
     routed = _routed(spark, root).filter(F.col("route") == intake.ROUTE_NATIVE)
-    routed = extract.resolve_language(routed, _available_languages(spark)).withColumnRenamed(
+    routed = extract.resolve_language(routed, _available_languages(spark),
+                                      known_rows=len(AVAILABLE_LANGUAGES)).withColumnRenamed(
         "resolved_language", "lang_used")
     pages = extract.keep_text_pages(routed, F.split("text", "[.]"), carry=("route", "lang_used"))
     doc = assemble.document_text(pages, carry=("route", "lang_used")).withColumnRenamed("lang_used", "language")

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from Python values, built in the JVM (no Python worker in the plan).
+
+    Its row count is known on the driver, which is what lets callers broadcast
+    it without a sizing job.
+    """
+    fields = StructType.fromDDL(schema).fields
+    if not rows:
+        return spark.createDataFrame([], schema)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def checked_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
     The check runs ``limit(max_rows + 1).count()``: it stops reading as soon as
@@ -14,6 +28,7 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     the frame is returned unhinted and the join falls back to a shuffle join
     (or to AQE's own runtime choice).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
+    if n <= max_rows:
         return F.broadcast(df)
     return df

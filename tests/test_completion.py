@@ -1,0 +1,124 @@
+import pytest
+from pyspark.sql import functions as F
+
+from quire.operators import completion as C
+from quire.operators import prompts as P
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([(None, "doc"), ("", "doc"), ("Summarize: ", "doc")], "prompt string, content string")
+    got = [r.p for r in df.select(P.parse_prompt(F.col("prompt"), F.col("content")).alias("p")).collect()]
+    assert got == [P.DEFAULT_PARSE_PROMPT + "doc"] * 2 + ["Summarize: doc"]
+    r = df.select(P.enhance_prompt(F.lit("Translate"), F.lit("t")).alias("p")).first()
+    assert r.p == "Translate:\n\nt"
+
+
+def test_mock_complete_and_override(spark):
+    df = spark.createDataFrame([("one two  three", None), ("x", "custom reply here")], "prompt string, o string")
+    rows = C.mock_complete(df, F.col("prompt"), F.col("o")).collect()
+    assert (rows[0].content, rows[0].model, rows[0].prompt_tokens, rows[0].completion_tokens) == \
+        (C.MOCK_RESPONSE, "mock/model", 3, 8)
+    assert (rows[1].content, rows[1].completion_tokens) == ("custom reply here", 3)
+
+
+def test_mock_chat_counts_system_message_and_last_user(spark):
+    conv = spark.createDataFrame([(7, 0, "user", "hi there"), (7, 1, "assistant", "a b c"), (7, 2, "user", "last one"),
+                                  (8, 0, "system", "s"), (8, 1, "assistant", "x")],
+                                 "conv_id long, turn long, role string, text string")
+    docs = spark.createDataFrame([(7, "doc words"), (8, "d")], "doc_id long, text string")
+    got = {r.conv_id: (r.prompt_tokens, r.last_user) for r in C.mock_chat(conv, docs).collect()}
+    assert got[7] == (2 + 3 + 2 + 7 + 2, "last one")
+    assert got[8] == (1 + 1 + 7 + 1, "")
+    msgs = sorted((r.position, r.role) for r in P.chat_messages(conv, docs).filter("conv_id = 8").collect())
+    assert msgs == [(0, "system"), (1, "system"), (2, "assistant")]
+
+
+def test_registry_lookup_case_insensitive_and_unknown(spark):
+    reg = C.ProviderRegistry.default()
+    req = spark.createDataFrame([(1, "MOCK"), (2, "unknown"), (3, None), (4, "Ollama")], "request_id long, provider string")
+    got = {r.request_id: (r.registered_provider, r.route_error) for r in C.route_provider(req, reg).collect()}
+    assert got[1] == ("mock", None) and got[4] == ("ollama", None)
+    assert got[2] == (None, "[unknown] Provider 'unknown' not found. Available: ollama, litellm, mock")
+    assert got[3] == (None, "LLM provider not configured")
+    reg.register("Custom", model="c/1")
+    assert reg.names[-1] == "custom"
+
+
+def test_resolve_model_mapping(spark):
+    df = spark.createDataFrame([("openai",), ("other",)], "p string")
+    got = [r.m for r in df.select(C.resolve_model(F.col("p"), {"openai": "gpt-4", "anthropic": "x"},
+                                                  "default-model").alias("m")).collect()]
+    assert got == ["gpt-4", "default-model"]
+
+
+def test_validation_and_messages(spark):
+    df = spark.createDataFrame([("litellm", "gpt-4", 0.7, 10, 5), ("litellm", "openai/gpt-4", 2.5, 0, 0),
+                                ("ollama", "", 2.0, 1, 1)], "p string, m string, t double, mt long, to long")
+    v = [r.v for r in df.select(C.option_violations(F.col("p"), F.col("m"), F.col("t"), F.col("mt"),
+                                                    F.col("to")).alias("v")).collect()]
+    assert v == ["model", "temperature,max_tokens,timeout", ""]
+    r = df.select(C.configuration_message(F.lit("litellm"), [C.GATEWAY_MODEL_HINT]).alias("a"),
+                  C.connection_failed_message(F.lit("ollama"), F.lit("http://h")).alias("b"),
+                  C.completion_failed_message(F.lit("ollama"), C.http_error_text(F.lit(500), F.lit("x"))).alias("c"),
+                  C.connection_failed_message(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("d")).first()
+    assert r.a == ("[litellm] Invalid configuration for provider 'litellm'. Missing fields: model (must include "
+                   "provider prefix, e.g., 'openai/gpt-4')")
+    assert r.b == "[ollama] Connection failed to http://h"
+    assert r.c == "[ollama] Completion failed: HTTP 500: x"
+    assert r.d == "Connection failed"
+
+
+def test_normalize_replies(spark):
+    df = spark.createDataFrame([
+        ("local_complete", '{"response":"r","prompt_eval_count":3,"eval_count":2}'),
+        ("local_complete", '{"done":true}'),
+        ("local_chat", '{"message":{"content":"m"},"eval_count":4}'),
+        ("gateway", '{"choices":[{"message":{"content":null}}]}'),
+        ("gateway", '{"choices":[{"message":{"content":"g"}}],"usage":{"prompt_tokens":1,"completion_tokens":2,'
+                    '"total_tokens":3}}'),
+        ("gateway", "not json")], "shape string, raw string")
+    rows = [tuple(r) for r in df.select(*C.normalize_reply(F.col("raw"), F.col("shape"))).collect()]
+    assert rows == [("r", 3, 2, None, False), ("", 0, 0, None, False), ("m", 0, 4, None, False),
+                    ("", 0, 0, 0, False), ("g", 1, 2, 3, False), (None, None, None, None, True)]
+
+
+def test_payload_round_trip(spark):
+    df = spark.createDataFrame([("ollama",), ("litellm",), ("mock",)], "p string")
+    pay = C.request_payload(F.col("p"), F.lit("m/1"), F.lit('say "hi"\n'), F.lit(0.3), F.lit(5).cast("bigint"),
+                            F.lit(9).cast("bigint"))
+    rows = [tuple(r) for r in df.select(*C.payload_fields(pay)).collect()]
+    assert rows[0] == ("m/1", False, 0.3, 5, 9)
+    assert rows[1] == ("m/1", None, 0.3, 5, 9)
+    assert rows[2] == (None, None, None, None, None)
+
+
+def test_model_available(spark):
+    df = spark.createDataFrame([('{"models":[{"name":"llama3.2"},{}]}', "llama3.2"), ('{"models":[{}]}', ""),
+                                ("{}", "llama3.2")], "reply string, model string")
+    assert [r.a for r in df.select(C.model_available(F.col("reply"), F.col("model")).alias("a")).collect()] == \
+        [True, True, False]
+
+
+def test_complete_batch_errors_are_rows(spark):
+    def flaky(prompt, options):
+        if "boom" in prompt:
+            raise C.ProviderError("connection", "Connection failed to http://h")
+        if "bad" in prompt:
+            raise ValueError("nope")
+        return C.mock_provider(prompt, options)
+
+    C.register_provider_function("flaky", flaky)
+    req = spark.createDataFrame([(1, "fine words"), (2, "boom"), (3, "bad")], "request_id long, p string")
+    got = {r.request_id: r for r in C.complete_batch(req, F.col("p"), "flaky").collect()}
+    assert got[1].content == C.MOCK_RESPONSE and got[1].prompt_tokens == 2 and got[1].error_kind is None
+    assert (got[2].error_kind, got[2].error_message) == ("connection", "[flaky] Connection failed to http://h")
+    assert got[3].error_message == "[flaky] Completion failed: nope"
+
+
+@pytest.mark.parametrize("text", ["one two", "", "  spaced\tout\n"])
+def test_python_and_jvm_mock_agree(spark, text):
+    py = C.mock_provider(text, {})
+    df = spark.createDataFrame([(text,)], "p string")
+    jvm = C.mock_complete(df, F.col("p")).first()
+    assert (py["content"], py["prompt_tokens"], py["completion_tokens"]) == \
+        (jvm.content, jvm.prompt_tokens, jvm.completion_tokens)
