@@ -28,7 +28,8 @@ def main() -> None:
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or sorted(QUERIES)
     extra = {"spark.driver.memory": "8g"}
     if os.environ.get("BENCH_EVENT_LOG"):
-        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.compress": "false",
+                      "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="quire-bench", extra=extra)
     QUERIES["token_count"](spark, root).write.format("noop").mode("overwrite").save()  # warm-up, not timed
 

@@ -17,6 +17,10 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Listing many files (a stream batch re-lists every file it was handed)
+    # runs as one job; cap its task count so each task checks a few hundred
+    # paths instead of one path per task.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
 }
 
 
