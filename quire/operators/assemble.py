@@ -15,8 +15,22 @@ PAGE_SEPARATOR = "\n"
 
 
 def documents_with_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """Each document with its pages (left outer: a document without pages keeps one row)."""
-    return documents.join(pages, documents["file_id"] == pages["document_id"], "left").drop("document_id")
+    """Each document with its pages; a document without pages keeps one row with NULL page columns.
+
+    Written as (pages inner documents) + (documents anti page keys) rather than
+    one left outer join: a document holding a large share of all pages would
+    otherwise be buffered in one task, and AQE cannot split the non-preserved
+    side of an outer join. The inner join streams pages and can be split on a
+    hot key; the anti side only sees distinct page keys (deduplicated map-side).
+    """
+    page_cols = [c for c in pages.columns if c != "document_id"]
+    docs_renamed = documents.withColumnRenamed("file_id", "document_id")
+    matched = pages.join(docs_renamed, "document_id", "inner").withColumnRenamed("document_id", "file_id")
+    keys = pages.select("document_id").distinct()
+    lonely = docs_renamed.join(keys, "document_id", "left_anti").withColumnRenamed("document_id", "file_id")
+    for c in page_cols:
+        lonely = lonely.withColumn(c, F.lit(None).cast(pages.schema[c].dataType))
+    return matched.unionByName(lonely)
 
 
 def pages_with_document(pages: DataFrame, documents: DataFrame) -> DataFrame:

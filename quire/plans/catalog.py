@@ -62,12 +62,15 @@ def _available_languages(spark: SparkSession) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, root: str) -> DataFrame:
-    routed = _routed(spark, root)
+    """X7 with X5: each upload is recognised in its resolved language."""
+    routed = extract.resolve_language(_routed(spark, root), _available_languages(spark),
+                                      known_rows=len(AVAILABLE_LANGUAGES))
     return extract.ingest_pages(
         routed,
         native_pages=F.split("text", "[.]"),
         page_images=F.transform(F.split("text", "\n"), lambda x: F.encode(x, "UTF-8")),
-        image_bytes=F.encode("text", "UTF-8"))
+        image_bytes=F.encode("text", "UTF-8"),
+        language=F.col("resolved_language"))
 
 
 def _bool_meta(col: str, key: str):
@@ -665,6 +668,18 @@ def q_duplicate_keys(spark, root):
     return checks.duplicates(fx.dirty_documents(spark, root), "file_id")
 
 
+@register("duplicate_page_keys", with_ctes(
+    "SELECT concat(document_id, '#', CAST(page_number AS VARCHAR)) AS value, count(*) AS n FROM"
+    " (SELECT document_id, page_number FROM store_pages UNION ALL SELECT document_id, page_number FROM incoming_pages)"
+    " GROUP BY document_id, page_number HAVING count(*) > 1", "store_pages", "incoming_pages"))
+def q_duplicate_page_keys(spark, root):
+    """V2 for pages: (document_id, page_number) must be unique; checked on stored + incoming pages together."""
+    both = fx.store_pages(spark, root).select("document_id", "page_number").unionByName(
+        fx.incoming_pages(spark, root).select("document_id", "page_number"))
+    keyed = both.select(F.concat("document_id", F.lit("#"), F.col("page_number").cast("string")).alias("page_key"))
+    return checks.duplicates(keyed, "page_key")
+
+
 @register("orphan_pages", with_ctes(
     "SELECT p.document_id, p.page_number FROM dirty_pages p ANTI JOIN store_documents d ON p.document_id = d.file_id",
     "dirty_pages", "store_documents"))

@@ -76,7 +76,8 @@ class DocumentLog:
 
     def _committed(self, table: str, schema: str) -> DataFrame:
         rows = self._read(table, schema).withColumn("batch", F.col("batch").cast("bigint"))
-        return rows.join(F.broadcast(self.committed_batches()), "batch", "left_semi")
+        # one row per batch: AQE broadcasts it from its measured size when small
+        return rows.join(self.committed_batches(), "batch", "left_semi")
 
     def current_documents(self, include_deleted: bool = False) -> DataFrame:
         """Latest committed row per ``file_name``, with the batch that wrote it."""
@@ -85,6 +86,16 @@ class DocumentLog:
         latest = docs.groupBy("file_name").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("d")).select("d.*")
         return latest if include_deleted else latest.filter(~F.col("deleted"))
 
+    def documents_created_between(self, start: str, end: str) -> DataFrame:
+        """K6 on the log. ``created_at`` never changes across a document's versions
+        (an overwrite keeps it), so the range filter is applied to log rows
+        *before* the latest-row aggregate and reaches the Parquet scan."""
+        lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+        docs = self._committed("documents", DOC_SCHEMA).filter((F.col("created_at") >= lo) & (F.col("created_at") < hi))
+        cols = store.DOCUMENT_COLUMNS + ["deleted", "batch"]
+        latest = docs.groupBy("file_name").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("d")).select("d.*")
+        return latest.filter(~F.col("deleted"))
+
     def current_pages(self) -> DataFrame:
         """Pages written by the batch that holds each live document's current row."""
         live = self.current_documents().select(F.col("file_id").alias("document_id"), "batch")

@@ -122,3 +122,24 @@ def test_created_between_uses_date_partition_pruning(spark, scratch):
     q = store.documents_created_between(spark.read.parquet(path), "2024-01-01 00:00:00", "2024-01-02 00:00:00")
     assert q.count() == 1
     assert "PartitionFilters: [isnotnull(created_date" in q._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_with_pages_keeps_documents_without_pages(spark):
+    d = docs(spark, [("a", "{}"), ("b", "{}")])
+    p = pages(spark, [("a", 1, "x"), ("a", 2, "y")])
+    got = sorted((r.file_id, r.page_number, r.content) for r in assemble.documents_with_pages(d, p).collect())
+    assert got == [("a", 1, "x"), ("a", 2, "y"), ("b", None, None)]
+
+
+def test_log_time_range_read(spark, scratch):
+    log = DocumentLog(spark, os.path.join(scratch, "store_k6"))
+    inc = spark.createDataFrame([("a", None), ("b", None)], "file_name string, metadata string")
+    none = spark.createDataFrame([], "file_name string, page_number long, content string")
+    log.upsert(0, inc, none, "2024-01-01 00:00:00")
+    log.upsert(1, spark.createDataFrame([("c", None)], "file_name string, metadata string"), none,
+               "2024-03-01 00:00:00")
+    log.upsert(2, spark.createDataFrame([("a", None)], "file_name string, metadata string"), none,
+               "2024-05-01 00:00:00")  # overwrite keeps created_at
+    got = sorted(r.file_name for r in log.documents_created_between("2023-12-31 00:00:00",
+                                                                     "2024-02-01 00:00:00").collect())
+    assert got == ["a", "b"]
