@@ -211,6 +211,17 @@ def request_payload(provider: Column, model: Column, prompt: Column, temperature
     return F.when(provider == "ollama", local).when(provider == GATEWAY, gateway)
 
 
+# The local server's completion and chat paths.
+LOCAL_COMPLETE_PATH = "/api/generate"
+LOCAL_CHAT_PATH = "/api/chat"
+
+
+def endpoint_url(provider: Column, host: Column, chat: bool = False) -> Column:
+    """Where a local-server request goes: the host without trailing '/' plus the API path (NULL otherwise)."""
+    path = LOCAL_CHAT_PATH if chat else LOCAL_COMPLETE_PATH
+    return F.when(provider == "ollama", F.concat(T.rstrip_slashes(F.coalesce(host, F.lit(DEFAULT_HOST))), F.lit(path)))
+
+
 PAYLOAD_SCHEMA = ("model string, prompt string, stream boolean, options struct<temperature: double, num_predict: "
                   "bigint>, messages array<struct<role: string, content: string>>, temperature double, "
                   "max_tokens bigint, timeout bigint")

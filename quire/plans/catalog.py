@@ -102,7 +102,7 @@ D_PARSE_PROMPT = "concat(coalesce(nullif(prompt, ''), 'Extract and summarize the
                  "following document:' || chr(10) || chr(10)), text)"
 D_MOCK = "'This is a mock response from the LLM.'"
 D_CHAT_PREFIX = "'You are analyzing a document. Document content:' || chr(10) || chr(10)"
-D_RESOLVED = """(SELECT r.*, p.provider AS registered_provider,
+D_RESOLVED = """(SELECT r.*, p.provider AS registered_provider, p.host AS cfg_host,
    coalesce(r.model, p.model, 'llama3.2') AS eff_model,
    CAST(coalesce(r.temperature, p.temperature, 0.7) AS DOUBLE) AS eff_temperature,
    CAST(coalesce(r.max_tokens, p.max_tokens, 2048) AS BIGINT) AS eff_max_tokens,
@@ -441,7 +441,9 @@ def q_validate_options(spark, root):
 @register("request_payload", with_ctes(
     "SELECT request_id, registered_provider AS provider, eff_model AS model,"
     " CASE WHEN registered_provider = 'ollama' THEN false END AS stream, eff_temperature AS temperature,"
-    f" eff_max_tokens AS num_predict, CAST(length({D_PARSE_PROMPT}) AS BIGINT) AS prompt_length"
+    f" eff_max_tokens AS num_predict, CAST(length({D_PARSE_PROMPT}) AS BIGINT) AS prompt_length,"
+    " CASE WHEN registered_provider = 'ollama' THEN concat(rtrim(coalesce(cfg_host, 'http://localhost:11434'), '/'),"
+    " '/api/generate') END AS url"
     f" FROM {D_RESOLVED} WHERE registered_provider IN ('ollama', 'litellm')", "llm_requests", "provider_config"))
 def q_request_payload(spark, root):
     r = _routed_requests(spark, root).filter(F.col("registered_provider").isin("ollama", "litellm"))
@@ -449,7 +451,8 @@ def q_request_payload(spark, root):
         F.col("registered_provider"), F.col("eff_model"), prompts.parse_prompt(F.col("prompt"), F.col("text")),
         F.col("eff_temperature"), F.col("eff_max_tokens"), F.col("eff_timeout"))
     return r.select("request_id", F.col("registered_provider").alias("provider"),
-                    *completion.payload_fields(payload))
+                    *completion.payload_fields(payload),
+                    completion.endpoint_url(F.col("registered_provider"), F.col("cfg_host")).alias("url"))
 
 
 D_CONFIG_ERR = ("'[litellm] Invalid configuration for provider ''litellm''. Missing fields: model (must include"

@@ -66,8 +66,11 @@ class DocumentLog:
             return False
         docs = documents.select(*store.DOCUMENT_COLUMNS, F.coalesce(
             F.col("deleted") if "deleted" in documents.columns else F.lit(False), F.lit(False)).alias("deleted"))
-        docs.write.mode("overwrite").parquet(self._path("documents", batch))
-        pages.select(*store.PAGE_COLUMNS).write.mode("overwrite").parquet(self._path("pages", batch))
+        # Sorted within each task (no shuffle) so Parquet row-group min/max
+        # statistics prune time-range reads and id lookups.
+        docs.sortWithinPartitions("created_at").write.mode("overwrite").parquet(self._path("documents", batch))
+        pages.select(*store.PAGE_COLUMNS).sortWithinPartitions("document_id", "page_number").write.mode(
+            "overwrite").parquet(self._path("pages", batch))
         self.spark.createDataFrame([(True,)], COMMIT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
             self._path("commits", batch))
         return True

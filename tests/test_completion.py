@@ -122,3 +122,9 @@ def test_python_and_jvm_mock_agree(spark, text):
     jvm = C.mock_complete(df, F.col("p")).first()
     assert (py["content"], py["prompt_tokens"], py["completion_tokens"]) == \
         (jvm.content, jvm.prompt_tokens, jvm.completion_tokens)
+
+
+def test_endpoint_url(spark):
+    df = spark.createDataFrame([("ollama", "http://h:1//"), ("ollama", None), ("litellm", "x")], "p string, h string")
+    got = [r.u for r in df.select(C.endpoint_url(F.col("p"), F.col("h")).alias("u")).collect()]
+    assert got == ["http://h:1/api/generate", "http://localhost:11434/api/generate", None]

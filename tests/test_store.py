@@ -143,3 +143,14 @@ def test_log_time_range_read(spark, scratch):
     got = sorted(r.file_name for r in log.documents_created_between("2023-12-31 00:00:00",
                                                                      "2024-02-01 00:00:00").collect())
     assert got == ["a", "b"]
+
+
+def test_upsert_same_batch_twice_sets_overwrite(spark):
+    stored = docs(spark, [("a", "{}")])
+    incoming = spark.createDataFrame([("b", '{"run":"r"}')], "file_name string, metadata string")
+    once = store.upsert_documents(stored, incoming, NOW)
+    twice = {r.file_name: r for r in store.upsert_documents(once, incoming, NOW).collect()}
+    first = {r.file_name: r for r in once.collect()}
+    assert first["b"].metadata == '{"run":"r"}'
+    assert twice["b"].metadata == '{"run":"r","overwrite":true}'
+    assert twice["b"].created_at == first["b"].created_at
