@@ -71,8 +71,11 @@ def document_text(pages: DataFrame, key: str = "file_id", carry: tuple[str, ...]
     return nested.select(key, *carry, "n_pages", "n_failed_pages", join_pages().alias("text"))
 
 
-def upload_results(pages: DataFrame, uploads: DataFrame, key: str = "file_id") -> DataFrame:
-    """A2: per uploaded file, ``{filename, content: [page texts...]}``."""
-    nested = nest_pages(pages, key)
-    return uploads.select(key, "file_name").join(nested, key).select(
-        key, "file_name", F.transform("pages", lambda p: p["content"]).alias("content"))
+def upload_results(pages: DataFrame, key: str = "file_id", name: str = "file_name") -> DataFrame:
+    """A2: per uploaded file, ``{filename, content: [page texts in page order]}``.
+
+    ``pages`` carry the file name (see ``ingest_pages(carry=...)``), so no join
+    back to the uploads is needed.
+    """
+    nested = pages.groupBy(key, name).agg(F.array_sort(F.collect_list(F.struct("page_number", "content"))).alias("p"))
+    return nested.select(key, name, F.transform("p", lambda x: x["content"]).alias("content"))

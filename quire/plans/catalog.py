@@ -61,7 +61,7 @@ def _available_languages(spark: SparkSession) -> DataFrame:
     return literal_frame(spark, [(x,) for x in AVAILABLE_LANGUAGES], "language string")
 
 
-def _ingested(spark: SparkSession, root: str) -> DataFrame:
+def _ingested(spark: SparkSession, root: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """X7 with X5: each upload is recognised in its resolved language."""
     routed = extract.resolve_language(_routed(spark, root), _available_languages(spark),
                                       known_rows=len(AVAILABLE_LANGUAGES))
@@ -70,7 +70,7 @@ def _ingested(spark: SparkSession, root: str) -> DataFrame:
         native_pages=F.split("text", "[.]"),
         page_images=F.transform(F.split("text", "\n"), lambda x: F.encode(x, "UTF-8")),
         image_bytes=F.encode("text", "UTF-8"),
-        language=F.col("resolved_language"))
+        language=F.col("resolved_language"), carry=carry)
 
 
 def _bool_meta(col: str, key: str):
@@ -260,7 +260,7 @@ def q_pages_with_document(spark, root):
     f" AS content FROM ({D_INGEST}) i JOIN uploads u USING (file_id) GROUP BY i.file_id, u.file_name",
     "page_text", *D_ROUTED_CTES))
 def q_upload_results(spark, root):
-    res = assemble.upload_results(_ingested(spark, root), fx.uploads(spark, root))
+    res = assemble.upload_results(_ingested(spark, root, carry=("file_name",)))
     return res.select("file_id", "file_name", F.size("content").cast("bigint").alias("n_pages"),
                       F.array_join("content", "\n").alias("content"))
 
