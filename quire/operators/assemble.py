@@ -12,6 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAGE_SEPARATOR = "\n"
+# Pages per first-level group when gathering a document's pages: a document
+# with more pages than this is assembled by several tasks, then merged.
+CHUNK_PAGES = 4096
+
+
+def ordered_collect(df: DataFrame, key: list[str], order: str, values: list[str],
+                    chunk_size: int = CHUNK_PAGES) -> DataFrame:
+    """Per ``key``: ``items ARRAY<STRUCT<order, values...>>`` sorted by ``order``.
+
+    Built in two levels so a hot key is split: level one gathers and sorts
+    (key, order // chunk_size) groups in parallel, level two only puts the
+    already sorted chunks in order and concatenates them.
+    """
+    chunk = F.floor(F.col(order) / F.lit(chunk_size)).alias("_chunk")
+    lvl1 = df.groupBy(*key, chunk).agg(
+        F.array_sort(F.collect_list(F.struct(order, *values))).alias("_items"))
+    lvl2 = lvl1.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_items"))).alias("_chunks"))
+    return lvl2.select(*key, F.flatten(F.transform("_chunks", lambda c: c["_items"])).alias("items"))
 
 
 def documents_with_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -41,11 +59,11 @@ def pages_with_document(pages: DataFrame, documents: DataFrame) -> DataFrame:
 def nest_pages(pages: DataFrame, key: str = "document_id", extra: list[str] | None = None) -> DataFrame:
     """Flat pages -> one row per document with ``pages ARRAY<STRUCT<page_number, content, ...>>``.
 
-    Ordering comes from sorting the structs by ``page_number``, never from row order.
+    Ordering comes from sorting by ``page_number``, never from row order; a
+    document with very many pages is gathered in chunks (:func:`ordered_collect`).
     """
-    fields = ["page_number", "content"] + list(extra or [])
-    return pages.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("pages"))
+    values = ["content"] + list(extra or [])
+    return ordered_collect(pages, [key], "page_number", values).withColumnRenamed("items", "pages")
 
 
 def unnest_pages(nested: DataFrame, key: str = "document_id") -> DataFrame:
@@ -64,11 +82,20 @@ def document_text(pages: DataFrame, key: str = "file_id", carry: tuple[str, ...]
     ``carry`` names per-document columns (functionally dependent on ``key``)
     kept through the aggregation, which saves joining them back afterwards.
     """
-    nested = pages.groupBy(key, *carry).agg(
+    keys = [key, *carry]
+    chunk = F.floor(F.col("page_number") / F.lit(CHUNK_PAGES)).alias("_chunk")
+    # level one: text of each chunk of pages (a chunk with only NULL pages contributes nothing)
+    parts = pages.groupBy(*keys, chunk).agg(
         F.array_sort(F.collect_list(F.struct("page_number", "content"))).alias("pages"),
-        F.count(F.lit(1)).alias("n_pages"),
-        F.count_if(F.col("content").isNull()).alias("n_failed_pages"))
-    return nested.select(key, *carry, "n_pages", "n_failed_pages", join_pages().alias("text"))
+        F.count(F.lit(1)).alias("n"), F.count("content").alias("n_ok"))
+    parts = parts.select(*keys, "_chunk", "n", (F.col("n") - F.col("n_ok")).alias("n_bad"),
+                         F.when(F.col("n_ok") > 0, join_pages()).alias("part"))
+    # level two: chunks in order
+    doc = parts.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_chunk", "part"))).alias("parts"),
+        F.sum("n").alias("n_pages"), F.sum("n_bad").alias("n_failed_pages"))
+    text = F.array_join(F.transform("parts", lambda p: p["part"]), PAGE_SEPARATOR)
+    return doc.select(key, *carry, "n_pages", "n_failed_pages", text.alias("text"))
 
 
 def upload_results(pages: DataFrame, key: str = "file_id", name: str = "file_name") -> DataFrame:
@@ -77,5 +104,5 @@ def upload_results(pages: DataFrame, key: str = "file_id", name: str = "file_nam
     ``pages`` carry the file name (see ``ingest_pages(carry=...)``), so no join
     back to the uploads is needed.
     """
-    nested = pages.groupBy(key, name).agg(F.array_sort(F.collect_list(F.struct("page_number", "content"))).alias("p"))
-    return nested.select(key, name, F.transform("p", lambda x: x["content"]).alias("content"))
+    nested = ordered_collect(pages, [key, name], "page_number", ["content"])
+    return nested.select(key, name, F.transform("items", lambda x: x["content"]).alias("content"))

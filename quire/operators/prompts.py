@@ -30,11 +30,13 @@ def chat_messages(conversations: DataFrame, documents: DataFrame) -> DataFrame:
 
     ``conversations(conv_id, turn, role, text)``, ``documents(doc_id, text)``;
     output ``(conv_id, position, role, content)``, position 0 being the system
-    message. The message list is gathered per conversation (bounded by one
-    conversation) and joined to its document once.
+    message. The message list is gathered per conversation in turn chunks (a
+    very long conversation is split over tasks) and joined to its document once.
     """
-    msgs = conversations.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("msgs"))
+    from quire.operators.assemble import ordered_collect
+
+    msgs = ordered_collect(conversations.withColumnRenamed("text", "content"), ["conv_id"], "turn",
+                           ["role", "content"]).withColumnRenamed("items", "msgs")
     docs = documents.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("doc_text"))
     full = msgs.join(docs, "conv_id").select(
         "conv_id",

@@ -154,3 +154,16 @@ def test_upsert_same_batch_twice_sets_overwrite(spark):
     assert first["b"].metadata == '{"run":"r"}'
     assert twice["b"].metadata == '{"run":"r","overwrite":true}'
     assert twice["b"].created_at == first["b"].created_at
+
+
+def test_hot_document_is_gathered_in_chunks(spark, monkeypatch):
+    rows = [("hot", n, f"p{n}") for n in range(1, 26)] + [("hot", 26, None), ("hot", 27, None), ("cold", 1, "c")]
+    p = pages(spark, rows[::-1])
+    got = assemble.ordered_collect(p, ["document_id"], "page_number", ["content"], chunk_size=4)
+    items = {r.document_id: [x.page_number for x in r["items"]] for r in got.collect()}
+    assert items["hot"] == list(range(1, 28)) and items["cold"] == [1]
+    monkeypatch.setattr(assemble, "CHUNK_PAGES", 4)  # pages 24..27 share a chunk; 26, 27 are NULL
+    text = {r.file_id: (r.n_pages, r.n_failed_pages, r.text) for r in
+            assemble.document_text(p.withColumnRenamed("document_id", "file_id")).collect()}
+    assert text["hot"] == (27, 2, "\n".join(f"p{n}" for n in range(1, 26)))
+    assert text["cold"] == (1, 0, "c")
