@@ -82,9 +82,18 @@ class DocumentLog:
         # one row per batch: AQE broadcasts it from its measured size when small
         return rows.join(self.committed_batches(), "batch", "left_semi")
 
-    def current_documents(self, include_deleted: bool = False) -> DataFrame:
-        """Latest committed row per ``file_name``, with the batch that wrote it."""
+    def current_documents(self, include_deleted: bool = False, names: DataFrame | None = None,
+                          ids: DataFrame | None = None) -> DataFrame:
+        """Latest committed row per ``file_name``, with the batch that wrote it.
+
+        ``names`` / ``ids`` restrict the log rows *before* the aggregate (both
+        are stable per document), so a batch reads only its own documents' history.
+        """
         docs = self._committed("documents", DOC_SCHEMA)
+        if names is not None:
+            docs = docs.join(names.select("file_name").distinct(), "file_name", "left_semi")
+        if ids is not None:
+            docs = docs.join(ids.select("file_id").distinct(), "file_id", "left_semi")
         cols = store.DOCUMENT_COLUMNS + ["deleted", "batch"]
         latest = docs.groupBy("file_name").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("d")).select("d.*")
         return latest if include_deleted else latest.filter(~F.col("deleted"))
@@ -99,9 +108,9 @@ class DocumentLog:
         latest = docs.groupBy("file_name").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("d")).select("d.*")
         return latest.filter(~F.col("deleted"))
 
-    def current_pages(self) -> DataFrame:
+    def current_pages(self, ids: DataFrame | None = None) -> DataFrame:
         """Pages written by the batch that holds each live document's current row."""
-        live = self.current_documents().select(F.col("file_id").alias("document_id"), "batch")
+        live = self.current_documents(ids=ids).select(F.col("file_id").alias("document_id"), "batch")
         pages = self._committed("pages", PAGE_SCHEMA)
         return pages.join(live, ["document_id", "batch"], "left_semi").select(*store.PAGE_COLUMNS)
 
@@ -114,16 +123,27 @@ class DocumentLog:
         Only stored documents whose name arrives in this batch are read
         (semi join on the batch's names); pages get the resolved ``file_id``.
         """
-        names = incoming_documents.select("file_name").distinct()
-        existing = self.current_documents().join(names, "file_name", "left_semi").select(*store.DOCUMENT_COLUMNS)
+        existing = self.current_documents(names=incoming_documents).select(*store.DOCUMENT_COLUMNS)
         docs = store.upsert_documents(existing, incoming_documents, now, seq)
         ids = docs.select("file_name", F.col("file_id").alias("document_id"))
         pages = incoming_pages.join(ids, "file_name").select(*store.PAGE_COLUMNS)
         return self.write_batch(batch, docs, pages)
 
+    def update_pages(self, batch: int, updates: DataFrame, now: str, seq: str | None = None) -> bool:
+        """New content for existing pages; a document is rewritten (all its pages,
+        ``updated_at = now``) only when one of its pages actually matched."""
+        touched_ids = updates.select(F.col("document_id").alias("file_id")).distinct()
+        pages = self.current_pages(ids=touched_ids)
+        hit = store.matched_updates(pages, updates).select(F.col("document_id").alias("file_id")).distinct()
+        docs = self.current_documents(ids=hit).select(*store.DOCUMENT_COLUMNS).withColumn(
+            "updated_at", F.lit(now).cast("timestamp_ntz"))
+        new_pages = store.update_pages(pages.join(hit.withColumnRenamed("file_id", "document_id"), "document_id",
+                                                  "left_semi"), updates, seq)
+        return self.write_batch(batch, docs, new_pages)
+
     def delete(self, batch: int, keys: DataFrame, now: str) -> bool:
         """T5: tombstones for the live documents whose ``file_id`` is among ``keys``."""
-        live = self.current_documents().join(keys.select("file_id").distinct(), "file_id", "left_semi")
+        live = self.current_documents(ids=keys)
         tomb = live.select(*store.DOCUMENT_COLUMNS).withColumn("updated_at", F.lit(now).cast("timestamp_ntz")) \
             .withColumn("deleted", F.lit(True))
         empty = self.spark.createDataFrame([], PAGE_SCHEMA)

@@ -167,3 +167,16 @@ def test_hot_document_is_gathered_in_chunks(spark, monkeypatch):
             assemble.document_text(p.withColumnRenamed("document_id", "file_id")).collect()}
     assert text["hot"] == (27, 2, "\n".join(f"p{n}" for n in range(1, 26)))
     assert text["cold"] == (1, 0, "c")
+
+
+def test_log_update_pages(spark, scratch):
+    log = DocumentLog(spark, os.path.join(scratch, "store_t6"))
+    inc = spark.createDataFrame([("a", None), ("b", None)], "file_name string, metadata string")
+    pg = spark.createDataFrame([("a", 1, "a1"), ("a", 2, "a2"), ("b", 1, "b1")],
+                               "file_name string, page_number long, content string")
+    log.upsert(0, inc, pg, NOW)
+    ups = pages(spark, [("a", 2, "fixed"), ("b", 9, "missing page"), ("zz", 1, "missing doc")])
+    assert log.update_pages(1, ups, "2024-07-01 00:00:00")
+    cur = {r.file_name: r.updated_at for r in log.current_documents().collect()}
+    assert cur == {"a": dt.datetime(2024, 7, 1), "b": dt.datetime(2024, 6, 1)}
+    assert sorted(map(tuple, log.current_pages().collect())) == [("a", 1, "a1"), ("a", 2, "fixed"), ("b", 1, "b1")]
