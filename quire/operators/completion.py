@@ -33,6 +33,18 @@ MOCK_MODEL = "mock/model"
 GATEWAY = "litellm"
 GATEWAY_MODEL_HINT = "model (must include provider prefix, e.g., 'openai/gpt-4')"
 NOT_CONFIGURED = "LLM provider not configured"
+# Error message templates (%s = provider name, field list, URL,
+# status, body) and the prefix put in front of a message when the provider is known.
+PROVIDER_PREFIX_TEMPLATE = "[%s] "
+NOT_FOUND_TEMPLATE = "Provider '%s' not found"
+AVAILABLE_TEMPLATE = ". Available: %s"
+BAD_CONFIG_TEMPLATE = "Invalid configuration for provider '%s'"
+MISSING_FIELDS_TEMPLATE = ". Missing fields: %s"
+COMPLETION_FAILED_TEMPLATE = "Completion failed: %s"
+CONNECTION_FAILED = "Connection failed"
+CONNECTION_URL_TEMPLATE = " to %s"
+HTTP_ERROR_TEMPLATE = "HTTP %s: %s"
+LIST_SEPARATOR = ", "
 
 # Registered providers in registration order, with their settings
 # (provider, model, temperature, max_tokens, timeout, host).
@@ -72,35 +84,36 @@ class ProviderRegistry:
 # --- error texts (L14) ---
 
 def _with_provider(provider: Column, message: Column) -> Column:
-    """``[provider] message`` when the provider is known, else the bare message."""
-    return F.when(provider.isNotNull() & (provider != ""), F.concat(F.lit("["), provider, F.lit("] "), message)) \
-        .otherwise(message)
+    """Message prefixed with the provider name when one is known."""
+    known = provider.isNotNull() & (provider != "")
+    return F.when(known, F.concat(F.format_string(PROVIDER_PREFIX_TEMPLATE, provider), message)).otherwise(message)
+
+
+def _listed(template: str, items: list[str] | None) -> Column:
+    return F.lit(template % LIST_SEPARATOR.join(items)) if items else F.lit("")
 
 
 def not_found_message(name: Column, available: list[str]) -> Column:
-    msg = F.concat(F.lit("Provider '"), name, F.lit("' not found"))
-    if available:
-        msg = F.concat(msg, F.lit(". Available: " + ", ".join(available)))
+    msg = F.concat(F.format_string(NOT_FOUND_TEMPLATE, name), _listed(AVAILABLE_TEMPLATE, available))
     return _with_provider(name, msg)
 
 
 def configuration_message(provider: Column, missing: list[str] | None = None) -> Column:
-    msg = F.concat(F.lit("Invalid configuration for provider '"), provider, F.lit("'"))
-    if missing:
-        msg = F.concat(msg, F.lit(". Missing fields: " + ", ".join(missing)))
+    msg = F.concat(F.format_string(BAD_CONFIG_TEMPLATE, provider), _listed(MISSING_FIELDS_TEMPLATE, missing))
     return _with_provider(provider, msg)
 
 
 def completion_failed_message(provider: Column, message: Column) -> Column:
-    return _with_provider(provider, F.concat(F.lit("Completion failed: "), message))
+    return _with_provider(provider, F.format_string(COMPLETION_FAILED_TEMPLATE, message))
 
 
 def http_error_text(status: Column, body: Column) -> Column:
-    return F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), body)
+    return F.format_string(HTTP_ERROR_TEMPLATE, status.cast("string"), body)
 
 
 def connection_failed_message(provider: Column, url: Column) -> Column:
-    return _with_provider(provider, F.concat_ws(" to ", F.lit("Connection failed"), url))
+    suffix = F.when(url.isNotNull() & (url != ""), F.format_string(CONNECTION_URL_TEMPLATE, url)).otherwise(F.lit(""))
+    return _with_provider(provider, F.concat(F.lit(CONNECTION_FAILED), suffix))
 
 
 # --- mock completion (L7, L8) ---
@@ -326,10 +339,11 @@ def _complete_batches(fn: Callable[[str, dict], dict], provider_name: str):
                     out.append((rid, r["content"], r["model"], r["prompt_tokens"], r["completion_tokens"],
                                 r.get("total_tokens"), None, None))
                 except ProviderError as exc:
-                    out.append((rid, None, None, None, None, None, exc.kind, f"[{provider_name}] {exc}"))
+                    out.append((rid, None, None, None, None, None, exc.kind,
+                                PROVIDER_PREFIX_TEMPLATE % provider_name + str(exc)))
                 except Exception as exc:  # noqa: BLE001 - a failed call is a row, never a failed task
                     out.append((rid, None, None, None, None, None, "completion",
-                                f"[{provider_name}] Completion failed: {exc}"))
+                                PROVIDER_PREFIX_TEMPLATE % provider_name + COMPLETION_FAILED_TEMPLATE % exc))
             yield pd.DataFrame(out, columns=["request_id", "content", "model", "prompt_tokens",
                                              "completion_tokens", "total_tokens", "error_kind", "error_message"])
     return run
