@@ -328,38 +328,50 @@ COMPLETION_SCHEMA = ("request_id bigint, content string, model string, prompt_to
                      "completion_tokens bigint, total_tokens bigint, error_kind string, error_message string")
 
 
-def _complete_batches(fn: Callable[[str, dict], dict], provider_name: str):
+def _complete_batches(fn: Callable[[str, dict], dict], provider_name: str, concurrency: int):
+    def call(args):
+        rid, prompt, override = args
+        opts = {} if override is None else {"mock_response": override}
+        try:
+            r = fn(prompt, opts)
+            return (rid, r["content"], r["model"], r["prompt_tokens"], r["completion_tokens"],
+                    r.get("total_tokens"), None, None)
+        except ProviderError as exc:
+            return (rid, None, None, None, None, None, exc.kind, PROVIDER_PREFIX_TEMPLATE % provider_name + str(exc))
+        except Exception as exc:  # noqa: BLE001 - a failed call is a row, never a failed task
+            return (rid, None, None, None, None, None, "completion",
+                    PROVIDER_PREFIX_TEMPLATE % provider_name + COMPLETION_FAILED_TEMPLATE % exc)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for rid, prompt, override in zip(pdf["request_id"], pdf["prompt"], pdf["mock_response"]):
-                opts = {} if override is None else {"mock_response": override}
-                try:
-                    r = fn(prompt, opts)
-                    out.append((rid, r["content"], r["model"], r["prompt_tokens"], r["completion_tokens"],
-                                r.get("total_tokens"), None, None))
-                except ProviderError as exc:
-                    out.append((rid, None, None, None, None, None, exc.kind,
-                                PROVIDER_PREFIX_TEMPLATE % provider_name + str(exc)))
-                except Exception as exc:  # noqa: BLE001 - a failed call is a row, never a failed task
-                    out.append((rid, None, None, None, None, None, "completion",
-                                PROVIDER_PREFIX_TEMPLATE % provider_name + COMPLETION_FAILED_TEMPLATE % exc))
-            yield pd.DataFrame(out, columns=["request_id", "content", "model", "prompt_tokens",
-                                             "completion_tokens", "total_tokens", "error_kind", "error_message"])
+        pool = None
+        if concurrency > 1:
+            from concurrent.futures import ThreadPoolExecutor
+            pool = ThreadPoolExecutor(max_workers=concurrency)  # one client pool per task, shared by its batches
+        try:
+            for pdf in batches:
+                args = list(zip(pdf["request_id"], pdf["prompt"], pdf["mock_response"]))
+                out = list(pool.map(call, args)) if pool else [call(a) for a in args]  # map keeps input order
+                yield pd.DataFrame(out, columns=["request_id", "content", "model", "prompt_tokens",
+                                                 "completion_tokens", "total_tokens", "error_kind", "error_message"])
+        finally:
+            if pool:
+                pool.shutdown(wait=True)
     return run
 
 
 def complete_batch(requests: DataFrame, prompt: Column, provider: str = "mock",
-                   override: Column | None = None, partitions: int | None = None) -> DataFrame:
+                   override: Column | None = None, partitions: int | None = None,
+                   concurrency: int = 1) -> DataFrame:
     """Run every request through a registered provider function, one client per partition.
 
     Only ``request_id``, the prompt and the override cross into Python. The
     requests are hash-spread on ``request_id`` so slow calls are shared
-    evenly by all tasks.
+    evenly by all tasks; ``concurrency`` > 1 overlaps network-bound calls
+    within a task (results keep their input order).
     """
     fn = PROVIDER_FUNCTIONS[provider.lower()]
     slim = requests.select("request_id", prompt.alias("prompt"),
                            (override if override is not None else F.lit(None).cast("string")).alias("mock_response"))
     parts = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return slim.repartition(parts, "request_id").mapInPandas(_complete_batches(fn, provider.lower()),
-                                                             COMPLETION_SCHEMA)
+    return slim.repartition(parts, "request_id").mapInPandas(
+        _complete_batches(fn, provider.lower(), concurrency), COMPLETION_SCHEMA)

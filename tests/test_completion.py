@@ -128,3 +128,13 @@ def test_endpoint_url(spark):
     df = spark.createDataFrame([("ollama", "http://h:1//"), ("ollama", None), ("litellm", "x")], "p string, h string")
     got = [r.u for r in df.select(C.endpoint_url(F.col("p"), F.col("h")).alias("u")).collect()]
     assert got == ["http://h:1/api/generate", "http://localhost:11434/api/generate", None]
+
+
+def test_complete_batch_concurrent_and_pruned(spark):
+    req = spark.createDataFrame([(i, f"w{i} " * (i % 5), "wide", "wider") for i in range(40)],
+                                "request_id long, p string, a string, b string")
+    out = C.complete_batch(req, F.col("p"), "mock", concurrency=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and " a#" not in plan and " b#" not in plan
+    got = {r.request_id: r.prompt_tokens for r in out.collect()}
+    assert got == {i: i % 5 for i in range(40)}
