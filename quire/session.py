@@ -37,6 +37,27 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Scan and shuffle sizing for a job reading ``input_bytes`` on ``executors`` executors.
+
+    Scan splits of ``target_partition_bytes``; an initial shuffle partition
+    count so that a shuffle as large as the input still lands near the target
+    per partition (AQE then coalesces small ones to the advisory size and
+    splits skewed join partitions); never fewer partitions than 3x the cores.
+    """
+    cores = executors * cores_per_executor
+    shuffle_parts = max(3 * cores, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(min(10_000, cores)),
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for lineage cuts, store versions and stream state.
 
