@@ -44,10 +44,12 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
     Scan splits of ``target_partition_bytes``; an initial shuffle partition
     count so that a shuffle as large as the input still lands near the target
     per partition (AQE then coalesces small ones to the advisory size and
-    splits skewed join partitions); never fewer partitions than 3x the cores.
+    splits skewed join partitions); never fewer partitions than 3x the cores
+    and never more than 100,000 (beyond that, map-status metadata, which
+    grows with mappers x reducers, costs more than larger partitions do).
     """
     cores = executors * cores_per_executor
-    shuffle_parts = max(3 * cores, input_bytes // target_partition_bytes)
+    shuffle_parts = min(100_000, max(3 * cores, input_bytes // target_partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle_parts),
