@@ -240,14 +240,15 @@ PAYLOAD_SCHEMA = ("model string, prompt string, stream boolean, options struct<t
                   "max_tokens bigint, timeout bigint")
 
 
-def payload_fields(payload: Column) -> list[Column]:
-    """Read a payload back: model, stream, temperature, num_predict, prompt length."""
-    j = F.from_json(payload, PAYLOAD_SCHEMA)
+def payload_fields(df: DataFrame, payload: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Read payloads back (parsed once): model, stream, temperature, num_predict, prompt length."""
+    parsed = df.select(*keep, F.from_json(payload, PAYLOAD_SCHEMA).alias("_p"))
+    j = F.col("_p")
     prompt = F.coalesce(j["prompt"], F.try_element_at(j["messages"], F.lit(1))["content"])
-    return [j["model"].alias("model"), j["stream"].alias("stream"),
-            F.coalesce(j["options"]["temperature"], j["temperature"]).alias("temperature"),
-            F.coalesce(j["options"]["num_predict"], j["max_tokens"]).alias("num_predict"),
-            F.length(prompt).cast("bigint").alias("prompt_length")]
+    return parsed.select(*keep, j["model"].alias("model"), j["stream"].alias("stream"),
+                         F.coalesce(j["options"]["temperature"], j["temperature"]).alias("temperature"),
+                         F.coalesce(j["options"]["num_predict"], j["max_tokens"]).alias("num_predict"),
+                         F.length(prompt).cast("bigint").alias("prompt_length"))
 
 
 # --- reply normalisation (L15) and model lists (L17) ---
@@ -257,13 +258,22 @@ REPLY_SCHEMA = ("response string, prompt_eval_count bigint, eval_count bigint, m
                 "usage struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>, _bad string")
 
 
-def normalize_reply(raw: Column, shape: Column) -> list[Column]:
-    """One parse per reply; unparseable text (or NULL) sets ``bad`` and leaves the fields NULL."""
-    j = F.from_json(raw, REPLY_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
-    bad = raw.isNull() | j["_bad"].isNotNull()
-    local = shape.isin("local_complete", "local_chat")
-    content = (F.when(shape == "local_complete", F.coalesce(j["response"], F.lit("")))
-               .when(shape == "local_chat", F.coalesce(j["message"]["content"], F.lit("")))
+def normalize_replies(df: DataFrame, raw: str = "raw", shape: str = "shape",
+                      keep: tuple[str, ...] = ()) -> DataFrame:
+    """One record per reply: content, prompt/completion/total tokens and ``bad``.
+
+    The reply is parsed once into a struct column in its own projection (a
+    parse is not cheap, so Catalyst keeps that projection instead of inlining
+    the parse into every field). Unparseable text or NULL sets ``bad`` and
+    leaves the fields NULL.
+    """
+    parsed = df.select(*keep, F.col(shape).alias("_shape"), F.col(raw).isNull().alias("_null"),
+                       F.from_json(F.col(raw), REPLY_SCHEMA, {"columnNameOfCorruptRecord": "_bad"}).alias("_j"))
+    j, shape_c = F.col("_j"), F.col("_shape")
+    bad = F.col("_null") | j["_bad"].isNotNull()
+    local = shape_c.isin("local_complete", "local_chat")
+    content = (F.when(shape_c == "local_complete", F.coalesce(j["response"], F.lit("")))
+               .when(shape_c == "local_chat", F.coalesce(j["message"]["content"], F.lit("")))
                .otherwise(F.coalesce(F.try_element_at(j["choices"], F.lit(1))["message"]["content"], F.lit(""))))
     usage = j["usage"]
 
@@ -276,11 +286,13 @@ def normalize_reply(raw: Column, shape: Column) -> list[Column]:
         .otherwise(gateway_count("completion_tokens"))
     total_tokens = F.when(~local, gateway_count("total_tokens"))
     nul = F.lit(None)
-    return [F.when(bad, nul).otherwise(content).alias("content"),
-            F.when(bad, nul.cast("bigint")).otherwise(prompt_tokens).alias("prompt_tokens"),
-            F.when(bad, nul.cast("bigint")).otherwise(completion_tokens).alias("completion_tokens"),
-            F.when(bad, nul.cast("bigint")).otherwise(total_tokens).alias("total_tokens"),
-            bad.alias("bad")]
+    return parsed.select(
+        *keep,
+        F.when(bad, nul).otherwise(content).alias("content"),
+        F.when(bad, nul.cast("bigint")).otherwise(prompt_tokens).alias("prompt_tokens"),
+        F.when(bad, nul.cast("bigint")).otherwise(completion_tokens).alias("completion_tokens"),
+        F.when(bad, nul.cast("bigint")).otherwise(total_tokens).alias("total_tokens"),
+        bad.alias("bad"))
 
 
 def model_available(reply: Column, model: Column) -> Column:

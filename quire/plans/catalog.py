@@ -450,9 +450,9 @@ def q_request_payload(spark, root):
     payload = completion.request_payload(
         F.col("registered_provider"), F.col("eff_model"), prompts.parse_prompt(F.col("prompt"), F.col("text")),
         F.col("eff_temperature"), F.col("eff_max_tokens"), F.col("eff_timeout"))
-    return r.select("request_id", F.col("registered_provider").alias("provider"),
-                    *completion.payload_fields(payload),
-                    completion.endpoint_url(F.col("registered_provider"), F.col("cfg_host")).alias("url"))
+    r = r.withColumn("url", completion.endpoint_url(F.col("registered_provider"), F.col("cfg_host")))
+    out = completion.payload_fields(r, payload, keep=("request_id", "registered_provider", "url"))
+    return out.withColumnRenamed("registered_provider", "provider")
 
 
 D_CONFIG_ERR = ("'[litellm] Invalid configuration for provider ''litellm''. Missing fields: model (must include"
@@ -499,8 +499,7 @@ def q_error_report(spark, root):
  FROM (SELECT event_id, shape, CASE WHEN json_valid(raw) THEN raw END AS j,
               NOT coalesce(json_valid(raw), false) AS bad FROM raw_responses)""", "raw_responses"))
 def q_normalize_responses(spark, root):
-    raw = fx.raw_responses(spark, root)
-    return raw.select("event_id", *completion.normalize_reply(F.col("raw"), F.col("shape")))
+    return completion.normalize_replies(fx.raw_responses(spark, root), keep=("event_id",))
 
 
 @register("model_available", with_ctes(
