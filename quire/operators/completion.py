@@ -340,7 +340,8 @@ COMPLETION_SCHEMA = ("request_id bigint, content string, model string, prompt_to
                      "completion_tokens bigint, total_tokens bigint, error_kind string, error_message string")
 
 
-def _complete_batches(fn: Callable[[str, dict], dict], provider_name: str, concurrency: int):
+def _complete_batches(fn: Callable[[str, dict], dict], provider_name: str, concurrency: int,
+                      carry: list[str]):
     def call(args):
         rid, prompt, override = args
         opts = {} if override is None else {"mock_response": override}
@@ -363,8 +364,11 @@ def _complete_batches(fn: Callable[[str, dict], dict], provider_name: str, concu
             for pdf in batches:
                 args = list(zip(pdf["request_id"], pdf["prompt"], pdf["mock_response"]))
                 out = list(pool.map(call, args)) if pool else [call(a) for a in args]  # map keeps input order
-                yield pd.DataFrame(out, columns=["request_id", "content", "model", "prompt_tokens",
+                res = pd.DataFrame(out, columns=["request_id", "content", "model", "prompt_tokens",
                                                  "completion_tokens", "total_tokens", "error_kind", "error_message"])
+                for c in carry:  # same row order as the input batch
+                    res[c] = pdf[c].to_numpy()
+                yield res
         finally:
             if pool:
                 pool.shutdown(wait=True)
@@ -373,17 +377,20 @@ def _complete_batches(fn: Callable[[str, dict], dict], provider_name: str, concu
 
 def complete_batch(requests: DataFrame, prompt: Column, provider: str = "mock",
                    override: Column | None = None, partitions: int | None = None,
-                   concurrency: int = 1) -> DataFrame:
+                   concurrency: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """Run every request through a registered provider function, one client per partition.
 
     Only ``request_id``, the prompt and the override cross into Python. The
     requests are hash-spread on ``request_id`` so slow calls are shared
     evenly by all tasks; ``concurrency`` > 1 overlaps network-bound calls
-    within a task (results keep their input order).
+    within a task (results keep their input order). ``carry`` columns pass
+    through unchanged, which saves joining results back to their requests.
     """
     fn = PROVIDER_FUNCTIONS[provider.lower()]
-    slim = requests.select("request_id", prompt.alias("prompt"),
+    carry = list(carry)
+    slim = requests.select("request_id", *carry, prompt.alias("prompt"),
                            (override if override is not None else F.lit(None).cast("string")).alias("mock_response"))
+    schema = ", ".join([COMPLETION_SCHEMA] + [f"{c} {slim.schema[c].dataType.simpleString()}" for c in carry])
     parts = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return slim.repartition(parts, "request_id").mapInPandas(
-        _complete_batches(fn, provider.lower(), concurrency), COMPLETION_SCHEMA)
+        _complete_batches(fn, provider.lower(), concurrency, carry), schema)
