@@ -171,6 +171,26 @@ def list_documents(store: DataFrame, skip: int = 0, limit: int = DEFAULT_PAGE_SI
     return store.orderBy("file_id").offset(skip).limit(limit)
 
 
+def get_by_id(store: DataFrame, file_id: str) -> DataFrame:
+    """K1 for one key: a literal filter, pushed into the Parquet scan (row groups pruned by min/max)."""
+    return store.filter(F.col("file_id") == F.lit(file_id))
+
+
+def get_by_name(store: DataFrame, file_name: str) -> DataFrame:
+    """K2 for one key."""
+    return store.filter(F.col("file_name") == F.lit(file_name))
+
+
+def get_page(store_pages: DataFrame, file_id: str, page_number: int) -> DataFrame:
+    """K4 for one key; at most one row when (document_id, page_number) is unique (V2)."""
+    return store_pages.filter((F.col("document_id") == F.lit(file_id)) & (F.col("page_number") == F.lit(page_number)))
+
+
+def pages_of(store_pages: DataFrame, file_id: str) -> DataFrame:
+    """K5 for one key: the document's pages by page number (empty when it has none)."""
+    return store_pages.filter(F.col("document_id") == F.lit(file_id)).orderBy("page_number")
+
+
 def documents_created_between(store: DataFrame, start: str, end: str) -> DataFrame:
     """K6: a time-range read; on a store partitioned by ``created_date`` the date bounds prune files."""
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")

@@ -180,3 +180,17 @@ def test_log_update_pages(spark, scratch):
     cur = {r.file_name: r.updated_at for r in log.current_documents().collect()}
     assert cur == {"a": dt.datetime(2024, 7, 1), "b": dt.datetime(2024, 6, 1)}
     assert sorted(map(tuple, log.current_pages().collect())) == [("a", 1, "a1"), ("a", 2, "fixed"), ("b", 1, "b1")]
+
+
+def test_single_key_lookups_push_filters_to_the_scan(spark, scratch):
+    d = docs(spark, [("a", "{}"), ("b", "{}")])
+    p = pages(spark, [("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z")])
+    d.write.parquet(os.path.join(scratch, "d"))
+    p.write.parquet(os.path.join(scratch, "p"))
+    d, p = spark.read.parquet(os.path.join(scratch, "d")), spark.read.parquet(os.path.join(scratch, "p"))
+    q = store.get_by_id(d, "a")
+    assert [r.file_id for r in q.collect()] == ["a"]
+    assert "PushedFilters: [IsNotNull(file_id), EqualTo(file_id,a)]" in q._jdf.queryExecution().executedPlan().toString()
+    assert store.get_by_name(d, "zz").count() == 0
+    assert [r.content for r in store.get_page(p, "a", 2).collect()] == ["y"]
+    assert [r.page_number for r in store.pages_of(p, "a").collect()] == [1, 2]
