@@ -28,7 +28,7 @@ LIST_SKIP, LIST_LIMIT = 100, 100
 CREATED_FROM, CREATED_TO = "2024-01-01 02:00:00", "2024-01-01 10:00:00"
 RECEIPT_BATCH = 100
 
-AVAILABLE_LANGUAGES = ["eng", "ara", "osd"]
+AVAILABLE_LANGUAGES = ["eng", "ara", "osd"]  # distinct by construction
 
 
 def register(name: str, oracle: str | None = None):
@@ -64,7 +64,7 @@ def _available_languages(spark: SparkSession) -> DataFrame:
 def _ingested(spark: SparkSession, root: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """X7 with X5: each upload is recognised in its resolved language."""
     routed = extract.resolve_language(_routed(spark, root), _available_languages(spark),
-                                      known_rows=len(AVAILABLE_LANGUAGES))
+                                      known_rows=len(AVAILABLE_LANGUAGES), distinct=True)
     return extract.ingest_pages(
         routed,
         native_pages=F.split("text", "[.]"),
@@ -190,7 +190,7 @@ def q_native_text_pages(spark, root):
     " FROM uploads u LEFT JOIN available_languages a ON u.language = a.language", "uploads", "available_languages"))
 def q_resolve_language(spark, root):
     up = fx.uploads(spark, root).select("file_id", "language")
-    return extract.resolve_language(up, _available_languages(spark), known_rows=len(AVAILABLE_LANGUAGES)).select(
+    return extract.resolve_language(up, _available_languages(spark), known_rows=len(AVAILABLE_LANGUAGES), distinct=True).select(
         "file_id", F.col("resolved_language").alias("language"), "fallback")
 
 
@@ -731,7 +731,7 @@ def q_document_usage(spark, root):
     """Uploads -> route -> native text pages -> document text -> parse prompt -> completion -> usage."""
     routed = _routed(spark, root).filter(F.col("route") == intake.ROUTE_NATIVE)
     routed = extract.resolve_language(routed, _available_languages(spark),
-                                      known_rows=len(AVAILABLE_LANGUAGES)).withColumnRenamed(
+                                      known_rows=len(AVAILABLE_LANGUAGES), distinct=True).withColumnRenamed(
         "resolved_language", "lang_used")
     pages = extract.keep_text_pages(routed, F.split("text", "[.]"), carry=("route", "lang_used"))
     doc = assemble.document_text(pages, carry=("route", "lang_used")).withColumnRenamed("lang_used", "language")
