@@ -31,6 +31,12 @@ PAGE_SCHEMA = "document_id string, page_number bigint, content string"
 COMMIT_SCHEMA = "committed boolean"
 
 
+def _latest(docs: DataFrame) -> DataFrame:
+    """Newest committed row per ``file_name`` (``max_by`` on the batch id: a partial aggregate)."""
+    cols = store.DOCUMENT_COLUMNS + ["deleted", "batch"]
+    return docs.groupBy("file_name").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("d")).select("d.*")
+
+
 class DocumentLog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -94,8 +100,7 @@ class DocumentLog:
             docs = docs.join(names.select("file_name").distinct(), "file_name", "left_semi")
         if ids is not None:
             docs = docs.join(ids.select("file_id").distinct(), "file_id", "left_semi")
-        cols = store.DOCUMENT_COLUMNS + ["deleted", "batch"]
-        latest = docs.groupBy("file_name").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("d")).select("d.*")
+        latest = _latest(docs)
         return latest if include_deleted else latest.filter(~F.col("deleted"))
 
     def documents_created_between(self, start: str, end: str) -> DataFrame:
@@ -104,9 +109,7 @@ class DocumentLog:
         *before* the latest-row aggregate and reaches the Parquet scan."""
         lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
         docs = self._committed("documents", DOC_SCHEMA).filter((F.col("created_at") >= lo) & (F.col("created_at") < hi))
-        cols = store.DOCUMENT_COLUMNS + ["deleted", "batch"]
-        latest = docs.groupBy("file_name").agg(F.max_by(F.struct(*cols), F.col("batch")).alias("d")).select("d.*")
-        return latest.filter(~F.col("deleted"))
+        return _latest(docs).filter(~F.col("deleted"))
 
     def current_pages(self, ids: DataFrame | None = None) -> DataFrame:
         """Pages written by the batch that holds each live document's current row."""
