@@ -386,6 +386,9 @@ def complete_batch(requests: DataFrame, prompt: Column, provider: str = "mock",
     within a task (results keep their input order). ``carry`` columns pass
     through unchanged, which saves joining results back to their requests.
     """
+    from quire.session import ship_package
+
+    ship_package(requests.sparkSession)
     fn = PROVIDER_FUNCTIONS[provider.lower()]
     carry = list(carry)
     slim = requests.select("request_id", *carry, prompt.alias("prompt"),

@@ -78,6 +78,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _LOCAL_DIRS: dict[int, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable by the Python workers (what ``--py-files`` does), once per application.
+
+    Python stages (recognition, batch completion, the file writer) run
+    functions defined in this package; executors started without it on their
+    path could not unpickle them. The package is zipped on the driver and
+    handed to ``SparkContext.addPyFile``, which serves it to every executor.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    import quire
+
+    pkg_dir = os.path.dirname(os.path.abspath(quire.__file__))
+    base = shared_dir(spark)
+    folder = base if "://" not in base or base.startswith("file:") else tempfile.mkdtemp(prefix="quire-code-")
+    folder = folder[len("file:"):] if folder.startswith("file:") else folder
+    out = os.path.join(folder, f"quire-{app}.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
