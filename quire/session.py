@@ -101,6 +101,7 @@ def ship_package(spark: SparkSession) -> None:
     base = shared_dir(spark)
     folder = base if "://" not in base or base.startswith("file:") else tempfile.mkdtemp(prefix="quire-code-")
     folder = folder[len("file:"):] if folder.startswith("file:") else folder
+    os.makedirs(folder, exist_ok=True)
     out = os.path.join(folder, f"quire-{app}.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg_dir):
