@@ -194,3 +194,11 @@ def test_single_key_lookups_push_filters_to_the_scan(spark, scratch):
     assert store.get_by_name(d, "zz").count() == 0
     assert [r.content for r in store.get_page(p, "a", 2).collect()] == ["y"]
     assert [r.page_number for r in store.pages_of(p, "a").collect()] == [1, 2]
+
+
+def test_gathering_plan_splits_hot_documents(spark):
+    p = pages(spark, [("a", 1, "x")])
+    plan = assemble.nest_pages(p)._jdf.queryExecution().executedPlan().toString()
+    # level one groups by (document, chunk), level two by document: two separate aggregation exchanges
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "FLOOR" in plan.upper()
