@@ -329,7 +329,21 @@ def mock_provider(prompt: str, options: dict) -> dict:
             "completion_tokens": len(content.split()), "total_tokens": None}
 
 
+def mock_chat_provider(messages: list[dict], options: dict) -> dict:
+    """Python twin of :func:`mock_chat`: tokens summed over every message's content."""
+    content = options.get("mock_response")
+    content = MOCK_RESPONSE if content is None else content
+    prompt_tokens = sum(len((m.get("content") or "").split()) for m in messages)
+    return {"content": content, "model": MOCK_MODEL, "prompt_tokens": prompt_tokens,
+            "completion_tokens": len(content.split()), "total_tokens": None}
+
+
 PROVIDER_FUNCTIONS: dict[str, Callable[[str, dict], dict]] = {"mock": mock_provider}
+CHAT_FUNCTIONS: dict[str, Callable[[list[dict], dict], dict]] = {"mock": mock_chat_provider}
+
+
+def register_chat_function(name: str, fn: Callable[[list[dict], dict], dict]) -> None:
+    CHAT_FUNCTIONS[name.lower()] = fn
 
 
 def register_provider_function(name: str, fn: Callable[[str, dict], dict]) -> None:
@@ -397,3 +411,46 @@ def complete_batch(requests: DataFrame, prompt: Column, provider: str = "mock",
     parts = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return slim.repartition(parts, "request_id").mapInPandas(
         _complete_batches(fn, provider.lower(), concurrency, carry), schema)
+
+
+CHAT_SCHEMA = ("conv_id bigint, content string, model string, prompt_tokens bigint, completion_tokens bigint, "
+               "total_tokens bigint, error_kind string, error_message string")
+
+
+def _chat_batches(fn: Callable[[list[dict], dict], dict], provider_name: str):
+    def as_dict(m):
+        return m if isinstance(m, dict) else m.asDict() if hasattr(m, "asDict") else dict(m)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for cid, msgs in zip(pdf["conv_id"], pdf["messages"]):
+                messages = [as_dict(m) for m in (msgs if msgs is not None else [])]
+                try:
+                    r = fn(messages, {})
+                    out.append((cid, r["content"], r["model"], r["prompt_tokens"], r["completion_tokens"],
+                                r.get("total_tokens"), None, None))
+                except ProviderError as exc:
+                    out.append((cid, None, None, None, None, None, exc.kind,
+                                PROVIDER_PREFIX_TEMPLATE % provider_name + str(exc)))
+                except Exception as exc:  # noqa: BLE001 - a failed call is a row, never a failed task
+                    out.append((cid, None, None, None, None, None, "completion",
+                                PROVIDER_PREFIX_TEMPLATE % provider_name + COMPLETION_FAILED_TEMPLATE % exc))
+            yield pd.DataFrame(out, columns=["conv_id", "content", "model", "prompt_tokens", "completion_tokens",
+                                             "total_tokens", "error_kind", "error_message"])
+    return run
+
+
+def chat_batch(chats: DataFrame, provider: str = "mock", partitions: int | None = None) -> DataFrame:
+    """L16 for chats: ``chats(conv_id, messages ARRAY<STRUCT<role, content>>)`` through a chat function.
+
+    Only the key and the message list cross into Python; conversations are
+    hash-spread on ``conv_id``.
+    """
+    from quire.session import ship_package
+
+    ship_package(chats.sparkSession)
+    fn = CHAT_FUNCTIONS[provider.lower()]
+    parts = partitions or int(chats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = chats.select("conv_id", "messages").repartition(parts, "conv_id")
+    return slim.mapInPandas(_chat_batches(fn, provider.lower()), CHAT_SCHEMA)

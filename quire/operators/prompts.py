@@ -25,24 +25,29 @@ def chat_context(document_text: Column) -> Column:
     return F.concat(F.lit(CHAT_CONTEXT_PREFIX), document_text)
 
 
-def chat_messages(conversations: DataFrame, documents: DataFrame) -> DataFrame:
-    """L3: each conversation's messages in turn order with a system message prepended.
-
-    ``conversations(conv_id, turn, role, text)``, ``documents(doc_id, text)``;
-    output ``(conv_id, position, role, content)``, position 0 being the system
-    message. The message list is gathered per conversation in turn chunks (a
-    very long conversation is split over tasks) and joined to its document once.
-    """
+def chat_requests(conversations: DataFrame, documents: DataFrame) -> DataFrame:
+    """L3 as one row per conversation: ``(conv_id, messages ARRAY<STRUCT<role, content>>)``, system first."""
     from quire.operators.assemble import ordered_collect
 
     msgs = ordered_collect(conversations.withColumnRenamed("text", "content"), ["conv_id"], "turn",
                            ["role", "content"]).withColumnRenamed("items", "msgs")
     docs = documents.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("doc_text"))
-    full = msgs.join(docs, "conv_id").select(
+    return msgs.join(docs, "conv_id").select(
         "conv_id",
         F.concat(F.array(F.struct(F.lit("system").alias("role"), chat_context(F.col("doc_text")).alias("content"))),
                  F.transform("msgs", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
         .alias("messages"))
+
+
+def chat_messages(conversations: DataFrame, documents: DataFrame) -> DataFrame:
+    """L3: each conversation's messages in turn order with a system message prepended.
+
+    ``conversations(conv_id, turn, role, text)``, ``documents(doc_id, text)``;
+    output ``(conv_id, position, role, content)``, position 0 being the system
+    message. The message list is gathered per conversation in turn chunks (a
+    very long conversation is split over tasks) and joined to its document once.
+    """
+    full = chat_requests(conversations, documents)
     return full.select("conv_id", F.posexplode("messages").alias("position", "m")).select(
         "conv_id", F.col("position").cast("bigint").alias("position"),
         F.col("m.role").alias("role"), F.col("m.content").alias("content"))

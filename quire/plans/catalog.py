@@ -375,6 +375,19 @@ def q_mock_chat(spark, root):
     return completion.mock_chat(fx.read_table(spark, root, "conversations"), fx.documents(spark, root))
 
 
+@register("chat_batch",
+          f"SELECT c.conv_id, {D_MOCK} AS content, 'mock/model' AS model,"
+          f" CAST(c.pt + {D_TC(f'concat({D_CHAT_PREFIX}, d.text)')} AS BIGINT) AS prompt_tokens,"
+          f" {D_TC(D_MOCK)} AS completion_tokens, CAST(NULL AS BIGINT) AS total_tokens,"
+          " CAST(NULL AS VARCHAR) AS error_kind, CAST(NULL AS VARCHAR) AS error_message FROM ("
+          f"SELECT conv_id, sum({D_TC('text')}) AS pt FROM conversations GROUP BY conv_id) c"
+          " JOIN documents d ON d.doc_id = c.conv_id")
+def q_chat_batch(spark, root):
+    """L16 chat path: each conversation's message list (system context first) through the chat function."""
+    chats = prompts.chat_requests(fx.read_table(spark, root, "conversations"), fx.documents(spark, root))
+    return completion.chat_batch(chats, "mock")
+
+
 @register("usage_rollup", with_ctes(
     f"SELECT registered_provider AS provider, eff_model AS model, count(*) AS calls,"
     f" CAST(sum({D_TC(D_PARSE_PROMPT)}) AS BIGINT) AS prompt_tokens,"

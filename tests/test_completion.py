@@ -140,3 +140,24 @@ def test_complete_batch_concurrent_and_pruned(spark):
     assert "MapInPandas" in plan and " a#" not in plan and " b#" not in plan
     got = {r.request_id: r.prompt_tokens for r in out.collect()}
     assert got == {i: i % 5 for i in range(40)}
+
+
+def test_chat_batch_matches_jvm_mock_and_reports_errors(spark):
+    conv = spark.createDataFrame([(7, 0, "user", "hi there"), (7, 1, "assistant", "a b c"), (8, 0, "user", "boom")],
+                                 "conv_id long, turn long, role string, text string")
+    docs = spark.createDataFrame([(7, "doc words"), (8, "d")], "doc_id long, text string")
+    chats = P.chat_requests(conv, docs)
+    got = {r.conv_id: r.prompt_tokens for r in C.chat_batch(chats, "mock").collect()}
+    jvm = {r.conv_id: r.prompt_tokens for r in C.mock_chat(conv, docs).collect()}
+    assert got == jvm
+
+    def picky(messages, options):
+        if any("boom" in (m["content"] or "") for m in messages):
+            raise C.ProviderError("completion", "Completion failed: refused")
+        assert messages[0]["role"] == "system"
+        return C.mock_chat_provider(messages, options)
+
+    C.register_chat_function("picky", picky)
+    rows = {r.conv_id: r for r in C.chat_batch(chats, "picky").collect()}
+    assert rows[7].error_kind is None and rows[7].content == C.MOCK_RESPONSE
+    assert (rows[8].error_kind, rows[8].error_message) == ("completion", "[picky] Completion failed: refused")
