@@ -26,3 +26,13 @@ def test_no_round_robin_repartition_before_python_stages():
     for path, text in sources():
         for m in re.finditer(r"\.repartition\(([^)]*)\)", text):
             assert "," in m.group(1) or '"' in m.group(1), (path, m.group(0))
+
+
+def test_cluster_sizing():
+    from quire.session import cluster_conf
+
+    conf = cluster_conf(100 * 2**40, executors=1000)
+    assert conf["spark.sql.shuffle.partitions"] == "100000"  # capped
+    assert conf["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+    small = cluster_conf(10 * 2**30, executors=10)
+    assert small["spark.sql.shuffle.partitions"] == "120"  # 3x the 40 cores beats 40 partitions of 256 MiB
