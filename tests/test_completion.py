@@ -161,3 +161,10 @@ def test_chat_batch_matches_jvm_mock_and_reports_errors(spark):
     rows = {r.conv_id: r for r in C.chat_batch(chats, "picky").collect()}
     assert rows[7].error_kind is None and rows[7].content == C.MOCK_RESPONSE
     assert (rows[8].error_kind, rows[8].error_message) == ("completion", "[picky] Completion failed: refused")
+
+
+def test_usage_rollup_counts_calls(spark):
+    df = spark.createDataFrame([("mock", "p one"), ("mock", "p two three"), ("ollama", "x")], "provider string, p string")
+    done = C.mock_complete(df, F.col("p")).select("provider", "model", "prompt_tokens", "completion_tokens")
+    got = {r.provider: (r.calls, r.prompt_tokens, r.completion_tokens) for r in C.usage_rollup(done).collect()}
+    assert got == {"mock": (2, 5, 16), "ollama": (1, 1, 8)}
