@@ -66,7 +66,8 @@ def shared_dir(spark: SparkSession) -> str:
     Taken from ``spark.checkpoint.dir``. Only when that is unset (local runs,
     tests) do we create a private folder and register it, so later calls agree.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or \
+        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured
     key = id(spark.sparkContext)
