@@ -11,9 +11,9 @@ from quire.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    # Tests run without a cluster, so they name their own shared folder.
-    shared = tempfile.mkdtemp(prefix="quire-test-")
-    session = build_session("local[4]", 4, "quire-tests", {"spark.checkpoint.dir": shared})
+    # The shared folder comes from spark.checkpoint.dir when the environment names one;
+    # quire.session.shared_dir falls back to a private folder only when it is unset.
+    session = build_session("local[4]", 4, "quire-tests")
     yield session
     session.stop()
 
