@@ -202,3 +202,18 @@ def test_gathering_plan_splits_hot_documents(spark):
     # level one groups by (document, chunk), level two by document: two separate aggregation exchanges
     assert plan.count("Exchange hashpartitioning") == 2
     assert "FLOOR" in plan.upper()
+
+
+def test_log_crash_before_commit_is_invisible_and_rerun_replaces_it(spark, scratch):
+    root = os.path.join(scratch, "store_crash")
+    log = DocumentLog(spark, root)
+    inc = spark.createDataFrame([("a", None)], "file_name string, metadata string")
+    pg = spark.createDataFrame([("a", 1, "good")], "file_name string, page_number long, content string")
+    # a crashed attempt: documents and pages of batch 0 written, commit row missing
+    partial = store.new_documents(spark.createDataFrame([("zombie", None)], "file_name string, metadata string"), NOW)
+    partial.withColumn("deleted", F.lit(False)).write.parquet(os.path.join(root, "documents", "batch=0"))
+    pages(spark, [("zombie", 1, "half")]).write.parquet(os.path.join(root, "pages", "batch=0"))
+    assert log.current_documents().count() == 0  # nothing committed, nothing visible
+    assert log.upsert(0, inc, pg, NOW)  # the rerun overwrites batch 0 and commits it
+    assert [r.file_name for r in log.current_documents().collect()] == ["a"]
+    assert [tuple(r) for r in log.current_pages().collect()] == [("a", 1, "good")]
