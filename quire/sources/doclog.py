@@ -83,19 +83,23 @@ class DocumentLog:
 
     # --- reads ---
 
-    def _committed(self, table: str, schema: str) -> DataFrame:
+    def _committed(self, table: str, schema: str, exclude: int | None = None) -> DataFrame:
         rows = self._read(table, schema).withColumn("batch", F.col("batch").cast("bigint"))
+        if exclude is not None:
+            # the batch being (re)written is overwritten while we read: never list or open its files
+            rows = rows.filter(F.col("batch") != F.lit(exclude))
         # one row per batch: AQE broadcasts it from its measured size when small
         return rows.join(self.committed_batches(), "batch", "left_semi")
 
     def current_documents(self, include_deleted: bool = False, names: DataFrame | None = None,
-                          ids: DataFrame | None = None) -> DataFrame:
+                          ids: DataFrame | None = None, exclude: int | None = None) -> DataFrame:
         """Latest committed row per ``file_name``, with the batch that wrote it.
 
         ``names`` / ``ids`` restrict the log rows *before* the aggregate (both
         are stable per document), so a batch reads only its own documents' history.
+        ``exclude`` leaves out the batch a write is about to replace.
         """
-        docs = self._committed("documents", DOC_SCHEMA)
+        docs = self._committed("documents", DOC_SCHEMA, exclude)
         if names is not None:
             docs = docs.join(names.select("file_name").distinct(), "file_name", "left_semi")
         if ids is not None:
@@ -111,10 +115,11 @@ class DocumentLog:
         docs = self._committed("documents", DOC_SCHEMA).filter((F.col("created_at") >= lo) & (F.col("created_at") < hi))
         return _latest(docs).filter(~F.col("deleted"))
 
-    def current_pages(self, ids: DataFrame | None = None) -> DataFrame:
+    def current_pages(self, ids: DataFrame | None = None, exclude: int | None = None) -> DataFrame:
         """Pages written by the batch that holds each live document's current row."""
-        live = self.current_documents(ids=ids).select(F.col("file_id").alias("document_id"), "batch")
-        pages = self._committed("pages", PAGE_SCHEMA)
+        live = self.current_documents(ids=ids, exclude=exclude).select(
+            F.col("file_id").alias("document_id"), "batch")
+        pages = self._committed("pages", PAGE_SCHEMA, exclude)
         return pages.join(live, ["document_id", "batch"], "left_semi").select(*store.PAGE_COLUMNS)
 
     # --- operations ---
@@ -126,7 +131,7 @@ class DocumentLog:
         Only stored documents whose name arrives in this batch are read
         (semi join on the batch's names); pages get the resolved ``file_id``.
         """
-        existing = self.current_documents(names=incoming_documents).select(*store.DOCUMENT_COLUMNS)
+        existing = self.current_documents(names=incoming_documents, exclude=batch).select(*store.DOCUMENT_COLUMNS)
         docs = store.upsert_documents(existing, incoming_documents, now, seq)
         ids = docs.select("file_name", F.col("file_id").alias("document_id"))
         pages = incoming_pages.join(ids, "file_name").select(*store.PAGE_COLUMNS)
@@ -136,9 +141,9 @@ class DocumentLog:
         """New content for existing pages; a document is rewritten (all its pages,
         ``updated_at = now``) only when one of its pages actually matched."""
         touched_ids = updates.select(F.col("document_id").alias("file_id")).distinct()
-        pages = self.current_pages(ids=touched_ids)
+        pages = self.current_pages(ids=touched_ids, exclude=batch)
         hit = store.matched_updates(pages, updates).select(F.col("document_id").alias("file_id")).distinct()
-        docs = self.current_documents(ids=hit).select(*store.DOCUMENT_COLUMNS).withColumn(
+        docs = self.current_documents(ids=hit, exclude=batch).select(*store.DOCUMENT_COLUMNS).withColumn(
             "updated_at", F.lit(now).cast("timestamp_ntz"))
         new_pages = store.update_pages(pages.join(hit.withColumnRenamed("file_id", "document_id"), "document_id",
                                                   "left_semi"), updates, seq)
@@ -146,7 +151,7 @@ class DocumentLog:
 
     def delete(self, batch: int, keys: DataFrame, now: str) -> bool:
         """T5: tombstones for the live documents whose ``file_id`` is among ``keys``."""
-        live = self.current_documents(ids=keys)
+        live = self.current_documents(ids=keys, exclude=batch)
         tomb = live.select(*store.DOCUMENT_COLUMNS).withColumn("updated_at", F.lit(now).cast("timestamp_ntz")) \
             .withColumn("deleted", F.lit(True))
         empty = self.spark.createDataFrame([], PAGE_SCHEMA)
@@ -154,4 +159,5 @@ class DocumentLog:
 
     def compact(self, batch: int) -> bool:
         """Fold the current state into one batch; older batches are then shadowed."""
-        return self.write_batch(batch, self.current_documents().drop("batch"), self.current_pages())
+        return self.write_batch(batch, self.current_documents(exclude=batch).drop("batch"),
+                                self.current_pages(exclude=batch))
