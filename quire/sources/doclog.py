@@ -47,8 +47,11 @@ class DocumentLog:
         return base if batch is None else os.path.join(base, f"batch={batch}")
 
     def _read(self, table: str, schema: str) -> DataFrame:
+        # Committed batches are never deleted; only an uncommitted batch being rerun can lose files
+        # between listing and reading, and its rows are discarded by the commit join anyway.
         try:
-            return self.spark.read.option("basePath", self._path(table)).parquet(self._path(table))
+            return (self.spark.read.option("basePath", self._path(table)).option("ignoreMissingFiles", "true")
+                    .parquet(self._path(table)))
         except AnalysisException:  # nothing written yet
             return self.spark.createDataFrame([], schema + ", batch bigint")
 
