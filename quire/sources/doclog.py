@@ -69,9 +69,12 @@ class DocumentLog:
 
     # --- writes ---
 
-    def write_batch(self, batch: int, documents: DataFrame, pages: DataFrame) -> bool:
-        """Write one batch; returns False (and writes nothing) when it is already committed."""
-        if self.is_committed(batch):
+    def write_batch(self, batch: int, documents: DataFrame, pages: DataFrame, checked: bool = False) -> bool:
+        """Write one batch; returns False (and writes nothing) when it is already committed.
+
+        ``checked`` skips the commit lookup when the caller has just done it.
+        """
+        if not checked and self.is_committed(batch):
             return False
         docs = documents.select(*store.DOCUMENT_COLUMNS, F.coalesce(
             F.col("deleted") if "deleted" in documents.columns else F.lit(False), F.lit(False)).alias("deleted"))
@@ -128,7 +131,7 @@ class DocumentLog:
     # --- operations ---
 
     def upsert(self, batch: int, incoming_documents: DataFrame, incoming_pages: DataFrame, now: str,
-               seq: str | None = None) -> bool:
+               seq: str | None = None, checked: bool = False) -> bool:
         """T3 + T4 for one batch. ``incoming_pages`` are keyed by ``file_name``.
 
         Only stored documents whose name arrives in this batch are read
@@ -138,7 +141,7 @@ class DocumentLog:
         docs = store.upsert_documents(existing, incoming_documents, now, seq)
         ids = docs.select("file_name", F.col("file_id").alias("document_id"))
         pages = incoming_pages.join(ids, "file_name").select(*store.PAGE_COLUMNS)
-        return self.write_batch(batch, docs, pages)
+        return self.write_batch(batch, docs, pages, checked)
 
     def update_pages(self, batch: int, updates: DataFrame, now: str, seq: str | None = None) -> bool:
         """New content for existing pages; a document is rewritten (all its pages,
