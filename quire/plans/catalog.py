@@ -741,17 +741,28 @@ def q_health_rollup(spark, root):
        WHERE r.route = 'native_pdf' GROUP BY 1, 2, 3)
  GROUP BY route, language""", "page_text", "available_languages", *D_ROUTED_CTES))
 def q_document_usage(spark, root):
-    """Uploads -> route -> native text pages -> document text -> parse prompt -> completion -> usage."""
+    """Uploads -> route -> native text pages -> document text -> parse prompt -> completion -> usage.
+
+    Only counts leave this query, so no document text is assembled. Pages are
+    joined with a newline and the default prompt ends in whitespace, so a
+    document's prompt tokens are the prompt's tokens plus the sum of its pages'
+    tokens. Each file's pages are filtered, joined and counted inside its own row
+    (array functions), and one partial aggregate per (route, language) remains:
+    no shuffle of text at all. The oracle assembles the text and checks the identity.
+    """
     routed = _routed(spark, root).filter(F.col("route") == intake.ROUTE_NATIVE)
     routed = extract.resolve_language(routed, _available_languages(spark),
-                                      known_rows=len(AVAILABLE_LANGUAGES), distinct=True).withColumnRenamed(
-        "resolved_language", "lang_used")
-    pages = extract.keep_text_pages(routed, F.split("text", "[.]"), carry=("route", "lang_used"))
-    doc = assemble.document_text(pages, carry=("route", "lang_used")).withColumnRenamed("lang_used", "language")
-    done = completion.mock_complete(doc, prompts.parse_prompt(F.lit(None).cast("string"), F.col("text")))
-    return done.groupBy("route", "language").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("n_pages").cast("bigint").alias("pages"),
-        F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
+                                      known_rows=len(AVAILABLE_LANGUAGES), distinct=True)
+    kept = F.filter(F.split("text", "[.]"), lambda p: ~T.is_blank(p))
+    page_tokens = T.token_count(F.array_join(kept, "\n"))  # one pass over the file's own kept text
+    per_file = routed.select("route", F.col("resolved_language").alias("language"),
+                             F.size(kept).cast("bigint").alias("n_pages"), page_tokens.alias("page_tokens")) \
+        .filter(F.col("n_pages") > 0)  # a file whose pages are all blank yields no document text
+    prompt_tokens = T.token_count(F.lit(prompts.DEFAULT_PARSE_PROMPT)) + F.col("page_tokens")
+    return per_file.groupBy("route", "language").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("n_pages").alias("pages"),
+        F.sum(prompt_tokens).alias("prompt_tokens"),
+        F.sum(T.token_count(F.lit(completion.MOCK_RESPONSE))).alias("completion_tokens"))
 
 
 # ---------------------------------------------------------------- files and streams
