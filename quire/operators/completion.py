@@ -31,6 +31,8 @@ TEMPERATURE_RANGE = (0.0, 2.0)
 MOCK_RESPONSE = "This is a mock response from the LLM."
 MOCK_MODEL = "mock/model"
 GATEWAY = "litellm"
+LOCAL_PROVIDER = "ollama"
+ROLE_USER = "user"
 GATEWAY_MODEL_HINT = "model (must include provider prefix, e.g., 'openai/gpt-4')"
 NOT_CONFIGURED = "LLM provider not configured"
 # Error message templates (%s = provider name, field list, URL,
@@ -136,7 +138,7 @@ def conversation_usage(conversations: DataFrame) -> DataFrame:
     """
     return conversations.groupBy("conv_id").agg(
         F.sum(T.token_count("text")).alias("prompt_tokens"),
-        F.coalesce(F.max_by(F.col("text"), F.when(F.col("role") == "user", F.col("turn"))), F.lit(""))
+        F.coalesce(F.max_by(F.col("text"), F.when(F.col("role") == ROLE_USER, F.col("turn"))), F.lit(""))
         .alias("last_user"))
 
 
@@ -217,11 +219,11 @@ def request_payload(provider: Column, model: Column, prompt: Column, temperature
                                F.struct(temperature.alias("temperature"),
                                         max_tokens.alias("num_predict")).alias("options")))
     gateway = F.to_json(F.struct(model.alias("model"),
-                                 F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
+                                 F.array(F.struct(F.lit(ROLE_USER).alias("role"), prompt.alias("content")))
                                  .alias("messages"),
                                  temperature.alias("temperature"), max_tokens.alias("max_tokens"),
                                  timeout.alias("timeout")))
-    return F.when(provider == "ollama", local).when(provider == GATEWAY, gateway)
+    return F.when(provider == LOCAL_PROVIDER, local).when(provider == GATEWAY, gateway)
 
 
 # The local server's completion and chat paths.
@@ -232,7 +234,8 @@ LOCAL_CHAT_PATH = "/api/chat"
 def endpoint_url(provider: Column, host: Column, chat: bool = False) -> Column:
     """Where a local-server request goes: the host without trailing '/' plus the API path (NULL otherwise)."""
     path = LOCAL_CHAT_PATH if chat else LOCAL_COMPLETE_PATH
-    return F.when(provider == "ollama", F.concat(T.rstrip_slashes(F.coalesce(host, F.lit(DEFAULT_HOST))), F.lit(path)))
+    return F.when(provider == LOCAL_PROVIDER,
+                  F.concat(T.rstrip_slashes(F.coalesce(host, F.lit(DEFAULT_HOST))), F.lit(path)))
 
 
 PAYLOAD_SCHEMA = ("model string, prompt string, stream boolean, options struct<temperature: double, num_predict: "

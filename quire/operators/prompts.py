@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 DEFAULT_PARSE_PROMPT = "Extract and summarize the key information from the following document:\n\n"
 ENHANCE_SEPARATOR = ":\n\n"
 CHAT_CONTEXT_PREFIX = "You are analyzing a document. Document content:\n\n"
+ROLE_SYSTEM = "system"
 
 
 def parse_prompt(prompt: Column, content: Column) -> Column:
@@ -34,7 +35,7 @@ def chat_requests(conversations: DataFrame, documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("doc_text"))
     return msgs.join(docs, "conv_id").select(
         "conv_id",
-        F.concat(F.array(F.struct(F.lit("system").alias("role"), chat_context(F.col("doc_text")).alias("content"))),
+        F.concat(F.array(F.struct(F.lit(ROLE_SYSTEM).alias("role"), chat_context(F.col("doc_text")).alias("content"))),
                  F.transform("msgs", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
         .alias("messages"))
 
