@@ -57,6 +57,9 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(min(10_000, cores)),
+        # Python stages receive page images (~1 MB each) or whole prompts: bound an Arrow batch by rows so
+        # a worker holds a few hundred MB, not the 10,000-row default.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     }
 
 

@@ -34,5 +34,6 @@ def test_cluster_sizing():
     conf = cluster_conf(100 * 2**40, executors=1000)
     assert conf["spark.sql.shuffle.partitions"] == "100000"  # capped
     assert conf["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+    assert int(conf["spark.sql.execution.arrow.maxRecordsPerBatch"]) <= 1000
     small = cluster_conf(10 * 2**30, executors=10)
     assert small["spark.sql.shuffle.partitions"] == "120"  # 3x the 40 cores beats 40 partitions of 256 MiB
