@@ -797,8 +797,15 @@ def q_incremental_ingest(spark, root):
 
     source = _drop_files(spark, root, "drop")
     store_root = source + "-store"
-    manifest = fx.uploads(spark, root).select("file_name", "content_type")
-    query = start_incremental_ingest(spark, source, store_root, source + "-checkpoint", manifest, now=NOW)
+    names = fx.uploads(spark, root).select("file_id", "file_name")
+    manifest = fx.uploads(spark, root).select("file_name", "content_type", "force_ocr")
+
+    def by_name(layout: DataFrame) -> DataFrame:  # the stream keys files by name
+        return layout.join(names, "file_id").drop("file_id").withColumnRenamed("file_name", "file_id")
+
+    layout = (by_name(fx.page_rects(spark, root)), by_name(fx.page_blocks(spark, root)))
+    query = start_incremental_ingest(spark, source, store_root, source + "-checkpoint", manifest, now=NOW,
+                                     layout=layout)
     query.awaitTermination()
     log = DocumentLog(spark, store_root)
     pages = log.current_pages().groupBy(F.col("document_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n_pages"))
