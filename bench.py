@@ -27,8 +27,8 @@ from quire.session import build_session  # noqa: E402
 def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    # Queries that write and stream thousands of files run last, so the garbage they leave in the
-    # driver JVM does not slow the timing of the others.
+    # Queries that write and stream thousands of files run last, so whatever they leave in the
+    # driver JVM cannot affect the timing of the others.
     file_heavy = ["read_uploads", "incremental_ingest"]
     default = [q for q in sorted(QUERIES) if q not in file_heavy] + file_heavy
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or default
