@@ -72,3 +72,38 @@ def test_upsert_matches_sequential_saves(spark, stored_names, batch):
         r = got[name]
         assert (r.file_id, r.created_at, r.updated_at) == (name, w["created_at"], w["updated_at"])
         assert json.loads(r.metadata) == w["metadata"]
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from quire.operators import assemble, extract  # noqa: E402
+
+PAGE_TEXT = st.text(alphabet=st.sampled_from(list(" \t\n\x1c　\xa0ab.")), max_size=6)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(PAGE_TEXT, max_size=6), min_size=1, max_size=8))
+def test_native_pages_match_model(spark, docs):
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "file_id long, pages array<string>")
+    got = sorted(tuple(r) for r in extract.keep_text_pages(df, F.col("pages")).collect())
+    want = sorted((i, n + 1, src, text) for i, d in enumerate(docs)
+                  for n, (src, text) in enumerate([(k + 1, p) for k, p in enumerate(d) if p.strip()]))
+    assert got == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.dictionaries(st.sampled_from("xyz"),
+                       st.dictionaries(st.integers(min_value=1, max_value=40),
+                                       st.one_of(st.none(), st.text(alphabet="ab ", max_size=3)), min_size=1,
+                                       max_size=12), min_size=1))
+def test_two_level_document_text_matches_model(spark, docs):
+    rows = [(d, n, c) for d, pages in docs.items() for n, c in pages.items()]
+    df = spark.createDataFrame(rows, "file_id string, page_number long, content string")
+    saved, assemble.CHUNK_PAGES = assemble.CHUNK_PAGES, 3  # many chunks per document
+    try:
+        got = {r.file_id: (r.n_pages, r.n_failed_pages, r.text) for r in assemble.document_text(df).collect()}
+    finally:
+        assemble.CHUNK_PAGES = saved
+    want = {d: (len(p), sum(c is None for c in p.values()),
+                "\n".join(c for _, c in sorted(p.items()) if c is not None)) for d, p in docs.items()}
+    assert got == want
