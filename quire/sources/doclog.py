@@ -5,6 +5,7 @@ Layout under ``root`` (a folder every executor can reach)::
     documents/batch=<id>/   file_id, file_name, created_at, updated_at, metadata, deleted
     pages/batch=<id>/       document_id, page_number, content
     commits/batch=<id>/     one row, written last
+    base/upto=<id>/documents, base/upto=<id>/pages, base_commits/upto=<id>/   compacted snapshots
 
 A batch writes only the documents it touches and their pages, so a write
 costs the batch, not the store. A batch is visible once its commit row
@@ -12,7 +13,10 @@ exists; rerunning a committed batch is a no-op and rerunning a failed one
 overwrites its own folders, so a lost executor or driver at any point leaves
 no partial state visible. The current state is the latest committed row per
 ``file_name`` (a partial ``max_by``, combined map-side) and the pages written
-by that same batch. ``compact`` folds the log into one base batch.
+by that same batch. ``compact`` folds everything up to the last committed
+batch into a snapshot under ``base/`` (its own commit row, no batch id used,
+so it is safe next to a stream that numbers batches itself); reads then take
+the newest committed snapshot plus only the batches after it.
 """
 
 from __future__ import annotations
@@ -55,6 +59,21 @@ class DocumentLog:
         except AnalysisException:  # nothing written yet
             return self.spark.createDataFrame([], schema + ", batch bigint")
 
+    # --- snapshots ---
+
+    def _base_path(self, upto: int, table: str | None = None) -> str:
+        base = os.path.join(self.root, "base", f"upto={upto}")
+        return base if table is None else os.path.join(base, table)
+
+    def base_upto(self) -> int | None:
+        """The batch id covered by the newest committed snapshot (one number to the driver)."""
+        try:
+            commits = self.spark.read.parquet(os.path.join(self.root, "base_commits"))
+        except AnalysisException:
+            return None
+        top = commits.agg(F.max(F.col("upto").cast("bigint")).alias("m")).first()["m"]
+        return None if top is None else int(top)
+
     # --- commits ---
 
     def committed_batches(self) -> DataFrame:
@@ -94,8 +113,15 @@ class DocumentLog:
         if exclude is not None:
             # the batch being (re)written is overwritten while we read: never list or open its files
             rows = rows.filter(F.col("batch") != F.lit(exclude))
+        upto = self.base_upto()
+        if upto is not None:
+            rows = rows.filter(F.col("batch") > F.lit(upto))  # partition pruning: older batches are not read
         # one row per batch: AQE broadcasts it from its measured size when small
-        return rows.join(self.committed_batches(), "batch", "left_semi")
+        rows = rows.join(self.committed_batches(), "batch", "left_semi")
+        if upto is None:
+            return rows
+        base = self.spark.read.parquet(self._base_path(upto, table)).withColumn("batch", F.lit(upto).cast("bigint"))
+        return base.unionByName(rows)
 
     def current_documents(self, include_deleted: bool = False, names: DataFrame | None = None,
                           ids: DataFrame | None = None, exclude: int | None = None) -> DataFrame:
@@ -163,7 +189,22 @@ class DocumentLog:
         empty = self.spark.createDataFrame([], PAGE_SCHEMA)
         return self.write_batch(batch, tomb, empty)
 
-    def compact(self, batch: int) -> bool:
-        """Fold the current state into one batch; older batches are then shadowed."""
-        return self.write_batch(batch, self.current_documents(exclude=batch).drop("batch"),
-                                self.current_pages(exclude=batch))
+    def compact(self) -> int | None:
+        """Snapshot the state up to the last committed batch under ``base/``; returns that batch id.
+
+        Writes the live documents with their current pages, then a snapshot
+        commit row. Until that row exists readers keep using the older
+        snapshot and batches, so an interrupted compaction is invisible.
+        """
+        top = self.committed_batches().agg(F.max("batch").alias("m")).first()["m"]
+        if top is None:
+            return None
+        upto = int(top)
+        docs = self.current_documents().drop("batch")
+        pages = self.current_pages()
+        docs.select(*store.DOCUMENT_COLUMNS, "deleted").write.mode("overwrite").parquet(
+            self._base_path(upto, "documents"))
+        pages.write.mode("overwrite").parquet(self._base_path(upto, "pages"))
+        self.spark.createDataFrame([(True,)], COMMIT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+            os.path.join(self.root, "base_commits", f"upto={upto}"))
+        return upto

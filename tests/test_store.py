@@ -111,8 +111,14 @@ def test_document_log_round_trip_and_idempotence(spark, scratch):
     assert sorted(map(tuple, log.current_pages().collect())) == [("a", 1, "new"), ("b", 1, "b1")]
     assert log.delete(2, spark.createDataFrame([("b",)], "file_id string"), NOW)
     assert [r.file_name for r in log.current_documents().collect()] == ["a"]
-    assert log.compact(log.next_batch())
+    assert log.compact() == 2
     assert sorted(map(tuple, log.current_pages().collect())) == [("a", 1, "new")]
+    # after the snapshot, new batches still apply on top of it
+    assert log.upsert(3, spark.createDataFrame([("c", None)], "file_name string, metadata string"),
+                      spark.createDataFrame([("c", 1, "c1")], "file_name string, page_number long, content string"),
+                      "2024-08-01 00:00:00")
+    assert sorted(r.file_name for r in log.current_documents().collect()) == ["a", "c"]
+    assert sorted(map(tuple, log.current_pages().collect())) == [("a", 1, "new"), ("c", 1, "c1")]
 
 
 def test_created_between_uses_date_partition_pruning(spark, scratch):
