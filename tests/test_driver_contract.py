@@ -16,7 +16,8 @@ import __spark_entry__ as E
 df = E.entry(spark)
 print("ENTRY", df.schema.simpleString(), df.count())
 print("PYSTAGE", E.queries()["complete_batch"](spark, "/root/testdata/sf0.001").count())
-print("KEYS", len(E.queries()), len(E.oracle_sql()))
+from quire.plans.catalog import QUERIES
+print("KEYS", len(E.queries()), len(E.oracle_sql()), len(set(QUERIES) - set(E.oracle_sql())))
 """
 
 
@@ -28,5 +29,5 @@ def test_entry_and_python_stage_from_another_directory():
     assert "ENTRY" in lines, out.stderr[-2000:]
     assert lines["ENTRY"].endswith(" 2") and "route:string,language:string" in lines["ENTRY"]
     assert lines["PYSTAGE"] == "PYSTAGE 200"
-    keys, oracles = map(int, lines["KEYS"].split()[1:])
-    assert keys - oracles == 2
+    keys, oracles, without = map(int, lines["KEYS"].split()[1:])
+    assert keys >= oracles and without == 2
