@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance
+from . import decontaminate, importance, jaccard
 from .common import table
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies and its number of links."""
+    out = jaccard.with_class_id(jaccard.join(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "class_id", "n_links", "n_shingles")
+
+
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log importance weight, its Gumbel score and whether it is kept."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -26,6 +32,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op9_importance": op9_importance,
     "op10_decontaminate": op10_decontaminate,
 }
