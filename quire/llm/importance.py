@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ SEGMENT = 24
 PRIOR = 1.0
 TEMPERATURE = 0.25
 SAMPLE = 60_000
+_BLOCK_BITS = 12
 #: A clean document lost weighs as much as so many bad ones kept, when the cut-off is chosen.
 CLEAN_WEIGHT = 2.0
 
@@ -82,6 +84,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["bucket", "good", "every"])
 
 
+def _block(rows: pd.DataFrame) -> pd.DataFrame:
+    """The counts of consecutive buckets as one value, so few rows go to the driver."""
+    counts = np.zeros((2, 1 << _BLOCK_BITS), dtype=np.int64)
+    block = int(rows["bucket"].iloc[0]) >> _BLOCK_BITS
+    counts[:, rows["bucket"].to_numpy() - (block << _BLOCK_BITS)] = rows[["good", "every"]].to_numpy().T
+    return pd.DataFrame({"block": [block], "counts": [counts.tobytes()]})
+
+
 def log_ratio(good: np.ndarray, every: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     """log(target probability / raw probability) of each bucket, shrunk to 0 where there is little to count."""
     share = good.sum() / max(1, every.sum())
@@ -132,9 +142,12 @@ def fit(docs: DataFrame, sample: DataFrame, prior: float = PRIOR) -> np.ndarray:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     fitted = texts.join(F.broadcast(sample.where("not held")), "doc_id").select("text", "good")
     sums = (fitted.mapInArrow(_count, "bucket long, good long, every long").groupBy("bucket")
-            .agg(F.sum("good").alias("good"), F.sum("every").alias("every")).toPandas())  # 2**BITS rows at most
+            .agg(F.sum("good").alias("good"), F.sum("every").alias("every"))
+            .groupBy(F.shiftright("bucket", _BLOCK_BITS).alias("block")).applyInPandas(_block, "block long, counts binary"))
     good, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    good[sums["bucket"]], every[sums["bucket"]] = sums["good"], sums["every"]
+    for r in sums.collect():  # 2**(BITS - _BLOCK_BITS) rows at most
+        at = slice(r.block << _BLOCK_BITS, (r.block + 1) << _BLOCK_BITS)
+        good[at], every[at] = np.frombuffer(r.counts, dtype=np.int64).reshape(2, -1)
     if not good.any() or (good == every).all():
         return np.zeros(1 << BITS, dtype=np.float32)
     return log_ratio(good, every, prior)
