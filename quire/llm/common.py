@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,23 @@ def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def row_keys(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` plus ``_file`` and ``_row``, which name a row alike in every scan of the same files.
+
+    They come from the scan's hidden metadata (64-bit hash of the file's path, the row's place in it); a frame that
+    isn't a plain scan is written to the shared folder first.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df = written(df, "rows")
+    return df.select(*columns, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices holding about ``STEP_BYTES`` of ``column``; never inside a row."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
         start = total = 0
         for i, n in enumerate(sizes.to_pylist()):
             if i > start and total + n > STEP_BYTES:

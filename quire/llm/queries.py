@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, jaccard
+from . import decontaminate, importance, jaccard, linechunks
 from .common import table
 
 
@@ -17,6 +17,12 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", "n_links", "n_shingles")
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without repeated line chunks."""
+    out = linechunks.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"))
+
+
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log importance weight, its Gumbel score and whether it is kept."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -33,6 +39,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
+    "op8_line_chunks": op8_line_chunks,
     "op9_importance": op9_importance,
     "op10_decontaminate": op10_decontaminate,
 }
