@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, jaccard, linechunks
+from . import decontaminate, importance, jaccard, linechunks, packing
 from .common import table
 
 
@@ -17,6 +17,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", "n_links", "n_shingles")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, placed in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without repeated line chunks."""
     out = linechunks.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -39,6 +46,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_packing": op7_packing,
     "op8_line_chunks": op8_line_chunks,
     "op9_importance": op9_importance,
     "op10_decontaminate": op10_decontaminate,
