@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.session import scratch_path, ship_package
@@ -44,7 +44,17 @@ def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def row_keys(df: DataFrame, columns: list[str]) -> DataFrame:
+def boxed(df: DataFrame) -> list[Column]:
+    """``_in``, a struct of all columns but ``text``, and ``text``: no input column can clash with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != "text"]
+    return [F.struct(*rest).alias("_in"), F.col("text").cast("string").alias("text")]
+
+
+def unboxed(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    return df.select(*(F.col("text") if c == "text" else F.col("_in").getField(c).alias(c) for c in columns), *more)
+
+
+def row_keys(df: DataFrame, columns: list) -> DataFrame:
     """``columns`` plus ``_file`` and ``_row``, which name a row alike in every scan of the same files.
 
     They come from the scan's hidden metadata (64-bit hash of the file's path, the row's place in it); a frame that

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, ready, steps, with_uid, written
+from .common import boxed, col, ready, steps, unboxed, with_uid, written
 from .words import U64, Words, words
 
 WINDOW = 13
@@ -144,7 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     bitmap = spark.sparkContext.broadcast(_bitmap(marks))
 
     schema = docs.select(*keep).schema.simpleString()[len("struct<"):-1]
-    named = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    named = docs.select(*keep, *[F.col("text").cast("string").alias("text")] * ("text" not in keep))
     scanned = written(with_uid(named.mapInArrow(
         _scan(levels, gram, keep, bitmap), f"{schema}, n_words long, marks array<struct<{_MARKS}>>")), "doc-marks")
 
@@ -174,6 +174,5 @@ def contaminated() -> F.Column:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    numbered = written(with_uid(docs, "_row"), "numbered")
-    bad = contamination(numbered, benchmark, keep=["_row"]).where(contaminated()).select("_row")
-    return numbered.join(bad, "_row", "left_anti").drop("_row")
+    judged = contamination(docs.select(*boxed(docs)), benchmark, keep=["_in", "text"])
+    return unboxed(judged.where(~contaminated()), docs.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ready, steps, with_uid, written
+from .common import boxed, col, ready, steps, unboxed, written
 from .words import RULES, U64, mix, words
 
 BITS = 20
@@ -213,7 +213,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
     known = written(labelled(labels, sample), "labelled")
     ratio = spark.sparkContext.broadcast(fit(docs, known))
     schema = docs.select(*keep).schema.simpleString()[len("struct<"):-1]
-    named = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    named = docs.select(*keep, *[F.col("text").cast("string").alias("text")] * ("text" not in keep))
     weighed = named.mapInArrow(_weigh(ratio, SEGMENT, keep), f"{schema}, log_weight double")
     scored = written(weighed.withColumn("score", gumbel(temperature)), "scored")
     if k is None:
@@ -225,6 +225,5 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that resampling keeps, with all their columns."""
-    numbered = written(with_uid(docs, "_row"), "numbered")
-    kept = resample(numbered, labels, keep=["_row", "doc_id"]).where("kept").select("_row")
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    box = docs.select(*boxed(docs)).select("_in", "text", "_in.doc_id")
+    return unboxed(resample(box, labels, keep=["_in", "text", "doc_id"]).where("kept"), docs.columns)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ready, steps, with_uid, written
+from .common import boxed, col, ready, steps, unboxed, with_uid, written
 from .words import U64, mix, words
 
 SHINGLE = 5
@@ -218,7 +218,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall
     spark = ready(docs.sparkSession)
     keep = keep or ["doc_id"]
     bands, rows = banding(threshold, recall)
-    numbered = written(with_uid(docs.select(*keep, F.col("text").cast("string").alias("text"))), "numbered")
+    numbered = written(with_uid(docs.select(*keep, *[F.col("text").cast("string").alias("text")] * ("text" not in keep))),
+                       "numbered")
     scanned = written(numbered.select("uid", "text").mapInArrow(
         _scan(n, bands, rows, ["uid"]), "uid long, digest binary, n_shingles long, bands array<long>"), "signatures")
 
@@ -279,7 +280,5 @@ def with_class_id(joined: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, that with the smallest row id, with all its columns; those without words stay."""
-    numbered = written(with_uid(docs, "_row"), "numbered")
-    out = join(numbered, threshold, keep=["_row"])
-    chosen = out.groupBy("class_uid").agg(F.min("_row").alias("_row")).select("_row")
-    return numbered.join(chosen, "_row", "left_semi").drop("_row")
+    out = join(docs.select(*boxed(docs)), threshold, keep=["_in", "text"])
+    return unboxed(out.where("uid = class_uid"), docs.columns)

@@ -27,7 +27,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without repeated line chunks."""
     out = linechunks.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"))
+    return out.select("_in.doc_id", "text", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"))
 
 
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
