@@ -1,26 +1,55 @@
-"""The corpus pipeline: stages from raw documents to packed training sequences."""
+"""The corpus pipeline: from raw documents to packed training sequences in five stages.
+
+Each stage reads what the one before wrote and its decision takes effect: rows
+it rejects are gone. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate
+from quire.llm import decontaminate, importance, jaccard, linechunks, packing
 from quire.llm.common import table, written
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Importance resampling towards documents labelled good and not toxic; the others go."""
+    return importance.accepted_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without line chunks that an earlier document or place has; documents left empty by that go."""
+    return linechunks.deduplicated_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return jaccard.distinct_documents(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents that aren't contaminated by benchmark items."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 #: (name, function of (spark, docs, sf_dir)), in order.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("pack_sequences", pack_sequences),
 ]
 
-#: Tokenizing and learned decisions have no SQL form.
+#: Learned decisions and tokenizing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
