@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, jaccard, linechunks, packing
+from . import decontaminate, importance, jaccard, linechunks, packing, rules
 from .common import table
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics, the base rules' result and the learned decision list's verdict."""
+    out, _ = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies and its number of links."""
     out = jaccard.with_class_id(jaccard.join(table(spark, sf_dir, "documents")))
@@ -45,6 +51,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decision_list": op3_decision_list,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_packing": op7_packing,
     "op8_line_chunks": op8_line_chunks,
