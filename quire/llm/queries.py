@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, jaccard, linechunks, packing, rules
+from . import chat, decontaminate, importance, jaccard, linechunks, packing, rules
 from .common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what is read back from it; conversation -7 holds control strings."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("\\### Assistant: </turn> ok").alias("text"))
+    out = chat.format_conversations(said.unionByName(extra))
+    told = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return out.select("conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                      F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics, the base rules' result and the learned decision list's verdict."""
     out, _ = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -51,6 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op3_decision_list": op3_decision_list,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_packing": op7_packing,
@@ -60,6 +75,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS given FROM conversations
+  UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok', role FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)),
+p AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, given NULLS FIRST, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, given NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(length('<|turn|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') || chr(10)
+      || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10))) AS chars,
+  string_agg(coalesce(given, '?'), ',' ORDER BY turn NULLS FIRST, given NULLS FIRST, text) AS roles
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(chars AS BIGINT) AS formatted_chars FROM p""",
     "op10_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
              'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w,
