@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, importance, jaccard, linechunks, packing, rules
+from . import chat, decontaminate, importance, jaccard, linechunks, packing, rules, urls
 from .common import table
 
 
@@ -37,6 +37,17 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", "n_links", "n_shingles")
 
 
+#: Rules given for the pages: host, path, allowed.
+URL_RULES = [("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True),
+             ("net", "/es/", False), ("net", "/fr/", False)]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules, and by its host's path templates where none fits."""
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, placed in sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -68,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_decision_list": op3_decision_list,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op8_line_chunks": op8_line_chunks,
     "op9_importance": op9_importance,
