@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, importance, jaccard, linechunks, packing, rules, urls
-from .common import table
+from . import chat, decontaminate, importance, jaccard, linechunks, packing, rules, urls, zipwarc
+from .common import table, written
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record into ZIP archives, then read back from them by ranges."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.encode("html", "UTF-8").alias("payload"))
+    manifest = zipwarc.write_archives(zipwarc.with_record_types(pages), zipwarc.shared_folder(spark))
+    out = zipwarc.resolved(written(zipwarc.read_archives(manifest), "records"))
+    return out.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+                      "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies and its number of links."""
     out = jaccard.with_class_id(jaccard.join(table(spark, sf_dir, "documents")))
@@ -78,6 +87,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_decision_list": op3_decision_list,
+    "op4_zip_warc": op4_zip_warc,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
@@ -99,6 +109,13 @@ p AS (SELECT conv_id, count(*) AS n_turns,
   FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(chars AS BIGINT) AS formatted_chars FROM p""",
+    "op4_zip_warc": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
     "op10_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
              'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w,
