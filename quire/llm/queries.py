@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, importance, jaccard, linechunks, packing, rules, urls, zipwarc
+from . import chat, decontaminate, importance, jaccard, linechunks, packing, pseudolikelihood, rules, urls, zipwarc
 from .common import table, written
 
 
@@ -25,6 +25,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's summed conditional log-probabilities under the network trained on all documents."""
+    docs = table(spark, sf_dir, "documents")
+    out = pseudolikelihood.score(docs, pseudolikelihood.fit(docs))
+    return out.withColumn("log_prob_per_word", F.col("log_prob") / F.greatest("n_words", F.lit(1)))
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics, the base rules' result and the learned decision list's verdict."""
     out, _ = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -86,6 +93,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_pseudo_likelihood": op2_pseudo_likelihood,
     "op3_decision_list": op3_decision_list,
     "op4_zip_warc": op4_zip_warc,
     "op5_jaccard_join": op5_jaccard_join,
