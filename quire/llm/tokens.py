@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 REMEMBERED = 600_000
 #: Marks that a word may end in without changing the ids before them.
 _TAIL = ".,;:!?"
+#: What must stand before them: letters and digits that normalising leaves as such.
+_SURE = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}]$"
 
 _loaded: dict[str, tuple] = {}
 
@@ -66,7 +68,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, dtype=np.uint32), np.zeros(len(texts) + 1, dtype=np.int64)
     body = pc.utf8_rtrim(raw, characters=_TAIL)
-    body = pc.if_else(pc.match_substring_regex(body, r"[\p{L}\p{N}]$"), body, raw)
+    body = pc.if_else(pc.match_substring_regex(body, _SURE), body, raw)
     cut_off = pc.binary_length(raw).to_numpy() - pc.binary_length(body).to_numpy()
     has = np.flatnonzero(cut_off)
     ended = raw.take(pa.array(has)).to_numpy(zero_copy_only=False)

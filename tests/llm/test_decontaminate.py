@@ -1,0 +1,74 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import decontaminate as D
+from quire.llm.queries import QUERIES
+
+from .helpers import empty_docs, nasty_docs, plain_words, prose, rows_of
+
+
+def brute(docs, items):
+    by_item = []
+    for item, text in items:
+        w = plain_words(text)
+        n = min(len(w), 13)
+        by_item.append(("" if item is None else str(item), n, {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if n else set()))
+    out = []
+    for doc, text in docs:
+        w, hit, found = plain_words(text), set(), set()
+        for item, n, windows in by_item:
+            for i in range(len(w) - n + 1 if windows else 0):
+                if tuple(w[i:i + n]) in windows:
+                    hit.update(range(i, i + n))
+                    found.add(item)
+        out.append((doc, len(w), len(hit), ",".join(sorted(found)), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+def result(spark, docs, items):
+    benchmark = spark.createDataFrame(items, "item_id long, text string, gram string")
+    out = D.contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", F.coalesce(
+        F.array_join("items", ","), F.lit("")).alias("items"), D.contaminated().alias("c"))
+    return rows_of(out, "*")
+
+
+def test_against_brute_force(spark):
+    a, b = prose(11, 40), prose(12, 25, vocabulary=3)
+    items = [(1, " ".join(a), "x"), (2, " ".join(b), "x"), (3, "One, TWO", "x"), (4, None, "x"), (5, "...", "x"), (None, " ".join(a[5:30]), "x"),
+             (1, " ".join(prose(13, 14)), "x"), (6, "same " * 13, "x"), (7, " ".join(prose(14, 9)), "x"), (10, " ".join(a), "x")]
+    extra = [" ".join(prose(20, 30) + a[3:20] + prose(21, 30)), " ".join(prose(22, 9) + a[:12] + ["z"] + a[12:24]),
+             " ".join(a + a), " ".join(b * 3), " ".join(prose(3, 5, 3) + b[4:18]), " ".join(prose(14, 9) + ["z"] + prose(14, 9)),
+             "one two One?two " + " ".join(prose(23, 500))]
+    docs = nasty_docs(spark, extra)
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], [(i, t) for i, t, _ in items])
+    assert result(spark, docs, items) == want
+    assert any(x[2] for x in want)
+
+
+@pytest.mark.parametrize("window,gram", [(13, 13), (5, 3), (1, 1)])
+def test_winnowing_misses_no_window(spark, window, gram):
+    words = prose(5, 300, vocabulary=4)
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(words[i:i + window])) for i in range(0, 280, 7)], "item_id long, text string")
+    row = D.contamination(docs, items, window=window, gram=gram).first()
+    covered = {j for i in range(0, 280, 7) for k in range(300 - window + 1) if words[k:k + window] == words[i:i + window]
+               for j in range(k, k + window)}
+    assert row.n_hit == len(covered) and len(row["items"]) == 40
+
+
+def test_empty_tables_and_columns(spark):
+    docs = nasty_docs(spark)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert rows_of(D.clean_documents(docs, none), "*") == rows_of(docs, "*")
+    assert D.clean_documents(docs, none).columns == docs.columns
+    assert D.contamination(empty_docs(spark), none).count() == 0
+    one = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    left = D.clean_documents(docs, one)
+    assert docs.count() - left.count() == 1 and not left.where("text = 'One two'").count()
+
+
+def test_query_digest(spark):
+    row = QUERIES["op10_decontaminate"](spark, "/root/testdata/sf0.001").where("n_items = 0").first()
+    assert row.items_sha256 == hashlib.sha256(b"").hexdigest()
