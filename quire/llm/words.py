@@ -102,7 +102,8 @@ class Words:
         out = h.copy()
         for k in range(1, n):
             out *= U64(_BASE)
-            out[:len(h) - k] += h[k:]
+            if k < len(h):
+                out[:len(h) - k] += h[k:]
         return mix(out)
 
 

@@ -1,0 +1,20 @@
+"""The registered queries against their DuckDB SQL."""
+
+import duckdb
+import pytest
+
+from quire.llm.queries import ORACLE, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    rel = con.execute(ORACLE[name])
+    columns = [d[0] for d in rel.description]
+    df = QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, rel.fetchall()))

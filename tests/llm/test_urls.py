@@ -1,0 +1,78 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import urls as U
+from quire.llm.queries import URL_RULES
+
+URLS = [None, "", "no scheme", "http://", "http:///p", "HTTP://WWW.Example.COM/en/1", "https://example.com/en", "https://example.com/en/",
+        "https://a.b.example.com/en/x?y#z", "https://xexample.com/en/1", "http://com", "http://com/", "http://a.com?x=/en/", "http://a.net/es/1",
+        "http://net/fr/", "http://a.net/ES/1", "http://É.net/fr/é", "x://y://z.com/a", "http://a.org/a\nb/1#c", "http://a.com:80/en/1",
+        "http://user@a.com/en", "http://a.org/1/2/3/4/5/6/7/8/9", "http://a.org//x//", "://a.com/q"]
+
+
+def brute(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host):])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(h, p, ok) for h, p, ok in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+    return host, path, best and best[0] + best[1], None if best is None else "allow" if best[2] else "block"
+
+
+def frame(spark, urls):
+    return spark.createDataFrame([(None if i == 4 else i, u, "x", 1) for i, u in enumerate(urls)],
+                                 "page_id long, url string, template string, shape long")
+
+
+def test_rules_against_brute_force(spark):
+    out = U.judged(frame(spark, URLS + URLS[:6]), URL_RULES).collect()
+    assert len(out) == len(URLS) + 6
+    for r in out:
+        if r.page_id is not None:
+            host, path, rule, verdict = brute((URLS + URLS[:6])[r.page_id])
+            assert (r.host, r.path, r.rule) == (host, path, rule)
+            assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+
+
+def tree(spark, rows):
+    df = spark.createDataFrame([r for r in rows for _ in range(r[3])], "host string, path string, allowed boolean, n int")
+    out = U.template_tree(df.select("host", U.shape(F.col("path")).alias("shape"), "allowed"))
+    return {(r.host, "/".join(r["shape"])): (r.template, r.n_ok, r.n_bad, r.n_open) for r in out.collect()}
+
+
+def test_variable_segments_become_wildcards_and_labels_part_branches(spark):
+    rows = [("h", f"/good/slug-{chr(97 + i % 26)}{chr(97 + i // 26)}", True, 1) for i in range(60)]
+    rows += [("h", f"/bad/{i}.html", False, 1) for i in range(60)] + [("h", f"/alsobad/{i}", False, 1) for i in range(40)]
+    rows += [("h", f"/open/{i}", None, 1) for i in range(50)] + [("h", "/rare/x", True, 1), ("other", "/bad/1", True, 3)]
+    got = tree(spark, rows)
+    assert got["h", "bad/<n>.html"][0] == got["h", "alsobad/<n>"][0] == "/alsobad~/*"  # like shares merge
+    assert {t for (h, s), (t, *_) in got.items() if s.startswith("good/")} == {"/good/*"}
+    assert got["h", "open/<n>"][0] == "/open/*" and got["h", "rare/x"][0] == "/*/*"
+    assert got["h", "alsobad/<n>"][1:] == (0, 100, 0) and got["h", "open/<n>"][1:] == (0, 0, 50)
+    assert got["other", "bad/<n>"][0] == "/*/*"
+
+
+def test_counts_cover_all_rows_whatever_the_depth(spark):
+    rows = [("h", "/" + "/".join("abcdefghij"[:k]), k % 3 == 0 if k % 2 else None, 2 * k) for k in range(1, 11)]
+    got = tree(spark, rows)
+    assert sum({t: a + b + c for t, a, b, c in got.values()}.values()) == sum(r[3] for r in rows)
+    assert any(s.endswith("**") for _, s in got)
+
+
+def test_verdict_without_a_rule_follows_the_purity(spark):
+    rules = [("a.org", "/x/bad", False), ("a.org", "/y/good", True)]
+    urls = [f"http://a.org/x/bad{i}" for i in range(40)] + ["http://a.org/x/77"] + [f"http://a.org/y/good{i}" for i in range(40)] + \
+        ["http://a.org/y/77", "http://b.org/x/1"]
+    out = {r.url: r.verdict for r in U.judged(frame(spark, urls).drop("template", "shape"), rules, keep=["page_id", "url"]).collect()}
+    assert out["http://a.org/x/77"] == "block" and out["http://a.org/y/77"] == "allow" and out["http://b.org/x/1"] == "allow"
+
+
+@pytest.mark.parametrize("rules", [[], URL_RULES])
+def test_empty(spark, rules):
+    assert U.judged(frame(spark, ["x"]).limit(0), rules).count() == 0
+    assert U.judged(frame(spark, URLS), rules).count() == len(URLS)

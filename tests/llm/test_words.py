@@ -48,6 +48,11 @@ def test_words_longer_than_a_span_and_texts_beyond_it():
     assert h[0] == h[2] and h[1] == h[4] and h[3] == h[5] and len(set(h.tolist())) == 3
 
 
+def test_grams_longer_than_a_column():
+    for n in (2, 3, 5, 9):
+        assert len(W.words(pa.array(["a b"]), "plain").grams(n)) == 2
+
+
 def test_slices_of_an_array():
     a = pa.array(["x y", None, "z", "x y"])
     assert W.words(a.slice(2), "plain").hashes.tolist() == W.words(pa.array(["z", "x y"]), "plain").hashes.tolist()
