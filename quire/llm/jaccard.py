@@ -274,7 +274,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall
 
 def with_class_id(joined: DataFrame) -> DataFrame:
     """``class_id``: the smallest doc_id of each class."""
-    least = joined.groupBy("class_uid").agg(F.min("doc_id").alias("class_id"))
+    joined = written(joined, "joined")
+    least = written(joined.groupBy("class_uid").agg(F.min("doc_id").alias("class_id")), "least")
+    # Both sides are plain exchanges now, so a class with many documents can be split over tasks.
     return joined.join(least, "class_uid")
 
 
