@@ -43,9 +43,9 @@ def upload_files(uploads: DataFrame, native_pages: Column, page_images: Column,
     if available_languages is not None:
         routed = extract.resolve_language(routed, available_languages)
         language = F.col("resolved_language")
-    pages = extract.ingest_pages(routed, native_pages, page_images, F.col("content"), recogniser, language,
-                                 carry=("file_name",))
-    results = assemble.upload_results(pages).withColumn("error", F.lit(None).cast("string"))
+    pages = extract.ingest_pages(routed, native_pages, page_images, F.col("content"), recogniser, language)
+    supported = routed.filter(F.col("route") != intake.ROUTE_UNSUPPORTED)
+    results = assemble.upload_results(pages, supported).withColumn("error", F.lit(None).cast("string"))
     errors = intake.unsupported_files(routed, keep=("file_name",)).select(
         "file_id", "file_name", F.lit(None).cast("array<string>").alias("content"), "error")
     return results.unionByName(errors)
@@ -70,9 +70,9 @@ def parse_with_model(uploads: DataFrame, native_pages: Column, page_images: Colu
         routed = extract.resolve_language(routed, available_languages)
         language = F.col("resolved_language")
     keep = ("file_name", "_prompt")
-    pages = extract.ingest_pages(routed, native_pages, page_images, F.col("content"), recogniser, language,
-                                 carry=keep)
-    text = assemble.document_text(pages, carry=keep).withColumnRenamed("file_id", "request_id")
+    pages = extract.ingest_pages(routed, native_pages, page_images, F.col("content"), recogniser, language)
+    supported = routed.filter(F.col("route") != intake.ROUTE_UNSUPPORTED)
+    text = assemble.document_text(pages, carry=keep, files=supported).withColumnRenamed("file_id", "request_id")
     done = completion.complete_batch(text, prompts.parse_prompt(F.col("_prompt"), F.col("text")), provider,
                                      carry=("file_name",))
     out = done.select(F.col("request_id").alias("file_id"), F.col("file_name").alias("filename"), "content",

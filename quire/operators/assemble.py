@@ -32,6 +32,11 @@ def ordered_collect(df: DataFrame, key: list[str], order: str, values: list[str]
     return lvl2.select(*key, F.flatten(F.transform("_chunks", lambda c: c["_items"])).alias("items"))
 
 
+def _apart(pages: DataFrame) -> DataFrame:
+    """A page's own metadata next to its document's: ``page_metadata``."""
+    return pages.withColumnRenamed("metadata", "page_metadata")
+
+
 def documents_with_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """Each document with its pages; a document without pages keeps one row with NULL page columns.
 
@@ -41,6 +46,7 @@ def documents_with_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
     side of an outer join. The inner join streams pages and can be split on a
     hot key; the anti side only sees distinct page keys (deduplicated map-side).
     """
+    pages = _apart(pages)
     page_cols = [c for c in pages.columns if c != "document_id"]
     docs_renamed = documents.withColumnRenamed("file_id", "document_id")
     matched = pages.join(docs_renamed, "document_id", "inner").withColumnRenamed("document_id", "file_id")
@@ -53,6 +59,7 @@ def documents_with_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:
 
 def pages_with_document(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """Each page with its parent document (inner)."""
+    pages = _apart(pages)
     return pages.join(documents, pages["document_id"] == documents["file_id"], "inner")
 
 
@@ -76,12 +83,21 @@ def join_pages(pages_col: str = "pages", separator: str = PAGE_SEPARATOR) -> F.C
     return F.array_join(F.transform(F.col(pages_col), lambda p: p["content"]), separator)
 
 
-def document_text(pages: DataFrame, key: str = "file_id", carry: tuple[str, ...] = ()) -> DataFrame:
+def document_text(pages: DataFrame, key: str = "file_id", carry: tuple[str, ...] = (),
+                  files: DataFrame | None = None) -> DataFrame:
     """A3: pages joined by newline in page order, plus the count of NULL (failed) pages.
 
     ``carry`` names per-document columns (functionally dependent on ``key``)
     kept through the aggregation, which saves joining them back afterwards.
+    ``files`` (with the key and ``carry``) lists the files asked for: one
+    without pages then has the empty text and 0 pages instead of no row.
     """
+    if files is not None:
+        found = document_text(pages.drop(*carry), key)
+        none = F.lit(0).cast("bigint")
+        return files.select(key, *carry).join(found, key, "left").select(
+            key, *carry, F.coalesce("n_pages", none).alias("n_pages"),
+            F.coalesce("n_failed_pages", none).alias("n_failed_pages"), F.coalesce("text", F.lit("")).alias("text"))
     keys = [key, *carry]
     chunk = F.floor(F.col("page_number") / F.lit(CHUNK_PAGES)).alias("_chunk")
     # level one: text of each chunk of pages (a chunk with only NULL pages contributes nothing)
@@ -98,11 +114,12 @@ def document_text(pages: DataFrame, key: str = "file_id", carry: tuple[str, ...]
     return doc.select(key, *carry, "n_pages", "n_failed_pages", text.alias("text"))
 
 
-def upload_results(pages: DataFrame, key: str = "file_id", name: str = "file_name") -> DataFrame:
-    """A2: per uploaded file, ``{filename, content: [page texts in page order]}``.
+def upload_results(pages: DataFrame, files: DataFrame, key: str = "file_id", name: str = "file_name") -> DataFrame:
+    """A2: per file of ``files`` (key and name), ``{filename, content: [page texts in page order]}``.
 
-    ``pages`` carry the file name (see ``ingest_pages(carry=...)``), so no join
-    back to the uploads is needed.
+    A file without pages has an empty list.
     """
-    nested = ordered_collect(pages, [key, name], "page_number", ["content"])
-    return nested.select(key, name, F.transform("items", lambda x: x["content"]).alias("content"))
+    nested = ordered_collect(pages, [key], "page_number", ["content"])
+    found = nested.select(key, F.transform("items", lambda x: x["content"]).alias("content"))
+    return files.select(key, name).join(found, key, "left").select(
+        key, name, F.coalesce("content", F.array().cast("array<string>")).alias("content"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ["file_id", "file_name", "created_at", "updated_at", "metadata"]
-PAGE_COLUMNS = ["document_id", "page_number", "content"]
+PAGE_COLUMNS = ["document_id", "page_number", "content", "metadata"]
 # Fixed value: the default page size of a listing.
 DEFAULT_PAGE_SIZE = 100
 
@@ -33,30 +33,46 @@ def with_overwrite(metadata: Column) -> Column:
     return F.to_json(F.map_concat(kept, F.create_map(F.lit("overwrite"), F.parse_json(F.lit("true")))))
 
 
-def new_documents(incoming: DataFrame, now: str | Column) -> DataFrame:
+def new_documents(incoming: DataFrame, now: str | Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """A document saved for the first time: ``file_id = file_name``, both times ``now``, ``{}`` metadata."""
     ts = _ts(now)
     return incoming.select(F.col("file_name").alias("file_id"), "file_name", ts.alias("created_at"),
-                           ts.alias("updated_at"), F.coalesce("metadata", F.lit("{}")).alias("metadata"))
+                           ts.alias("updated_at"), F.coalesce("metadata", F.lit("{}")).alias("metadata"), *keep)
 
 
-def save_documents(store: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Save by primary key; an incoming document replaces the stored one with the same ``file_id``."""
+def save_documents(store: DataFrame, incoming: DataFrame, seq: str | None = None) -> DataFrame:
+    """Save by primary key; an incoming document replaces the stored one with the same ``file_id``.
+
+    Of several incoming rows of one key the last stays (by ``seq``, else by ``updated_at``).
+    """
     kept = store.join(incoming.select("file_id"), "file_id", "left_anti")
-    return kept.select(*DOCUMENT_COLUMNS).unionByName(incoming.select(*DOCUMENT_COLUMNS))
+    return kept.select(*DOCUMENT_COLUMNS).unionByName(latest_by_id(incoming, seq))
+
+
+def latest_by_id(documents: DataFrame, seq: str | None) -> DataFrame:
+    """One row per ``file_id``: the last by ``seq``, else by ``updated_at`` and then the other columns."""
+    order = ([F.col(seq)] if seq is not None else []) + [F.col(c) for c in ("updated_at", "metadata", "created_at", "file_name")]
+    last = F.max(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.struct(*DOCUMENT_COLUMNS).alias("d")))
+    return documents.groupBy(F.col("file_id").alias("_id")).agg(last.alias("_last")).select("_last.d.*")
+
+
+def with_page_metadata(pages: DataFrame) -> DataFrame:
+    """Page rows with a ``metadata`` column (``{}`` where none is given)."""
+    given = F.col("metadata") if "metadata" in pages.columns else F.lit(None).cast("string")
+    return pages.withColumn("metadata", F.coalesce(given, F.lit("{}")))
 
 
 def latest_per_name(incoming: DataFrame, seq: str | None) -> DataFrame:
     """Collapse a batch to one row per ``file_name`` (the last by ``seq``) and count repeats.
 
-    ``max_by`` is a partial aggregate: a name repeated millions of times is
-    combined map-side, not gathered into one task.
+    Without ``seq`` the largest metadata wins, so a repeated name never makes
+    two rows. ``max_by`` is a partial aggregate: a name repeated millions of
+    times is combined map-side, not gathered into one task.
     """
-    if seq is None:
-        return incoming.select("file_name", "metadata", F.lit(1).cast("bigint").alias("n_in_batch"))
-    return incoming.groupBy("file_name").agg(
-        F.max_by(F.struct("metadata"), F.col(seq))["metadata"].alias("metadata"),
-        F.count(F.lit(1)).alias("n_in_batch"))
+    order = F.col(seq) if seq is not None else F.lit(0)
+    last = F.max(F.struct(order.alias("seq"), F.col("metadata").alias("metadata")))
+    return incoming.groupBy("file_name").agg(last.alias("_last"), F.count(F.lit(1)).alias("n_in_batch")).select(
+        "file_name", F.col("_last.metadata").alias("metadata"), F.col("_last.seq").alias("last_seq"), "n_in_batch")
 
 
 def upsert_documents(store: DataFrame, incoming: DataFrame, now: str | Column, seq: str | None = None) -> DataFrame:
@@ -83,15 +99,12 @@ def upsert_documents(store: DataFrame, incoming: DataFrame, now: str | Column, s
         .otherwise(F.col("metadata")).alias("metadata"))
 
 
-def replaced_documents(incoming_pages: DataFrame) -> DataFrame:
-    """Distinct document keys of a page batch (deduplicated map-side before the shuffle)."""
-    return incoming_pages.select("document_id").distinct()
-
-
-def upsert_pages(store_pages: DataFrame, incoming_pages: DataFrame) -> DataFrame:
-    """T4: a document's pages are replaced as a whole; pages of other documents stay."""
-    kept = store_pages.join(replaced_documents(incoming_pages), "document_id", "left_anti")
-    return kept.select(*PAGE_COLUMNS).unionByName(incoming_pages.select(*PAGE_COLUMNS))
+def upsert_pages(store_pages: DataFrame, incoming_pages: DataFrame, incoming_documents: DataFrame) -> DataFrame:
+    """T4: the pages of every incoming document (``file_id``) are replaced as a whole, also by none; others stay."""
+    arriving = incoming_documents.select(F.col("file_id").alias("document_id")).distinct()
+    kept = with_page_metadata(store_pages).join(arriving, "document_id", "left_anti")
+    fresh = with_page_metadata(incoming_pages).join(arriving, "document_id", "left_semi")
+    return kept.select(*PAGE_COLUMNS).unionByName(fresh.select(*PAGE_COLUMNS))
 
 
 def delete_documents(store: DataFrame, keys: DataFrame) -> DataFrame:
@@ -106,25 +119,29 @@ def delete_cascade_pages(store_pages: DataFrame, keys: DataFrame) -> DataFrame:
 
 def delete_flags(store: DataFrame, keys: DataFrame) -> DataFrame:
     """T5: per distinct key, whether a document existed (and so was deleted)."""
-    found = store.select("file_id").distinct().withColumn("_found", F.lit(True))
-    return keys.select("file_id").distinct().join(found, "file_id", "left").select(
-        "file_id", F.coalesce("_found", F.lit(False)).alias("deleted"))
+    asked = keys.select("file_id").distinct()
+    found = store.select("file_id").join(asked, "file_id", "left_semi").distinct().withColumn("_found", F.lit(True))
+    return asked.join(found, "file_id", "left").select("file_id", F.coalesce("_found", F.lit(False)).alias("deleted"))
 
 
 def latest_updates(updates: DataFrame, seq: str | None) -> DataFrame:
-    if seq is None:
-        return updates.select(*PAGE_COLUMNS)
-    return updates.groupBy("document_id", "page_number").agg(
-        F.max_by(F.struct("content"), F.col(seq))["content"].alias("content"))
+    """One update per page: the last by ``seq``, else the largest content. A null ``metadata`` leaves the page's."""
+    meta = F.col("metadata") if "metadata" in updates.columns else F.lit(None).cast("string")
+    order = F.col(seq) if seq is not None else F.lit(0)
+    last = F.max(F.struct(order.alias("seq"), F.col("content").alias("content"), meta.alias("metadata")))
+    return updates.groupBy("document_id", "page_number").agg(last.alias("_last")).select(
+        "document_id", "page_number", F.col("_last.content").alias("content"), F.col("_last.metadata").alias("metadata"))
 
 
 def update_pages(store_pages: DataFrame, updates: DataFrame, seq: str | None = None) -> DataFrame:
     """New content for the pages that match (document_id, page_number)."""
     u = latest_updates(updates, seq).select(
-        "document_id", "page_number", F.col("content").alias("_new"), F.lit(True).alias("_hit"))
-    return store_pages.join(u, ["document_id", "page_number"], "left").select(
+        "document_id", "page_number", F.col("content").alias("_new"), F.col("metadata").alias("_meta"),
+        F.lit(True).alias("_hit"))
+    return with_page_metadata(store_pages).join(u, ["document_id", "page_number"], "left").select(
         "document_id", "page_number",
-        F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("content")).alias("content"))
+        F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("content")).alias("content"),
+        F.coalesce("_meta", "metadata").alias("metadata"))
 
 
 def matched_updates(store_pages: DataFrame, updates: DataFrame) -> DataFrame:
@@ -142,9 +159,10 @@ def touch_documents(store: DataFrame, store_pages: DataFrame, updates: DataFrame
 
 def update_flags(store_pages: DataFrame, updates: DataFrame) -> DataFrame:
     """Per update, whether its page existed (false for a missing page or document)."""
-    found = store_pages.select("document_id", "page_number").distinct().withColumn("_found", F.lit(True))
-    return updates.select("document_id", "page_number").join(found, ["document_id", "page_number"], "left").select(
-        "document_id", "page_number", F.coalesce("_found", F.lit(False)).alias("updated"))
+    key = ["document_id", "page_number"]
+    asked = updates.select(*key).distinct()
+    found = store_pages.select(*key).join(asked, key, "left_semi").distinct().withColumn("_found", F.lit(True))
+    return updates.select(*key).join(found, key, "left").select(*key, F.coalesce("_found", F.lit(False)).alias("updated"))
 
 
 # --- reads ---
@@ -155,9 +173,24 @@ def get_documents(store: DataFrame, keys: DataFrame, by: str = "file_id") -> Dat
     return k.join(store, k["key"] == store[by], "left")
 
 
-def get_pages(store_pages: DataFrame, keys: DataFrame) -> DataFrame:
-    """K4: one page per (document_id, page_number) key; NULL content when missing."""
-    return keys.select("document_id", "page_number").join(store_pages, ["document_id", "page_number"], "left")
+def first_pages(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """O3: the first page of each (document_id, page_number): by ``order``, else by content and metadata.
+
+    A minimum per key, combined map-side, so a key repeated often isn't gathered.
+    """
+    rows = with_page_metadata(pages)
+    by = F.col(order) if order is not None else F.lit(0)
+    first = F.min(F.struct(by.alias("by"), F.col("content").alias("content"), F.col("metadata").alias("metadata")))
+    return rows.groupBy("document_id", "page_number").agg(first.alias("_first")).select(
+        "document_id", "page_number", F.col("_first.content").alias("content"), F.col("_first.metadata").alias("metadata"))
+
+
+def get_pages(store_pages: DataFrame, keys: DataFrame, order: str | None = None) -> DataFrame:
+    """K4: one page per (document_id, page_number) key, the first of several (O3); NULL content when missing."""
+    key = ["document_id", "page_number"]
+    asked = keys.select(*key)
+    found = first_pages(store_pages.join(asked.distinct(), key, "left_semi"), order)
+    return asked.join(found, key, "left").select(*key, "content", "metadata")
 
 
 def list_pages(store_pages: DataFrame, keys: DataFrame) -> DataFrame:
@@ -166,9 +199,15 @@ def list_pages(store_pages: DataFrame, keys: DataFrame) -> DataFrame:
     return store_pages.join(k, "document_id", "left_semi").orderBy("document_id", "page_number")
 
 
-def list_documents(store: DataFrame, skip: int = 0, limit: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """K3/O2: one page of the listing ordered by ``file_id`` (a bounded top-(skip+limit) per task)."""
-    return store.orderBy("file_id").offset(skip).limit(limit)
+def list_documents(store: DataFrame, skip: int = 0, limit: int = DEFAULT_PAGE_SIZE,
+                   after: str | None = None) -> DataFrame:
+    """K3/O2: one page of the listing ordered by ``file_id`` (a bounded top-(skip+limit) per task).
+
+    ``after`` is the last ``file_id`` of the page before: the filter is pushed into the scan and the page costs
+    ``limit`` rows however deep it lies, where ``skip`` costs skip + limit.
+    """
+    rows = store if after is None else store.filter(F.col("file_id") > F.lit(after))
+    return rows.orderBy("file_id").offset(skip).limit(limit)
 
 
 def get_by_id(store: DataFrame, file_id: str) -> DataFrame:
@@ -201,5 +240,8 @@ def documents_created_between(store: DataFrame, start: str, end: str) -> DataFra
 
 
 def metadata_value(metadata: Column, key: str) -> Column:
-    """K7: a top-level metadata field as text."""
-    return F.get_json_object(metadata, f"$.{key}")
+    """K7: a top-level metadata field as text, whatever characters its name has (none of them makes a path)."""
+    if any(c in key for c in ".[]'\"\\"):
+        value = F.element_at(F.from_json(metadata, "map<string,variant>"), F.lit(key))
+        return F.try_variant_get(value, "$", "string")
+    return F.get_json_object(metadata, f"$['{key}']")

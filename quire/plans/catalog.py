@@ -232,19 +232,20 @@ def q_documents_with_pages(spark, root):
 
 
 @register("nest_pages", with_ctes(
-    "SELECT document_id AS file_id, count(*) AS n_pages, string_agg(content, chr(10) ORDER BY page_number) AS joined"
-    " FROM store_pages GROUP BY document_id", "store_pages"))
+    "SELECT document_id AS file_id, count(*) AS n_pages, string_agg(content, chr(10) ORDER BY page_number) AS joined,"
+    " string_agg(metadata, '' ORDER BY page_number) AS page_metadata FROM store_pages GROUP BY document_id", "store_pages"))
 def q_nest_pages(spark, root):
-    nested = assemble.nest_pages(fx.store_pages(spark, root))
+    nested = assemble.nest_pages(fx.store_pages(spark, root), extra=["metadata"])
     return nested.select(F.col("document_id").alias("file_id"), F.size("pages").cast("bigint").alias("n_pages"),
-                         assemble.join_pages().alias("joined"))
+                         assemble.join_pages().alias("joined"),
+                         F.array_join(F.transform("pages", lambda p: p["metadata"]), "").alias("page_metadata"))
 
 
-@register("unnest_pages", with_ctes("SELECT document_id AS file_id, page_number, content FROM store_pages",
+@register("unnest_pages", with_ctes("SELECT document_id AS file_id, page_number, content, metadata FROM store_pages",
                                     "store_pages"))
 def q_unnest_pages(spark, root):
-    flat = assemble.unnest_pages(assemble.nest_pages(fx.store_pages(spark, root)))
-    return flat.select(F.col("document_id").alias("file_id"), "page_number", "content")
+    flat = assemble.unnest_pages(assemble.nest_pages(fx.store_pages(spark, root), extra=["metadata"]))
+    return flat.select(F.col("document_id").alias("file_id"), "page_number", "content", "metadata")
 
 
 @register("pages_with_document", with_ctes(
@@ -256,21 +257,26 @@ def q_pages_with_document(spark, root):
 
 
 @register("upload_results", with_ctes(
-    "SELECT i.file_id, u.file_name, count(*) AS n_pages, string_agg(i.content, chr(10) ORDER BY i.page_number)"
-    f" AS content FROM ({D_INGEST}) i JOIN uploads u USING (file_id) GROUP BY i.file_id, u.file_name",
-    "page_text", *D_ROUTED_CTES))
+    "SELECT u.file_id, u.file_name, count(i.file_id) AS n_pages,"
+    " coalesce(string_agg(i.content, chr(10) ORDER BY i.page_number), '') AS content"
+    f" FROM {D_ROUTED} u LEFT JOIN ({D_INGEST}) i USING (file_id) WHERE u.route <> 'unsupported'"
+    " GROUP BY u.file_id, u.file_name", "page_text", *D_ROUTED_CTES))
 def q_upload_results(spark, root):
-    res = assemble.upload_results(_ingested(spark, root, carry=("file_name",)))
+    asked = intake.route(fx.uploads(spark, root), None).filter(F.col("route") != intake.ROUTE_UNSUPPORTED)
+    res = assemble.upload_results(_ingested(spark, root), asked)
     return res.select("file_id", "file_name", F.size("content").cast("bigint").alias("n_pages"),
                       F.array_join("content", "\n").alias("content"))
 
 
 @register("document_text", with_ctes(
-    "SELECT file_id, count(*) AS n_pages, CAST(length(string_agg(content, chr(10) ORDER BY page_number)) AS BIGINT)"
-    " AS n_chars, string_agg(content, chr(10) ORDER BY page_number) AS text FROM page_text GROUP BY file_id",
-    "page_text"))
+    "SELECT d.doc_id AS file_id, count(p.file_id) AS n_pages,"
+    " CAST(length(coalesce(string_agg(p.content, chr(10) ORDER BY p.page_number), '')) AS BIGINT) AS n_chars,"
+    " coalesce(string_agg(p.content, chr(10) ORDER BY p.page_number), '') AS text"
+    f" FROM documents d LEFT JOIN (SELECT * FROM ({D_NATIVE})) p ON p.file_id = d.doc_id GROUP BY d.doc_id", "page_text"))
 def q_document_text(spark, root):
-    doc = assemble.document_text(fx.page_text(spark, root))
+    """The text of every document's non-blank pages; without any, it is empty."""
+    kept = extract.keep_text_pages(fx.page_arrays(spark, root), F.col("pages"))
+    doc = assemble.document_text(kept, files=fx.documents(spark, root).select(F.col("doc_id").alias("file_id")))
     return doc.select("file_id", "n_pages", F.length("text").cast("bigint").alias("n_chars"), "text")
 
 
@@ -533,34 +539,38 @@ D_STORE_OUT = "file_id, file_name, created_at, updated_at, metadata"
 @register("save_documents", with_ctes(
     f"SELECT {D_STORE_OUT} FROM store_documents WHERE file_id NOT IN (SELECT file_name FROM incoming_documents)"
     f" UNION ALL SELECT file_name, file_name, TIMESTAMP '{NOW}', TIMESTAMP '{NOW}', coalesce(metadata, '{{}}')"
-    " FROM incoming_documents", "store_documents", "incoming_documents"))
+    " FROM incoming_documents QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY seq DESC) = 1",
+    "store_documents", "incoming_documents"))
 def q_save_documents(spark, root):
-    incoming = store.new_documents(fx.incoming_documents(spark, root), NOW)
-    return store.save_documents(fx.store_documents(spark, root), incoming)
+    incoming = store.new_documents(fx.incoming_documents(spark, root), NOW, keep=("seq",))
+    return store.save_documents(fx.store_documents(spark, root), incoming, "seq")
 
 
 @register("upsert_documents", with_ctes(
     f"""SELECT coalesce(s.file_id, i.file_name) AS file_id, coalesce(s.file_name, i.file_name) AS file_name,
   CASE WHEN s.file_id IS NOT NULL THEN s.created_at ELSE TIMESTAMP '{NOW}' END AS created_at,
   CASE WHEN i.file_name IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE s.updated_at END AS updated_at,
-  (i.file_name IS NOT NULL AND s.file_id IS NOT NULL) AS overwrite,
+  (i.file_name IS NOT NULL AND (s.file_id IS NOT NULL OR i.n > 1)) AS overwrite,
   CASE WHEN i.file_name IS NOT NULL THEN json_extract_string(i.metadata, '$.run') END AS run,
   CASE WHEN i.file_name IS NULL THEN json_extract_string(s.metadata, '$.src') END AS src
- FROM store_documents s FULL OUTER JOIN incoming_documents i ON s.file_name = i.file_name""",
+ FROM store_documents s FULL OUTER JOIN (SELECT *, count(*) OVER (PARTITION BY file_name) AS n FROM incoming_documents
+   QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY seq DESC) = 1) i ON s.file_name = i.file_name""",
     "store_documents", "incoming_documents"))
 def q_upsert_documents(spark, root):
-    out = store.upsert_documents(fx.store_documents(spark, root), fx.incoming_documents(spark, root), NOW)
+    out = store.upsert_documents(fx.store_documents(spark, root), fx.incoming_documents(spark, root), NOW, "seq")
     return out.select("file_id", "file_name", "created_at", "updated_at", _bool_meta("metadata", "overwrite")
                       .alias("overwrite"), store.metadata_value(F.col("metadata"), "run").alias("run"),
                       store.metadata_value(F.col("metadata"), "src").alias("src"))
 
 
 @register("upsert_pages", with_ctes(
-    "SELECT document_id, page_number, content FROM store_pages WHERE document_id NOT IN"
-    " (SELECT document_id FROM incoming_pages) UNION ALL SELECT document_id, page_number, content FROM incoming_pages",
-    "store_pages", "incoming_pages"))
+    "SELECT document_id, page_number, content, metadata FROM store_pages WHERE document_id NOT IN"
+    " (SELECT file_name FROM incoming_documents) UNION ALL"
+    " SELECT document_id, page_number, content, coalesce(metadata, '{}') FROM incoming_pages",
+    "store_pages", "incoming_pages", "incoming_documents"))
 def q_upsert_pages(spark, root):
-    return store.upsert_pages(fx.store_pages(spark, root), fx.incoming_pages(spark, root))
+    arriving = fx.incoming_documents(spark, root).select(F.col("file_name").alias("file_id"))
+    return store.upsert_pages(fx.store_pages(spark, root), fx.incoming_pages(spark, root), arriving)
 
 
 @register("delete_documents", with_ctes(
@@ -586,7 +596,7 @@ def q_delete_flags(spark, root):
 
 @register("update_pages", with_ctes(
     "SELECT p.document_id, p.page_number, CASE WHEN u.document_id IS NOT NULL THEN u.content ELSE p.content END"
-    " AS content FROM store_pages p LEFT JOIN page_updates u USING (document_id, page_number)",
+    " AS content, coalesce(u.metadata, p.metadata) AS metadata FROM store_pages p LEFT JOIN page_updates u USING (document_id, page_number)",
     "store_pages", "page_updates"))
 def q_update_pages(spark, root):
     return store.update_pages(fx.store_pages(spark, root), fx.page_updates(spark, root))
@@ -629,12 +639,21 @@ def q_get_documents_by_name(spark, root):
 
 
 @register("get_pages", with_ctes(
-    "SELECT u.document_id, u.page_number, p.content FROM page_updates u LEFT JOIN store_pages p"
+    "SELECT u.document_id, u.page_number, p.content, p.metadata FROM page_updates u LEFT JOIN store_pages p"
     " USING (document_id, page_number)", "store_pages", "page_updates"))
 def q_get_pages(spark, root):
     return store.get_pages(fx.store_pages(spark, root), fx.page_updates(spark, root))
 
 
+@register("get_first_pages", with_ctes(
+    "SELECT u.document_id, u.page_number, p.content, p.metadata FROM page_updates u LEFT JOIN (SELECT * FROM repeated_pages"
+    " QUALIFY row_number() OVER (PARTITION BY document_id, page_number ORDER BY seq) = 1) p"
+    " USING (document_id, page_number)", "store_pages", "repeated_pages", "page_updates"))
+def q_get_first_pages(spark, root):
+    """O3: where a page is stored several times, the first is taken."""
+    return store.get_pages(fx.repeated_pages(spark, root), fx.page_updates(spark, root), order="seq")
+
+
 @register("list_pages", with_ctes(
     "SELECT p.* FROM store_pages p SEMI JOIN lookup_keys k ON p.document_id = k.file_id", "store_pages", "lookup_keys"))
 def q_list_pages(spark, root):
@@ -731,38 +750,46 @@ def q_health_rollup(spark, root):
 
 @register("document_usage", with_ctes(
     f"""SELECT route, language, count(*) AS documents, CAST(sum(n_pages) AS BIGINT) AS pages,
-  CAST(sum({D_TC(f"concat('Extract and summarize the key information from the following document:' || chr(10)"
+  CAST(sum({D_TC("concat('Extract and summarize the key information from the following document:' || chr(10)"
                  " || chr(10), text)")}) AS BIGINT) AS prompt_tokens,
   CAST(sum({D_TC(D_MOCK)}) AS BIGINT) AS completion_tokens
- FROM (SELECT n.file_id, r.route, coalesce(a.language, 'ara') AS language, count(*) AS n_pages,
-         string_agg(n.content, chr(10) ORDER BY n.page_number) AS text
-       FROM ({D_NATIVE}) n JOIN {D_ROUTED} r USING (file_id)
+ FROM (SELECT r.file_id, r.route, coalesce(a.language, 'ara') AS language, count(i.file_id) AS n_pages,
+         coalesce(string_agg(i.content, chr(10) ORDER BY i.page_number), '') AS text
+       FROM {D_ROUTED} r LEFT JOIN ({D_INGEST}) i USING (file_id)
        LEFT JOIN available_languages a ON r.language = a.language
-       WHERE r.route = 'native_pdf' GROUP BY 1, 2, 3)
+       WHERE r.route <> 'unsupported' GROUP BY 1, 2, 3)
  GROUP BY route, language""", "page_text", "available_languages", *D_ROUTED_CTES))
 def q_document_usage(spark, root):
-    """Uploads -> route -> native text pages -> document text -> parse prompt -> completion -> usage.
+    """Uploads -> route -> pages of text (all routes) -> document text -> parse prompt -> completion -> usage.
 
     Only counts leave this query, so no document text is assembled. Pages are
-    joined with a newline and the default prompt ends in whitespace, so a
+    joined with a newline and the default prompt ends in white space, so a
     document's prompt tokens are the prompt's tokens plus the sum of its pages'
-    tokens. Each file's pages are filtered, joined and counted inside its own row
-    (array functions), and one partial aggregate per (route, language) remains:
-    no shuffle of text at all. The oracle assembles the text and checks the identity.
+    tokens. A native file's pages are filtered, joined and counted inside its own
+    row; recognised pages are counted one by one where they were read. Both are
+    partial aggregates per (route, language), so no text is shuffled. The oracle
+    assembles the text and checks the identity.
     """
-    routed = _routed(spark, root).filter(F.col("route") == intake.ROUTE_NATIVE)
-    routed = extract.resolve_language(routed, _available_languages(spark),
+    routed = extract.resolve_language(_routed(spark, root), _available_languages(spark),
                                       known_rows=len(AVAILABLE_LANGUAGES), distinct=True)
-    kept = F.filter(F.split("text", "[.]"), lambda p: ~T.is_blank(p))
-    page_tokens = T.token_count(F.array_join(kept, "\n"))  # one pass over the file's own kept text
-    per_file = routed.select("route", F.col("resolved_language").alias("language"),
-                             F.size(kept).cast("bigint").alias("n_pages"), page_tokens.alias("page_tokens")) \
-        .filter(F.col("n_pages") > 0)  # a file whose pages are all blank yields no document text
-    prompt_tokens = T.token_count(F.lit(prompts.DEFAULT_PARSE_PROMPT)) + F.col("page_tokens")
-    return per_file.groupBy("route", "language").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum("n_pages").alias("pages"),
-        F.sum(prompt_tokens).alias("prompt_tokens"),
-        F.sum(T.token_count(F.lit(completion.MOCK_RESPONSE))).alias("completion_tokens"))
+    routed = routed.filter(F.col("route") != intake.ROUTE_UNSUPPORTED).withColumn("language", F.col("resolved_language"))
+    native = F.col("route") == intake.ROUTE_NATIVE
+    kept = F.when(native, F.filter(F.split("text", "[.]"), lambda p: ~T.is_blank(p)))
+    files = routed.select("route", "language", kept.alias("kept")).select(
+        "route", "language", F.lit(1).alias("documents"), F.coalesce(F.size("kept"), F.lit(0)).alias("pages"),
+        T.token_count(F.array_join("kept", "\n")).alias("tokens"))
+    images = F.when(F.col("route") == intake.ROUTE_IMAGE, F.array(F.encode("text", "UTF-8"))).otherwise(
+        F.transform(F.split("text", "\n"), lambda x: F.encode(x, "UTF-8")))
+    scans = routed.filter(~native).select("file_id", "route", "language", F.posexplode(images).alias("pos", "content"))
+    read = extract.recognize_pages(scans.withColumn("page_number", (F.col("pos") + 1).cast("bigint")), "utf8",
+                                   F.col("language"), carry=["route", "language"])
+    pages = read.select("route", "language", F.lit(0).alias("documents"), F.lit(1).alias("pages"),
+                        T.token_count("content").alias("tokens"))
+    prompt, reply = (T.token_count(F.lit(x)) for x in (prompts.DEFAULT_PARSE_PROMPT, completion.MOCK_RESPONSE))
+    return files.unionByName(pages).groupBy("route", "language").agg(
+        F.sum("documents").alias("documents"), F.sum("pages").alias("pages"), F.sum("tokens").alias("tokens")).select(
+        "route", "language", "documents", "pages", (F.col("documents") * prompt + F.col("tokens")).alias("prompt_tokens"),
+        (F.col("documents") * reply).alias("completion_tokens"))
 
 
 # ---------------------------------------------------------------- files and streams
@@ -778,9 +805,12 @@ def _drop_files(spark: SparkSession, root: str, tag: str) -> str:
     return path
 
 
-@register("read_uploads")
+@register("read_uploads", with_ctes(
+    f"""SELECT file_name, content_type, CAST(octet_length(encode(text)) AS BIGINT) AS length,
+  CASE route WHEN 'native_pdf' THEN 'searchable_pdf' ELSE route END AS route FROM {D_ROUTED}""", *D_ROUTED_CTES))
 def q_read_uploads(spark, root):
-    """Uploads written as files, read back with ``binaryFile`` and the MIME manifest, then routed."""
+    """Uploads written as files, read back with ``binaryFile`` and the MIME manifest, then routed (without a
+    layout, so every PDF counts as scanned)."""
     from quire.sources.uploads import read_uploads
 
     manifest = fx.uploads(spark, root).select("file_name", "content_type")
@@ -789,11 +819,15 @@ def q_read_uploads(spark, root):
     return routed.select("file_name", "content_type", "length", "route")
 
 
-@register("incremental_ingest")
+@register("incremental_ingest", with_ctes(
+    f"""SELECT r.file_name AS file_id, r.file_name, TIMESTAMP '{NOW}' AS created_at, TIMESTAMP '{NOW}' AS updated_at,
+  count(i.file_id) AS n_pages, coalesce(sum(length(i.content)), 0)::BIGINT AS n_chars
+ FROM {D_ROUTED} r LEFT JOIN ({D_INGEST}) i ON i.file_id = r.file_id WHERE r.route <> 'unsupported' GROUP BY r.file_name""",
+    "page_text", *D_ROUTED_CTES))
 def q_incremental_ingest(spark, root):
-    """The uploads arrive as files; the stream drains them into the document log."""
-    from quire.sources.doclog import DocumentLog
-    from quire.streaming.ingest import start_incremental_ingest
+    """The uploads arrive as files; the stream drains them into the document store."""
+    from quire.sources.docstore import DocumentStore
+    from quire.streaming.ingest import Plugins, start_incremental_ingest
 
     source = _drop_files(spark, root, "drop")
     store_root = source + "-store"
@@ -804,10 +838,12 @@ def q_incremental_ingest(spark, root):
         return layout.join(names, "file_id").drop("file_id").withColumnRenamed("file_name", "file_id")
 
     layout = (by_name(fx.page_rects(spark, root)), by_name(fx.page_blocks(spark, root)))
-    query = start_incremental_ingest(spark, source, store_root, source + "-checkpoint", manifest, now=NOW,
-                                     layout=layout)
+    query = start_incremental_ingest(spark, source, store_root, source + "-checkpoint",
+                                     Plugins(fx.text_layer, fx.line_images), manifest, now=NOW, layout=layout)
     query.awaitTermination()
-    log = DocumentLog(spark, store_root)
-    pages = log.current_pages().groupBy(F.col("document_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n_pages"))
-    return log.current_documents().join(pages, "file_id", "left").select(
-        "file_id", "file_name", "created_at", "updated_at", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+    kept = DocumentStore(spark, store_root)
+    pages = kept.pages().groupBy(F.col("document_id").alias("file_id")).agg(
+        F.count(F.lit(1)).alias("n_pages"), F.sum(F.length("content")).alias("n_chars"))
+    return kept.documents().join(pages, "file_id", "left").select(
+        "file_id", "file_name", "created_at", "updated_at", F.coalesce("n_pages", F.lit(0)).alias("n_pages"),
+        F.coalesce("n_chars", F.lit(0)).alias("n_chars"))

@@ -77,26 +77,39 @@ def store_documents(spark: SparkSession, root: str) -> DataFrame:
         "concat('{\"src\":\"', source, '\"}') AS metadata")
 
 
-def _line_pages(spark: SparkSession, root: str, keep: str, suffix: str) -> DataFrame:
+def _line_pages(spark: SparkSession, root: str, keep: str, suffix: str, metadata: str) -> DataFrame:
     return (documents(spark, root).filter(keep)
             .select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"),
                     F.posexplode(F.split("text", "\n")).alias("pos", "p"))
             .select("document_id", (F.col("pos") + 1).cast("bigint").alias("page_number"),
-                    F.concat("p", F.lit(suffix)).alias("content")))
+                    F.concat("p", F.lit(suffix)).alias("content"))
+            .withColumn("metadata", F.expr(metadata)))
 
 
 def store_pages(spark: SparkSession, root: str) -> DataFrame:
-    return _line_pages(spark, root, "doc_id % 3 <> 0", "")
+    return _line_pages(spark, root, "doc_id % 3 <> 0", "", "concat('{\"no\":', cast(page_number AS string), '}')")
+
+
+def repeated_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Stored pages with ``seq``; every third page number is there twice."""
+    pages = store_pages(spark, root)
+    return pages.withColumn("seq", F.explode(F.expr(
+        "if(page_number % 3 = 0, array(2, 1), array(1))"))).withColumn(
+        "content", F.concat("content", F.lit("#"), F.col("seq").cast("string")))
 
 
 def incoming_pages(spark: SparkSession, root: str) -> DataFrame:
-    return _line_pages(spark, root, "doc_id % 2 = 0", "!")
+    """Pages of the incoming documents; a seventh of those arrive without any."""
+    return _line_pages(spark, root, "doc_id % 2 = 0 AND doc_id % 14 <> 0", "!",
+                       "CASE WHEN page_number % 2 = 0 THEN NULL ELSE '{\"new\":true}' END")
 
 
 def incoming_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Every third of them arrives twice; ``seq`` says which came last."""
     return documents(spark, root).filter("doc_id % 2 = 0").selectExpr(
+        "doc_id", "explode(if(doc_id % 6 = 0, array(2, 1), array(1))) AS seq").selectExpr(
         "concat('doc_', cast(doc_id AS string)) AS file_name",
-        "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '{\"run\":\"r2\"}' END AS metadata")
+        "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('{\"run\":\"r', cast(seq AS string), '\"}') END AS metadata", "seq")
 
 
 def lookup_keys(spark: SparkSession, root: str) -> DataFrame:
@@ -108,13 +121,14 @@ def page_updates(spark: SparkSession, root: str) -> DataFrame:
     return documents(spark, root).filter("doc_id % 5 = 0").selectExpr(
         "concat('doc_', cast(doc_id AS string)) AS document_id",
         "cast(1 + doc_id % 3 AS bigint) AS page_number",
-        "concat('fixed ', cast(doc_id AS string)) AS content")
+        "concat('fixed ', cast(doc_id AS string)) AS content",
+        "CASE WHEN doc_id % 15 = 0 THEN '{\"fixed\":true}' END AS metadata")
 
 
 def dirty_documents(spark: SparkSession, root: str) -> DataFrame:
     return documents(spark, root).selectExpr(
-        "concat('doc_', cast(doc_id % 950 AS string)) AS file_id",
-        "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE concat(source, '_', cast(doc_id % 40 AS string)) END AS file_name")
+        "concat('doc_', cast(doc_id - doc_id % 20 * cast(doc_id % 3 = 0 AS int) AS string)) AS file_id",
+        "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE concat(source, '_', cast(doc_id - doc_id % 40 AS string)) END AS file_name")
 
 
 def dirty_pages(spark: SparkSession, root: str) -> DataFrame:
@@ -173,6 +187,18 @@ def tag_replies(spark: SparkSession, root: str) -> DataFrame:
           AS reply""")
 
 
+# --- readers of the uploads' bytes (plug-ins of the file and stream queries) ---
+
+def text_layer(data: bytes) -> list[str]:
+    """A native PDF's pages: cut at every '.'."""
+    return data.decode("utf-8").split(".")
+
+
+def line_images(data: bytes) -> list[bytes]:
+    """A scanned PDF's page images: its lines."""
+    return [x.encode() for x in data.decode("utf-8").split("\n")]
+
+
 # --- DuckDB text of the same relations ---
 
 DUCK: dict[str, str] = {
@@ -197,22 +223,28 @@ DUCK: dict[str, str] = {
  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at,
  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS updated_at,
  concat('{"src":"', source, '"}') AS metadata FROM documents WHERE doc_id % 3 <> 0""",
-    "store_pages": """SELECT document_id, page_number, concat(p, '') AS content FROM (
+    "store_pages": """SELECT document_id, page_number, concat(p, '') AS content,
+ concat('{"no":', CAST(page_number AS VARCHAR), '}') AS metadata FROM (
  SELECT concat('doc_', CAST(doc_id AS VARCHAR)) AS document_id,
  CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS page_number,
  unnest(string_split(text, chr(10))) AS p FROM documents WHERE doc_id % 3 <> 0)""",
-    "incoming_pages": """SELECT document_id, page_number, concat(p, '!') AS content FROM (
+    "repeated_pages": """SELECT document_id, page_number, concat(content, '#', CAST(seq AS VARCHAR)) AS content, metadata, seq
+ FROM (SELECT *, unnest(CASE WHEN page_number % 3 = 0 THEN [2, 1] ELSE [1] END) AS seq FROM store_pages)""",
+    "incoming_pages": """SELECT document_id, page_number, concat(p, '!') AS content,
+ CASE WHEN page_number % 2 = 0 THEN NULL ELSE '{"new":true}' END AS metadata FROM (
  SELECT concat('doc_', CAST(doc_id AS VARCHAR)) AS document_id,
  CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS page_number,
- unnest(string_split(text, chr(10))) AS p FROM documents WHERE doc_id % 2 = 0)""",
+ unnest(string_split(text, chr(10))) AS p FROM documents WHERE doc_id % 2 = 0 AND doc_id % 14 <> 0)""",
     "incoming_documents": """SELECT concat('doc_', CAST(doc_id AS VARCHAR)) AS file_name,
- CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '{"run":"r2"}' END AS metadata FROM documents WHERE doc_id % 2 = 0""",
+ CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('{"run":"r', CAST(seq AS VARCHAR), '"}') END AS metadata, seq
+ FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 6 = 0 THEN [2, 1] ELSE [1] END) AS seq FROM documents WHERE doc_id % 2 = 0)""",
     "lookup_keys": """SELECT concat('doc_', CAST(doc_id AS VARCHAR)) AS file_id FROM documents WHERE doc_id % 10 = 0""",
     "page_updates": """SELECT concat('doc_', CAST(doc_id AS VARCHAR)) AS document_id,
- CAST(1 + doc_id % 3 AS BIGINT) AS page_number, concat('fixed ', CAST(doc_id AS VARCHAR)) AS content
+ CAST(1 + doc_id % 3 AS BIGINT) AS page_number, concat('fixed ', CAST(doc_id AS VARCHAR)) AS content,
+ CASE WHEN doc_id % 15 = 0 THEN '{"fixed":true}' END AS metadata
  FROM documents WHERE doc_id % 5 = 0""",
-    "dirty_documents": """SELECT concat('doc_', CAST(doc_id % 950 AS VARCHAR)) AS file_id,
- CASE WHEN doc_id % 13 = 0 THEN NULL ELSE concat(source, '_', CAST(doc_id % 40 AS VARCHAR)) END AS file_name
+    "dirty_documents": """SELECT concat('doc_', CAST(doc_id - doc_id % 20 * CAST(doc_id % 3 = 0 AS INTEGER) AS VARCHAR)) AS file_id,
+ CASE WHEN doc_id % 13 = 0 THEN NULL ELSE concat(source, '_', CAST(doc_id - doc_id % 40 AS VARCHAR)) END AS file_name
  FROM documents""",
     "dirty_pages": """SELECT concat('doc_', CAST(doc_id AS VARCHAR)) AS document_id, CAST(1 AS BIGINT) AS page_number,
  CASE WHEN doc_id % 17 = 0 THEN NULL ELSE text END AS content FROM documents""",

@@ -58,4 +58,4 @@ def test_health_and_mock_upload(spark):
 def test_cli_lists_queries(capsys):
     cli(["list"])
     out = capsys.readouterr().out
-    assert "document_usage" in out and "read_uploads  (no SQL twin)" in out
+    assert "document_usage" in out and "read_uploads\n" in out and "no SQL twin" not in out

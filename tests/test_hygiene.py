@@ -7,7 +7,8 @@ LIB = pathlib.Path(__file__).resolve().parent.parent / "quire"
 
 
 def sources():
-    return [(p, p.read_text()) for p in LIB.rglob("*.py")]
+    # The training-data subpackage has its own rules and tests.
+    return [(p, p.read_text()) for p in LIB.rglob("*.py") if "llm" not in p.parts]
 
 
 def test_no_driver_collection_in_library():

@@ -1,10 +1,11 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import assemble, checks, store
-from quire.sources.doclog import DocumentLog
+from quire.sources.docstore import DocumentStore
 
 NOW = "2024-06-01 00:00:00"
 T0 = dt.datetime(2024, 1, 1)
@@ -36,10 +37,56 @@ def test_upsert_documents_new_existing_and_repeated(spark):
 def test_upsert_twice_same_pages(spark):
     stored = pages(spark, [("a", 1, "old"), ("a", 2, "old2"), ("b", 1, "keep")])
     incoming = pages(spark, [("a", 1, "new")])
-    once = store.upsert_pages(stored, incoming)
-    twice = store.upsert_pages(once, incoming)
+    arriving = spark.createDataFrame([("a",), ("c",)], "file_id string")
+    once = store.upsert_pages(stored, incoming, arriving)
+    twice = store.upsert_pages(once, incoming, arriving)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == \
-        [("a", 1, "new"), ("b", 1, "keep")]
+        [("a", 1, "new", "{}"), ("b", 1, "keep", "{}")]
+
+
+def test_an_emptied_document_loses_its_pages_and_metadata_is_kept(spark):
+    stored = spark.createDataFrame([("a", 1, "old", '{"x":1}'), ("b", 1, "keep", '{"y":2}')],
+                                   "document_id string, page_number long, content string, metadata string")
+    none = stored.limit(0)
+    got = store.upsert_pages(stored, none, spark.createDataFrame([("a",)], "file_id string"))
+    assert [tuple(r) for r in got.collect()] == [("b", 1, "keep", '{"y":2}')]
+    ups = spark.createDataFrame([("a", 1, "n", None), ("b", 1, "m", '{"z":3}')],
+                                "document_id string, page_number long, content string, metadata string")
+    assert sorted(map(tuple, store.update_pages(stored, ups).collect())) == [("a", 1, "n", '{"x":1}'), ("b", 1, "m", '{"z":3}')]
+
+
+def test_a_repeated_key_never_makes_two_rows(spark):
+    stored = docs(spark, [("a", "{}")])
+    twice = spark.createDataFrame([("a", '{"k":1}'), ("a", '{"k":2}'), ("b", None), ("b", None)], "file_name string, metadata string")
+    out = {r.file_name: r.metadata for r in store.upsert_documents(stored, twice, NOW).collect()}
+    assert len(store.upsert_documents(stored, twice, NOW).collect()) == 2 and out["a"] == '{"k":2,"overwrite":true}'
+    saved = store.save_documents(stored, store.new_documents(twice, NOW))
+    assert sorted(r.file_id for r in saved.collect()) == ["a", "b"]
+    p = pages(spark, [("a", 1, "x")])
+    ups = pages(spark, [("a", 1, "u"), ("a", 1, "v")])
+    assert [tuple(r) for r in store.update_pages(p, ups).collect()] == [("a", 1, "v", "{}")]
+
+
+def test_the_first_of_several_pages_is_taken(spark):
+    p = spark.createDataFrame([("a", 1, "late", 2), ("a", 1, "early", 1), ("b", 1, "x", 1)],
+                              "document_id string, page_number long, content string, seq long")
+    keys = spark.createDataFrame([("a", 1), ("a", 1), ("c", 1)], "document_id string, page_number long")
+    got = sorted((r.document_id, r.content) for r in store.get_pages(p, keys, order="seq").collect())
+    assert got == [("a", "early"), ("a", "early"), ("c", None)]
+    assert {r.content for r in store.get_pages(p, keys).collect()} == {"early", None}
+
+
+def test_listing_goes_on_behind_a_key(spark):
+    stored = docs(spark, [(f"d{i:02}", "{}") for i in range(30)])
+    first = [r.file_id for r in store.list_documents(stored, 0, 10).collect()]
+    assert [r.file_id for r in store.list_documents(stored, 0, 10, after=first[-1]).collect()] == [
+        r.file_id for r in store.list_documents(stored, 10, 10).collect()]
+
+
+def test_metadata_keys_of_any_characters(spark):
+    row = spark.createDataFrame([('{"a.b":"1","it\'s":"2","x":{"y":3},"[0]":"4","p":"5"}',)], "m string")
+    got = row.select(*(store.metadata_value(F.col("m"), k).alias(f"c{i}") for i, k in enumerate(["a.b", "it's", "[0]", "p", "none", "x.y"])))
+    assert tuple(got.first()) == ("1", "2", "4", "5", None, None)
 
 
 def test_save_by_key_incoming_wins(spark):
@@ -53,7 +100,8 @@ def test_update_page_missing_document_and_page(spark):
     stored_pages = pages(spark, [("a", 1, "p1"), ("a", 2, "p2")])
     stored_docs = docs(spark, [("a", "{}"), ("b", "{}")])
     ups = pages(spark, [("a", 2, "fixed"), ("a", 9, "nope"), ("zz", 1, "nope")])
-    assert sorted(map(tuple, store.update_pages(stored_pages, ups).collect())) == [("a", 1, "p1"), ("a", 2, "fixed")]
+    assert sorted(map(tuple, store.update_pages(stored_pages, ups).collect())) == [
+        ("a", 1, "p1", "{}"), ("a", 2, "fixed", "{}")]
     flags = {(r.document_id, r.page_number): r.updated for r in store.update_flags(stored_pages, ups).collect()}
     assert flags == {("a", 2): True, ("a", 9): False, ("zz", 1): False}
     touched = {r.file_id: r.updated_at for r in store.touch_documents(stored_docs, stored_pages, ups, NOW).collect()}
@@ -95,30 +143,98 @@ def test_checks(spark):
     assert (r.n_components, r.n_unhealthy, r.healthy, r.status) == (2, 1, False, "degraded")
 
 
-def test_document_log_round_trip_and_idempotence(spark, scratch):
-    log = DocumentLog(spark, os.path.join(scratch, "store"))
-    inc = spark.createDataFrame([("a", None), ("b", '{"m":1}')], "file_name string, metadata string")
-    inc_pages = spark.createDataFrame([("a", 1, "a1"), ("a", 2, "a2"), ("b", 1, "b1")],
-                                      "file_name string, page_number long, content string")
-    assert log.upsert(0, inc, inc_pages, NOW) is True
-    assert log.upsert(0, inc, inc_pages, NOW) is False  # replayed batch: no second effect
-    again = spark.createDataFrame([("a", None)], "file_name string, metadata string")
-    assert log.upsert(1, again, spark.createDataFrame([("a", 1, "new")], "file_name string, page_number long, "
-                                                      "content string"), "2024-07-01 00:00:00")
-    cur = {r.file_name: r for r in log.current_documents().collect()}
+def doc_rows(spark, rows):
+    return spark.createDataFrame(rows, "file_name string, metadata string")
+
+
+def page_rows(spark, rows):
+    return spark.createDataFrame(rows, "file_name string, page_number long, content string")
+
+
+def stored_pages(kept):
+    return sorted((r.document_id, r.page_number, r.content) for r in kept.pages().collect())
+
+
+def test_store_round_trip_and_idempotence(spark, scratch):
+    kept = DocumentStore(spark, os.path.join(scratch, "store"))
+    assert kept.documents().count() == kept.pages().count() == 0
+    inc = doc_rows(spark, [("a", None), ("b", '{"m":1}')])
+    inc_pages = page_rows(spark, [("a", 1, "a1"), ("a", 2, "a2"), ("b", 1, "b1")])
+    assert kept.upsert(inc, inc_pages, NOW, writer="w", commit=0) is True
+    assert kept.upsert(inc, inc_pages, NOW, writer="w", commit=0) is False  # replayed: no second effect
+    assert kept.upsert(doc_rows(spark, [("a", None)]), page_rows(spark, [("a", 1, "new")]), "2024-07-01 00:00:00", writer="w", commit=1)
+    cur = {r.file_name: r for r in kept.documents().collect()}
     assert cur["a"].created_at == dt.datetime(2024, 6, 1) and cur["a"].updated_at == dt.datetime(2024, 7, 1)
     assert cur["a"].metadata == '{"overwrite":true}' and cur["b"].metadata == '{"m":1}'
-    assert sorted(map(tuple, log.current_pages().collect())) == [("a", 1, "new"), ("b", 1, "b1")]
-    assert log.delete(2, spark.createDataFrame([("b",)], "file_id string"), NOW)
-    assert [r.file_name for r in log.current_documents().collect()] == ["a"]
-    assert log.compact() == 2
-    assert sorted(map(tuple, log.current_pages().collect())) == [("a", 1, "new")]
-    # after the snapshot, new batches still apply on top of it
-    assert log.upsert(3, spark.createDataFrame([("c", None)], "file_name string, metadata string"),
-                      spark.createDataFrame([("c", 1, "c1")], "file_name string, page_number long, content string"),
-                      "2024-08-01 00:00:00")
-    assert sorted(r.file_name for r in log.current_documents().collect()) == ["a", "c"]
-    assert sorted(map(tuple, log.current_pages().collect())) == [("a", 1, "new"), ("c", 1, "c1")]
+    assert stored_pages(kept) == [("a", 1, "new"), ("b", 1, "b1")]
+    assert kept.delete(spark.createDataFrame([("b",)], "file_id string"))
+    assert [r.file_name for r in kept.documents().collect()] == ["a"] and stored_pages(kept) == [("a", 1, "new")]
+    assert kept.compact() and len(kept.state()["pages"]) == 1
+    assert stored_pages(kept) == [("a", 1, "new")]
+    assert kept.upsert(doc_rows(spark, [("c", None)]), page_rows(spark, [("c", 1, "c1")]), "2024-08-01 00:00:00", writer="v", commit=0)
+    assert sorted(r.file_name for r in kept.documents().collect()) == ["a", "c"]
+    assert stored_pages(kept) == [("a", 1, "new"), ("c", 1, "c1")]
+    assert kept.upsert(doc_rows(spark, [("a", None)]), page_rows(spark, []), NOW)  # emptied
+    assert stored_pages(kept) == [("c", 1, "c1")]
+
+
+def test_a_reader_keeps_its_version_and_a_lost_file_is_an_error(spark, scratch):
+    root = os.path.join(scratch, "store_view")
+    kept = DocumentStore(spark, root)
+    kept.upsert(doc_rows(spark, [("a", None)]), page_rows(spark, [("a", 1, "one")]), NOW)
+    before = kept.documents()
+    kept.delete(spark.createDataFrame([("a",)], "file_id string"))
+    assert before.count() == 1 and kept.documents().count() == 0
+    kept.upsert(doc_rows(spark, [("b", None)]), page_rows(spark, [("b", 1, "two")]), NOW)
+    pages_before = kept.pages()
+    gone = next(os.path.join(d, f) for d, _, names in os.walk(os.path.join(root.removeprefix("file:"), "pages", "v=2"))
+                for f in names if f.endswith(".parquet"))
+    os.remove(gone)
+    with pytest.raises(Exception):
+        pages_before.collect()
+
+
+def test_a_failed_write_is_invisible_and_is_written_anew(spark, scratch):
+    root = os.path.join(scratch, "store_crash")
+    kept = DocumentStore(spark, root)
+    # a crashed attempt: documents and pages of version 0 written, pointer missing
+    docs(spark, [("zombie", "{}")]).write.parquet(os.path.join(root, "documents", "v=0", "created_date=2024-01-01"))
+    pages(spark, [("zombie", 1, "half")]).write.parquet(os.path.join(root, "pages", "v=0"))
+    assert kept.documents().count() == 0 and kept.pages().count() == 0
+    assert kept.upsert(doc_rows(spark, [("a", None)]), page_rows(spark, [("a", 1, "good")]), NOW)
+    assert [r.file_name for r in kept.documents().collect()] == ["a"] and stored_pages(kept) == [("a", 1, "good")]
+
+
+def test_a_commit_in_between_is_an_error(spark, scratch):
+    kept = DocumentStore(spark, os.path.join(scratch, "store_race"))
+    before = kept.state()
+    kept.upsert(doc_rows(spark, [("a", None)]), page_rows(spark, []), NOW)
+    with pytest.raises(RuntimeError, match="in between"):
+        kept._commit(before, {"version": 9, "pages": [], "commits": {}})
+    assert kept.documents().count() == 1
+
+
+def test_store_time_range_prunes_days(spark, scratch):
+    kept = DocumentStore(spark, os.path.join(scratch, "store_k6"))
+    none = page_rows(spark, [])
+    kept.upsert(doc_rows(spark, [("a", None), ("b", None)]), none, "2024-01-01 00:00:00")
+    kept.upsert(doc_rows(spark, [("c", None)]), none, "2024-03-01 00:00:00")
+    kept.upsert(doc_rows(spark, [("a", None)]), none, "2024-05-01 00:00:00")  # overwrite keeps created_at
+    got = kept.documents_created_between("2023-12-31 00:00:00", "2024-02-01 00:00:00")
+    assert sorted(r.file_name for r in got.collect()) == ["a", "b"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan and "PushedFilters: [IsNotNull(created_at)" in plan
+
+
+def test_store_update_pages(spark, scratch):
+    kept = DocumentStore(spark, os.path.join(scratch, "store_t6"))
+    kept.upsert(doc_rows(spark, [("a", None), ("b", None)]),
+                page_rows(spark, [("a", 1, "a1"), ("a", 2, "a2"), ("b", 1, "b1")]), NOW)
+    ups = pages(spark, [("a", 2, "fixed"), ("b", 9, "missing page"), ("zz", 1, "missing doc")])
+    assert kept.update_pages(ups, "2024-07-01 00:00:00")
+    cur = {r.file_name: r.updated_at for r in kept.documents().collect()}
+    assert cur == {"a": dt.datetime(2024, 7, 1), "b": dt.datetime(2024, 6, 1)}
+    assert stored_pages(kept) == [("a", 1, "a1"), ("a", 2, "fixed"), ("b", 1, "b1")]
 
 
 def test_created_between_uses_date_partition_pruning(spark, scratch):
@@ -137,20 +253,6 @@ def test_documents_with_pages_keeps_documents_without_pages(spark):
     assert got == [("a", 1, "x"), ("a", 2, "y"), ("b", None, None)]
 
 
-def test_log_time_range_read(spark, scratch):
-    log = DocumentLog(spark, os.path.join(scratch, "store_k6"))
-    inc = spark.createDataFrame([("a", None), ("b", None)], "file_name string, metadata string")
-    none = spark.createDataFrame([], "file_name string, page_number long, content string")
-    log.upsert(0, inc, none, "2024-01-01 00:00:00")
-    log.upsert(1, spark.createDataFrame([("c", None)], "file_name string, metadata string"), none,
-               "2024-03-01 00:00:00")
-    log.upsert(2, spark.createDataFrame([("a", None)], "file_name string, metadata string"), none,
-               "2024-05-01 00:00:00")  # overwrite keeps created_at
-    got = sorted(r.file_name for r in log.documents_created_between("2023-12-31 00:00:00",
-                                                                     "2024-02-01 00:00:00").collect())
-    assert got == ["a", "b"]
-
-
 def test_upsert_same_batch_twice_sets_overwrite(spark):
     stored = docs(spark, [("a", "{}")])
     incoming = spark.createDataFrame([("b", '{"run":"r"}')], "file_name string, metadata string")
@@ -175,19 +277,6 @@ def test_hot_document_is_gathered_in_chunks(spark, monkeypatch):
     assert text["cold"] == (1, 0, "c")
 
 
-def test_log_update_pages(spark, scratch):
-    log = DocumentLog(spark, os.path.join(scratch, "store_t6"))
-    inc = spark.createDataFrame([("a", None), ("b", None)], "file_name string, metadata string")
-    pg = spark.createDataFrame([("a", 1, "a1"), ("a", 2, "a2"), ("b", 1, "b1")],
-                               "file_name string, page_number long, content string")
-    log.upsert(0, inc, pg, NOW)
-    ups = pages(spark, [("a", 2, "fixed"), ("b", 9, "missing page"), ("zz", 1, "missing doc")])
-    assert log.update_pages(1, ups, "2024-07-01 00:00:00")
-    cur = {r.file_name: r.updated_at for r in log.current_documents().collect()}
-    assert cur == {"a": dt.datetime(2024, 7, 1), "b": dt.datetime(2024, 6, 1)}
-    assert sorted(map(tuple, log.current_pages().collect())) == [("a", 1, "a1"), ("a", 2, "fixed"), ("b", 1, "b1")]
-
-
 def test_single_key_lookups_push_filters_to_the_scan(spark, scratch):
     d = docs(spark, [("a", "{}"), ("b", "{}")])
     p = pages(spark, [("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z")])
@@ -208,18 +297,3 @@ def test_gathering_plan_splits_hot_documents(spark):
     # level one groups by (document, chunk), level two by document: two separate aggregation exchanges
     assert plan.count("Exchange hashpartitioning") == 2
     assert "FLOOR" in plan.upper()
-
-
-def test_log_crash_before_commit_is_invisible_and_rerun_replaces_it(spark, scratch):
-    root = os.path.join(scratch, "store_crash")
-    log = DocumentLog(spark, root)
-    inc = spark.createDataFrame([("a", None)], "file_name string, metadata string")
-    pg = spark.createDataFrame([("a", 1, "good")], "file_name string, page_number long, content string")
-    # a crashed attempt: documents and pages of batch 0 written, commit row missing
-    partial = store.new_documents(spark.createDataFrame([("zombie", None)], "file_name string, metadata string"), NOW)
-    partial.withColumn("deleted", F.lit(False)).write.parquet(os.path.join(root, "documents", "batch=0"))
-    pages(spark, [("zombie", 1, "half")]).write.parquet(os.path.join(root, "pages", "batch=0"))
-    assert log.current_documents().count() == 0  # nothing committed, nothing visible
-    assert log.upsert(0, inc, pg, NOW)  # the rerun overwrites batch 0 and commits it
-    assert [r.file_name for r in log.current_documents().collect()] == ["a"]
-    assert [tuple(r) for r in log.current_pages().collect()] == [("a", 1, "good")]
