@@ -9,10 +9,11 @@ batch with ``mapInPandas``; failures become error columns, not failed tasks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,12 +49,11 @@ CONNECTION_URL_TEMPLATE = " to %s"
 HTTP_ERROR_TEMPLATE = "HTTP %s: %s"
 LIST_SEPARATOR = ", "
 
-# Registered providers in registration order, with their settings
+# The providers there are by default, in registration order, with the default settings
 # (provider, model, temperature, max_tokens, timeout, host).
 DEFAULT_PROVIDER_CONFIG = [
-    ("ollama", "llama3.2", 0.7, 2048, 120, "http://localhost:11434/"),
-    ("litellm", "openai/gpt-4", 0.2, 1024, 60, None),
-    ("mock", "mock/model", 0.7, 2048, 120, None),
+    (name, DEFAULT_MODEL, DEFAULT_TEMPERATURE, DEFAULT_MAX_TOKENS, DEFAULT_TIMEOUT, host)
+    for name, host in ((LOCAL_PROVIDER, DEFAULT_HOST), (GATEWAY, None), ("mock", None))
 ]
 CONFIG_SCHEMA = "provider string, model string, temperature double, max_tokens int, timeout int, host string"
 
@@ -144,17 +144,22 @@ def conversation_usage(conversations: DataFrame) -> DataFrame:
 
 def mock_chat(conversations: DataFrame, documents: DataFrame, override: Column | None = None,
               model: str = MOCK_MODEL) -> DataFrame:
-    """L8 on chats about a document: the system message (context + document text) counts too."""
-    from quire.operators.prompts import chat_context
+    """L8 on chats about a document: the system message (context + document text) counts too.
+
+    A conversation whose document isn't there gets an ``error`` row without content or counts.
+    """
+    from quire.operators.prompts import NO_DOCUMENT, chat_context
 
     usage = conversation_usage(conversations)
     docs = documents.select(F.col("doc_id").alias("conv_id"),
                             T.token_count(chat_context(F.col("text"))).alias("system_tokens"))
     content = F.coalesce(override, F.lit(MOCK_RESPONSE)) if override is not None else F.lit(MOCK_RESPONSE)
-    return usage.join(docs, "conv_id").select(
-        "conv_id", content.alias("content"), F.lit(model).alias("model"),
+    known = F.col("system_tokens").isNotNull()
+    return usage.join(docs, "conv_id", "left").select(
+        "conv_id", F.when(known, content).alias("content"), F.when(known, F.lit(model)).alias("model"),
         (F.col("prompt_tokens") + F.col("system_tokens")).alias("prompt_tokens"),
-        T.token_count(content).alias("completion_tokens"), "last_user")
+        F.when(known, T.token_count(content)).alias("completion_tokens"), "last_user",
+        F.when(~known, F.lit(NO_DOCUMENT)).alias("error"))
 
 
 # --- routing and options (L9-L12) ---
@@ -226,6 +231,17 @@ def request_payload(provider: Column, model: Column, prompt: Column, temperature
     return F.when(provider == LOCAL_PROVIDER, local).when(provider == GATEWAY, gateway)
 
 
+def chat_payload(provider: Column, model: Column, messages: Column, temperature: Column,
+                 max_tokens: Column, timeout: Column) -> Column:
+    """JSON body of a chat request: the message list (role, content) with the same options as a completion."""
+    local = F.to_json(F.struct(model.alias("model"), messages.alias("messages"), F.lit(False).alias("stream"),
+                               F.struct(temperature.alias("temperature"),
+                                        max_tokens.alias("num_predict")).alias("options")))
+    gateway = F.to_json(F.struct(model.alias("model"), messages.alias("messages"), temperature.alias("temperature"),
+                                 max_tokens.alias("max_tokens"), timeout.alias("timeout")))
+    return F.when(provider == LOCAL_PROVIDER, local).when(provider == GATEWAY, gateway)
+
+
 # The local server's completion and chat paths.
 LOCAL_COMPLETE_PATH = "/api/generate"
 LOCAL_CHAT_PATH = "/api/chat"
@@ -254,48 +270,61 @@ def payload_fields(df: DataFrame, payload: Column, keep: tuple[str, ...] = ()) -
                          F.length(prompt).cast("bigint").alias("prompt_length"))
 
 
-# --- reply normalisation (L15) and model lists (L17) ---
+def chat_payload_fields(df: DataFrame, payload: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Read chat payloads back (parsed once): the options, how many messages and how many characters they hold."""
+    parsed = df.select(*keep, F.from_json(payload, PAYLOAD_SCHEMA).alias("_p"))
+    j = F.col("_p")
+    chars = F.aggregate(j["messages"], F.lit(0).cast("bigint"), lambda n, m: n + F.coalesce(F.length(m["content"]), F.lit(0)))
+    return parsed.select(*keep, j["model"].alias("model"), j["stream"].alias("stream"),
+                         F.coalesce(j["options"]["temperature"], j["temperature"]).alias("temperature"),
+                         F.coalesce(j["options"]["num_predict"], j["max_tokens"]).alias("num_predict"),
+                         F.size(j["messages"]).cast("bigint").alias("n_messages"), chars.alias("n_chars"),
+                         F.try_element_at(j["messages"], F.lit(1))["role"].alias("first_role"))
 
-REPLY_SCHEMA = ("response string, prompt_eval_count bigint, eval_count bigint, message struct<content: string>, "
-                "choices array<struct<message: struct<content: string>>>, "
-                "usage struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>, _bad string")
 
+# --- reply normalisation (L15) and model lists (L17) ---
 
-def normalize_replies(df: DataFrame, raw: str = "raw", shape: str = "shape",
+def normalize_replies(df: DataFrame, raw: str = "raw", shape: str = "shape", model: str | None = None,
                       keep: tuple[str, ...] = ()) -> DataFrame:
-    """One record per reply: content, prompt/completion/total tokens and ``bad``.
+    """The response record of each reply: content, model, prompt/completion/total tokens, raw_response, ``bad``.
 
-    The reply is parsed once into a struct column in its own projection (a
-    parse is not cheap, so Catalyst keeps that projection instead of inlining
-    the parse into every field). Unparseable text or NULL sets ``bad`` and
-    leaves the fields NULL.
+    The reply is parsed once, in its own projection, and then read field by
+    field: a field of another type is null and leaves the others as they are. A
+    missing content or count has its default ('' or 0), a null one stays null
+    (the gateway's null content is ''). Text that isn't a JSON object, or a null,
+    is ``bad``: its fields are null. ``model`` names the request's model column.
     """
-    parsed = df.select(*keep, F.col(shape).alias("_shape"), F.col(raw).isNull().alias("_null"),
-                       F.from_json(F.col(raw), REPLY_SCHEMA, {"columnNameOfCorruptRecord": "_bad"}).alias("_j"))
-    j, shape_c = F.col("_j"), F.col("_shape")
-    bad = F.col("_null") | j["_bad"].isNotNull()
+    asked = F.col(model) if model is not None else F.lit(None).cast("string")
+    parsed = df.select(*keep, asked.alias("_model"), F.col(shape).alias("_shape"), F.col(raw).alias("_raw"),
+                       F.try_parse_json(F.col(raw)).alias("_v"))
+    v, shape_c = F.col("_v"), F.col("_shape")
+    good = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+
+    def there(path: str) -> Column:
+        return F.try_variant_get(v, path, "variant").isNotNull()
+
+    def text(path: str) -> Column:
+        return F.when(there(path), F.try_variant_get(v, path, "string")).otherwise(F.lit(""))
+
+    def count(path: str) -> Column:
+        exact = F.try_variant_get(v, path, "decimal(38,9)")
+        number = F.startswith(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("BIGINT"))
+        return F.when(~there(path), F.lit(0).cast("bigint")).when(number, exact.cast("bigint"))
+
     local = shape_c.isin("local_complete", "local_chat")
-    content = (F.when(shape_c == "local_complete", F.coalesce(j["response"], F.lit("")))
-               .when(shape_c == "local_chat", F.coalesce(j["message"]["content"], F.lit("")))
-               .otherwise(F.coalesce(F.try_element_at(j["choices"], F.lit(1))["message"]["content"], F.lit(""))))
-    usage = j["usage"]
-
-    def gateway_count(name: str) -> Column:
-        return F.when(usage.isNull(), F.lit(0).cast("bigint")).otherwise(usage[name])
-
-    prompt_tokens = F.when(local, F.coalesce(j["prompt_eval_count"], F.lit(0).cast("bigint"))) \
-        .otherwise(gateway_count("prompt_tokens"))
-    completion_tokens = F.when(local, F.coalesce(j["eval_count"], F.lit(0).cast("bigint"))) \
-        .otherwise(gateway_count("completion_tokens"))
-    total_tokens = F.when(~local, gateway_count("total_tokens"))
+    content = (F.when(shape_c == "local_complete", text("$.response"))
+               .when(shape_c == "local_chat", text("$.message.content"))
+               .otherwise(F.coalesce(text("$.choices[0].message.content"), F.lit(""))))
     nul = F.lit(None)
     return parsed.select(
         *keep,
-        F.when(bad, nul).otherwise(content).alias("content"),
-        F.when(bad, nul.cast("bigint")).otherwise(prompt_tokens).alias("prompt_tokens"),
-        F.when(bad, nul.cast("bigint")).otherwise(completion_tokens).alias("completion_tokens"),
-        F.when(bad, nul.cast("bigint")).otherwise(total_tokens).alias("total_tokens"),
-        bad.alias("bad"))
+        F.when(good, content).otherwise(nul).alias("content"),
+        F.col("_model").alias("model"),
+        F.when(good, F.when(local, count("$.prompt_eval_count")).otherwise(count("$.usage.prompt_tokens"))).alias("prompt_tokens"),
+        F.when(good, F.when(local, count("$.eval_count")).otherwise(count("$.usage.completion_tokens"))).alias("completion_tokens"),
+        F.when(good & ~local, count("$.usage.total_tokens")).alias("total_tokens"),
+        F.col("_raw").alias("raw_response"),
+        (~good).alias("bad"))
 
 
 def model_available(reply: Column, model: Column) -> Column:
@@ -314,7 +343,7 @@ def usage_rollup(completions: DataFrame) -> DataFrame:
         F.sum("completion_tokens").alias("completion_tokens"))
 
 
-# --- batch completion through a provider function (L16) ---
+# --- batch completion through provider functions (L16) ---
 
 class ProviderError(Exception):
     """A provider failure with a kind (``completion``, ``connection``, ...)."""
@@ -324,21 +353,35 @@ class ProviderError(Exception):
         self.kind = kind
 
 
-def mock_provider(prompt: str, options: dict) -> dict:
-    """Python twin of :func:`mock_complete` for the batch path."""
-    content = options.get("mock_response")
-    content = MOCK_RESPONSE if content is None else content
-    return {"content": content, "model": MOCK_MODEL, "prompt_tokens": len(prompt.split()),
-            "completion_tokens": len(content.split()), "total_tokens": None}
+class HttpError(ProviderError):
+    """The provider answered with an HTTP error."""
 
+    def __init__(self, status: int, body: str):
+        super().__init__("completion", COMPLETION_FAILED_TEMPLATE % (HTTP_ERROR_TEMPLATE % (status, body)))
 
-def mock_chat_provider(messages: list[dict], options: dict) -> dict:
-    """Python twin of :func:`mock_chat`: tokens summed over every message's content."""
+
+class ConnectionFailed(ProviderError):
+    """The provider can't be reached."""
+
+    def __init__(self, url: str | None = None):
+        super().__init__("connection", CONNECTION_FAILED + (CONNECTION_URL_TEMPLATE % url if url else ""))
+
+
+def _mock_reply(options: dict, prompt_tokens: int, echo: dict) -> dict:
     content = options.get("mock_response")
     content = MOCK_RESPONSE if content is None else content
-    prompt_tokens = sum(len((m.get("content") or "").split()) for m in messages)
     return {"content": content, "model": MOCK_MODEL, "prompt_tokens": prompt_tokens,
-            "completion_tokens": len(content.split()), "total_tokens": None}
+            "completion_tokens": len(content.split()), "total_tokens": None, "raw": {"mock": True, **echo}}
+
+
+def mock_provider(prompt: str, options: dict) -> dict:
+    """Python twin of :func:`mock_complete` for the batch path; ``raw`` echoes the prompt."""
+    return _mock_reply(options, len(prompt.split()), {"prompt": prompt})
+
+
+def mock_chat_provider(messages: list[dict], options: dict) -> dict:
+    """Python twin of :func:`mock_chat`: tokens summed over every message's content; ``raw`` echoes the messages."""
+    return _mock_reply(options, sum(len((m.get("content") or "").split()) for m in messages), {"messages": messages})
 
 
 PROVIDER_FUNCTIONS: dict[str, Callable[[str, dict], dict]] = {"mock": mock_provider}
@@ -353,107 +396,116 @@ def register_provider_function(name: str, fn: Callable[[str, dict], dict]) -> No
     PROVIDER_FUNCTIONS[name.lower()] = fn
 
 
-COMPLETION_SCHEMA = ("request_id bigint, content string, model string, prompt_tokens bigint, "
-                     "completion_tokens bigint, total_tokens bigint, error_kind string, error_message string")
-
-
-def _complete_batches(fn: Callable[[str, dict], dict], provider_name: str, concurrency: int,
-                      carry: list[str]):
-    def call(args):
-        rid, prompt, override = args
-        opts = {} if override is None else {"mock_response": override}
-        try:
-            r = fn(prompt, opts)
-            return (rid, r["content"], r["model"], r["prompt_tokens"], r["completion_tokens"],
-                    r.get("total_tokens"), None, None)
-        except ProviderError as exc:
-            return (rid, None, None, None, None, None, exc.kind, PROVIDER_PREFIX_TEMPLATE % provider_name + str(exc))
-        except Exception as exc:  # noqa: BLE001 - a failed call is a row, never a failed task
-            return (rid, None, None, None, None, None, "completion",
-                    PROVIDER_PREFIX_TEMPLATE % provider_name + COMPLETION_FAILED_TEMPLATE % exc)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Options that reach a provider function, as resolved for the request (null ones are left out).
+OPTIONS = ("model", "temperature", "max_tokens", "timeout", "host", "mock_response")
+RESULT_SCHEMA = ("content string, model string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, "
+                 "raw_response string, error_kind string, error_message string")
+_RESULT = pa.schema([("content", pa.string()), ("model", pa.string()), ("prompt_tokens", pa.int64()),
+                     ("completion_tokens", pa.int64()), ("total_tokens", pa.int64()), ("raw_response", pa.string()),
+                     ("error_kind", pa.string()), ("error_message", pa.string())])
+
+
+def _call(functions: dict, provider: str, given, options: dict) -> dict:
+    """One request through its provider's function; whatever fails becomes an error row."""
+    prefix = PROVIDER_PREFIX_TEMPLATE % provider
+    try:
+        if provider not in functions:
+            raise ProviderError("configuration", BAD_CONFIG_TEMPLATE % provider + MISSING_FIELDS_TEMPLATE % "function")
+        r = functions[provider](given, options)
+        return {k: r.get(k) for k in ("content", "model", "prompt_tokens", "completion_tokens", "total_tokens")} | {
+            "raw_response": None if r.get("raw") is None else json.dumps(r["raw"], ensure_ascii=False, default=str)}
+    except ProviderError as exc:
+        return {"error_kind": exc.kind, "error_message": prefix + str(exc)}
+    except Exception as exc:  # noqa: BLE001 - a failed call is a row, never a failed task
+        return {"error_kind": "completion", "error_message": prefix + COMPLETION_FAILED_TEMPLATE % exc}
+
+
+def _batches(functions: dict, concurrency: int, keep: list[str]):
+    def call(row: dict) -> dict:
+        if row["_error_kind"] is not None:
+            return {"error_kind": row["_error_kind"], "error_message": row["_error_message"]}
+        options = {k: row[f"_{k}"] for k in OPTIONS if row[f"_{k}"] is not None}
+        return _call(functions, row["_provider"], row["_given"], options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = None
         if concurrency > 1:
             from concurrent.futures import ThreadPoolExecutor
             pool = ThreadPoolExecutor(max_workers=concurrency)  # one client pool per task, shared by its batches
         try:
-            for pdf in batches:
-                args = list(zip(pdf["request_id"], pdf["prompt"], pdf["mock_response"]))
-                out = list(pool.map(call, args)) if pool else [call(a) for a in args]  # map keeps input order
-                res = pd.DataFrame(out, columns=["request_id", "content", "model", "prompt_tokens",
-                                                 "completion_tokens", "total_tokens", "error_kind", "error_message"])
-                for c in carry:  # same row order as the input batch
-                    res[c] = pdf[c].to_numpy()
-                yield res
+            for batch in batches:
+                rows = batch.drop_columns(keep).to_pylist()
+                out = list(pool.map(call, rows)) if pool else [call(r) for r in rows]  # map keeps input order
+                done = pa.RecordBatch.from_pylist(out, schema=_RESULT)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *done.columns],
+                                                 names=[*keep, *_RESULT.names])
         finally:
             if pool:
                 pool.shutdown(wait=True)
     return run
 
 
-def complete_batch(requests: DataFrame, prompt: Column, provider: str = "mock",
-                   override: Column | None = None, partitions: int | None = None,
-                   concurrency: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Run every request through a registered provider function, one client per partition.
-
-    Only ``request_id``, the prompt and the override cross into Python. The
-    requests are hash-spread on ``request_id`` so slow calls are shared
-    evenly by all tasks; ``concurrency`` > 1 overlaps network-bound calls
-    within a task (results keep their input order). ``carry`` columns pass
-    through unchanged, which saves joining results back to their requests.
-    """
+def _through(requests: DataFrame, key: str, given: Column, provider: str | Column, override: Column | None,
+             registry: ProviderRegistry | None, functions: dict, partitions: int | None, concurrency: int,
+             carry: tuple[str, ...], failed: Column | None = None) -> DataFrame:
     from quire.session import ship_package
 
     ship_package(requests.sparkSession)
-    fn = PROVIDER_FUNCTIONS[provider.lower()]
-    carry = list(carry)
-    slim = requests.select("request_id", *carry, prompt.alias("prompt"),
-                           (override if override is not None else F.lit(None).cast("string")).alias("mock_response"))
-    schema = ", ".join([COMPLETION_SCHEMA] + [f"{c} {slim.schema[c].dataType.simpleString()}" for c in carry])
-    parts = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return slim.repartition(parts, "request_id").mapInPandas(
-        _complete_batches(fn, provider.lower(), concurrency, carry), schema)
-
-
-CHAT_SCHEMA = ("conv_id bigint, content string, model string, prompt_tokens bigint, completion_tokens bigint, "
-               "total_tokens bigint, error_kind string, error_message string")
-
-
-def _chat_batches(fn: Callable[[list[dict], dict], dict], provider_name: str):
-    def as_dict(m):
-        return m if isinstance(m, dict) else m.asDict() if hasattr(m, "asDict") else dict(m)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for cid, msgs in zip(pdf["conv_id"], pdf["messages"]):
-                messages = [as_dict(m) for m in (msgs if msgs is not None else [])]
-                try:
-                    r = fn(messages, {})
-                    out.append((cid, r["content"], r["model"], r["prompt_tokens"], r["completion_tokens"],
-                                r.get("total_tokens"), None, None))
-                except ProviderError as exc:
-                    out.append((cid, None, None, None, None, None, exc.kind,
-                                PROVIDER_PREFIX_TEMPLATE % provider_name + str(exc)))
-                except Exception as exc:  # noqa: BLE001 - a failed call is a row, never a failed task
-                    out.append((cid, None, None, None, None, None, "completion",
-                                PROVIDER_PREFIX_TEMPLATE % provider_name + COMPLETION_FAILED_TEMPLATE % exc))
-            yield pd.DataFrame(out, columns=["conv_id", "content", "model", "prompt_tokens", "completion_tokens",
-                                             "total_tokens", "error_kind", "error_message"])
-    return run
+    registry = ProviderRegistry(list((registry or ProviderRegistry.default()).rows))
+    for name in functions:  # a registered function makes a provider, with the default settings
+        if name not in registry.names:
+            registry.register(name)
+    missing = {"model": "string", "temperature": "double", "max_tokens": "bigint", "timeout": "bigint"}
+    asked = requests.withColumns({
+        "_asked": F.lit(provider) if isinstance(provider, str) else provider, "_given": given,
+        "_mock_response": override if override is not None else F.lit(None).cast("string"),
+        **{c: F.lit(None).cast(t) for c, t in missing.items() if c not in requests.columns}})
+    r = resolve_options(route_provider(asked, registry, "_asked"))
+    bad_model = (F.col("registered_provider") == GATEWAY) & ~gateway_model_ok(F.col("eff_model"))
+    kind = (F.when(F.col("_asked").isNull(), F.lit("not_configured"))
+            .when(F.col("registered_provider").isNull(), F.lit("provider_not_found")).when(bad_model, F.lit("configuration")))
+    message = F.coalesce(F.col("route_error"), F.when(bad_model, configuration_message(
+        F.col("registered_provider"), [GATEWAY_MODEL_HINT])))
+    if failed is not None:
+        kind, message = F.when(failed.isNotNull(), F.lit("request")).otherwise(kind), F.coalesce(failed, message)
+    keep = [key, *carry]
+    slim = r.select(*keep, "_given", F.col("registered_provider").alias("_provider"), kind.alias("_error_kind"),
+                    message.alias("_error_message"), F.col("eff_model").alias("_model"),
+                    F.col("eff_temperature").alias("_temperature"), F.col("eff_max_tokens").alias("_max_tokens"),
+                    F.col("eff_timeout").alias("_timeout"), F.rtrim(F.col("cfg_host"), F.lit("/")).alias("_host"), "_mock_response")
+    if partitions:
+        slim = slim.repartition(partitions, key)
+    schema = slim.select(*keep).schema.simpleString()[len("struct<"):-1]
+    return slim.mapInArrow(_batches(functions, concurrency, keep), f"{schema}, {RESULT_SCHEMA}")
+
+
+def complete_batch(requests: DataFrame, prompt: Column, provider: str | Column = "mock",
+                   override: Column | None = None, partitions: int | None = None,
+                   concurrency: int = 1, carry: tuple[str, ...] = (), key: str = "request_id",
+                   registry: ProviderRegistry | None = None,
+                   functions: dict[str, Callable[[str, dict], dict]] | None = None) -> DataFrame:
+    """Run every request through its provider's function: a result or an error per row.
+
+    ``provider`` is a name or a column of names. Options (model, temperature,
+    max_tokens, timeout: columns of ``requests``, where it has them) are
+    resolved against the registry and handed to the function with the host and
+    the override. Requests stay in the partitions they are in; ``partitions``
+    deals them out by ``key`` (of any type) where slow calls are to be shared by
+    more tasks, and ``concurrency`` > 1 overlaps network-bound calls within a
+    task (results keep their order). ``carry`` columns pass through.
+    """
+    return _through(requests, key, prompt, provider, override, registry, functions or PROVIDER_FUNCTIONS, partitions,
+                    concurrency, carry)
 
 
-def chat_batch(chats: DataFrame, provider: str = "mock", partitions: int | None = None) -> DataFrame:
-    """L16 for chats: ``chats(conv_id, messages ARRAY<STRUCT<role, content>>)`` through a chat function.
+def chat_batch(chats: DataFrame, provider: str | Column = "mock", partitions: int | None = None, concurrency: int = 1,
+               carry: tuple[str, ...] = (), key: str = "conv_id", override: Column | None = None,
+               registry: ProviderRegistry | None = None,
+               functions: dict[str, Callable[[list[dict], dict], dict]] | None = None) -> DataFrame:
+    """L16 for chats: ``chats(conv_id, messages ARRAY<STRUCT<role, content>>, error)`` through chat functions.
 
-    Only the key and the message list cross into Python; conversations are
-    hash-spread on ``conv_id``.
+    As :func:`complete_batch`; a chat with an ``error`` (its document isn't there) isn't sent, the error is its result.
     """
-    from quire.session import ship_package
-
-    ship_package(chats.sparkSession)
-    fn = CHAT_FUNCTIONS[provider.lower()]
-    parts = partitions or int(chats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = chats.select("conv_id", "messages").repartition(parts, "conv_id")
-    return slim.mapInPandas(_chat_batches(fn, provider.lower()), CHAT_SCHEMA)
+    failed = F.col("error") if "error" in chats.columns else None
+    return _through(chats, key, F.col("messages"), provider, override, registry, functions or CHAT_FUNCTIONS, partitions,
+                    concurrency, carry, failed)

@@ -48,7 +48,7 @@ def _routed(spark: SparkSession, root: str, force_ocr: str | bool = "force_ocr")
 
 
 def _registry() -> completion.ProviderRegistry:
-    return completion.ProviderRegistry.default()
+    return fx.provider_registry()
 
 
 def _routed_requests(spark: SparkSession, root: str) -> DataFrame:
@@ -359,39 +359,38 @@ def q_mock_complete(spark, root):
     return done.select("request_id", "content", "model", "prompt_tokens", "completion_tokens")
 
 
-@register("complete_batch", with_ctes(
-    f"SELECT request_id, coalesce(mock_response, {D_MOCK}) AS content, 'mock/model' AS model,"
-    f" {D_TC(D_PARSE_PROMPT)} AS prompt_tokens, {D_TC(f'coalesce(mock_response, {D_MOCK})')} AS completion_tokens,"
-    " CAST(NULL AS BIGINT) AS total_tokens, CAST(NULL AS VARCHAR) AS error_kind,"
-    " CAST(NULL AS VARCHAR) AS error_message FROM llm_requests", "llm_requests"))
-def q_complete_batch(spark, root):
-    req = fx.llm_requests(spark, root)
-    return completion.complete_batch(req, prompts.parse_prompt(F.col("prompt"), F.col("text")), "mock",
-                                     F.col("mock_response"))
-
-
 @register("mock_chat",
-          f"SELECT c.conv_id, {D_MOCK} AS content, 'mock/model' AS model,"
-          f" CAST(c.pt + {D_TC(f'concat({D_CHAT_PREFIX}, d.text)')} AS BIGINT) AS prompt_tokens,"
-          f" {D_TC(D_MOCK)} AS completion_tokens, c.last_user FROM ("
+          f"SELECT c.conv_id, CASE WHEN d.doc_id IS NOT NULL THEN {D_MOCK} END AS content,"
+          " CASE WHEN d.doc_id IS NOT NULL THEN 'mock/model' END AS model,"
+          f" CAST(c.pt + CASE WHEN d.doc_id IS NOT NULL THEN {D_TC(f'concat({D_CHAT_PREFIX}, d.text)')} END AS BIGINT)"
+          f" AS prompt_tokens, CASE WHEN d.doc_id IS NOT NULL THEN {D_TC(D_MOCK)} END AS completion_tokens, c.last_user,"
+          " CASE WHEN d.doc_id IS NULL THEN 'Document not found' END AS error FROM ("
           f"SELECT conv_id, sum({D_TC('text')}) AS pt,"
           " coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS last_user"
-          " FROM conversations GROUP BY conv_id) c JOIN documents d ON d.doc_id = c.conv_id")
+          " FROM conversations GROUP BY conv_id) c LEFT JOIN documents d ON d.doc_id = c.conv_id AND d.doc_id % 6 <> 5")
 def q_mock_chat(spark, root):
-    return completion.mock_chat(fx.read_table(spark, root, "conversations"), fx.documents(spark, root))
+    """A sixth of the conversations is about a document that isn't there."""
+    return completion.mock_chat(fx.read_table(spark, root, "conversations"), fx.documents(spark, root).where("doc_id % 6 <> 5"))
 
 
 @register("chat_batch",
-          f"SELECT c.conv_id, {D_MOCK} AS content, 'mock/model' AS model,"
-          f" CAST(c.pt + {D_TC(f'concat({D_CHAT_PREFIX}, d.text)')} AS BIGINT) AS prompt_tokens,"
-          f" {D_TC(D_MOCK)} AS completion_tokens, CAST(NULL AS BIGINT) AS total_tokens,"
-          " CAST(NULL AS VARCHAR) AS error_kind, CAST(NULL AS VARCHAR) AS error_message FROM ("
-          f"SELECT conv_id, sum({D_TC('text')}) AS pt FROM conversations GROUP BY conv_id) c"
-          " JOIN documents d ON d.doc_id = c.conv_id")
+          f"SELECT c.conv_id, CASE WHEN d.doc_id IS NOT NULL THEN {D_MOCK} END AS content,"
+          " CASE WHEN d.doc_id IS NOT NULL THEN 'mock/model' END AS model,"
+          f" CAST(c.pt + CASE WHEN d.doc_id IS NOT NULL THEN {D_TC(f'concat({D_CHAT_PREFIX}, d.text)')} END AS BIGINT)"
+          f" AS prompt_tokens, CASE WHEN d.doc_id IS NOT NULL THEN {D_TC(D_MOCK)} END AS completion_tokens,"
+          " CAST(NULL AS BIGINT) AS total_tokens, CASE WHEN d.doc_id IS NOT NULL THEN c.n + 1 END AS echoed_messages,"
+          " CASE WHEN d.doc_id IS NULL THEN 'request' END AS error_kind,"
+          " CASE WHEN d.doc_id IS NULL THEN 'Document not found' END AS error_message FROM ("
+          f"SELECT conv_id, sum({D_TC('text')}) AS pt, count(*) AS n FROM conversations GROUP BY conv_id) c"
+          " LEFT JOIN documents d ON d.doc_id = c.conv_id AND d.doc_id % 6 <> 5")
 def q_chat_batch(spark, root):
     """L16 chat path: each conversation's message list (system context first) through the chat function."""
-    chats = prompts.chat_requests(fx.read_table(spark, root, "conversations"), fx.documents(spark, root))
-    return completion.chat_batch(chats, "mock")
+    chats = prompts.chat_requests(fx.read_table(spark, root, "conversations"),
+                                  fx.documents(spark, root).where("doc_id % 6 <> 5"))
+    out = completion.chat_batch(chats, "mock")
+    echo = F.size(F.from_json(F.col("raw_response"), "messages array<struct<role:string>>")["messages"])
+    return out.select(*[c for c in out.columns if c != "raw_response"], F.when(
+        F.col("raw_response").isNotNull(), echo).cast("bigint").alias("echoed_messages"))
 
 
 @register("usage_rollup", with_ctes(
@@ -474,6 +473,32 @@ def q_request_payload(spark, root):
     return out.withColumnRenamed("registered_provider", "provider")
 
 
+D_TURNS = ("SELECT conv_id, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY conv_id")
+
+
+@register("chat_payload", with_ctes(
+    f"""SELECT c.conv_id, r.registered_provider AS provider, r.eff_model AS model,
+  CASE WHEN r.registered_provider = 'ollama' THEN false END AS stream, r.eff_temperature AS temperature,
+  r.eff_max_tokens AS num_predict, c.n + 1 AS n_messages,
+  CAST(c.chars + length(concat({D_CHAT_PREFIX}, d.text)) AS BIGINT) AS n_chars, 'system' AS first_role,
+  CASE WHEN r.registered_provider = 'ollama' THEN concat(rtrim(coalesce(r.cfg_host, 'http://localhost:11434'), '/'),
+    '/api/chat') END AS url
+ FROM ({D_TURNS}) c JOIN documents d ON d.doc_id = c.conv_id JOIN {D_RESOLVED} r ON r.request_id = c.conv_id
+ WHERE r.registered_provider IN ('ollama', 'litellm')""", "llm_requests", "provider_config"))
+def q_chat_payload(spark, root):
+    """L13 for chats: the body that each provider's chat endpoint is sent."""
+    chats = prompts.chat_requests(fx.read_table(spark, root, "conversations"), fx.documents(spark, root)).drop("error")
+    r = _routed_requests(spark, root).filter(F.col("registered_provider").isin("ollama", "litellm")).select(
+        F.col("request_id").alias("conv_id"), "registered_provider", "cfg_host", "eff_model", "eff_temperature",
+        "eff_max_tokens", "eff_timeout")
+    r = chats.join(r, "conv_id")
+    payload = completion.chat_payload(F.col("registered_provider"), F.col("eff_model"), F.col("messages"),
+                                      F.col("eff_temperature"), F.col("eff_max_tokens"), F.col("eff_timeout"))
+    r = r.withColumn("url", completion.endpoint_url(F.col("registered_provider"), F.col("cfg_host"), chat=True))
+    return completion.chat_payload_fields(r, payload, keep=("conv_id", "registered_provider", "url")).withColumnRenamed(
+        "registered_provider", "provider")
+
+
 D_CONFIG_ERR = ("'[litellm] Invalid configuration for provider ''litellm''. Missing fields: model (must include"
                 " provider prefix, e.g., ''openai/gpt-4'')'")
 
@@ -498,27 +523,70 @@ def q_error_report(spark, root):
         F.col("error_kind").isNotNull())
 
 
+D_MOODY = f"CAST({D_TC(D_PARSE_PROMPT)} % 3 AS BIGINT)"
+D_DONE = f"""(SELECT *, {D_TC(D_PARSE_PROMPT)} AS words, CASE WHEN provider IS NULL THEN 'not_configured'
+   WHEN registered_provider IS NULL THEN 'provider_not_found'
+   WHEN registered_provider = 'litellm' AND NOT coalesce(eff_model <> '' AND contains(eff_model, '/'), false)
+     THEN 'configuration'
+   WHEN registered_provider = 'ollama' THEN 'connection'
+   WHEN registered_provider = 'litellm' AND {D_MOODY} <> 2 THEN 'completion' END AS kind,
+   CASE WHEN provider IS NULL THEN 'LLM provider not configured' WHEN registered_provider IS NULL THEN {D_NOT_FOUND}
+   WHEN registered_provider = 'litellm' AND NOT coalesce(eff_model <> '' AND contains(eff_model, '/'), false)
+     THEN {D_CONFIG_ERR}
+   WHEN registered_provider = 'ollama' THEN '[ollama] Connection failed to http://localhost:11434'
+   WHEN registered_provider = 'litellm' AND {D_MOODY} = 0 THEN '[litellm] Completion failed: HTTP 503: busy'
+   WHEN registered_provider = 'litellm' AND {D_MOODY} = 1 THEN '[litellm] Completion failed: no answer' END AS message
+ FROM {D_RESOLVED})"""
+
+
+@register("complete_batch", with_ctes(
+    f"""SELECT request_id, CASE WHEN kind IS NOT NULL THEN NULL WHEN registered_provider = 'mock'
+    THEN coalesce(mock_response, {D_MOCK})
+    ELSE concat(eff_model, ' ', CAST(eff_max_tokens AS VARCHAR), ' ', CAST(eff_timeout AS VARCHAR)) END AS content,
+  CASE WHEN kind IS NOT NULL THEN NULL WHEN registered_provider = 'mock' THEN 'mock/model' ELSE eff_model END AS model,
+  CASE WHEN kind IS NULL THEN words END AS prompt_tokens,
+  CASE WHEN kind IS NOT NULL THEN NULL WHEN registered_provider = 'mock'
+    THEN {D_TC(f'coalesce(mock_response, {D_MOCK})')} ELSE 3 END AS completion_tokens,
+  CASE WHEN kind IS NULL AND registered_provider = 'litellm' THEN words + 3 END AS total_tokens,
+  CASE WHEN kind IS NULL THEN CAST(length({D_PARSE_PROMPT}) AS BIGINT) END AS echoed_chars,
+  kind AS error_kind, message AS error_message FROM {D_DONE}""", "llm_requests", "provider_config"))
+def q_complete_batch(spark, root):
+    """Every request through its own provider: answers, and one error row per failure of each kind."""
+    req = fx.llm_requests(spark, root)
+    out = completion.complete_batch(
+        req.withColumnRenamed("prompt", "given"), prompts.parse_prompt(F.col("given"), F.col("text")), F.col("provider"),
+        F.col("mock_response"), registry=_registry(), functions=fx.FUNCTIONS)
+    return out.select(*[c for c in out.columns if c != "raw_response"], F.length(F.get_json_object(
+        "raw_response", "$.prompt")).cast("bigint").alias("echoed_chars"))
+
+
+def _d_count(path: str) -> str:
+    return (f"CASE WHEN json_extract(j, '{path}') IS NULL THEN 0 WHEN json_type(j, '{path}') IN ('UBIGINT', 'BIGINT')"
+            f" THEN CAST(json_extract_string(j, '{path}') AS BIGINT) END")
+
+
+def _d_text(path: str) -> str:
+    return (f"CASE WHEN json_extract(j, '{path}') IS NULL THEN '' WHEN json_type(j, '{path}') <> 'NULL'"
+            f" THEN json_extract_string(j, '{path}') END")
+
+
 @register("normalize_responses", with_ctes(
-    """SELECT event_id,
-  CASE WHEN bad THEN NULL WHEN shape = 'local_complete' THEN coalesce(json_extract_string(j, '$.response'), '')
-       WHEN shape = 'local_chat' THEN coalesce(json_extract_string(j, '$.message.content'), '')
-       ELSE coalesce(json_extract_string(j, '$.choices[0].message.content'), '') END AS content,
-  CASE WHEN bad THEN NULL WHEN shape IN ('local_complete', 'local_chat')
-       THEN coalesce(CAST(json_extract_string(j, '$.prompt_eval_count') AS BIGINT), 0)
-       WHEN json_extract(j, '$.usage') IS NULL THEN 0
-       ELSE CAST(json_extract_string(j, '$.usage.prompt_tokens') AS BIGINT) END AS prompt_tokens,
-  CASE WHEN bad THEN NULL WHEN shape IN ('local_complete', 'local_chat')
-       THEN coalesce(CAST(json_extract_string(j, '$.eval_count') AS BIGINT), 0)
-       WHEN json_extract(j, '$.usage') IS NULL THEN 0
-       ELSE CAST(json_extract_string(j, '$.usage.completion_tokens') AS BIGINT) END AS completion_tokens,
-  CASE WHEN bad OR shape IN ('local_complete', 'local_chat') THEN NULL
-       WHEN json_extract(j, '$.usage') IS NULL THEN 0
-       ELSE CAST(json_extract_string(j, '$.usage.total_tokens') AS BIGINT) END AS total_tokens,
-  bad
- FROM (SELECT event_id, shape, CASE WHEN json_valid(raw) THEN raw END AS j,
-              NOT coalesce(json_valid(raw), false) AS bad FROM raw_responses)""", "raw_responses"))
+    f"""SELECT event_id,
+  CASE WHEN bad THEN NULL WHEN shape = 'local_complete' THEN {_d_text('$.response')}
+       WHEN shape = 'local_chat' THEN {_d_text('$.message.content')}
+       ELSE coalesce({_d_text('$.choices[0].message.content')}, '') END AS content, 'm1' AS model,
+  CASE WHEN bad THEN NULL WHEN shape LIKE 'local%' THEN {_d_count('$.prompt_eval_count')}
+       ELSE {_d_count('$.usage.prompt_tokens')} END AS prompt_tokens,
+  CASE WHEN bad THEN NULL WHEN shape LIKE 'local%' THEN {_d_count('$.eval_count')}
+       ELSE {_d_count('$.usage.completion_tokens')} END AS completion_tokens,
+  CASE WHEN bad OR shape LIKE 'local%' THEN NULL ELSE {_d_count('$.usage.total_tokens')} END AS total_tokens,
+  raw AS raw_response, bad
+ FROM (SELECT event_id, shape, raw, CASE WHEN json_valid(raw) THEN raw END AS j,
+              NOT coalesce(json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT', false) AS bad
+       FROM raw_responses)""", "raw_responses"))
 def q_normalize_responses(spark, root):
-    return completion.normalize_replies(fx.raw_responses(spark, root), keep=("event_id",))
+    replies = fx.raw_responses(spark, root).withColumn("asked", F.lit("m1"))
+    return completion.normalize_replies(replies, model="asked", keep=("event_id",))
 
 
 @register("model_available", with_ctes(

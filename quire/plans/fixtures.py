@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import completion
 from quire.sources.tables import read_table
 
 # Fixed values for the fixtures: the run's "now", the store's time origin.
@@ -157,6 +158,8 @@ def raw_responses(spark: SparkSession, root: str) -> DataFrame:
         "event_id",
         "CASE event_id % 3 WHEN 0 THEN 'local_complete' WHEN 1 THEN 'local_chat' ELSE 'gateway' END AS shape",
         """CASE WHEN event_id % 17 = 0 THEN 'not json'
+          WHEN event_id % 19 = 0 THEN '{"response":null,"message":{"content":null},"prompt_eval_count":"x","eval_count":2.5,"usage":{"total_tokens":null}}'
+          WHEN event_id % 23 = 0 THEN '[{"response":"x"}]'
           WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN concat('{"response":"r', cast(event_id AS string),
                '","prompt_eval_count":', cast(user_id AS string), ',"eval_count":2}')
           WHEN event_id % 3 = 0 THEN '{"done":true}'
@@ -187,6 +190,40 @@ def tag_replies(spark: SparkSession, root: str) -> DataFrame:
           AS reply""")
 
 
+# --- providers: settings and functions ---
+
+#: Registered providers in registration order: provider, model, temperature, max_tokens, timeout, host.
+PROVIDERS = [
+    ("ollama", "llama3.2", 0.7, 2048, 120, "http://localhost:11434/"),
+    ("litellm", "openai/gpt-4", 0.2, 1024, 60, None),
+    ("mock", "mock/model", 0.7, 2048, 120, None),
+]
+
+
+def unreachable(prompt, options: dict) -> dict:
+    """The local server doesn't run here."""
+    raise completion.ConnectionFailed(options.get("host"))
+
+
+def moody(prompt: str, options: dict) -> dict:
+    """A gateway by the prompt's words: an HTTP error, a crash or an answer that names the options it was given."""
+    n = len(prompt.split())
+    if n % 3 == 0:
+        raise completion.HttpError(503, "busy")
+    if n % 3 == 1:
+        raise ValueError("no answer")
+    said = f"{options['model']} {options['max_tokens']} {options['timeout']}"
+    return {"content": said, "model": options["model"], "prompt_tokens": n, "completion_tokens": 3, "total_tokens": n + 3,
+            "raw": {"prompt": prompt}}
+
+
+def provider_registry() -> completion.ProviderRegistry:
+    return completion.ProviderRegistry(list(PROVIDERS))
+
+
+FUNCTIONS = {"ollama": unreachable, "litellm": moody, "mock": completion.mock_provider}
+
+
 # --- readers of the uploads' bytes (plug-ins of the file and stream queries) ---
 
 def text_layer(data: bytes) -> list[str]:
@@ -261,6 +298,8 @@ DUCK: dict[str, str] = {
     "raw_responses": """SELECT event_id,
  CASE event_id % 3 WHEN 0 THEN 'local_complete' WHEN 1 THEN 'local_chat' ELSE 'gateway' END AS shape,
  CASE WHEN event_id % 17 = 0 THEN 'not json'
+  WHEN event_id % 19 = 0 THEN '{"response":null,"message":{"content":null},"prompt_eval_count":"x","eval_count":2.5,"usage":{"total_tokens":null}}'
+  WHEN event_id % 23 = 0 THEN '[{"response":"x"}]'
   WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN concat('{"response":"r', CAST(event_id AS VARCHAR),
        '","prompt_eval_count":', CAST(user_id AS VARCHAR), ',"eval_count":2}')
   WHEN event_id % 3 = 0 THEN '{"done":true}'

@@ -34,6 +34,22 @@ def test_upload_files(spark):
     assert got["notes.txt"] == (None, "Unsupported file type: text/plain")
 
 
+def test_files_without_pages_and_string_ids(spark):
+    native, images = cols()
+    rows = [("f1", "blank.pdf", "application/pdf", b" . .\n", False, None), ("f2", "a.png", None, b"x", False, None)]
+    up = spark.createDataFrame(rows, "file_id string, file_name string, content_type string, content binary, "
+                                     "force_ocr boolean, language string")
+    rects = spark.createDataFrame([("f1", 1, 10.0, 10.0)], "file_id string, page_number int, width double, height double")
+    blocks = spark.createDataFrame([("f1", 1, 0.0, 0.0, 10.0, 5.0)],
+                                   "file_id string, page_number int, x0 double, y0 double, x1 double, y1 double")
+    got = {r.file_name: (r.content, r.error) for r in api.upload_files(up, native, images, rects, blocks).collect()}
+    assert got == {"blank.pdf": ([], None), "a.png": (["x"], None)}
+    parsed = {r.file_id: (r.filename, r.content, r.error) for r in
+              api.parse_with_model(up, native, images, None, "mock", rects, blocks).collect()}
+    assert parsed == {"f1": ("blank.pdf", "This is a mock response from the LLM.", None),
+                      "f2": ("a.png", "This is a mock response from the LLM.", None)}
+
+
 def test_parse_with_model_and_enhance(spark):
     native, images = cols()
     rects, blocks = layout(spark)

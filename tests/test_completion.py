@@ -76,11 +76,17 @@ def test_normalize_replies(spark):
         ("gateway", '{"choices":[{"message":{"content":null}}]}'),
         ("gateway", '{"choices":[{"message":{"content":"g"}}],"usage":{"prompt_tokens":1,"completion_tokens":2,'
                     '"total_tokens":3}}'),
-        ("gateway", "not json")], "shape string, raw string")
-    rows = [tuple(r) for r in C.normalize_replies(df.withColumn("i", F.monotonically_increasing_id()),
-                                                   keep=("i",)).orderBy("i").drop("i").collect()]
-    assert rows == [("r", 3, 2, None, False), ("", 0, 0, None, False), ("m", 0, 4, None, False),
-                    ("", 0, 0, 0, False), ("g", 1, 2, 3, False), (None, None, None, None, True)]
+        ("gateway", "not json"), ("local_complete", '{"response":"kept","eval_count":2.5,"prompt_eval_count":"x"}'),
+        ("local_complete", '{"response":null,"eval_count":null}'), ("local_chat", "[1]"), ("gateway", None),
+        ("gateway", '{"usage":{"total_tokens":9}}')], "shape string, raw string")
+    out = C.normalize_replies(df.withColumn("i", F.monotonically_increasing_id()).withColumn("m", F.lit("asked")),
+                              model="m", keep=("i", "raw")).orderBy("i").collect()
+    assert all(r.raw_response == r.raw and r.model == "asked" for r in out)
+    assert [(r.content, r.prompt_tokens, r.completion_tokens, r.total_tokens, r.bad) for r in out] == [
+        ("r", 3, 2, None, False), ("", 0, 0, None, False), ("m", 0, 4, None, False),
+        ("", 0, 0, 0, False), ("g", 1, 2, 3, False), (None, None, None, None, True),
+        ("kept", None, None, None, False), (None, 0, None, None, False), (None, None, None, None, True),
+        (None, None, None, None, True), ("", 0, 0, 9, False)]
 
 
 def test_payload_round_trip(spark):
@@ -117,6 +123,50 @@ def test_complete_batch_errors_are_rows(spark):
     assert got[3].error_message == "[flaky] Completion failed: nope"
 
 
+def test_each_row_goes_to_its_provider_with_its_options(spark):
+    def echo(prompt, options):
+        return {"content": prompt.upper(), "model": options["model"], "prompt_tokens": options["max_tokens"],
+                "completion_tokens": options["timeout"], "raw": {"t": options["temperature"], "h": options.get("host")}}
+
+    def away(prompt, options):
+        raise C.ConnectionFailed(options["host"])
+
+    def down(prompt, options):
+        raise C.HttpError(500, "oops")
+
+    registry = C.ProviderRegistry.default()
+    registry.register("litellm", model="openai/x", temperature=0.1)
+    registry.register("other", timeout=5)
+    rows = [("a", "LITELLM", None, None), ("b", "litellm", "no-prefix", None), ("c", "ollama", None, None), ("d", "nobody", None, None),
+            ("e", None, None, None), ("f", "other", "m", 7), ("g", "down", None, None), ("h", "unplugged", None, None)]
+    registry.register("unplugged")
+    req = spark.createDataFrame(rows, "id string, who string, model string, max_tokens long").withColumn("p", F.lit("hi"))
+    got = {r.id: r for r in C.complete_batch(req, F.col("p"), F.col("who"), key="id", registry=registry, functions={
+        "litellm": echo, "ollama": away, "other": echo, "down": down}).collect()}
+    assert (got["a"].content, got["a"].model, got["a"].prompt_tokens, got["a"].raw_response) == ("HI", "openai/x", 2048, '{"t": 0.1, "h": null}')
+    assert (got["f"].model, got["f"].prompt_tokens, got["f"].completion_tokens) == ("m", 7, 5)
+    assert got["b"].error_kind == "configuration" and "provider prefix" in got["b"].error_message
+    assert (got["c"].error_kind, got["c"].error_message) == ("connection", "[ollama] Connection failed to http://localhost:11434")
+    assert got["d"].error_message.startswith("[nobody] Provider 'nobody' not found. Available: ollama, mock, litellm, other")
+    assert (got["e"].error_kind, got["e"].error_message) == ("not_configured", "LLM provider not configured")
+    assert got["g"].error_message == "[down] Completion failed: HTTP 500: oops"
+    assert got["h"].error_kind == "configuration"
+
+
+def test_defaults_of_the_registry(spark):
+    assert C.ProviderRegistry.default().rows == [("ollama", "llama3.2", 0.7, 2048, 120, "http://localhost:11434"),
+                                                 ("litellm", "llama3.2", 0.7, 2048, 120, None), ("mock", "llama3.2", 0.7, 2048, 120, None)]
+
+
+def test_a_chat_about_an_unknown_document_is_an_error_row(spark):
+    conv = spark.createDataFrame([("x", 0, "user", "hi"), ("y", 0, "user", "ho")], "conv_id string, turn long, role string, text string")
+    docs = spark.createDataFrame([("x", "d")], "doc_id string, text string")
+    got = {r.conv_id: (r.content, r.error_kind, r.error_message) for r in C.chat_batch(P.chat_requests(conv, docs), "mock").collect()}
+    assert got == {"x": (C.MOCK_RESPONSE, None, None), "y": (None, "request", P.NO_DOCUMENT)}
+    assert {r.conv_id: r.error for r in C.mock_chat(conv, docs).collect()} == {"x": None, "y": P.NO_DOCUMENT}
+    assert {r.conv_id for r in P.chat_messages(conv, docs).collect()} == {"x"}
+
+
 @pytest.mark.parametrize("text", ["one two", "", "  spaced\tout\n"])
 def test_python_and_jvm_mock_agree(spark, text):
     py = C.mock_provider(text, {})
@@ -137,7 +187,7 @@ def test_complete_batch_concurrent_and_pruned(spark):
                                 "request_id long, p string, a string, b string")
     out = C.complete_batch(req, F.col("p"), "mock", concurrency=4)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "MapInPandas" in plan and " a#" not in plan and " b#" not in plan
+    assert "MapInArrow" in plan and "hashpartitioning" not in plan and " a#" not in plan and " b#" not in plan
     got = {r.request_id: r.prompt_tokens for r in out.collect()}
     assert got == {i: i % 5 for i in range(40)}
 
