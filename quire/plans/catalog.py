@@ -95,8 +95,8 @@ D_ROUTED = f"""(SELECT *, CASE WHEN is_image THEN 'image'
    FROM uploads u LEFT JOIN (
      SELECT file_id, CASE WHEN sum(page_area) > 0 THEN sum(text_area) / sum(page_area) ELSE CAST(0 AS DOUBLE) END
        AS coverage
-     FROM (SELECT file_id, abs((x1 - x0) * (y1 - y0)) AS text_area, CAST(0 AS DOUBLE) AS page_area FROM page_blocks
-           UNION ALL SELECT file_id, CAST(0 AS DOUBLE), abs(width * height) FROM page_rects)
+     FROM (SELECT file_id, greatest(x1 - x0, 0) * greatest(y1 - y0, 0) AS text_area, CAST(0 AS DOUBLE) AS page_area FROM page_blocks
+           UNION ALL SELECT file_id, CAST(0 AS DOUBLE), greatest(width, 0) * greatest(height, 0) FROM page_rects)
      GROUP BY file_id) c USING (file_id)))"""
 D_PARSE_PROMPT = "concat(coalesce(nullif(prompt, ''), 'Extract and summarize the key information from the " \
                  "following document:' || chr(10) || chr(10)), text)"

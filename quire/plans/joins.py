@@ -21,14 +21,11 @@ def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
 
 
 def checked_broadcast(df: DataFrame, max_rows: int, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+    """Broadcast ``df`` only where its row count is known beforehand (a literal frame) and within ``max_rows``.
 
-    The check runs ``limit(max_rows + 1).count()``: it stops reading as soon as
-    the bound is exceeded and brings one number to the driver. Over the bound
-    the frame is returned unhinted and the join falls back to a shuffle join
-    (or to AQE's own runtime choice).
+    Otherwise no hint is given and no job is run to find out: AQE picks the
+    join from the sizes it measures.
     """
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    if n <= max_rows:
+    if known_rows is not None and known_rows <= max_rows:
         return F.broadcast(df)
     return df

@@ -25,10 +25,17 @@ BASE_CONF = {
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "quire", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "quire", extra: dict | None = None,
+                  input_bytes: int | None = None, executors: int | None = None) -> SparkSession:
+    """A session with quire's settings; on a cluster name ``input_bytes`` and ``executors``, and scans, shuffles and
+    Arrow batches are sized by :func:`cluster_conf` instead of ``shuffle_partitions``."""
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if input_bytes is not None and executors is not None:
+        conf.update(cluster_conf(input_bytes, executors))
+    elif not master.startswith("local"):
+        raise ValueError("on a cluster, build_session needs input_bytes and executors to size its partitions")
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -73,6 +80,8 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = id(spark.sparkContext)
     if key not in _LOCAL_DIRS:
         local = tempfile.mkdtemp(prefix="quire-")

@@ -38,3 +38,36 @@ def test_cluster_sizing():
     assert int(conf["spark.sql.execution.arrow.maxRecordsPerBatch"]) <= 1000
     small = cluster_conf(10 * 2**30, executors=10)
     assert small["spark.sql.shuffle.partitions"] == "120"  # 3x the 40 cores beats 40 partitions of 256 MiB
+
+
+def test_sessions_on_a_cluster_are_sized_and_need_a_shared_folder(monkeypatch):
+    import pytest
+
+    from quire import session
+
+    with pytest.raises(ValueError, match="input_bytes"):
+        session.build_session("spark://host:7077")
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Cluster:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster())
+
+
+def test_unsized_frames_are_not_hinted_and_cost_no_job(spark):
+    from quire.plans.joins import checked_broadcast
+
+    df = spark.range(5)
+    assert checked_broadcast(df, 10) is df and checked_broadcast(df, 10, known_rows=11) is df
+    assert "hint" in checked_broadcast(df, 10, known_rows=5)._jdf.queryExecution().logical().toString().lower()
