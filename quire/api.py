@@ -5,7 +5,7 @@
 | upload one/many files | ``upload_files``     | file_id, file_name, content (ARRAY<STRING>), error |
 | parse with a model    | ``parse_with_model`` | file_id, filename, content, llm_model, error      |
 | enhance text          | ``enhance_text``     | request_id, original_length, enhanced_text, llm_model, error |
-| health                | ``health``           | n_components, n_unhealthy, healthy, status        |
+| health                | ``health``           | n_components, n_unhealthy, healthy, status, components |
 | mock upload           | ``mock_upload``      | batch_id, status, received_count, file_names      |
 
 Inputs are the relations the operators use: ``uploads(file_id, file_name,
@@ -93,7 +93,7 @@ def enhance_text(requests: DataFrame, provider: str = "mock") -> DataFrame:
 
 
 def health(component_status: DataFrame) -> DataFrame:
-    return checks.health_rollup(component_status)
+    return checks.health_rollup(component_status, components=True)
 
 
 def mock_upload(uploads: DataFrame, batch: Column) -> DataFrame:

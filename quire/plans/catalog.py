@@ -79,10 +79,22 @@ def _bool_meta(col: str, key: str):
 
 # DuckDB building blocks
 
-D_STRIP = T.duck_strip
-D_TC = T.duck_token_count
-D_IMAGE_MIME = ", ".join(f"'{x}'" for x in intake.IMAGE_MIME_TYPES)
-D_IMAGE_EXT = ", ".join(f"'{x}'" for x in intake.IMAGE_EXTENSIONS)
+# Fixed values, spelled out again so that a wrong constant in the operators doesn't pass: image types and endings, and
+# the code points that count as white space.
+D_IMAGE_MIME = "'image/png', 'image/jpeg', 'image/jpg', 'image/gif', 'image/bmp', 'image/tiff', 'image/webp'"
+D_IMAGE_EXT = "'png', 'jpg', 'jpeg', 'gif', 'bmp', 'tiff', 'webp'"
+D_BLANK = (r"\x{9}\x{a}\x{b}\x{c}\x{d}\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+           r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+
+
+def D_STRIP(text: str) -> str:
+    return f"regexp_replace({text}, '^[{D_BLANK}]+|[{D_BLANK}]+$', '', 'g')"
+
+
+def D_TC(text: str) -> str:
+    return f"CAST(len(regexp_extract_all(coalesce({text}, ''), '[^{D_BLANK}]+')) AS BIGINT)"
+
+
 D_ROUTED_CTES = ("uploads", "page_rects", "page_blocks")
 D_ROUTED = f"""(SELECT *, CASE WHEN is_image THEN 'image'
    WHEN is_pdf THEN CASE WHEN coalesce(force_ocr, false) OR scanned THEN 'searchable_pdf' ELSE 'native_pdf' END
@@ -771,15 +783,14 @@ def q_duplicate_keys(spark, root):
 
 
 @register("duplicate_page_keys", with_ctes(
-    "SELECT concat(document_id, '#', CAST(page_number AS VARCHAR)) AS value, count(*) AS n FROM"
+    "SELECT document_id, page_number, count(*) AS n FROM"
     " (SELECT document_id, page_number FROM store_pages UNION ALL SELECT document_id, page_number FROM incoming_pages)"
     " GROUP BY document_id, page_number HAVING count(*) > 1", "store_pages", "incoming_pages"))
 def q_duplicate_page_keys(spark, root):
     """V2 for pages: (document_id, page_number) must be unique; checked on stored + incoming pages together."""
     both = fx.store_pages(spark, root).select("document_id", "page_number").unionByName(
         fx.incoming_pages(spark, root).select("document_id", "page_number"))
-    keyed = both.select(F.concat("document_id", F.lit("#"), F.col("page_number").cast("string")).alias("page_key"))
-    return checks.duplicates(keyed, "page_key")
+    return checks.duplicates(both, "document_id", "page_number")
 
 
 @register("orphan_pages", with_ctes(
@@ -804,6 +815,14 @@ def q_null_violations(spark, root):
     return docs.unionByName(pages)
 
 
+@register("health_components", with_ctes(
+    """SELECT component, healthy, CASE WHEN healthy THEN 'healthy' ELSE 'degraded' END AS status
+ FROM (SELECT component, arg_max(coalesce(healthy, false), ts) AS healthy FROM component_status GROUP BY component)""",
+    "component_status"))
+def q_health_components(spark, root):
+    return checks.health_components(fx.component_status(spark, root))
+
+
 @register("health_rollup", with_ctes(
     """SELECT count(*) AS n_components, count(*) FILTER (WHERE NOT healthy) AS n_unhealthy,
   coalesce(bool_and(healthy), true) AS healthy,

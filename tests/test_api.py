@@ -66,7 +66,8 @@ def test_health_and_mock_upload(spark):
     import datetime as dt
     status = spark.createDataFrame([("db", dt.datetime(2024, 1, 1), True)], "component string, ts timestamp_ntz, "
                                                                              "healthy boolean")
-    assert api.health(status).first().status == "healthy"
+    r = api.health(status).first()
+    assert r.status == "healthy" and r.components["db"].healthy and r.components["db"].status == "healthy"
     r = api.mock_upload(uploads(spark), F.lit(0)).first()
     assert (r.received_count, r.file_names) == (3, "doc.pdf,notes.txt,scan.png")
 

@@ -27,7 +27,7 @@ def test_entry_and_python_stage_from_another_directory():
     lines = {ln.split(" ", 1)[0]: ln for ln in out.stdout.splitlines() if ln.split(" ", 1)[0] in
              ("ENTRY", "PYSTAGE", "KEYS")}
     assert "ENTRY" in lines, out.stderr[-2000:]
-    assert lines["ENTRY"].endswith(" 2") and "route:string,language:string" in lines["ENTRY"]
+    assert lines["ENTRY"].endswith(" 6") and "route:string,language:string" in lines["ENTRY"]
     assert lines["PYSTAGE"] == "PYSTAGE 200"
     keys, oracles, without = map(int, lines["KEYS"].split()[1:])
     assert keys >= oracles and without == 0
