@@ -153,8 +153,8 @@ def formatted(records: DataFrame) -> DataFrame:
         F.element_at(acc, -1) + head + tail + F.length(p["role"]) + F.length(p["text"]))))
     text = F.array_join(F.transform("_parts", lambda p: F.concat(F.lit(START), p["role"], F.lit("\n"), p["text"],
                                                                  F.lit(END + "\n"))), "")
-    mask = F.transform("_parts", lambda p, i: F.struct(
-        (F.get("_ends", i) + head + F.length(p["role"])).alias("start"), F.length(p["text"]).cast("long").alias("length"),
+    mask = F.zip_with("_parts", F.slice("_ends", 1, F.size("_parts")), lambda p, start: F.struct(
+        (start + head + F.length(p["role"])).alias("start"), F.length(p["text"]).cast("long").alias("length"),
         p["loss"].alias("loss")))
     return (records.withColumn("_parts", parts).withColumn("_ends", ends).withColumn("formatted", text)
             .withColumn("mask", mask).drop("_parts", "_ends"))
@@ -168,10 +168,10 @@ def read_back(records: DataFrame) -> DataFrame:
     cut = F.transform("_pieces", lambda p: F.struct(F.instr(p, F.lit("\n")).alias("at"), p.alias("piece")))
     ends = F.aggregate("_pieces", F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(
         F.element_at(acc, -1) + F.length(p) + len(END) + 1)))
-    read = F.transform("_cut", lambda c, i: F.struct(
+    read = F.zip_with("_cut", F.slice("_ends", 1, F.size("_cut")), lambda c, start: F.struct(
         _unescape(F.substring(c["piece"], F.lit(len(START) + 1), c["at"] - len(START) - 1), role=True).alias("role"),
         _unescape(F.substring(c["piece"], c["at"] + 1, F.length(c["piece"]))).alias("text"),
-        (F.get("_ends", i) + c["at"]).alias("start"),
+        (start + c["at"]).alias("start"),
         (F.length(c["piece"]) - c["at"]).cast("long").alias("length")))
     loss = F.transform(F.filter(F.arrays_zip(F.col("read").alias("read"), F.col("mask").alias("mask")), lambda z: (
         z["mask"]["loss"] & (z["mask"]["start"] == z["read"]["start"]) & (z["mask"]["length"] == z["read"]["length"]))),
