@@ -43,9 +43,8 @@ def upload_files(uploads: DataFrame, native_pages: Column, page_images: Column,
     if available_languages is not None:
         routed = extract.resolve_language(routed, available_languages)
         language = F.col("resolved_language")
-    pages = extract.ingest_pages(routed, native_pages, page_images, F.col("content"), recogniser, language)
-    supported = routed.filter(F.col("route") != intake.ROUTE_UNSUPPORTED)
-    results = assemble.upload_results(pages, supported).withColumn("error", F.lit(None).cast("string"))
+    results = extract.file_results(routed, native_pages, page_images, F.col("content"), recogniser, language).withColumn(
+        "error", F.lit(None).cast("string"))
     errors = intake.unsupported_files(routed, keep=("file_name",)).select(
         "file_id", "file_name", F.lit(None).cast("array<string>").alias("content"), "error")
     return results.unionByName(errors)

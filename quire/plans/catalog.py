@@ -274,8 +274,11 @@ def q_pages_with_document(spark, root):
     f" FROM {D_ROUTED} u LEFT JOIN ({D_INGEST}) i USING (file_id) WHERE u.route <> 'unsupported'"
     " GROUP BY u.file_id, u.file_name", "page_text", *D_ROUTED_CTES))
 def q_upload_results(spark, root):
-    asked = intake.route(fx.uploads(spark, root), None).filter(F.col("route") != intake.ROUTE_UNSUPPORTED)
-    res = assemble.upload_results(_ingested(spark, root), asked)
+    routed = extract.resolve_language(_routed(spark, root), _available_languages(spark),
+                                      known_rows=len(AVAILABLE_LANGUAGES), distinct=True)
+    res = extract.file_results(
+        routed, F.split("text", "[.]"), F.transform(F.split("text", "\n"), lambda x: F.encode(x, "UTF-8")),
+        F.encode("text", "UTF-8"), language=F.col("resolved_language"))
     return res.select("file_id", "file_name", F.size("content").cast("bigint").alias("n_pages"),
                       F.array_join("content", "\n").alias("content"))
 

@@ -25,7 +25,7 @@ def summarise(plan: str) -> dict:
                                    r"Exchange RoundRobinPartitioning", plan)),
         "broadcasts": plan.count("BroadcastExchange"),
         "smj": plan.count("SortMergeJoin"),
-        "python": plan.count("MapInPandas"),
+        "python": plan.count("MapInPandas") + plan.count("MapInArrow"),
         "scans": sorted(set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan))),
     }
 
