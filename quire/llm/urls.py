@@ -17,7 +17,7 @@ before anything is shuffled by host, so a hot host or a million pages under one
 branch are one row. Only the last join goes back to the URLs.
 
 Defined results: null or without ``://``: host and path are empty, no rule fits,
-and the template is ``/``. Segments beyond ``DEPTH`` form the last one (``**``).
+and the path is one empty segment. Segments beyond ``DEPTH`` form the last one (``**``).
 """
 
 from __future__ import annotations
