@@ -8,12 +8,15 @@ text (tests compare them).
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words remembered by a Python worker; it starts anew beyond them.
-REMEMBERED = 600_000
+#: Words that a Python worker remembers from one turn of its memory; beyond them a new turn begins, and words of the
+#: last turn are still known (and taken over) while it lasts.
+REMEMBERED = 400_000
 #: Marks that a word may end in without changing the ids before them.
 _TAIL = ".,;:!?"
 #: What must stand before them: letters and digits that normalising leaves as such.
@@ -26,22 +29,26 @@ def _tokenizer(path: str) -> tuple:
     if path not in _loaded:
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        _loaded[path] = (Tokenizer.from_file(path), {}, {})
     return _loaded[path]
 
 
 def _encode(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words end to end, and the bounds of each word's."""
-    tokenizer, known = _tokenizer(path)
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = words
-    for i in range(0, len(new), 4096):
-        part = new[i:i + 4096]
-        for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
-    found = [known[w] for w in words]
+    tokenizer, known, before = _tokenizer(path)
+    if len(known) > REMEMBERED:
+        before, known = known, {}
+        _loaded[path] = (tokenizer, known, before)
+    found = []
+    for w in words:
+        ids = known.get(w)
+        if ids is None:
+            ids = before.get(w)
+            if ids is None:
+                # Word by word: Spark runs a task per core, so the library's threads would only wait for each other.
+                ids = array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+            known[w] = ids
+        found.append(ids)
     bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4)])
     return np.frombuffer(b"".join(found), dtype=np.uint32), bounds
 
