@@ -72,8 +72,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without repeated line chunks."""
-    out = linechunks.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document's text without repeated passages and line chunks; n_removed counts lines."""
+    out = linechunks.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), linechunks.PASSAGE)
     return out.select("_in.doc_id", "text", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"))
 
 
