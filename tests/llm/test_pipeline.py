@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import written
 from quire.llm.queries import ORACLE, QUERIES
 
-from .helpers import nasty_docs, rows_of
+from .helpers import nasty_docs, prose, rows_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,3 +51,13 @@ def test_every_operator_is_registered():
 def test_run_returns_pieces(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.agg(F.min("offset")).first()[0] == 0 and out.count() > 0
+
+
+def test_one_of_a_group_of_copies_is_left(spark):
+    texts = ["\n".join(" ".join(prose(900 * g + i, (50, 3, 45, 2, 8, 9)[(i + g) % 6])) for i in range(g + 1)) for g in range(10)]
+    docs = spark.createDataFrame([(10 * g + k, t, len(t)) for g, t in enumerate(texts) for k in range(4)],
+                                 "doc_id long, text string, n_chars long")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_duplicates):
+        docs = written(stage(spark, docs, SF), "stage")
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(d // 10 for d in left) == list(range(10)) and all(left[d] == texts[d // 10] for d in left)
