@@ -7,7 +7,10 @@ fitting sample: the target (documents labelled good and not toxic) and the raw
 text (all labelled documents as they come). A segment's importance is the
 summed log ratio of the two models over ``segment`` words; a document weighs as
 little as its worst segment, so a few insults aren't outvoted by a long clean
-rest. Documents are then resampled without replacement: log weight plus Gumbel
+rest. The least of many segments is low by chance, so what clean text of as many
+segments loses is given back: ``drift`` times the log of their number, fitted on
+held-out clean documents (the least of n draws from an exponential tail falls by
+the log of n). Documents are then resampled without replacement: log weight plus Gumbel
 noise (scaled by ``temperature``), top k. k is what a cut-off, chosen on
 held-out labelled documents, lets through.
 
@@ -99,7 +102,12 @@ def log_ratio(good: np.ndarray, every: np.ndarray, prior: float = PRIOR) -> np.n
 
 
 def weigh(texts: pa.Array, ratio: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
-    """Log weight of each row: the smallest summed log ratio of its segments."""
+    """The smallest summed log ratio of each row's segments."""
+    return worst_segments(texts, ratio, segment)[0]
+
+
+def worst_segments(texts: pa.Array, ratio: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """``weigh`` of each row, and its number of segments."""
     kinds = features(texts)
     n = np.ones(len(texts), dtype=np.int64)
     for _, rows, place in kinds:
@@ -115,15 +123,24 @@ def weigh(texts: pa.Array, ratio: np.ndarray, segment: int = SEGMENT) -> np.ndar
         used[first[rows] + place // segment] = True
     total[~used] = np.inf
     worst = np.minimum.reduceat(total, first[:-1]) if len(texts) else total
-    return np.where(np.isfinite(worst), worst, 0.0)
+    return np.where(np.isfinite(worst), worst, 0.0), n
+
+
+def drift(worst: np.ndarray, segments: np.ndarray) -> float:
+    """By how much clean documents' worst segments fall with the log of the number of segments; 0 if they don't."""
+    x = np.log(segments)
+    if len(x) < 2 or not np.ptp(x):
+        return 0.0
+    return max(0.0, -float(np.polyfit(x, worst, 1)[0]))
 
 
 def _weigh(ratio, segment: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
+            worst, n = worst_segments(col(b, "text"), ratio.value, segment)
             yield pa.RecordBatch.from_arrays(
-                [*(col(b, c) for c in keep), pa.array(weigh(col(b, "text"), ratio.value, segment), pa.float64())],
-                [*keep, "log_weight"])
+                [*(col(b, c) for c in keep), pa.array(worst, pa.float64()), pa.array(n, pa.int64())],
+                [*keep, "_worst", "_segments"])
 
     return run
 
@@ -214,11 +231,19 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
     ratio = spark.sparkContext.broadcast(fit(docs, known))
     schema = docs.select(*keep).schema.simpleString()[len("struct<"):-1]
     named = docs.select(*keep, *[F.col("text").cast("string").alias("text")] * ("text" not in keep))
-    weighed = named.mapInArrow(_weigh(ratio, SEGMENT, keep), f"{schema}, log_weight double")
-    scored = written(weighed.withColumn("score", gumbel(temperature)), "scored")
+    weighed = written(named.mapInArrow(_weigh(ratio, SEGMENT, keep), f"{schema}, _worst double, _segments long"), "weighed")
+    held = weighed.join(F.broadcast(known.where("held")), "doc_id")
+    clean = held.where("good").select("_worst", "_segments").toPandas()
+    by = drift(clean["_worst"].to_numpy(dtype=float), clean["_segments"].to_numpy(dtype=float))
+
+    def with_score(df: DataFrame) -> DataFrame:
+        return (df.withColumn("log_weight", F.col("_worst") + F.lit(by) * F.log("_segments"))
+                .withColumn("score", gumbel(temperature)))
+
+    scored = with_score(weighed).drop("_worst", "_segments")
     if k is None:
-        held = scored.join(F.broadcast(known.where("held")), "doc_id").select("score", "good").toPandas()
-        cut = cut_off(held["score"].to_numpy(dtype=float), held["good"].to_numpy(dtype=bool))
+        seen = with_score(held).select("score", "good").toPandas()
+        cut = cut_off(seen["score"].to_numpy(dtype=float), seen["good"].to_numpy(dtype=bool))
         k = scored.where(F.col("score") >= F.lit(cut)).count()
     return scored.withColumn("kept", top_k(scored, k))
 

@@ -78,3 +78,19 @@ def test_k_is_kept(spark):
     out = I.resample(docs, known, k=50)
     assert out.where("kept").count() == 50
     assert out.where("kept").agg(F.min("score")).first()[0] >= out.where("not kept").agg(F.max("score")).first()[0]
+
+
+def test_clean_documents_are_kept_whatever_their_length(spark):
+    """Held out, by length class: the weight doesn't fall with length, nor does the share that is kept."""
+    sf = "/root/testdata/sf0.1"
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    hidden = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(2)) == 0
+    out = I.resample(docs, known.where(~hidden), keep=["doc_id", "text"])
+    n = F.size(F.split("text", "[ \\t-\\r]+"))
+    seen = (out.join(known.where(hidden).where("quality = 1 and toxic = 0"), "doc_id")
+            .groupBy(F.when(n < 100, 0).when(n < 500, 1).when(n < 2000, 2).otherwise(3).alias("size"))
+            .agg(F.count("*").alias("n"), F.avg(F.col("kept").cast("int")).alias("kept"), F.median("log_weight").alias("weight"))
+            .orderBy("size").collect())
+    print(seen)
+    assert all(r.kept > 0.95 for r in seen[:3]) and seen[3].kept > 0.8
+    assert max(r.weight for r in seen) - min(r.weight for r in seen) < 1.5
