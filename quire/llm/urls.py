@@ -8,20 +8,27 @@ The rest by templates. Segments with digits lose them (``825.html`` becomes
 segment keeps a branch of its own if it has enough support and its share of
 allowed, blocked and unlabelled URLs differs from its siblings' (G-test against
 the rest of the branch). Such siblings with like shares (to a tenth) merge into
-one, named by its first and ``~``; all others merge into a wildcard ``*``. A
+one, named by its first and ``~``. The others merge into a wildcard ``*`` if all
+of them or none are labelled; else those with unlabelled URLs stay apart under
+their own segments, so no wildcard carries labels over to other segments. A
 template is rejected if the purity of its labelled URLs, (allowed + 1) /
-(allowed + blocked + 2), is below ``PURITY``: without labels it is let through.
+(allowed + blocked + 2), is below ``PURITY`` and there are ``SUPPORT`` of them at
+least. With fewer it goes by the deepest branch of its own above it, under the
+same two conditions, and else is let through.
 
 All of it is DataFrame code on counts: one row per host and shape, aggregated
 before anything is shuffled by host, so a hot host or a million pages under one
 branch are one row. Only the last join goes back to the URLs.
 
 Defined results: null or without ``://``: host and path are empty, no rule fits,
-and the path is one empty segment. Segments beyond ``DEPTH`` form the last one (``**``).
+and the path is one empty segment. ``judged`` goes as deep as the longest path; with a ``depth``, segments beyond it
+form the last one (``**``).
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +60,11 @@ def rule_verdict(rules: list[tuple[str, str, bool]], host: Column, path: Column)
     return name, allowed
 
 
-def shape(path: Column, depth: int = DEPTH) -> Column:
+def shape(path: Column, depth: int | None = DEPTH) -> Column:
     """Segments with runs of digits made alike."""
     parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "<n>"), "/", -1)
+    if depth is None:
+        return parts
     return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
 
 
@@ -70,38 +79,57 @@ def _g(rows: list[tuple[str, str]]) -> Column:
     return out
 
 
-def template_tree(urls: DataFrame, depth: int = DEPTH, support: int = SUPPORT) -> DataFrame:
-    """host, shape, template of all ``urls`` (host, shape, allowed: null where unlabelled), with the template's counts."""
+def template_tree(urls: DataFrame, depth: int | None = DEPTH, support: int = SUPPORT) -> DataFrame:
+    """host, shape, template of all ``urls`` (host, shape, allowed: null where unlabelled), with the counts of the
+    template (n_) and of the labels of the deepest branch of its own (own_)."""
     tree = (urls.groupBy("host", "shape").agg(
         F.count(F.when(F.col("allowed"), 1)).alias("ok"), F.count(F.when(~F.col("allowed"), 1)).alias("bad"),
         F.count(F.when(F.col("allowed").isNull(), 1)).alias("open"))
-        .withColumn("template", F.lit("")))
+        .withColumns({"template": F.lit(""), "own_ok": F.lit(0).cast("long"), "own_bad": F.lit(0).cast("long")}))
     tree = written(tree, "shapes")
     kinds = ["ok", "bad", "open"]
-    for level in range(depth + 1):
+    for level in count() if depth is None else range(depth + 1):
         part = F.get("shape", F.lit(level))
         branch = (tree.withColumn("part", part).where("part is not null").groupBy("host", "template", "part")
                   .agg(*(F.sum(k).alias(k) for k in kinds)))
         whole = branch.groupBy("host", "template").agg(*(F.sum(k).alias(f"all_{k}") for k in kinds))
         total = sum((F.col(k) for k in kinds), F.lit(0))
-        own = branch.join(whole, ["host", "template"]).where(
-            (total >= support) & (_g([(k, f"all_{k}") for k in kinds]) >= DIFFERS)).select(
-            "host", "template", "part", F.array(*(F.round(10 * F.col(k) / total) for k in kinds)).alias("profile"))
-        alike = own.groupBy("host", "template", "profile").agg(F.min("part").alias("name"), F.count("*").alias("n"))
+        differs = (total >= support) & (_g([(k, f"all_{k}") for k in kinds]) >= DIFFERS)
+        branch = written(branch.join(whole, ["host", "template"]).select(
+            "host", "template", "part", *kinds, differs.alias("differs"),
+            F.array(*(F.round(10 * F.col(k) / total) for k in kinds)).alias("profile")), "branches")
+        own = branch.where("differs")
+        alike = own.groupBy("host", "template", "profile").agg(
+            F.min("part").alias("name"), F.count("*").alias("n"), F.sum("ok").alias("to_ok"), F.sum("bad").alias("to_bad"))
         own = own.join(alike, ["host", "template", "profile"]).select("host", "template", "part", F.when(
-            F.col("n") > 1, F.concat("name", F.lit("~"))).otherwise(F.col("name")).alias("own"))
-        tree = (tree.withColumn("part", part).join(own, ["host", "template", "part"], "left")
+            F.col("n") > 1, F.concat("name", F.lit("~"))).otherwise(F.col("name")).alias("own"), "to_ok", "to_bad")
+        # Where labelled and unlabelled URLs would meet in the wildcard, branches with unlabelled ones keep their segments.
+        mixed = (branch.where("not differs").groupBy("host", "template")
+                 .agg(F.sum(F.col("ok") + F.col("bad")).alias("known"), F.sum("open").alias("unknown"))
+                 .where("known > 0 and unknown > 0").select("host", "template"))
+        apart = branch.where("not differs and open > 0").join(mixed, ["host", "template"]).select(
+            "host", "template", "part", F.col("part").alias("own"), F.lit(None).cast("long").alias("to_ok"),
+            F.lit(None).cast("long").alias("to_bad"))
+        tree = (tree.withColumn("part", part).join(own.unionByName(apart), ["host", "template", "part"], "left")
                 .withColumn("template", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat(
-                    "template", F.lit("/"), F.coalesce("own", F.lit("*"))))).drop("part", "own"))
+                    "template", F.lit("/"), F.coalesce("own", F.lit("*")))))
+                .withColumns({f"own_{k}": F.coalesce(f"to_{k}", f"own_{k}") for k in ("ok", "bad")})
+                .drop("part", "own", "to_ok", "to_bad"))
         tree = written(tree, "tree")
-        if level < depth and tree.where(F.size("shape") > level + 1).isEmpty():
+        if level != depth and tree.where(F.size("shape") > level + 1).isEmpty():
             break
     counts = tree.groupBy("host", "template").agg(*(F.sum(k).alias(f"n_{k}") for k in kinds))
-    return tree.select("host", "shape", "template").join(counts, ["host", "template"])
+    return tree.select("host", "shape", "template", "own_ok", "own_bad").join(counts, ["host", "template"])
+
+
+def purity(support: int = SUPPORT) -> Column:
+    """Of the template, or of the branch above it where only that has enough labels."""
+    n, own = F.col("n_ok") + F.col("n_bad"), F.col("own_ok") + F.col("own_bad")
+    return F.when((n < support) & (own >= support), (F.col("own_ok") + 1) / (own + 2)).otherwise((F.col("n_ok") + 1) / (n + 2))
 
 
-def purity() -> Column:
-    return (F.col("n_ok") + 1) / (F.col("n_ok") + F.col("n_bad") + 2)
+def enough(support: int = SUPPORT) -> Column:
+    return (F.col("n_ok") + F.col("n_bad") >= support) | (F.col("own_ok") + F.col("own_bad") >= support)
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, bool]], keep: list[str] | None = None) -> DataFrame:
@@ -110,9 +138,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, bool]], keep: list[str]
     url = F.col("url").cast("string")
     placed = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"))
     name, allowed = rule_verdict(rules, F.col("host"), F.col("path"))
-    ruled = placed.withColumns({"rule": name, "allowed": allowed, "shape": shape(F.col("path"))})
-    tree = template_tree(ruled.select("host", "shape", "allowed")).withColumn("purity", purity())
-    out = ruled.join(tree.select("host", "shape", "template", "purity"), ["host", "shape"])
-    fine = F.coalesce("allowed", F.col("purity") >= PURITY)
+    ruled = placed.withColumns({"rule": name, "allowed": allowed, "shape": shape(F.col("path"), None)})
+    tree = template_tree(ruled.select("host", "shape", "allowed"), None).withColumns({"purity": purity(), "enough": enough()})
+    out = ruled.join(tree.select("host", "shape", "template", "purity", "enough"), ["host", "shape"])
+    fine = F.coalesce("allowed", (F.col("purity") >= PURITY) | ~F.col("enough"))
     return out.select(*keep, "host", "path", "rule", F.when(fine, "allow").otherwise("block").alias("verdict"),
                       "template", "purity")

@@ -76,3 +76,21 @@ def test_verdict_without_a_rule_follows_the_purity(spark):
 def test_empty(spark, rules):
     assert U.judged(frame(spark, ["x"]).limit(0), rules).count() == 0
     assert U.judged(frame(spark, URLS), rules).count() == len(URLS)
+
+
+def test_labels_stay_with_their_segments(spark):
+    """What a rule decides on one segment says nothing of its siblings, however few rows the host has."""
+    sizes = ((1, 1), (1, 8), (5, 4), (3, 30), (40, 1))
+    urls = [f"http://a{k}.net/es/{i}.html" for k, (n, _) in enumerate(sizes) for i in range(n)]
+    urls += [f"http://a{k}.net/{x}/{i}.html" for k, (_, n) in enumerate(sizes) for x in ("en", "de") for i in range(n)]
+    out = U.judged(frame(spark, urls).drop("template", "shape"), URL_RULES, keep=["url"]).collect()
+    assert len(out) == len(urls) and all(r.verdict == ("block" if "/es/" in r.url else "allow") for r in out)
+
+
+def test_paths_part_beyond_the_sixth_segment(spark):
+    rules = [("a.org", "/1/2/3/4/5/6/7/8/bad/", False), ("a.org", "/1/2/3/4/5/6/7/8/good/", True)]
+    deep = "http://a.org/1/2/3/4/5/6/7/8"
+    urls = [f"{deep}/{x}/{i}" for x in ("bad", "good", "else") for i in range(30)]
+    out = U.judged(frame(spark, urls).drop("template", "shape"), rules, keep=["url"]).collect()
+    assert {r.url.split("/")[11]: r.verdict for r in out} == {"bad": "block", "good": "allow", "else": "allow"}
+    assert all(r.template.count("/") == 10 for r in out)
