@@ -46,6 +46,8 @@ RECALL = 0.9995
 #: Most representatives, and shingles on average, that a block is to hold.
 BLOCK = 96
 BLOCK_SHINGLES = 1 << 18
+#: Blocks of a bucket that a task pairs with all others of the bucket.
+MEET = 64
 _COLUMNS = 4096
 
 
@@ -211,6 +213,24 @@ def _spread(edges: DataFrame) -> DataFrame:
         label = new.drop("old")
 
 
+def meeting(met: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of blocks (label, part) that share a bucket (band, hash): a row a pair, several times at most.
+
+    Of buckets with the same blocks, told by their number and 128 bits, one is taken. A bucket's blocks on one side are
+    dealt to salts, ``MEET`` a salt on average, so neither a row nor a task holds all pairs of a bucket.
+    """
+    digest = [F.bit_xor(F.xxhash64("label", "part", F.lit(k))).alias(f"digest{k}") for k in (0, 1)]
+    kinds = met.groupBy("band", "hash").agg(F.count("*").alias("n"), *digest).where("n > 1")
+    taken = (kinds.groupBy("n", "digest0", "digest1").agg(F.min(F.struct("band", "hash")).alias("of"))
+             .select("of.band", "of.hash", F.ceil(F.col("n") / MEET).alias("salts")))
+    rows = written(met.join(taken, ["band", "hash"]), "meeting")
+    place = F.struct("label", "part")
+    left = rows.select("band", "hash", F.pmod(F.xxhash64("label", "part"), F.col("salts")).alias("salt"), place.alias("a"))
+    right = rows.select("band", "hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+                        place.alias("b"))
+    return left.join(right, ["band", "hash", "salt"]).where("a < b").select("a", "b")
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = RECALL,
          keep: list[str] | None = None) -> DataFrame:
     """A row per document: uid, the ``keep`` columns (``doc_id`` by default), class_uid (the class's smallest uid),
@@ -239,12 +259,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall
         "uid", "label", F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part")), "blocks")
 
     # Which blocks meet: each with itself, and those that share a bucket.
-    seen = (bucket.join(block, "uid").groupBy("band", "hash")
-            .agg(F.array_sort(F.collect_set(F.struct("label", "part"))).alias("blocks"))
-            .where(F.size("blocks") > 1).select("blocks").distinct())
-    pair = seen.select(F.explode(F.expr(
-        "flatten(transform(blocks, (x, i) -> transform(slice(blocks, i + 2, size(blocks)), y -> struct(x as a, y as b))))"))
-        .alias("pair")).select("pair.a", "pair.b")
+    pair = meeting(written(bucket.join(block, "uid").select("band", "hash", "label", "part").distinct(), "met"))
     own = block.select(F.struct("label", "part").alias("a")).distinct()
     pair = pair.unionByName(own.select("a", F.col("a").alias("b"))).distinct().select(
         F.col("a.label").alias("al"), F.col("a.part").alias("ap"), F.col("b.label").alias("bl"), F.col("b.part").alias("bp"))

@@ -109,3 +109,17 @@ def test_one_of_each_class_stays_with_all_columns(spark):
 def test_empty(spark):
     assert J.join(empty_docs(spark)).count() == 0
     assert J.distinct_documents(empty_docs(spark)).count() == 0
+
+
+def test_pairs_of_blocks_are_rows_of_their_own(spark, monkeypatch):
+    """No row holds a bucket: every pair is made by a join, for buckets of one block and of many."""
+    monkeypatch.setattr(J, "MEET", 4)
+    r = random.Random(5)
+    buckets = {(b, h): {(r.randrange(3), r.randrange(60)) for _ in range(n)} for b in range(2) for h, n in enumerate((1, 2, 5, 60))}
+    buckets[1, 9] = buckets[0, 3]
+    met = spark.createDataFrame([(b, h, x, y) for (b, h), own in buckets.items() for x, y in own], "band int, hash long, label long, part long")
+    out = J.meeting(met)
+    got = [(tuple(p.a), tuple(p.b)) for p in out.collect()]
+    assert set(got) == {(x, y) for own in buckets.values() for x in own for y in own if x < y}
+    assert dict(out.dtypes) == {"a": "struct<label:bigint,part:bigint>", "b": "struct<label:bigint,part:bigint>"}
+    assert "collect_" not in out._jdf.queryExecution().toString()
