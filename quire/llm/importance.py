@@ -20,7 +20,8 @@ of doc_id; two thirds count, one third calibrates); their ids, the models
 driver sees. Scoring and selection cover all rows and all text.
 
 Defined results: null, empty or wordless texts have weight 0; label rows with a
-null are ignored, several rows of one doc_id count as their worst; without both
+null are ignored, several rows of one doc_id count as their worst; of documents
+with one doc_id, one text is counted and one weight calibrates; without both
 good and bad labels everything is kept; rows tied at the k-th place all stay.
 """
 
@@ -157,7 +158,9 @@ def labelled(labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
 def fit(docs: DataFrame, sample: DataFrame, prior: float = PRIOR) -> np.ndarray:
     """Log ratio of the two models by bucket. ``sample`` (bounded) is the side that is broadcast."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    fitted = texts.join(F.broadcast(sample.where("not held")), "doc_id").select("text", "good")
+    # one text a labelled id, however many rows share it
+    fitted = (texts.join(F.broadcast(sample.where("not held")), "doc_id").groupBy("doc_id", "good")
+              .agg(F.min("text").alias("text")).select("text", "good"))
     sums = (fitted.mapInArrow(_count, "bucket long, good long, every long").groupBy("bucket")
             .agg(F.sum("good").alias("good"), F.sum("every").alias("every"))
             .groupBy(F.shiftright("bucket", _BLOCK_BITS).alias("block")).applyInPandas(_block, "block long, counts binary"))
@@ -232,7 +235,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
     schema = docs.select(*keep).schema.simpleString()[len("struct<"):-1]
     named = docs.select(*keep, *[F.col("text").cast("string").alias("text")] * ("text" not in keep))
     weighed = written(named.mapInArrow(_weigh(ratio, SEGMENT, keep), f"{schema}, _worst double, _segments long"), "weighed")
-    held = weighed.join(F.broadcast(known.where("held")), "doc_id")
+    held = (weighed.join(F.broadcast(known.where("held")), "doc_id").groupBy("doc_id", "good")
+            .agg(F.min(F.struct("_worst", "_segments")).alias("row")).select("doc_id", "good", "row.*"))
     clean = held.where("good").select("_worst", "_segments").toPandas()
     by = drift(clean["_worst"].to_numpy(dtype=float), clean["_segments"].to_numpy(dtype=float))
 

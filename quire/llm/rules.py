@@ -224,8 +224,10 @@ def fitted_rules(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
     known = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
              .agg((F.min("quality") == 0).alias("bad")).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample))
     names = list(measures())
-    rows = (stats.where(~base_failed()).join(F.broadcast(known), "doc_id")
-            .select(*(c.alias(k) for k, c in measures().items()), "bad",
+    # one row a labelled id, however many share it
+    once = (stats.where(~base_failed()).join(F.broadcast(known), "doc_id").groupBy("doc_id", "bad")
+            .agg(F.min(F.struct(*COUNTS)).alias("row")).select("doc_id", "bad", "row.*"))
+    rows = (once.select(*(c.alias(k) for k, c in measures().items()), "bad",
                     (F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(3)) == 0).alias("prune"), F.xxhash64("doc_id").alias("h"))
             .orderBy("h", *names).limit(sample).toPandas())
     return learn(rows[names].to_numpy(dtype=float), rows["bad"].to_numpy(dtype=bool), names, rows["prune"].to_numpy(dtype=bool))

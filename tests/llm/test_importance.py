@@ -94,3 +94,14 @@ def test_clean_documents_are_kept_whatever_their_length(spark):
     print(seen)
     assert all(r.kept > 0.95 for r in seen[:3]) and seen[3].kept > 0.8
     assert max(r.weight for r in seen) - min(r.weight for r in seen) < 1.5
+
+
+def test_a_repeated_id_counts_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(prose(i, 40))) for i in range(60)], "doc_id long, text string")
+    known = labels(spark, [(i, int(i % 3 > 0), 0) for i in range(60)])
+    sample = I.labelled(known)
+    held = [r.doc_id for r in sample.where("held").collect()]
+    often = docs.unionByName(docs.where(F.col("doc_id").isin(held[:2] + [1, 2, 3])).crossJoin(spark.range(200)).select("doc_id", "text"))
+    assert (I.fit(often, sample) == I.fit(docs, sample)).all()
+    kept = lambda d: set(rows_of(I.resample(d, known).where("kept"), "doc_id", "log_weight"))
+    assert kept(often) == kept(docs)

@@ -80,3 +80,16 @@ def test_few_labels_and_empty_tables(spark, rows):
     out, rules = R.judged(nasty_docs(spark), labels(spark, rows))
     assert rules == [] and out.where("kept = base_failed").count() == 0
     assert R.judged(empty_docs(spark), labels(spark, rows))[0].count() == 0
+
+
+def test_a_repeated_id_comes_to_the_fit_once(spark, monkeypatch):
+    from quire.llm import rules
+
+    seen = []
+    monkeypatch.setattr(rules, "learn", lambda values, bad, names, prune: seen.append((values.tolist(), bad.tolist(), prune.tolist())) or [])
+    docs = spark.createDataFrame([(i, " ".join(f"word{k % (i + 9)}" for k in range(60))) for i in range(20)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    stats = rules.statistics(docs)
+    rules.fitted_rules(stats, known)
+    rules.fitted_rules(stats.unionByName(stats.where("doc_id < 3").crossJoin(spark.range(50)).drop("id")), known, 20)
+    assert seen[0] == seen[1]
