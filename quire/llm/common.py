@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +40,30 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
+    """``df`` written to the shared folder as a table bucketed by column ``by``, and read back.
+
+    Rows don't move: a task writes a file for each bucket that its rows fall into, so ``by`` should have few values a
+    task. Joins on ``by`` (see ``co_located``) then shuffle their other side alone.
+    """
+    spark = df.sparkSession
+    name = f"llm_{what}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, by).option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
+@contextmanager
+def co_located(spark: SparkSession) -> Iterator[None]:
+    """Plans that are run inside let a join on several columns use tables that are bucketed by one of them."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     """A row id (use it only on a frame that is then ``written``), so repeated or null keys never merge rows."""
     return df.withColumn(name, F.monotonically_increasing_id())
@@ -67,13 +92,13 @@ def row_keys(df: DataFrame, columns: list) -> DataFrame:
     return df.select(*columns, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices holding about ``STEP_BYTES`` of ``column``; never inside a row."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices holding about ``size`` bytes of ``column``; never inside a row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
         start = total = 0
         for i, n in enumerate(sizes.to_pylist()):
-            if i > start and total + n > STEP_BYTES:
+            if i > start and total + n > size:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n

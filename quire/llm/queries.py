@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, importance, jaccard, linechunks, packing, pseudolikelihood, rules, urls, zipwarc
+from . import (alignment, chat, decontaminate, importance, jaccard, linechunks, packing, pseudolikelihood, rules, substrings,
+               targeted, urls, zipwarc)
 from .common import table, written
 
 
@@ -91,6 +92,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decontaminate.contaminated().alias("contaminated"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, cut into groups, and how its links stand in the corpus."""
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that 35-word windows found elsewhere cover."""
+    return substrings.cut_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's gain towards the benchmark's words, its score, and the rank of those drawn."""
+    return targeted.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_pseudo_likelihood": op2_pseudo_likelihood,
@@ -102,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_chunks": op8_line_chunks,
     "op9_importance": op9_importance,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_target_resampling": op13_target_resampling,
 }
 
 ORACLE: dict[str, str] = {
@@ -144,4 +167,43 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""",
+    "op12_substring_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+             regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents),
+g AS (SELECT r, p, md5(array_to_string(w[p:p + 34], chr(10))) AS h
+      FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+again AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+covered AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS p FROM g JOIN again USING (h)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+         FROM words ANTI JOIN covered USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+    "op13_target_resampling": r"""
+WITH crc_step AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark),
+dw AS (SELECT r, unnest(w) AS word FROM d), bw AS (SELECT unnest(w) AS word FROM b),
+each AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)),
+coded AS (SELECT word, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: CAST(('0x' || h[i:i + 1]) AS BIGINT)),
+        lambda c, x: xor(c >> 8, t[CAST(xor(c & 255, x) AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+      FROM each, crc_step),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN coded USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN coded USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS ds, (SELECT count(*) FROM bw)::DOUBLE AS bs),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (ds + 10000)
+        / ((coalesce(s, 0) + 1.0::DOUBLE) * (bs + 10000)))) AS BIGINT) AS gain
+      FROM s FULL JOIN t USING (bucket), n),
+weights AS (SELECT r, sum(gain) AS total FROM dw JOIN coded USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, r, CAST(len(w) AS BIGINT) AS n_features,
+        CASE WHEN len(w) = 0 THEN 0 ELSE CAST(floor(coalesce(total, 0)::DOUBLE / len(w)) AS BIGINT) END AS weight,
+        CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE)
+          / 4294967296.0::DOUBLE))) AS BIGINT) AS noise FROM d LEFT JOIN weights USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST, r) AS rank,
+        count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, CAST(weight + noise AS BIGINT) AS score,
+       CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)""",
 }

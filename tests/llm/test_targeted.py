@@ -1,0 +1,77 @@
+"""Target-distribution resampling against plain Python."""
+
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import pytest
+from quire.llm import targeted
+
+from .helpers import empty_docs, nasty_docs, nasty_texts, plain_words, prose
+
+
+def grams(text, longest):
+    w = plain_words(text)
+    return w, [" ".join(w[i:i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+
+def brute(docs, target, longest=1, buckets=10_000, least=20, percent=10, seed=2024):
+    def counts(texts):
+        return Counter(zlib.crc32(g.encode()) % buckets for t in texts for g in grams(t, longest)[1])
+
+    raw, want = counts(t for _, t in docs), counts(target)
+    s_all, t_all = sum(raw.values()), sum(want.values())
+
+    def gain(b):
+        return math.floor(1000 * math.log((want[b] + 1) * (s_all + buckets) / ((raw[b] + 1) * (t_all + buckets))))
+
+    rows = []
+    for doc_id, text in docs:
+        w, g = grams(text, longest)
+        weight = sum(gain(zlib.crc32(x.encode()) % buckets) for x in g) // len(g) if g else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        rows.append((doc_id, len(w), len(g), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    fit = sorted((-r[4], r[0] is None, r[0] or 0) for r in rows if r[1] >= least)
+    return rows, fit[:percent * len(fit) // 100]
+
+
+def check(spark, docs, target, **how):
+    rows, drawn = brute(docs, target, **how)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    goal = spark.createDataFrame([(t,) for t in target], "text string")
+    got = targeted.resample(df, goal, **how).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:5])
+    assert sorted((tuple(r[:5]) for r in got), key=key) == sorted(rows, key=key)
+    ranked = sorted((r for r in got if r["rank"] is not None), key=lambda r: r["rank"])
+    assert [r["rank"] for r in ranked] == list(range(1, len(drawn) + 1))
+    assert [(-r["score"], r["doc_id"] is None, r["doc_id"] or 0) for r in ranked] == drawn
+    return got
+
+
+TEXTS = [" ".join(prose(k, 10 + k % 60, 300)) + (". É, 漢字x!" if k % 3 else "") for k in range(150)]
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3])
+def test_equals_plain_python(spark, longest):
+    docs = list(enumerate(TEXTS + [t for t in nasty_texts() if t is None or len(t) < 100_000]))
+    check(spark, docs, [" ".join(prose(k, 40, 60)).upper() for k in range(20)] + [None, ""], longest=longest, buckets=997)
+
+
+def test_ties_null_and_repeated_ids(spark):
+    docs = [(k % 7 if k % 7 else None, " ".join(prose(1, 30))) for k in range(60)] + [(100 + k, " ".join(prose(k, 25))) for k in range(40)]
+    check(spark, docs, ["w1 w2 w3"], percent=55)
+
+
+def test_all_and_none_drawn(spark):
+    docs = list(enumerate(TEXTS[:30]))
+    assert all(r["rank"] for r in check(spark, docs, ["x"], least=0, percent=100))
+    assert not any(r["rank"] for r in check(spark, docs, ["x"], least=10_000))
+
+
+def test_nasty_empty_and_clashing(spark):
+    goal = spark.createDataFrame([("w1 w2",)], "text string")
+    out = targeted.resample(nasty_docs(spark), goal, keep=["doc_id", "label", "hash"])
+    assert out.columns[:3] == ["doc_id", "label", "hash"] and out.count() == 20
+    assert targeted.resample(empty_docs(spark), goal).count() == 0
+    assert targeted.resample(nasty_docs(spark), goal.limit(0)).count() == 20
