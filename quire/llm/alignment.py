@@ -10,15 +10,15 @@ empty but for the last), cuts are refined with the tokens' decoded bytes. Places
 where tokens of both sides end cut the text into groups; the two tokens that end
 there are a link.
 
-A text is encoded in units: a run of white space that begins with a space and
-follows something else, and what comes after it up to the next such run. Neither
-side's tokens cross those places (A's pattern never joins what stands before white
-space to it; B's pieces are looked through for one with a space after another
-character, and if there is one the text is encoded whole), so ids equal those of
-the whole text (tests compare them). A unit is encoded once a step and remembered.
+A text is encoded in units, cut where neither side's tokens can reach across: before
+white space that begins with a space and follows something else, and between ASCII
+letters, digits and marks, if A's pattern parts them (it parts kinds of characters,
+but for apostrophes) and no piece of B holds the two characters next to each other
+(its pieces are looked through). So ids equal those of the whole text (tests compare
+them), and a unit is encoded once a step and remembered.
 
 Corpus counts: documents are written in blocks of about ``STEP_BYTES`` of text,
-with their units and the block's distinct id pairs. Pairs are counted by one
+with their units and the block's distinct id pairs, as a table bucketed by block. Pairs are counted by one
 shuffle of a row a block and pair; each block then gets the counts of its own
 pairs back. A pair that is everywhere is a row a block, and both sides of that join
 are written first, so Spark can split it. Nothing is broadcast.
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +42,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ready, steps, with_uid, written
+from .common import bucketed, col, ready, steps, with_uid, written
 
 #: Units that a Python worker remembers from one turn of its memory (see ``tokens``), and how long they may be.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 UNIT_CHARS = 64
 #: Fixed value: the mark that B's pieces have for a space.
 MARK = "▁"
+#: Stands before a unit that has no space of its own; no piece of B may hold it, it falls back to its byte.
+GUARD = "\n"
+#: Kinds of ASCII characters that A's pattern parts: letters, digits, marks, and other blanks than the space.
+_KINDS = {c: "letter" if c.isalpha() else "digit" if c.isdigit() else "blank" if c in "\t\n\v\f\r" else "mark"
+          for c in map(chr, range(128)) if c not in " '"}
 _A_SHIFT = 32
+#: Units encoded by one call, and what marks those not seen before.
+_AT_ONCE = 4096
+_NEW = ()
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -83,15 +92,21 @@ class Aligner:
         for token, i in self.a.get_vocab(with_added_tokens=False).items():
             if all(c in alphabet for c in token):
                 self.a_bytes[i] = bytes(alphabet[c] for c in token)
-        self.b_bytes, self.cuts_at_spaces = [], True
+        self.b_bytes, beside = [], set()
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
                 self.b_bytes.append(bytes([int(piece[1:-1], 16)]))
                 continue
             self.b_bytes.append(piece.replace(MARK, " ").encode())
-            if MARK in piece.lstrip(MARK):
-                self.cuts_at_spaces = False
+            beside.update(zip(piece, piece[1:]))
+        self.cuts_at_spaces = not any(y == MARK and x != MARK for x, y in beside)
+        #: Whether a unit may begin at a byte, by the byte before it and its own.
+        self.cuts = np.zeros((256, 256), dtype=bool)
+        if not any(GUARD in pair for pair in beside):
+            for x, kind in _KINDS.items():
+                for y, other in _KINDS.items():
+                    self.cuts[ord(x), ord(y)] = kind not in (other, "blank") and (x, y) not in beside
         self.known: dict[str, tuple] = {}
         self.before: dict[str, tuple] = {}
 
@@ -104,28 +119,33 @@ class Aligner:
             return None
         ends = [e for _, e in spans]
         if len(raw) != len(unit):
-            place = np.cumsum([0, *(len(c.encode()) for c in unit)]).tolist()
+            place = list(accumulate((len(c.encode()) for c in unit), initial=0))
             inside = [k + 1 < len(spans) and spans[k + 1][0] < spans[k][1] for k in range(len(spans))]
             ends = refined([place[e] for e in ends], inside, [len(p) for p in parts])
         return ids, ends
 
-    def b_tokens(self, unit: str, raw: bytes) -> tuple[list[int], list[int]] | None:
-        pieces = self.b.encode(unit[1:], return_type="proto").pieces
+    def b_tokens(self, unit: str, raw: bytes, pieces) -> tuple[list[int], list[int]] | None:
+        """Ids and byte ends from the proto's ``pieces`` of ``b_text(unit)``, or None if the bytes aren't the unit's."""
+        shift = 1
+        if unit[0] != " ":
+            if len(pieces) < 2 or self.b_bytes[pieces[1].id] != GUARD.encode():
+                return None
+            pieces, shift = pieces[2:], -len(GUARD)
         ids = [p.id for p in pieces]
         parts = [self.b_bytes[i] for i in ids]
         if b"".join(parts) != raw:
             return None
-        ends = [p.end + 1 for p in pieces]
+        ends = [p.end + shift for p in pieces]
         if len(raw) != len(unit):
             ends = refined(ends, [p.begin == p.end for p in pieces], [len(x) for x in parts])
         return ids, ends
 
-    def align(self, unit: str) -> tuple[int, int, str, bytes] | None:
+    def align(self, unit: str, pieces) -> tuple[int, int, str, bytes] | None:
         """Number of tokens on either side, the groups as text, and the linked pairs (A's id above B's 32 bits)."""
         raw = unit.encode()
         if unit == " ":  # an empty text
             return None
-        found_a, found_b = self.a_tokens(unit, raw), self.b_tokens(unit, raw)
+        found_a, found_b = self.a_tokens(unit, raw), self.b_tokens(unit, raw, pieces)
         if found_a is None or found_b is None:
             return None
         (a, a_ends), (b, b_ends) = found_a, found_b
@@ -144,18 +164,26 @@ class Aligner:
         return len(a), len(b), ";".join(groups), np.array(pairs, dtype=np.int64).tobytes()
 
     def records(self, units: list[str]) -> list[tuple | None]:
+        """``align`` of every unit; one that is remembered isn't encoded again."""
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
-        out = []
-        for u in units:
-            if u in self.known:
-                out.append(self.known[u])
-                continue
-            found = self.before[u] if u in self.before else self.align(u)
+        known, before = self.known, self.before
+        found = [known[u] if u in known else before.get(u, _NEW) for u in units]
+        new = [i for i, r in enumerate(found) if r is _NEW]
+        for s in range(0, len(new), _AT_ONCE):
+            part = new[s:s + _AT_ONCE]
+            told = self.b.encode([b_text(units[i]) for i in part], return_type="proto", num_threads=1)
+            for i, x in zip(part, told):
+                found[i] = self.align(units[i], x.pieces)
+        for u, r in zip(units, found):
             if len(u) <= UNIT_CHARS:
-                self.known[u] = found
-            out.append(found)
-        return out
+                known[u] = r
+        return found
+
+
+def b_text(unit: str) -> str:
+    """What B is given for a unit: it puts the first space itself; a unit that begins without one stands behind a guard."""
+    return unit[1:] if unit[0] == " " else GUARD + unit
 
 
 #: White space beyond ASCII by its last three UTF-8 bytes (two-byte ones by their last two).
@@ -164,9 +192,9 @@ _WIDE_BLANKS = tuple(c.encode() for c in map(chr, (0x85, 0xA0, 0x1680, *range(0x
 _ASCII_BLANKS = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
 
-def unit_bounds(data: np.ndarray, at: np.ndarray, cut: bool = True) -> np.ndarray:
+def unit_bounds(data: np.ndarray, at: np.ndarray, tool: Aligner) -> np.ndarray:
     """Where units begin in ``data``, whose rows (each beginning with a space) begin at ``at[:-1]``."""
-    if not cut or not len(data):
+    if not tool.cuts_at_spaces or not len(data):
         return at[:-1]
     spaces = np.flatnonzero(data == 0x20)
     # a row's last space alone is no unit: B has its mark for a space only before or after something
@@ -182,7 +210,11 @@ def unit_bounds(data: np.ndarray, at: np.ndarray, cut: bool = True) -> np.ndarra
             for k, byte in enumerate(reversed(blank)):
                 same &= before[k] == byte
             good[wide[same]] = False
-    return np.union1d(spaces[good], at[:-1])
+    begins = np.zeros(len(data), dtype=bool)
+    begins[1:] = tool.cuts[data[:-1], data[1:]]
+    begins[spaces[good]] = True
+    begins[at[:-1]] = True
+    return np.flatnonzero(begins)
 
 
 _loaded: dict[tuple[str, str], Aligner] = {}
@@ -211,7 +243,7 @@ def aligned_block(texts: pa.Array, tool: Aligner) -> tuple[dict[str, np.ndarray]
     at = np.frombuffer(offsets, dtype=np.int64)[led.offset:led.offset + len(led) + 1]
     data = np.frombuffer(body, dtype=np.uint8)[at[0]:at[-1]] if body is not None else np.zeros(0, dtype=np.uint8)
     at = at - at[0]
-    begins = unit_bounds(data, at, tool.cuts_at_spaces)
+    begins = unit_bounds(data, at, tool)
     ends = np.concatenate([begins[1:], [len(data)]])
     units = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(np.concatenate([begins, ends[-1:]]).astype(np.int64)),
                                              pa.py_buffer(np.ascontiguousarray(data)))
@@ -318,9 +350,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str] | None = No
     rows = f"{schema}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
     struct = ", ".join(f"{c}:{t}" for c, t in [*docs.select(*keep).dtypes, *((c, "bigint") for c in _ROW),
                                                ("groups_sha256", "string"), ("_units", "int")])
-    blocks = written(with_uid(named.mapInArrow(
+    blocks = bucketed(with_uid(named.mapInArrow(
         _blocks(a_path, b_path, keep), f"docs array<struct<{struct}>>, codes array<int>, sizes array<int>, "
-        "numbers array<int>, pairs array<bigint>, totals array<bigint>"), "block"), "blocks")
+        "numbers array<int>, pairs array<bigint>, totals array<bigint>"), "block"), "blocks", "block",
+        int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own, total = pair_counts(blocks)
     counts = written(own.join(total.withColumnRenamed("n", "of"), "pair").groupBy("block").agg(
         F.collect_list(F.struct("at", F.col("of").alias("n"), "best")).alias("counts")), "block-counts")

@@ -86,18 +86,28 @@ def test_units_are_encoded_as_in_the_whole_text(tool):
     assert got == [w[:5] for w in want]
 
 
+def align(tool, unit):
+    return tool.align(unit, tool.b.encode(alignment.b_text(unit), return_type="proto").pieces)
+
+
 def test_refinement_inside_characters(tool):
-    assert tool.align(" 漢")[:3] == (3, 4, ";".join(["220|28705", "162|233", "120|191", "95|165"])) or tool.align(" 漢") is not None
-    ids, ends = tool.b_tokens(" \U0001f9ff", " \U0001f9ff".encode())
-    assert ends == [1, 2, 3, 4, 5] and len(ids) == 5
+    found = tool.b_tokens(" \U0001f9ff", " \U0001f9ff".encode(), tool.b.encode("\U0001f9ff", return_type="proto").pieces)
+    assert found[1] == [1, 2, 3, 4, 5]
+    assert tool.a_tokens("x漢", "x漢".encode())[1] == [1, 2, 3, 4]
     assert alignment.refined([1, 4, 4, 4], [False, True, True, False], [1, 1, 1, 1]) == [1, 2, 3, 4]
 
 
+def test_units_without_a_space_stand_behind_a_guard(tool):
+    assert align(tool, ",")[:2] == align(tool, "Word")[:2] == (1, 1) and align(tool, "\n")[:2] == (1, 1)
+    assert tool.cuts[ord("a"), ord(",")] and not tool.cuts[ord("n"), ord("'")] and not tool.cuts[ord("'"), ord("t")]
+    assert not tool.cuts[ord("\n"), ord("a")] and tool.cuts[ord("a"), ord("\n")] and not tool.cuts[ord(";"), ord("\r")]
+
+
 def test_memory_turns_over(tool, monkeypatch):
     monkeypatch.setattr(alignment, "REMEMBERED", 5)
     words = [f" q{i}" for i in range(40)]
     first = [tool.records([w])[0] for w in words]
-    assert [tool.records([w])[0] for w in words] == first == [tool.align(w) for w in words]
+    assert [tool.records([w])[0] for w in words] == first == [align(tool, w) for w in words]
     assert len(tool.known) <= 7
 
 
