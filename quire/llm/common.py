@@ -37,7 +37,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{what}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove what ``written`` or ``bucketed`` made, after the last job that reads it (what came of it is written by then)."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if getattr(df, "_table", None):
+            spark.sql(f"DROP TABLE {df._table}")
 
 
 def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
@@ -48,8 +60,11 @@ def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
     """
     spark = df.sparkSession
     name = f"llm_{what}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, by).option("path", scratch_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
+    path = scratch_path(spark, name)
+    df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._folder, out._table = path, name
+    return out
 
 
 @contextmanager
@@ -64,6 +79,21 @@ def co_located(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Bits of a row id that number the rows of a chunk; a task's rows form a few chunks.
+ROW_BITS = 14
+
+
+def with_chunk(df: DataFrame) -> DataFrame:
+    """``chunk``, by which ``text_table`` is bucketed, from ``uid``."""
+    return df.withColumn("chunk", F.shiftright("uid", ROW_BITS))
+
+
+def text_table(df: DataFrame) -> DataFrame:
+    """``df`` with a row id ``uid``, bucketed by ``chunk``: what is joined by chunk and uid comes to the texts."""
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(with_chunk(with_uid(df)), "texts", "chunk", buckets)
+
+
 def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     """A row id (use it only on a frame that is then ``written``), so repeated or null keys never merge rows."""
     return df.withColumn(name, F.monotonically_increasing_id())
@@ -92,13 +122,13 @@ def row_keys(df: DataFrame, columns: list) -> DataFrame:
     return df.select(*columns, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices holding about ``size`` bytes of ``column``; never inside a row."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices holding about ``STEP_BYTES`` of ``column``; never inside a row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
         start = total = 0
         for i, n in enumerate(sizes.to_pylist()):
-            if i > start and total + n > size:
+            if i > start and total + n > STEP_BYTES:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n

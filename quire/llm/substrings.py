@@ -41,17 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, co_located, col, ready, steps, with_uid, written
+from .common import ROW_BITS, co_located, col, drop, ready, steps, text_table, with_chunk, written
 from .words import U64, Words, mix, words
 
 WINDOW = 35
-#: Bits of a row id that number the rows of a chunk; a task's rows form chunks, and texts are bucketed by chunk.
-_ROW_BITS = 14
 #: Bytes of text a bucket of blocks and probes is to stand for, and most buckets (so that a row of a step and bucket
 #: holds some tens of probes).
 BUCKET_BYTES = 24 << 20
-MOST_BUCKETS = 1 << 15
-_PROBE_STEP = 16 << 20
+MOST_BUCKETS = 1 << 14
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -84,7 +81,7 @@ def unpacked_places(body: bytes) -> np.ndarray:
 
 
 def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in steps(batches, size=_PROBE_STEP):
+    for b in steps(batches):
         chunk = col(b, "chunk").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
         for s, e in zip(cuts, cuts[1:]):
@@ -114,7 +111,7 @@ def _index_and_probes(window: int, buckets: int):
             if not len(at):
                 continue
             bucket, low = _keys(w, block, buckets)
-            place = col(b, "uid").to_numpy() & ((1 << _ROW_BITS) - 1)
+            place = col(b, "uid").to_numpy() & ((1 << ROW_BITS) - 1)
             row = w.rows()[at]
             # rows of a chunk come in the order of their ids from one file; sorted in any case
             order = np.lexsort((place[row], bucket[at]))
@@ -171,7 +168,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not probe[i]:
                 held.add(values)
                 continue
-            uids, found = held.probe(values, (int(chunk[i]) << _ROW_BITS) | unpacked_places(places[i].as_py()))
+            uids, found = held.probe(values, (int(chunk[i]) << ROW_BITS) | unpacked_places(places[i].as_py()))
             if not len(uids):
                 continue
             order = np.lexsort((found, uids))
@@ -301,10 +298,6 @@ def _cut(keep: list[str], with_text: bool):
     return run
 
 
-def _of_chunk(side: DataFrame) -> DataFrame:
-    return side.withColumn("chunk", F.shiftright("uid", _ROW_BITS))
-
-
 def cut_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """A row per document: the ``keep`` columns (``doc_id`` by default), n_words, n_removed, kept_sha256 (of the kept words
     joined by one space) and, if asked for, ``kept``, those words themselves."""
@@ -312,7 +305,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None =
     keep = keep or ["doc_id"]
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     boxed = docs.select(F.struct(*keep).alias("_in"), F.col("text").cast("string").alias("text"))
-    texts = bucketed(_of_chunk(with_uid(boxed)), "texts", "chunk", at_least)
+    texts = text_table(boxed)
     narrow = texts.select("chunk", "uid", "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(at_least, -(-total // BUCKET_BYTES)))
@@ -321,7 +314,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None =
                              "bucket int, probe boolean, chunk long, hashes array<int>, places binary")
            .repartition(buckets, "bucket").sortWithinPartitions("bucket", "probe"))
     hits = met.mapInArrow(_anchors, "uid long, bucket int, hashes array<int>")
-    hits = written(_of_chunk(hits.groupBy("uid").agg(F.collect_list(F.struct("bucket", "hashes")).alias("hits"))), "anchors")
+    hits = written(with_chunk(hits.groupBy("uid").agg(F.collect_list(F.struct("bucket", "hashes")).alias("hits"))), "anchors")
     with co_located(spark):
         found = written(narrow.join(hits, ["chunk", "uid"]).select("uid", "text", "hits").mapInArrow(
             _extend(window, buckets), "uid long, start long, windows long, anchor long, hash long"), "spans")
@@ -329,7 +322,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None =
                     "kinds")
     open_ = (kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
              .where("kinds > 1 and least = 1").select("anchor"))
-    asked = _of_chunk(kinds.join(open_, "anchor").groupBy("of.uid").agg(
+    asked = with_chunk(kinds.join(open_, "anchor").groupBy("of.uid").agg(
         F.collect_list(F.struct("of.start", "of.windows", "anchor", "n")).alias("asked")))
     with co_located(spark):
         edges = written(narrow.join(asked, ["chunk", "uid"]).select("uid", "text", "asked").mapInArrow(
@@ -339,9 +332,12 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None =
     covered = (found.join(kinds.where("n > 1").select("anchor", "hash"), ["anchor", "hash"])
                .select("uid", "start", (F.col("windows") + size - 1).alias("words"))
                .unionByName(edges.where("n = 1").join(again, ["anchor", "hash"]).select("uid", "start", size.alias("words"))))
-    covered = written(_of_chunk(covered.groupBy("uid").agg(F.collect_list(F.struct("start", "words")).alias("covered"))), "covered")
+    covered = written(with_chunk(covered.groupBy("uid").agg(F.collect_list(F.struct("start", "words")).alias("covered"))), "covered")
+    drop(hits, found, kinds, edges)
     schema = docs.select(*keep).schema.simpleString()[len("struct<"):-1]
     with co_located(spark):
-        return written(texts.join(covered, ["chunk", "uid"], "left").select("_in.*", "text", "covered").mapInArrow(
+        out = written(texts.join(covered, ["chunk", "uid"], "left").select("_in.*", "text", "covered").mapInArrow(
             _cut(keep, with_text), f"{schema}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text),
             "kept")
+    drop(texts, covered)
+    return out
