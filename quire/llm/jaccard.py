@@ -12,14 +12,21 @@ documents are linked if the Jaccard similarity of their sets is at least
    hashes finds buckets of two or more representatives.
 3. Buckets are not turned into pairs. Every representative gets the smallest
    member over its buckets as a label; a label's members are dealt by hash into
-   blocks bounded in rows and in shingles. Blocks that meet in a bucket are
-   compared as two matrices inside a task, all pairs of them exactly, and give
-   one row a document: its number of links and its root among the rows seen.
-   So a group of m texts gives m / BLOCK rows a text, never m * m rows, and no
-   partner is dropped.
-4. Roots are joined into connected classes by hash-free label spreading with
+   blocks bounded in rows and in shingles. Each block is compared with itself, and
+   blocks that meet in a bucket with each other, as two matrices inside a task, all
+   pairs of them exactly; that gives one row a document: its number of links and
+   its root among the rows seen. So a group of m texts gives m / BLOCK rows a text,
+   never m * m rows, and no partner is dropped.
+4. Where only classes are asked for (``distinct_documents``), blocks that meet are
+   compared only if they hold more than one class by then: after each block's own
+   comparison, one text of each class of a label's blocks is compared with the
+   label's others. A group whose texts are all alike costs its own blocks alone.
+5. Roots are joined into connected classes by hash-free label spreading with
    pointer jumping; every round is written to the shared folder.
 
+Texts are written once, bucketed by row; the shingles of what meets are read from
+there without shuffling texts. Intermediate tables go after their last use.
+
 Result per document: class_id, the smallest doc_id of its class (null if all are
 null), and n_links, how many other documents it is linked to; copies count,
 without being expanded. Null and repeated ids stay rows of their own (``uid``).
@@ -37,18 +44,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, col, ready, steps, unboxed, with_uid, written
+from .common import boxed, co_located, col, drop, ready, steps, text_table, unboxed, with_chunk, written
 from .words import U64, mix, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 #: Most representatives, and shingles on average, that a block is to hold.
-BLOCK = 96
-BLOCK_SHINGLES = 1 << 18
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 #: Blocks of a bucket that a task pairs with all others of the bucket.
 MEET = 64
-_COLUMNS = 4096
+_COLUMNS = 2048
+#: Shingles of at most so many of the sets compared are counted pair by pair, the others as columns of a matrix.
+_RARE = 8
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, stray: float = 0.3, most: int = 128) -> tuple[int, int]:
@@ -141,22 +150,39 @@ def _scan(n: int, bands: int, rows: int, keep: list[str]):
 
 def linked(a: list[bytes], b: list[bytes] | None, threshold: float) -> np.ndarray:
     """Which sets of ``a`` are linked to which of ``b`` (of ``a`` itself without its diagonal, if None), exactly."""
+    if b is not None and not (a and b):
+        return np.zeros((len(a), len(b)), dtype=bool)
     sets = [np.frombuffer(x, dtype=U64) for x in a + (b or [])]
     size = np.array([len(x) for x in sets], dtype=np.float64)
     value, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
-    shared = count[code] > 1
-    number = np.cumsum(count > 1) - 1
-    code, owner = number[code[shared]], owner[shared]
     m = len(a)
     other = m if b is not None else 0
     common = np.zeros((m, len(sets) - other))
     order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    for start in range(0, int(number[-1]) + 1 if len(number) else 0, _COLUMNS):
-        s, e = np.searchsorted(code, [start, start + _COLUMNS])
+    owner, first = owner[order], np.cumsum(count) - count
+    flat = []
+    for n in range(2, _RARE + 1):
+        near = owner[first[count == n][:, None] + np.arange(n)]
+        for i in range(n):
+            for j in range(i + 1, n):
+                x, y = near[:, i], near[:, j]
+                if b is None:
+                    flat += [x * common.shape[1] + y, y * common.shape[1] + x]
+                else:
+                    apart = (x < m) & (y >= m)
+                    flat.append(x[apart] * common.shape[1] + y[apart] - m)
+    if sum(map(len, flat)):
+        common += np.bincount(np.concatenate(flat), minlength=common.size).reshape(common.shape)
+    wide = np.flatnonzero(count > _RARE)
+    number = np.full(len(count), -1)
+    number[wide] = np.arange(len(wide))
+    column = np.repeat(number, count)
+    owner, column = owner[column >= 0], column[column >= 0]
+    for start in range(0, len(wide), _COLUMNS):
+        s, e = np.searchsorted(column, [start, start + _COLUMNS])
         part = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
-        part[owner[s:e], code[s:e] - start] = 1
+        part[owner[s:e], column[s:e] - start] = 1
         common += part[:m] @ part[other:].T
     either = size[:m, None] + size[None, other:] - common
     out = common >= threshold * either - 1e-9
@@ -231,16 +257,49 @@ def meeting(met: DataFrame) -> DataFrame:
     return left.join(right, ["band", "hash", "salt"]).where("a < b").select("a", "b")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = RECALL,
-         keep: list[str] | None = None) -> DataFrame:
-    """A row per document: uid, the ``keep`` columns (``doc_id`` by default), class_uid (the class's smallest uid),
-    n_links and n_shingles."""
+_LINKS = "uid long, links long, root long"
+
+
+def _within(loaded: DataFrame, threshold: float) -> DataFrame:
+    """Links inside each block."""
+    return loaded.withColumn("right", F.lit(False)).groupBy("label", "part").applyInPandas(_compare(threshold), _LINKS)
+
+
+def _between(pair: DataFrame, loaded: DataFrame, threshold: float) -> DataFrame:
+    """Links between the blocks of each pair (a, b), a < b."""
+    ends = [F.struct(F.col(f"{x}.label").alias("label"), F.col(f"{x}.part").alias("part"), F.lit(right).alias("right"))
+            for x, right in (("a", False), ("b", True))]
+    side = pair.select("a", "b", F.explode(F.array(*ends)).alias("s")).select("a", "b", "s.*")
+    return (side.join(loaded, ["label", "part"]).select("a", "b", "uid", "right", "copies", "shingles")
+            .groupBy("a", "b").applyInPandas(_compare(threshold), _LINKS))
+
+
+def _undecided(pair: DataFrame, block: DataFrame, loaded: DataFrame, own: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs of blocks, those that hold more than one class after one text of each class of a label's blocks has been
+    compared with the others of the label; and the links found by that."""
+    known = _spread(own.select("uid", "root"))
+    classed = written(block.join(known, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "classed")
+    many = block.groupBy("label").agg(F.max("part").alias("most")).where("most > 0").select("label")
+    heads = classed.join(many, "label").groupBy("label", "part", "root").agg(F.min("uid").alias("uid"))
+    sized = heads.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    heads = heads.join(sized, "label").select("uid", "label", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("parts")).alias("part"))
+    more = written(_within(loaded.drop("label", "part").join(heads, "uid"), threshold), "heads")
+    known = _spread(own.select("uid", "root").unionByName(more.select("uid", "root")))
+    held = (block.join(known, "uid", "left").groupBy("label", "part")
+            .agg(F.min(F.coalesce("root", "uid")).alias("low"), F.max(F.coalesce("root", "uid")).alias("high")))
+    for x in ("a", "b"):
+        side = held.select(F.struct("label", "part").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"))
+        pair = pair.join(side, x)
+    return pair.where("least(a_low, b_low) != greatest(a_high, b_high)").select("a", "b"), more
+
+
+def _classes(docs: DataFrame, threshold: float, n: int, recall: float, links: bool) -> tuple[DataFrame, DataFrame]:
+    """The bucketed texts, and (chunk, uid, class_uid, n_links, n_shingles) of every row; without ``links``, n_links may
+    leave out links inside a class."""
     spark = ready(docs.sparkSession)
-    keep = keep or ["doc_id"]
     bands, rows = banding(threshold, recall)
-    numbered = written(with_uid(docs.select(*keep, *[F.col("text").cast("string").alias("text")] * ("text" not in keep))),
-                       "numbered")
-    scanned = written(numbered.select("uid", "text").mapInArrow(
+    texts = text_table(docs)
+    scanned = written(texts.select("uid", "text").mapInArrow(
         _scan(n, bands, rows, ["uid"]), "uid long, digest binary, n_shingles long, bands array<long>"), "signatures")
 
     member = scanned.where("n_shingles > 0")
@@ -258,44 +317,64 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall
     block = written(sized.join(parts, "label").select(
         "uid", "label", F.pmod(F.xxhash64("uid"), F.col("parts")).alias("part")), "blocks")
 
-    # Which blocks meet: each with itself, and those that share a bucket.
-    pair = meeting(written(bucket.join(block, "uid").select("band", "hash", "label", "part").distinct(), "met"))
-    own = block.select(F.struct("label", "part").alias("a")).distinct()
-    pair = pair.unionByName(own.select("a", F.col("a").alias("b"))).distinct().select(
-        F.col("a.label").alias("al"), F.col("a.part").alias("ap"), F.col("b.label").alias("bl"), F.col("b.part").alias("bp"))
-    side = pair.select("al", "ap", "bl", "bp", F.explode(F.expr(
-        "if(al = bl and ap = bp, array(struct(al as label, ap as part, false as right)), "
-        "array(struct(al as label, ap as part, false as right), struct(bl as label, bp as part, true as right)))")).alias("s")
-    ).select("al", "ap", "bl", "bp", "s.*")
-
-    loaded = written(block.join(numbered.select("uid", "text"), "uid").join(first.select("uid", "copies"), "uid")
-                     .mapInArrow(_load(n, ["uid", "label", "part", "copies"]),
-                                 "uid long, label long, part long, copies long, shingles binary"), "sets")
-    compared = written(
-        side.join(loaded, ["label", "part"]).select("al", "ap", "bl", "bp", "uid", "right", "copies", "shingles")
-        .groupBy("al", "ap", "bl", "bp").applyInPandas(_compare(threshold), "uid long, links long, root long"), "compared")
-
-    links = compared.groupBy("uid").agg(F.sum("links").alias("links"))
+    # Which blocks meet, besides each with itself: those that share a bucket.
+    shared = written(bucket.join(block, "uid").select("band", "hash", "label", "part").distinct(), "met")
+    drop(bucket)
+    pair = written(meeting(shared).distinct(), "pairs")
+
+    side = with_chunk(block.join(first.select("uid", "copies"), "uid"))
+    with co_located(spark):
+        loaded = written(texts.select("chunk", "uid", "text").join(side, ["chunk", "uid"]).drop("chunk").mapInArrow(
+            _load(n, ["uid", "label", "part", "copies"]),
+            "uid long, label long, part long, copies long, shingles binary"), "sets")
+    found = [written(_within(loaded, threshold), "own")]
+    if not pair.isEmpty():
+        if not links:
+            pair, more = _undecided(pair, block, loaded, found[0], threshold)
+            found.append(more)
+        found.append(written(_between(pair, loaded, threshold), "between"))
+    drop(loaded)
+    compared = found[0]
+    for more in found[1:]:
+        compared = compared.unionByName(more)
+
+    total = compared.groupBy("uid").agg(F.sum("links").alias("links"))
     root = _spread(compared.select("uid", "root"))
-    known = (first.join(links, "uid", "left").join(root, "uid", "left")
+    known = (first.join(total, "uid", "left").join(root, "uid", "left")
              .select("digest", F.coalesce("root", "uid").alias("class_uid"),
                      (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    narrow = numbered.select("uid", *keep).join(
-        scanned.select("uid", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"), "n_shingles"), "uid")
-    return (narrow.join(known, "digest", "left")
-            .select("uid", *keep, F.coalesce("class_uid", "uid").alias("class_uid"),
-                    F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_shingles"))
+    narrow = scanned.select("uid", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"), "n_shingles")
+    return texts, with_chunk(narrow.join(known, "digest", "left").select(
+        "uid", F.coalesce("class_uid", "uid").alias("class_uid"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        "n_shingles"))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = RECALL,
+         keep: list[str] | None = None) -> DataFrame:
+    """A row per document: uid, the ``keep`` columns (``doc_id`` by default), class_uid (the class's smallest uid),
+    n_links and n_shingles."""
+    keep = keep or ["doc_id"]
+    boxed_docs = docs.select(F.struct(*keep).alias("_in"), F.col("text").cast("string").alias("text"))
+    texts, known = _classes(boxed_docs, threshold, n, recall, True)
+    with co_located(docs.sparkSession):
+        out = written(texts.select("chunk", "uid", "_in").join(known, ["chunk", "uid"])
+                      .select("uid", "_in.*", "class_uid", "n_links", "n_shingles"), "joined")
+    drop(texts)
+    return out
 
 
 def with_class_id(joined: DataFrame) -> DataFrame:
-    """``class_id``: the smallest doc_id of each class."""
-    joined = written(joined, "joined")
+    """``class_id``: the smallest doc_id of each class, from what ``join`` gives (written by it)."""
     least = written(joined.groupBy("class_uid").agg(F.min("doc_id").alias("class_id")), "least")
-    # Both sides are plain exchanges now, so a class with many documents can be split over tasks.
+    # Both sides are plain exchanges, so a class with many documents can be split over tasks.
     return joined.join(least, "class_uid")
 
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, that with the smallest row id, with all its columns; those without words stay."""
-    out = join(docs.select(*boxed(docs)), threshold, keep=["_in", "text"])
-    return unboxed(out.where("uid = class_uid"), docs.columns)
+    texts, known = _classes(docs.select(*boxed(docs)), threshold, SHINGLE, RECALL, False)
+    with co_located(docs.sparkSession):
+        out = written(texts.join(known.where("uid = class_uid").select("chunk", "uid"), ["chunk", "uid"]).select("_in", "text"),
+                      "distinct")
+    drop(texts)
+    return unboxed(out, docs.columns)

@@ -36,6 +36,12 @@ def brute(docs, threshold=0.8):
     return sorted(((d, least.get(root(i)), links[i]) for i, (d, _) in enumerate(docs)), key=repr)
 
 
+def n_classes(texts):
+    """Connected classes of the texts that have words."""
+    numbered = brute([(i, t) for i, t in enumerate(texts) if sets(t)])
+    return len({least for _, least, _ in numbered})
+
+
 def edited(words, r, n):
     out = list(words)
     for _ in range(n):
@@ -79,7 +85,8 @@ def test_linked_agrees_with_sets_over_many_columns(monkeypatch):
     r = random.Random(3)
     s = [sorted(r.sample(range(40), r.randrange(1, 30))) for _ in range(20)]
     b = [np.array(x, dtype=np.uint64).tobytes() for x in s]
-    for threshold in (0.3, 0.8):
+    for threshold, rare in ((0.3, 1), (0.8, 1), (0.3, 4), (0.8, 30)):
+        monkeypatch.setattr(J, "_RARE", rare)
         own, cross = J.linked(b, None, threshold), J.linked(b[:8], b[8:], threshold)
         for i in range(20):
             for j in range(20):
@@ -95,14 +102,17 @@ def test_spreading_joins_chains(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[100] == 100 and got[250] == got[300] == got[200] == 200
 
 
-def test_one_of_each_class_stays_with_all_columns(spark):
-    docs = nasty_docs(spark, corpus([(10, 100, 1)]))
+@pytest.mark.parametrize("block", [1024, 5])
+def test_one_of_each_class_stays_with_all_columns(spark, monkeypatch, block):
+    docs = nasty_docs(spark, corpus([(10, 100, 1), (40, 60, 2), (30, 90, 9), (2, 50, 1)]))
+    monkeypatch.setattr(J, "BLOCK", block)
     left = J.distinct_documents(docs)
     assert left.columns == docs.columns
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     n_wordless = sum(not sets(r.text) for r in docs.collect())
     assert sum(not sets(r.text) for r in left.collect()) == n_wordless >= 4
     assert left.count() < docs.count()
+    assert left.count() == n_wordless + n_classes([r.text for r in docs.collect()])
     assert all(x[2] == 0 for x in brute([(r.doc_id, r.text) for r in left.collect()])) and any(x[2] for x in want)
 
 
@@ -123,3 +133,17 @@ def test_pairs_of_blocks_are_rows_of_their_own(spark, monkeypatch):
     assert set(got) == {(x, y) for own in buckets.values() for x in own for y in own if x < y}
     assert dict(out.dtypes) == {"a": "struct<label:bigint,part:bigint>", "b": "struct<label:bigint,part:bigint>"}
     assert "collect_" not in out._jdf.queryExecution().toString()
+
+
+def test_a_large_group_of_different_copies(spark):
+    """20,000 texts, all different and all linked: the pipeline's form compares blocks with themselves and one text of each."""
+    base = prose(21, 60)
+    texts = []
+    for i in range(20_000):
+        w = list(base)
+        w[-1] = f"end{i}"
+        texts.append((i, " ".join(w)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    assert J.distinct_documents(docs).count() == 1
+    some = J.with_class_id(J.join(docs.where("doc_id < 3000")))
+    assert some.groupBy("class_id", "n_links").count().collect() == [(0, 2999, 3000)]
