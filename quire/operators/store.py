@@ -75,13 +75,15 @@ def latest_per_name(incoming: DataFrame, seq: str | None) -> DataFrame:
         "file_name", F.col("_last.metadata").alias("metadata"), F.col("_last.seq").alias("last_seq"), "n_in_batch")
 
 
-def upsert_documents(store: DataFrame, incoming: DataFrame, now: str | Column, seq: str | None = None) -> DataFrame:
+def upsert_documents(store: DataFrame, incoming: DataFrame, now: str | Column, seq: str | None = None,
+                     carry: tuple[str, ...] = (), mark: str | None = None) -> DataFrame:
     """Upsert results by ``file_name``.
 
     New name: a T2 document. Existing name (or a name repeated in the batch):
     ``file_id`` and ``created_at`` kept, metadata = given or ``{}`` plus
     ``overwrite: true``, ``updated_at = now``. Untouched documents pass through.
-    One full outer join on ``file_name``.
+    One full outer join on ``file_name``. ``carry`` names more columns of the store that stay (null on new
+    documents); ``mark`` names a flag of those that the batch has.
     """
     ts = _ts(now)
     inc = latest_per_name(incoming, seq).select(
@@ -96,7 +98,7 @@ def upsert_documents(store: DataFrame, incoming: DataFrame, now: str | Column, s
         F.when(arriving, ts).otherwise(F.col("updated_at")).alias("updated_at"),
         F.when(overwritten, with_overwrite(F.col("_in_meta")))
         .when(arriving, F.coalesce(F.col("_in_meta"), F.lit("{}")))
-        .otherwise(F.col("metadata")).alias("metadata"))
+        .otherwise(F.col("metadata")).alias("metadata"), *carry, *([arriving.alias(mark)] if mark else []))
 
 
 def upsert_pages(store_pages: DataFrame, incoming_pages: DataFrame, incoming_documents: DataFrame) -> DataFrame:

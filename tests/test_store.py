@@ -187,31 +187,118 @@ def test_a_reader_keeps_its_version_and_a_lost_file_is_an_error(spark, scratch):
     assert before.count() == 1 and kept.documents().count() == 0
     kept.upsert(doc_rows(spark, [("b", None)]), page_rows(spark, [("b", 1, "two")]), NOW)
     pages_before = kept.pages()
-    gone = next(os.path.join(d, f) for d, _, names in os.walk(os.path.join(root.removeprefix("file:"), "pages", "v=2"))
-                for f in names if f.endswith(".parquet"))
+    gone = next(os.path.join(d, f) for d, _, names in os.walk(os.path.join(
+        root.removeprefix("file:"), "pages", f"w={kept.state()['pages'][-1]}")) for f in names if f.endswith(".parquet"))
     os.remove(gone)
     with pytest.raises(Exception):
         pages_before.collect()
 
 
-def test_a_failed_write_is_invisible_and_is_written_anew(spark, scratch):
+def folders(root, kind):
+    path = os.path.join(root.removeprefix("file:"), kind)
+    return sorted(os.listdir(path)) if os.path.isdir(path) else []
+
+
+def test_a_crashed_write_is_invisible_and_goes_with_vacuum(spark, scratch):
     root = os.path.join(scratch, "store_crash")
     kept = DocumentStore(spark, root)
-    # a crashed attempt: documents and pages of version 0 written, pointer missing
-    docs(spark, [("zombie", "{}")]).write.parquet(os.path.join(root, "documents", "v=0", "created_date=2024-01-01"))
-    pages(spark, [("zombie", 1, "half")]).write.parquet(os.path.join(root, "pages", "v=0"))
+    # a crashed attempt: documents and pages written, commit missing
+    docs(spark, [("zombie", "{}")]).write.parquet(os.path.join(root, "documents", "w=dead", "created_date=2024-01-01"))
+    pages(spark, [("zombie", 1, "half")]).write.parquet(os.path.join(root, "pages", "w=dead"))
     assert kept.documents().count() == 0 and kept.pages().count() == 0
     assert kept.upsert(doc_rows(spark, [("a", None)]), page_rows(spark, [("a", 1, "good")]), NOW)
     assert [r.file_name for r in kept.documents().collect()] == ["a"] and stored_pages(kept) == [("a", 1, "good")]
-
-
-def test_a_commit_in_between_is_an_error(spark, scratch):
-    kept = DocumentStore(spark, os.path.join(scratch, "store_race"))
-    before = kept.state()
-    kept.upsert(doc_rows(spark, [("a", None)]), page_rows(spark, []), NOW)
-    with pytest.raises(RuntimeError, match="in between"):
-        kept._commit(before, {"version": 9, "pages": [], "commits": {}})
-    assert kept.documents().count() == 1
+    assert kept.vacuum() == 0 and kept.vacuum(older_than_hours=-1) == 2
+    assert "w=dead" not in folders(root, "documents") + folders(root, "pages")
+    assert stored_pages(kept) == [("a", 1, "good")]
+
+
+@pytest.mark.parametrize("first", ["upsert", "delete", "update_pages"])
+def test_of_two_writes_at_once_one_wins_and_nothing_of_it_is_lost(spark, scratch, first):
+    root = os.path.join(scratch, f"store_race_{first}")
+    one, other = DocumentStore(spark, root), DocumentStore(spark, root)
+    one.upsert(doc_rows(spark, [("base", None)]), page_rows(spark, [("base", 1, "b")]), NOW)
+
+    writes = {"upsert": lambda s: s.upsert(doc_rows(spark, [("a.png", None)]), page_rows(spark, [("a.png", 1, "A")]), NOW),
+              "delete": lambda s: s.delete(spark.createDataFrame([("base",)], "file_id string")),
+              "update_pages": lambda s: s.update_pages(pages(spark, [("base", 1, "new")]), "2024-07-01 00:00:00")}
+    before = other.state()
+    assert writes[first](one)
+    want = names_and_pages(one)
+    other.state = lambda: before
+    for name in sorted(writes):
+        with pytest.raises(RuntimeError, match="in between"):
+            writes[name](other)
+    del other.state
+    assert names_and_pages(one) == names_and_pages(other) == want
+    assert len(folders(root, "documents")) <= 2 and writes["upsert"](other)
+    assert "a.png" in names_and_pages(one)[0]
+
+
+def names_and_pages(kept):
+    return sorted(r.file_name for r in kept.documents().collect()), stored_pages(kept)
+
+
+def test_days_that_a_write_does_not_touch_stay_and_old_folders_go(spark, scratch):
+    root = os.path.join(scratch, "store_days")
+    kept = DocumentStore(spark, root)
+    kept.upsert(doc_rows(spark, [("a", None), ("b", None)]), page_rows(spark, [("a", 1, "a"), ("b", 1, "b")]), "2024-01-01 00:00:00")
+    first = kept.state()["days"]["2024-01-01"]
+    for k in range(12):
+        kept.upsert(doc_rows(spark, [(f"c{k % 2}", None)]), page_rows(spark, [(f"c{k % 2}", 1, str(k))]), "2024-02-01 00:00:00")
+    state = kept.state()
+    assert state["days"]["2024-01-01"] == first and set(state["days"]) == {"2024-01-01", "2024-02-01"}
+    assert names_and_pages(kept) == (["a", "b", "c0", "c1"], [("a", 1, "a"), ("b", 1, "b"), ("c0", 1, "10"), ("c1", 1, "11")])
+    assert len(folders(root, "commits")) <= 2 * 10 + 2  # with the checksums that a local file system keeps
+    live = [f for f in folders(root, "documents") if os.listdir(os.path.join(root.removeprefix("file:"), "documents", f)) and any(
+        "created_date" in x for x in os.listdir(os.path.join(root.removeprefix("file:"), "documents", f)))]
+    assert len(live) <= 11
+    kept.upsert(doc_rows(spark, [("a", None)]), page_rows(spark, [("a", 1, "again")]), "2024-03-01 00:00:00")
+    assert kept.state()["days"]["2024-01-01"] != first and kept.state()["days"]["2024-02-01"] == state["days"]["2024-02-01"]
+    kept.delete(spark.createDataFrame([("c0",), ("c1",)], "file_id string"))
+    assert set(kept.state()["days"]) == {"2024-01-01"}  # a day without documents is gone
+    assert kept.compact() and names_and_pages(kept) == (["a", "b"], [("a", 1, "again"), ("b", 1, "b")])
+
+
+def test_a_write_that_breaks_a_constraint_leaves_the_store_as_it_was(spark, scratch):
+    from quire.sources.docstore import ConstraintViolation
+
+    root = os.path.join(scratch, "store_checks")
+    kept = DocumentStore(spark, root)
+    kept.upsert(doc_rows(spark, [("a", None)]), page_rows(spark, [("a", 1, "a")]), NOW)
+    before, want = kept.state(), names_and_pages(kept)
+    for documents, given, what in (
+            ([("b", None)], [("b", 1, "x"), ("b", 1, "y")], "pages: 2 repeated keys"),
+            ([("b", None)], [("b", None, "x")], "pages: 1 null page_number"),
+            ([(None, None)], [], "documents: 1 null file_id; documents: 1 null file_name"),
+    ):
+        with pytest.raises(ConstraintViolation, match=what):
+            kept.upsert(doc_rows(spark, documents), page_rows(spark, given), NOW)
+        assert kept.state() == before and names_and_pages(kept) == want
+    assert len(folders(root, "pages")) == len(folders(root, "documents")) == 1  # what was written for them is gone
+    # a stored document whose id is another's name: saving that name would make the id twice
+    other = DocumentStore(spark, os.path.join(scratch, "store_checks_2"))
+    other.upsert(doc_rows(spark, [("x", None)]), page_rows(spark, []), "2024-01-01 00:00:00")
+    state = other.state()
+    other._write(state, sorted(state["days"]), other._documents(state).withColumn("file_name", F.lit("renamed")), F.lit(False), None)
+    with pytest.raises(ConstraintViolation, match="documents: 2 repeated keys"):
+        other.upsert(doc_rows(spark, [("x", None)]), page_rows(spark, []), "2024-05-01 00:00:00")
+    assert [r.file_name for r in other.documents().collect()] == ["renamed"]
+
+
+def test_checks_on_write_cost_no_extra_scan(spark, scratch):
+    """Rows are counted in the job that writes them: its plan holds the observed counts."""
+    seen = []
+
+    class Spy(DocumentStore):
+        def _checked(self, rows, *more):
+            out = super()._checked(rows, *more)
+            seen.append(out._jdf.queryExecution().optimizedPlan().toString())
+            return out
+
+    kept = Spy(spark, os.path.join(scratch, "store_observe"))
+    kept.upsert(doc_rows(spark, [("a", None)]), page_rows(spark, [("a", 1, "a")]), NOW)
+    assert len(seen) == 2 and all("CollectMetrics" in p for p in seen)
 
 
 def test_store_time_range_prunes_days(spark, scratch):
