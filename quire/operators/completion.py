@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.sources.ledger import AnswerLedger
 from quire.plans.joins import checked_broadcast, literal_frame
 
 # Defaults of the provider settings, the mock provider's reply
@@ -447,7 +448,7 @@ def _batches(functions: dict, concurrency: int, keep: list[str]):
 
 def _through(requests: DataFrame, key: str, given: Column, provider: str | Column, override: Column | None,
              registry: ProviderRegistry | None, functions: dict, partitions: int | None, concurrency: int,
-             carry: tuple[str, ...], failed: Column | None = None) -> DataFrame:
+             carry: tuple[str, ...], failed: Column | None = None, ledger: AnswerLedger | None = None) -> DataFrame:
     from quire.session import ship_package
 
     ship_package(requests.sparkSession)
@@ -473,17 +474,41 @@ def _through(requests: DataFrame, key: str, given: Column, provider: str | Colum
                     message.alias("_error_message"), F.col("eff_model").alias("_model"),
                     F.col("eff_temperature").alias("_temperature"), F.col("eff_max_tokens").alias("_max_tokens"),
                     F.col("eff_timeout").alias("_timeout"), F.rtrim(F.col("cfg_host"), F.lit("/")).alias("_host"), "_mock_response")
+    if ledger is not None:
+        return _by_ledger(slim, keep, ledger, functions, partitions, concurrency)
     if partitions:
         slim = slim.repartition(partitions, key)
     schema = slim.select(*keep).schema.simpleString()[len("struct<"):-1]
     return slim.mapInArrow(_batches(functions, concurrency, keep), f"{schema}, {RESULT_SCHEMA}")
 
 
+def _by_ledger(slim: DataFrame, keep: list[str], ledger: AnswerLedger, functions: dict, partitions: int | None,
+               concurrency: int) -> DataFrame:
+    """Answers from the ledger; what it doesn't have is asked once a digest and written to it as it comes."""
+    from quire.sources.ledger import digest_of
+
+    asked = ["_provider", *(f"_{c}" for c in OPTIONS), "_given"]
+    failed = [F.col("_error_kind"), F.col("_error_message")]
+    slim = slim.select(*keep, *failed, *asked, digest_of(*asked).alias("_digest"))
+    open_ = (slim.where("_error_kind is null").groupBy(F.col("_digest").alias("digest"))
+             .agg(F.any_value(F.struct(*asked)).alias("q")).join(ledger.answers(RESULT_SCHEMA).select("digest"), "digest", "left_anti"))
+    calls = open_.select("digest", "q.*", *(F.lit(None).cast("string").alias(c) for c in ("_error_kind", "_error_message")))
+    if partitions:
+        calls = calls.repartition(partitions, "digest")
+    run = ledger.add(calls.mapInArrow(_batches(functions, concurrency, ["digest"]), f"digest string, {RESULT_SCHEMA}"))
+    told = ledger.answers(RESULT_SCHEMA).unionByName(ledger.rows(RESULT_SCHEMA, run).where("error_kind is not null"))
+    names = [f.name for f in _RESULT]
+    known = slim.select(*keep, *failed, "_digest").join(told.withColumnRenamed("digest", "_digest"), "_digest", "left")
+    return known.select(*keep, *(c for c in names if not c.startswith("error_")), F.coalesce("_error_kind", "error_kind").alias(
+        "error_kind"), F.coalesce("_error_message", "error_message").alias("error_message"))
+
+
 def complete_batch(requests: DataFrame, prompt: Column, provider: str | Column = "mock",
                    override: Column | None = None, partitions: int | None = None,
                    concurrency: int = 1, carry: tuple[str, ...] = (), key: str = "request_id",
                    registry: ProviderRegistry | None = None,
-                   functions: dict[str, Callable[[str, dict], dict]] | None = None) -> DataFrame:
+                   functions: dict[str, Callable[[str, dict], dict]] | None = None,
+                   ledger: AnswerLedger | None = None) -> DataFrame:
     """Run every request through its provider's function: a result or an error per row.
 
     ``provider`` is a name or a column of names. Options (model, temperature,
@@ -493,19 +518,24 @@ def complete_batch(requests: DataFrame, prompt: Column, provider: str | Column =
     deals them out by ``key`` (of any type) where slow calls are to be shared by
     more tasks, and ``concurrency`` > 1 overlaps network-bound calls within a
     task (results keep their order). ``carry`` columns pass through.
+
+    With a ``ledger``, equal requests are asked once and answers are kept: the calls run when this function is called, a
+    killed run's answers stay, and a rerun asks only for what has none. ``partitions`` then also says how often answers
+    become safe: when the task that got them ends.
     """
     return _through(requests, key, prompt, provider, override, registry, functions or PROVIDER_FUNCTIONS, partitions,
-                    concurrency, carry)
+                    concurrency, carry, ledger=ledger)
 
 
 def chat_batch(chats: DataFrame, provider: str | Column = "mock", partitions: int | None = None, concurrency: int = 1,
                carry: tuple[str, ...] = (), key: str = "conv_id", override: Column | None = None,
                registry: ProviderRegistry | None = None,
-               functions: dict[str, Callable[[list[dict], dict], dict]] | None = None) -> DataFrame:
+               functions: dict[str, Callable[[list[dict], dict], dict]] | None = None,
+               ledger: AnswerLedger | None = None) -> DataFrame:
     """L16 for chats: ``chats(conv_id, messages ARRAY<STRUCT<role, content>>, error)`` through chat functions.
 
     As :func:`complete_batch`; a chat with an ``error`` (its document isn't there) isn't sent, the error is its result.
     """
     failed = F.col("error") if "error" in chats.columns else None
     return _through(chats, key, F.col("messages"), provider, override, registry, functions or CHAT_FUNCTIONS, partitions,
-                    concurrency, carry, failed)
+                    concurrency, carry, failed, ledger)

@@ -228,6 +228,14 @@ def q_recognize_pages(spark, root):
     return extract.recognize_pages(pages, "utf8")
 
 
+@register("recognize_distinct_pages", ORACLE["recognize_pages"])
+def q_recognize_distinct_pages(spark, root):
+    """X4 with one call for all pages of equal bytes."""
+    docs = fx.documents(spark, root).select(F.col("doc_id").alias("file_id"), "text")
+    pages = extract.explode_pages(docs, F.transform(F.split("text", "\n"), lambda x: F.encode(x, "UTF-8")))
+    return extract.recognize_distinct_pages(pages, "utf8")
+
+
 @register("ingest_pages", with_ctes(D_INGEST, "page_text", *D_ROUTED_CTES))
 def q_ingest_pages(spark, root):
     return _ingested(spark, root)
@@ -575,6 +583,28 @@ def q_complete_batch(spark, root):
         "raw_response", "$.prompt")).cast("bigint").alias("echoed_chars"))
 
 
+@register("answer_ledger", ORACLE["complete_batch"])
+def q_answer_ledger(spark, root):
+    """L16 with a ledger: first the requests to one provider, then all of them, so the second run takes the first one's
+    answers from the ledger and asks for the others; rows are those of ``complete_batch``."""
+    import uuid
+
+    from quire.sources.ledger import AnswerLedger
+
+    ledger = AnswerLedger(spark, scratch_path(spark, f"ledger-{uuid.uuid4().hex}"))
+    req = fx.llm_requests(spark, root).withColumnRenamed("prompt", "given")
+
+    def run(rows: DataFrame) -> DataFrame:
+        return completion.complete_batch(
+            rows, prompts.parse_prompt(F.col("given"), F.col("text")), F.col("provider"), F.col("mock_response"),
+            registry=_registry(), functions=fx.FUNCTIONS, ledger=ledger)
+
+    run(req.where(F.col("provider") == "mock"))
+    out = run(req)
+    return out.select(*[c for c in out.columns if c != "raw_response"], F.length(F.get_json_object(
+        "raw_response", "$.prompt")).cast("bigint").alias("echoed_chars"))
+
+
 def _d_count(path: str) -> str:
     return (f"CASE WHEN json_extract(j, '{path}') IS NULL THEN 0 WHEN json_type(j, '{path}') IN ('UBIGINT', 'BIGINT')"
             f" THEN CAST(json_extract_string(j, '{path}') AS BIGINT) END")
@@ -884,15 +914,22 @@ def q_document_usage(spark, root):
 
 # ---------------------------------------------------------------- files and streams
 
-def _drop_files(spark: SparkSession, root: str, tag: str) -> str:
-    """Write the uploads as files (one folder per file name) into a fresh folder of the shared dir."""
+_DROPPED: dict[tuple[str, str], str] = {}
+
+
+def _drop_files(spark: SparkSession, root: str) -> str:
+    """A folder of the shared dir with the uploads as files (one folder per file name), written once an application: the
+    input of the queries that read files."""
     import uuid
 
     from quire.sources.uploads import write_upload_files
 
-    path = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
-    write_upload_files(fx.uploads(spark, root), path)
-    return path
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _DROPPED:
+        path = scratch_path(spark, f"drop-{uuid.uuid4().hex}")
+        write_upload_files(fx.uploads(spark, root), path)
+        _DROPPED[key] = path
+    return _DROPPED[key]
 
 
 @register("read_uploads", with_ctes(
@@ -904,7 +941,7 @@ def q_read_uploads(spark, root):
     from quire.sources.uploads import read_uploads
 
     manifest = fx.uploads(spark, root).select("file_name", "content_type")
-    files = read_uploads(spark, _drop_files(spark, root, "uploads"), manifest).withColumn("file_id", F.col("file_name"))
+    files = read_uploads(spark, _drop_files(spark, root), manifest).withColumn("file_id", F.col("file_name"))
     routed = intake.route(files, None)
     return routed.select("file_name", "content_type", "length", "route")
 
@@ -919,8 +956,11 @@ def q_incremental_ingest(spark, root):
     from quire.sources.docstore import DocumentStore
     from quire.streaming.ingest import Plugins, start_incremental_ingest
 
-    source = _drop_files(spark, root, "drop")
-    store_root = source + "-store"
+    import uuid
+
+    source = _drop_files(spark, root)
+    own = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
+    store_root = f"{own}/store"
     names = fx.uploads(spark, root).select("file_id", "file_name")
     manifest = fx.uploads(spark, root).select("file_name", "content_type", "force_ocr")
 
@@ -928,7 +968,7 @@ def q_incremental_ingest(spark, root):
         return layout.join(names, "file_id").drop("file_id").withColumnRenamed("file_name", "file_id")
 
     layout = (by_name(fx.page_rects(spark, root)), by_name(fx.page_blocks(spark, root)))
-    query = start_incremental_ingest(spark, source, store_root, source + "-checkpoint",
+    query = start_incremental_ingest(spark, source, store_root, f"{own}/checkpoint",
                                      Plugins(fx.text_layer, fx.line_images), manifest, now=NOW, layout=layout)
     query.awaitTermination()
     kept = DocumentStore(spark, store_root)

@@ -384,3 +384,24 @@ def test_gathering_plan_splits_hot_documents(spark):
     # level one groups by (document, chunk), level two by document: two separate aggregation exchanges
     assert plan.count("Exchange hashpartitioning") == 2
     assert "FLOOR" in plan.upper()
+
+
+def scanned_rows(df):
+    """Rows that the scan of the plan that ran has given."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_point_lookups_skip_row_groups_by_bloom_filters(spark, scratch):
+    kept = DocumentStore(spark, os.path.join(scratch, "store_bloom"))
+    names = [f"{(i * 7919) % 1000:04d}.pdf" for i in range(0, 1000, 2)]
+    kept.upsert(doc_rows(spark, [(n, None) for n in names]), page_rows(spark, [(n, 1, n) for n in names]), NOW)
+    # between the least and the greatest name of every file, so only the filters can rule it out
+    assert scanned_rows(kept.find("file_id", "0500.pdf~")) == scanned_rows(kept.find("file_name", "0500.pdf~")) == 0
+    assert kept.find("file_name", names[3]).count() == 1 and 0 < scanned_rows(kept.find("file_id", names[3])) <= 500
+    pages = spark.read.parquet(os.path.join(kept.root, "pages")).filter(F.col("document_id") == "0500.pdf~")
+    assert scanned_rows(pages) == 0
+    assert [r.content for r in kept.find_pages(names[5], 1).collect()] == [names[5]] and kept.find_pages(names[5]).count() == 1
