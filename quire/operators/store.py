@@ -247,3 +247,17 @@ def metadata_value(metadata: Column, key: str) -> Column:
         value = F.element_at(F.from_json(metadata, "map<string,variant>"), F.lit(key))
         return F.try_variant_get(value, "$", "string")
     return F.get_json_object(metadata, f"$['{key}']")
+
+
+def with_variant_metadata(documents: DataFrame, column: str = "metadata") -> DataFrame:
+    """``column`` as VARIANT, so that its fields are read from Parquet without parsing text; text that isn't JSON is null."""
+    return documents.withColumn(column, F.try_parse_json(column))
+
+
+def variant_value(metadata: Column, key: str) -> Column:
+    """K7 on a VARIANT: a top-level field as text, whatever characters its name has."""
+    name = key.replace("\\", "\\\\").replace("'", "\\'")
+    if name == key and "]" not in key:
+        return F.try_variant_get(metadata, f"$['{key}']", "string")
+    fields = F.try_variant_get(metadata, "$", "map<string,variant>")
+    return F.try_variant_get(F.element_at(fields, F.lit(key)), "$", "string")

@@ -243,6 +243,16 @@ def q_ingest_pages(spark, root):
 
 # ---------------------------------------------------------------- joins and nesting
 
+def _bucketed_store(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    import uuid
+
+    from quire.sources.layouts import bucketed_table
+
+    own, buckets = scratch_path(spark, f"bucketed-{uuid.uuid4().hex}"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (bucketed_table(fx.store_documents(spark, root), "file_id", f"{own}/documents", buckets),
+            bucketed_table(fx.store_pages(spark, root), "document_id", f"{own}/pages", buckets))
+
+
 @register("documents_with_pages", with_ctes(
     "SELECT d.file_id, p.page_number, p.content FROM store_documents d"
     " LEFT JOIN store_pages p ON d.file_id = p.document_id", "store_documents", "store_pages"))
@@ -251,6 +261,13 @@ def q_documents_with_pages(spark, root):
         "file_id", "page_number", "content")
 
 
+@register("documents_with_pages_bucketed", ORACLE["documents_with_pages"])
+def q_documents_with_pages_bucketed(spark, root):
+    """J1 on tables bucketed by document: written once, joined without an exchange."""
+    documents, pages = _bucketed_store(spark, root)
+    return assemble.documents_with_pages(documents, pages).select("file_id", "page_number", "content")
+
+
 @register("nest_pages", with_ctes(
     "SELECT document_id AS file_id, count(*) AS n_pages, string_agg(content, chr(10) ORDER BY page_number) AS joined,"
     " string_agg(metadata, '' ORDER BY page_number) AS page_metadata FROM store_pages GROUP BY document_id", "store_pages"))
@@ -276,6 +293,13 @@ def q_pages_with_document(spark, root):
         "document_id", "page_number", "file_name")
 
 
+@register("pages_with_document_bucketed", ORACLE["pages_with_document"])
+def q_pages_with_document_bucketed(spark, root):
+    """J4 on tables bucketed by document."""
+    documents, pages = _bucketed_store(spark, root)
+    return assemble.pages_with_document(pages, documents).select("document_id", "page_number", "file_name")
+
+
 @register("upload_results", with_ctes(
     "SELECT u.file_id, u.file_name, count(i.file_id) AS n_pages,"
     " coalesce(string_agg(i.content, chr(10) ORDER BY i.page_number), '') AS content"
@@ -780,6 +804,17 @@ def q_list_documents(spark, root):
     return store.list_documents(fx.store_documents(spark, root), LIST_SKIP, LIST_LIMIT).select("file_id", "file_name")
 
 
+@register("list_documents_sorted", ORACLE["list_documents"])
+def q_list_documents_sorted(spark, root):
+    """O2 from a listing kept in ranges: only the ranges that the page lies in are read."""
+    import uuid
+
+    from quire.sources.layouts import SortedListing
+
+    listing = SortedListing(spark, scratch_path(spark, f"listing-{uuid.uuid4().hex}"))
+    return listing.build(fx.store_documents(spark, root), 16).page(LIST_SKIP, LIST_LIMIT).select("file_id", "file_name")
+
+
 @register("documents_created_between", with_ctes(
     f"SELECT file_id, created_at FROM store_documents WHERE created_at >= TIMESTAMP '{CREATED_FROM}'"
     f" AND created_at < TIMESTAMP '{CREATED_TO}'", "store_documents"))
@@ -794,6 +829,16 @@ def q_metadata_lookup(spark, root):
     return fx.store_documents(spark, root).select("file_id", store.metadata_value(F.col("metadata"), "src").alias("src"))
 
 
+@register("metadata_lookup_variant", ORACLE["metadata_lookup"])
+def q_metadata_lookup_variant(spark, root):
+    """K7 on metadata written as VARIANT."""
+    import uuid
+
+    path = scratch_path(spark, f"variant-{uuid.uuid4().hex}")
+    store.with_variant_metadata(fx.store_documents(spark, root)).write.parquet(path)
+    return spark.read.parquet(path).select("file_id", store.variant_value(F.col("metadata"), "src").alias("src"))
+
+
 @register("props_lookup", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def q_props_lookup(spark, root):
     return fx.read_table(spark, root, "events").select("event_id", store.metadata_value(F.col("props"), "k").alias("k"))
