@@ -143,21 +143,37 @@ def _unescape(text: Column, role: bool = False) -> Column:
     return F.array_join(F.transform(F.split(text, "\\\\\\\\", -1), plain), "\\")
 
 
+#: Elements of a list whose running sums are made from one another; lists of them get theirs from their totals.
+_CHUNK = 128
+
+
+def running_starts(sizes: str) -> Column:
+    """The sum of all elements before each one, of a list column of longs: chunk by chunk, so a long list costs its length
+    and not its square."""
+    none = F.lit(0).cast("long")
+    chunks = F.transform(F.sequence(none, F.greatest(F.ceil(F.size(sizes) / _CHUNK) - 1, none)),
+                         lambda c: F.slice(sizes, (c * _CHUNK + 1).cast("int"), _CHUNK))
+    totals = F.transform(chunks, lambda chunk: F.aggregate(chunk, none, lambda a, x: a + x))
+    bases = F.aggregate(totals, F.array(none), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + t)))
+    inner = F.transform(chunks, lambda chunk: F.slice(F.aggregate(
+        chunk, F.array(none), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), 1, F.size(chunk)))
+    return F.flatten(F.zip_with(inner, F.slice(bases, 1, F.size(chunks)), lambda own, base: F.transform(own, lambda x: x + base)))
+
+
 def formatted(records: DataFrame) -> DataFrame:
     """``records`` (with ``turns``) plus ``formatted`` and ``mask``: for every turn where its text lies in it
     (start and length in code points) and whether it is under the loss."""
     parts = F.transform("turns", lambda t: F.struct(_escape_role(t["role"]).alias("role"), _escape(t["text"]).alias("text"),
                                                     (t["role"] == LOSS_ROLE).alias("loss")))
     head, tail = len(START) + 1, len(END) + 1
-    ends = F.aggregate("_parts", F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(
-        F.element_at(acc, -1) + head + tail + F.length(p["role"]) + F.length(p["text"]))))
+    sizes = F.transform("_parts", lambda p: (F.length(p["role"]) + F.length(p["text"]) + (head + tail)).cast("long"))
     text = F.array_join(F.transform("_parts", lambda p: F.concat(F.lit(START), p["role"], F.lit("\n"), p["text"],
                                                                  F.lit(END + "\n"))), "")
-    mask = F.zip_with("_parts", F.slice("_ends", 1, F.size("_parts")), lambda p, start: F.struct(
+    mask = F.zip_with("_parts", "_starts", lambda p, start: F.struct(
         (start + head + F.length(p["role"])).alias("start"), F.length(p["text"]).cast("long").alias("length"),
         p["loss"].alias("loss")))
-    return (records.withColumn("_parts", parts).withColumn("_ends", ends).withColumn("formatted", text)
-            .withColumn("mask", mask).drop("_parts", "_ends"))
+    return (records.withColumn("_parts", parts).withColumn("_sizes", sizes).withColumn("_starts", running_starts("_sizes"))
+            .withColumn("formatted", text).withColumn("mask", mask).drop("_parts", "_sizes", "_starts"))
 
 
 def read_back(records: DataFrame) -> DataFrame:
@@ -166,9 +182,8 @@ def read_back(records: DataFrame) -> DataFrame:
     pieces = F.split("formatted", "<\\|end\\|>\n", -1)
     pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
     cut = F.transform("_pieces", lambda p: F.struct(F.instr(p, F.lit("\n")).alias("at"), p.alias("piece")))
-    ends = F.aggregate("_pieces", F.array(F.lit(0).cast("long")), lambda acc, p: F.concat(acc, F.array(
-        F.element_at(acc, -1) + F.length(p) + len(END) + 1)))
-    read = F.zip_with("_cut", F.slice("_ends", 1, F.size("_cut")), lambda c, start: F.struct(
+    sizes = F.transform("_pieces", lambda p: (F.length(p) + (len(END) + 1)).cast("long"))
+    read = F.zip_with("_cut", "_starts", lambda c, start: F.struct(
         _unescape(F.substring(c["piece"], F.lit(len(START) + 1), c["at"] - len(START) - 1), role=True).alias("role"),
         _unescape(F.substring(c["piece"], c["at"] + 1, F.length(c["piece"]))).alias("text"),
         (start + c["at"]).alias("start"),
@@ -176,8 +191,9 @@ def read_back(records: DataFrame) -> DataFrame:
     loss = F.transform(F.filter(F.arrays_zip(F.col("read").alias("read"), F.col("mask").alias("mask")), lambda z: (
         z["mask"]["loss"] & (z["mask"]["start"] == z["read"]["start"]) & (z["mask"]["length"] == z["read"]["length"]))),
         lambda z: z["read"]["text"])
-    return (records.withColumn("_pieces", pieces).withColumn("_cut", cut).withColumn("_ends", ends)
-            .withColumn("read", read).withColumn("loss_texts", loss).drop("_pieces", "_cut", "_ends"))
+    return (records.withColumn("_pieces", pieces).withColumn("_cut", cut).withColumn("_sizes", sizes)
+            .withColumn("_starts", running_starts("_sizes")).withColumn("read", read).withColumn("loss_texts", loss)
+            .drop("_pieces", "_cut", "_sizes", "_starts"))
 
 
 def records_from_rows(rows: DataFrame) -> DataFrame:

@@ -78,3 +78,27 @@ def test_empty_and_native(spark):
     assert df.count() == 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("sizes", [[], [5], list(range(127)), list(range(128)), list(range(1, 130)), [3] * 1000])
+def test_running_starts(spark, sizes):
+    df = spark.createDataFrame([(sizes,)], "sizes array<long>")
+    assert df.select(C.running_starts("sizes")).first()[0] == [sum(sizes[:i]) for i in range(len(sizes))]
+
+
+def test_time_follows_the_turns(spark):
+    """One conversation of 40,000 turns takes less than six times what one of 10,000 takes."""
+    import time
+
+    def took(n):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                     F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                     F.format_string("turn %d <| \\\\ says", "id").alias("text"))
+        begun = time.time()
+        got = C.format_conversations(rows).select(F.size("read"), F.size("loss_texts"), F.length("formatted")).collect()
+        assert got[0][:2] == (n, n // 2)
+        return time.time() - begun
+
+    took(1000)
+    small = took(10_000)
+    assert took(40_000) < 6 * small + 2, small
