@@ -20,9 +20,12 @@ wherever it begins and whatever its lines and neighbours are. From each line on,
 and up to each line, the shortest run of over ``passage`` words is taken: a
 longer repeated run is the union of such shortest ones, so nothing has to be
 extended. A shorter text that has a fitting chunk is one more run, so a copy of
-it leaves no fragment. Runs are compared by 128 bits made of their lines' BLAKE2
-digests; line ends between lines aren't compared; a run that overlaps its first
-occurrence stays.
+it leaves no fragment. Runs are looked for by 128 bits made of their lines' BLAKE2
+digests; a run that overlaps its first occurrence stays. Then bytes decide: runs of
+a text that stand in the same place of the same earlier text are put together, the
+earlier text's lines are fetched, each stretch once however many texts repeat it,
+and only lines whose bytes agree go. Line ends between lines aren't compared.
+Texts are written once, bucketed, and aren't shuffled.
 
 Defined results: null stays null; texts without lines to remove stay as they
 are; a text whose every chunk or line is repeated elsewhere becomes empty; null
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, col, ready, row_keys, steps, unboxed, written
+from .common import boxed, co_located, col, drop, ready, row_keys, steps, text_table, unboxed, with_chunk, written
 from .words import RULES, U64, mix, words
 
 DIVISOR = 2
@@ -147,19 +150,68 @@ def _cut_runs(passage: int, keep: list[str]):
     return run
 
 
+def stretches(place: np.ndarray, until: np.ndarray, source: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of one text that stand in the same place of the same earlier text, put together where they touch; without those
+    that lie inside another. Place, last line, earlier text and place in it of each."""
+    shift = at - place
+    order = np.lexsort((-until, place, shift, source))
+    place, until, source, shift = place[order], until[order], source[order], shift[order]
+    new = np.ones(len(place), dtype=bool)
+    new[1:] = (source[1:] != source[:-1]) | (shift[1:] != shift[:-1])
+    lane = np.cumsum(new)
+    far = np.maximum.accumulate(until + lane * (int(until.max(initial=0)) + 2)) - lane * (int(until.max(initial=0)) + 2)
+    new[1:] |= place[1:] > far[:-1] + 1
+    head = np.flatnonzero(new)
+    if len(head):
+        until = np.maximum.reduceat(until, head)
+    place, source, shift = place[head], source[head], shift[head]
+    order = np.lexsort((-until, place))
+    before = np.concatenate([[-1], np.maximum.accumulate(until[order])[:-1]]) if len(order) else until
+    keep = order[until[order] > before]
+    return place[keep], until[keep], source[keep], place[keep] + shift[keep]
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            drops = col(b, "drops")[i].values
+            found = stretches(*(drops.field(k).to_numpy() for k in ("place", "until", "source", "at")))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(found[0]), col(b, "uid")[i].as_py(), np.int64)), *map(pa.array, found)],
+                ["uid", "place", "until", "source", "at"])
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the asked lines of each text, a line end between them."""
+    for b in steps(batches):
+        texts, asked = col(b, "text"), col(b, "asked")
+        for r in range(b.num_rows):
+            w = words(texts.slice(r, 1), "lines")
+            lines = [w.data[s:e].tobytes() for s, e in zip(w.starts.tolist(), w.ends.tolist())]
+            at, n = (asked[r].values.field(k).to_numpy() for k in ("at", "lines"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), col(b, "uid")[r].as_py(), np.int64)), pa.array(at), pa.array(n),
+                 pa.array([b"\n".join(lines[i:i + k]) for i, k in zip(at.tolist(), n.tolist())], pa.binary())],
+                ["source", "at", "lines", "body"])
+
+
 def strip_lines(texts: pa.Array, drops: list[list[dict] | None]) -> tuple[list[str | None], list[int]]:
-    """Texts without the lines ``place`` up to ``until`` of each drop; and how many went."""
+    """Texts without the lines ``place`` up to ``until`` of each drop that equal those of its ``body``; and how many went."""
     out, gone = texts.to_pylist(), [0] * len(texts)
-    for r, drop in enumerate(drops):
-        if not drop or out[r] is None:
+    for r, drop_ in enumerate(drops):
+        if not drop_ or out[r] is None:
             continue
-        raw = out[r].encode()
-        starts = words(texts.slice(r, 1), "lines").starts
-        depth = np.zeros(len(starts) + 1, dtype=np.int64)
-        np.add.at(depth, [d["place"] for d in drop], 1)
-        np.add.at(depth, [d["until"] + 1 for d in drop], -1)
-        bad = np.cumsum(depth[:-1]) > 0
-        left = b"".join([raw[s:e] for s, e, x in zip(starts.tolist(), [*starts[1:].tolist(), len(raw)], bad.tolist()) if not x])
+        w = words(texts.slice(r, 1), "lines")
+        raw, starts = out[r].encode(), w.starts.tolist()
+        lines = [w.data[s:e].tobytes() for s, e in zip(starts, w.ends.tolist())]
+        bad = np.zeros(len(starts), dtype=bool)
+        for d in drop_:
+            span = lines[d["place"]:d["until"] + 1]
+            if b"\n".join(span) == d["body"]:
+                bad[d["place"]:d["until"] + 1] = True
+        if not bad.any():
+            continue
+        left = b"".join([raw[s:e] for s, e, x in zip(starts, [*starts[1:], len(raw)], bad.tolist()) if not x])
         out[r], gone[r] = (left.rstrip(b"\n") if bad[-1] else left).decode(), int(bad.sum())
     return out, gone
 
@@ -207,33 +259,51 @@ def _strip(strip):
     return run
 
 
-def _repeated_runs(narrow: DataFrame, key: list[str], kind: str, passage: int) -> DataFrame:
-    """(key, _drops): the runs of lines of each text that occurred before."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key, "place")
-    found = narrow.mapInArrow(_cut_runs(passage, ["doc_id", *key]),
-                              f"doc_id {kind}, _file long, _row long, place long, until long, hash long, more long")
+def _without_runs(docs: DataFrame, passage: int) -> DataFrame:
+    """``without_repeats`` with a ``passage``, written."""
+    spark = docs.sparkSession
+    texts = text_table(docs.select(*boxed(docs)))
+    kind = dict(docs.dtypes)["doc_id"]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "place")
+    found = texts.select("_in.doc_id", "uid", "text").mapInArrow(
+        _cut_runs(passage, ["doc_id", "uid"]), f"doc_id {kind}, uid long, place long, until long, hash long, more long")
     repeated = written(found.groupBy("hash", "more").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-                       .where("n > 1").drop("n"), "repeated")
-    places = narrow.select(*key, "text").mapInArrow(
-        _cut_runs(passage, key), "_file long, _row long, place long, until long, hash long, more long")
-    return (places.join(repeated, ["hash", "more"])
-            .where(~((F.col("first._file") == F.col("_file")) & (F.col("first._row") == F.col("_row"))
-                     & (F.col("place") <= F.col("first.place") + F.col("until") - F.col("place"))))
-            .groupBy(*key).agg(F.collect_list(F.struct("place", "until")).alias("_drops")))
+                       .where("n > 1").select("hash", "more", F.col("first.uid").alias("source"), F.col("first.place").alias("at")),
+                       "repeated")
+    places = texts.select("uid", "text").mapInArrow(
+        _cut_runs(passage, ["uid"]), "uid long, place long, until long, hash long, more long")
+    told = (places.join(repeated, ["hash", "more"])
+            .where("not (source = uid and place <= at + until - place)").groupBy("uid")
+            .agg(F.collect_list(F.struct("place", "until", "source", "at")).alias("drops")))
+    runs_ = written(told.mapInArrow(_put_together, "uid long, place long, until long, source long, at long")
+                    .withColumn("lines", F.col("until") - F.col("place") + 1), "runs")
+    drop(repeated)
+    asked = with_chunk(runs_.select(F.col("source").alias("uid"), "at", "lines").distinct().groupBy("uid").agg(
+        F.collect_list(F.struct("at", "lines")).alias("asked")))
+    with co_located(spark):
+        bodies = written(texts.select("chunk", "uid", "text").join(asked, ["chunk", "uid"]).select("uid", "text", "asked").mapInArrow(
+            _fetch, "source long, at long, lines long, body binary"), "bodies")
+    drops = with_chunk(runs_.join(bodies, ["source", "at", "lines"]).groupBy("uid").agg(
+        F.collect_list(F.struct("place", "until", "body")).alias("_drops")))
+    schema = texts.select("_in").schema.simpleString()[len("struct<"):-1]
+    with co_located(spark):
+        out = written(texts.join(drops, ["chunk", "uid"], "left").select("_in", "text", "_drops").mapInArrow(
+            _strip(strip_lines), f"{schema}, text string, n_removed long"), "stripped")
+    drop(texts, runs_, bodies)
+    return out
 
 
 def without_repeats(docs: DataFrame, passage: int | None = None) -> DataFrame:
     """A row per document: ``_in``, a struct of all other columns, ``text`` without repeated chunks, and n_removed,
     how many chunks went. With ``passage``, runs of lines with more words than that go as well, and lines are counted."""
     ready(docs.sparkSession)
+    if passage is not None:
+        return _without_runs(docs, passage)
     keyed = row_keys(docs, boxed(docs))
     key = ["_file", "_row"]
     kind = dict(docs.dtypes)["doc_id"]
     narrow = keyed.select("_in.doc_id", *key, "text")
     schema = keyed.select("_in").schema.simpleString()[len("struct<"):-1]
-    if passage is not None:
-        joined = keyed.join(_repeated_runs(narrow, key, kind, passage), key, "left").select("_in", "text", "_drops")
-        return joined.mapInArrow(_strip(strip_lines), f"{schema}, text string, n_removed long")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key, "place")
     repeated = (narrow.mapInArrow(_cut(True, ["doc_id", *key]),
                                   f"doc_id {kind}, _file long, _row long, place long, hash long, chunk binary")

@@ -87,6 +87,36 @@ def test_bytes_are_compared(spark):
     assert L.strip_chunks(texts, [[{"place": place, "chunk": c.bytes(place)}]])[1] == [1]
 
 
+def test_lines_go_only_where_their_bytes_agree():
+    texts = pa.array(["a b\nc\n\nd\ne", None, "x"])
+    drops = [[{"place": 1, "until": 2, "body": b"c\nd"}, {"place": 3, "until": 3, "body": b"other"}], None, []]
+    assert L.strip_lines(texts, drops) == (["a b\ne", None, "x"], [2, 0, 0])
+
+
+def test_runs_with_equal_hashes_and_other_bytes_stay(spark, monkeypatch):
+    """Hashes that collide everywhere make every run of over 50 words a candidate; on the registered path bytes decide."""
+    real = L.runs
+
+    def colliding(texts, passage):
+        row, place, until, hashes = real(texts, passage)
+        return row, place, until, [(place * 1000 + until).astype("int64"), (place * 0).astype("int64")]
+
+    monkeypatch.setattr(L, "runs", colliding)
+    line = lambda s, n: " ".join(prose(s, n))
+    texts = ["\n".join(line(100 * d + i, 20) for i in range(4)) for d in range(6)] + ["\n".join(line(i, 20) for i in range(4))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = dict(rows_of(L.without_repeats(docs, L.PASSAGE).select("_in.doc_id", "text"), "*"))
+    assert got[6] == "" and [got[d] for d in range(6)] == texts[:6]
+
+
+def test_stretches_are_put_together():
+    import numpy as np
+
+    found = [(0, 2, 7, 10), (1, 4, 7, 11), (5, 6, 7, 15), (9, 9, 7, 19), (2, 3, 8, 0), (9, 12, 9, 3), (6, 7, 5, 1)]
+    got = sorted(zip(*(x.tolist() for x in L.stretches(*(np.array(c) for c in zip(*found))))))
+    assert got == [(0, 6, 7, 10), (6, 7, 5, 1), (9, 12, 9, 3)]
+
+
 def test_empty(spark):
     assert L.without_repeats(empty_docs(spark)).count() == 0 and L.deduplicated_documents(empty_docs(spark)).count() == 0
 
