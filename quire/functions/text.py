@@ -2,9 +2,7 @@
 
 Python's ``strip()``/``split()`` treat 29 code points as whitespace. Spark's
 ``trim`` only removes spaces, Java's ``(?U)\\s`` misses U+001C..U+001F and
-RE2's ``\\s`` is ASCII-only, so every helper here spells the set out. The same
-set drives the DuckDB oracle text (``duck_*`` functions), so both engines agree
-by construction.
+RE2's ``\\s`` is ASCII-only, so every helper here spells the set out.
 """
 
 from __future__ import annotations
@@ -61,17 +59,3 @@ def rstrip_slashes(col: Column | str) -> Column:
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
-
-
-# --- the same helpers as DuckDB SQL text (used by the oracle queries) ---
-
-def duck_ws_chars() -> str:
-    return " || ".join("chr(%d)" % c for c in PY_WHITESPACE_CODEPOINTS)
-
-
-def duck_strip(expr: str) -> str:
-    return f"trim({expr}, {duck_ws_chars()})"
-
-
-def duck_token_count(expr: str) -> str:
-    return f"CAST(len(regexp_extract_all(coalesce({expr}, ''), '{NON_WS_RUN}')) AS BIGINT)"

@@ -126,5 +126,14 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark would take it from (the cluster's default one, if it names
+    none), in the form that both Spark and ``pyarrow.fs`` read."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    return os.path.join(shared_dir(spark), *parts)
+    """A place in the shared folder, named so that every executor means the same one."""
+    return os.path.join(qualified(spark, shared_dir(spark)), *parts)
