@@ -49,6 +49,8 @@ WINDOW = 35
 #: holds some tens of probes).
 BUCKET_BYTES = 24 << 20
 MOST_BUCKETS = 1 << 14
+#: Bytes of text that a step takes: half the usual, its arrays are many.
+_STEP = 2 << 20
 _NONE = np.iinfo(np.uint64).max
 
 
@@ -81,7 +83,7 @@ def unpacked_places(body: bytes) -> np.ndarray:
 
 
 def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in steps(batches):
+    for b in steps(batches, size=_STEP):
         chunk = col(b, "chunk").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
         for s, e in zip(cuts, cuts[1:]):
@@ -223,7 +225,7 @@ def _extend(window: int, buckets: int):
     block = block_words(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
+        for b in steps(batches, size=_STEP):
             w = words(col(b, "text"), "blank")
             told = col(b, "hits").flatten()
             sizes = told.field("hashes").value_lengths().to_numpy(zero_copy_only=False)
@@ -245,7 +247,7 @@ def _extend(window: int, buckets: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
+        for b in steps(batches, size=_STEP):
             w = words(col(b, "text"), "blank")
             asked = col(b, "asked")
             of = np.repeat(np.arange(b.num_rows), asked.value_lengths().to_numpy(zero_copy_only=False))
@@ -275,7 +277,7 @@ def joined_words(w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(keep: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
+        for b in steps(batches, size=_STEP):
             w = words(col(b, "text"), "blank")
             covered = col(b, "covered")
             of = np.repeat(np.arange(b.num_rows), np.nan_to_num(covered.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
