@@ -48,7 +48,8 @@ SEED = 2024
 
 def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the index of every word, and where each row's words begin and end."""
-    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    # Lower-cased before it is widened: a widened slice keeps the bytes before it, which ascii_lower doesn't skip.
+    texts = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
     split = pc.split_pattern_regex(texts, BETWEEN)
     if isinstance(split, pa.ChunkedArray):
         split = split.combine_chunks()

@@ -86,6 +86,16 @@ def test_units_are_encoded_as_in_the_whole_text(tool):
     assert got == [w[:5] for w in want]
 
 
+def test_slices_of_a_column(tool):
+    texts = [" ".join(prose(k, 9)) + " é, x" for k in range(40)] + WIDE
+    for kind in (pa.string(), pa.large_string()):
+        column, want = pa.array(texts, kind), brute(tool, texts)
+        for start in range(0, len(texts), 9):
+            rows, *_ = alignment.aligned_block(column.slice(start, 4), tool)
+            assert list(zip(rows["n_a"].tolist(), rows["n_b"].tolist(), rows["n_groups"].tolist(), rows["groups_sha256"])) == [
+                (*w[:3], w[4]) for w in want[start:start + 4]]
+
+
 def align(tool, unit):
     return tool.align(unit, tool.b.encode(alignment.b_text(unit), return_type="proto").pieces)
 

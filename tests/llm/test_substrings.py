@@ -84,6 +84,15 @@ def test_false_anchors_cut_nothing(spark, monkeypatch):
     assert n.sum() == 2 * (80 - 34) and len(set(substrings.run_hash(substrings._prefix(w), start, n + 34).tolist())) == len(start)
 
 
+def test_slices_of_a_column():
+    texts = [" ".join(prose(k, 12)) for k in range(30)]
+    column = pa.array(texts)
+    for start in range(0, 30, 7):
+        w = words(column.slice(start, 3), "blank")
+        body, bounds = substrings.joined_words(w, np.ones(len(w.starts), dtype=bool))
+        assert [body[s:e].tobytes().decode() for s, e in zip(bounds, bounds[1:])] == [t + " " for t in texts[start:start + 3]]
+
+
 def test_packed_places_round_trip():
     r = np.random.default_rng(0)
     rows = [np.sort(r.integers(0, 16384, k)) for k in (1, 5, 400, 2)] + [np.array([0, 0, 255, 510, 16383])]

@@ -58,6 +58,19 @@ def test_equals_plain_python(spark, longest):
     check(spark, docs, [" ".join(prose(k, 40, 60)).upper() for k in range(20)] + [None, ""], longest=longest, buckets=997)
 
 
+def test_slices_of_a_column():
+    """A step is a slice of an Arrow batch: what lies before it doesn't show."""
+    import pyarrow as pa
+
+    texts = [(t or "")[:3000] for t in TEXTS + nasty_texts()]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        for start in range(0, len(texts), 7):
+            names, index, bounds = targeted.coded_words(column.slice(start, 5))
+            for k, text in enumerate(texts[start:start + 5]):
+                assert [names[i] for i in index[bounds[k]:bounds[k + 1]]] == plain_words(text)
+
+
 def test_ties_null_and_repeated_ids(spark):
     docs = [(k % 7 if k % 7 else None, " ".join(prose(1, 30))) for k in range(60)] + [(100 + k, " ".join(prose(k, 25))) for k in range(40)]
     check(spark, docs, ["w1 w2 w3"], percent=55)
