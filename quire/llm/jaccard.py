@@ -51,11 +51,11 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 #: Most representatives, and shingles on average, that a block is to hold.
-BLOCK = 1024
-BLOCK_SHINGLES = 1 << 20
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 19
 #: Blocks of a bucket that a task pairs with all others of the bucket.
 MEET = 64
-_COLUMNS = 2048
+_COLUMNS = 1024
 #: Shingles of at most so many of the sets compared are counted pair by pair, the others as columns of a matrix.
 _RARE = 8
 
