@@ -28,6 +28,25 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows in an Arrow batch, at most, while an intermediate table is written: texts are long.
+BATCH_ROWS = 2048
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that are run inside hand rows to Python in batches of ``BATCH_ROWS`` at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the cluster's shared folder and read back.
 
@@ -36,7 +55,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{what}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
@@ -61,7 +81,8 @@ def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     name = f"llm_{what}_{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
-    df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    with small_batches(spark):
+        df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._folder, out._table = path, name
     return out
@@ -134,6 +155,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = S
             total += n
         if batch.num_rows > start:
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:
