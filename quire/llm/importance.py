@@ -232,9 +232,13 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
     keep = keep or ["doc_id"]
     known = written(labelled(labels, sample), "labelled")
     ratio = spark.sparkContext.broadcast(fit(docs, known))
-    schema = docs.select(*keep).schema.simpleString()[len("struct<"):-1]
-    named = docs.select(*keep, *[F.col("text").cast("string").alias("text")] * ("text" not in keep))
-    weighed = written(named.mapInArrow(_weigh(ratio, SEGMENT, keep), f"{schema}, _worst double, _segments long"), "weighed")
+
+    def weights(columns: list[str]) -> DataFrame:
+        schema = docs.select(*columns).schema.simpleString()[len("struct<"):-1]
+        named = docs.select(*columns, *[F.col("text").cast("string").alias("text")] * ("text" not in columns))
+        return named.mapInArrow(_weigh(ratio, SEGMENT, columns), f"{schema}, _worst double, _segments long")
+
+    weighed = written(weights(["doc_id"]), "weighed")
     held = (weighed.join(F.broadcast(known.where("held")), "doc_id").groupBy("doc_id", "good")
             .agg(F.min(F.struct("_worst", "_segments")).alias("row")).select("doc_id", "good", "row.*"))
     clean = held.where("good").select("_worst", "_segments").toPandas()
@@ -249,7 +253,10 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
         seen = with_score(held).select("score", "good").toPandas()
         cut = cut_off(seen["score"].to_numpy(dtype=float), seen["good"].to_numpy(dtype=bool))
         k = scored.where(F.col("score") >= F.lit(cut)).count()
-    return scored.withColumn("kept", top_k(scored, k))
+    kept = top_k(scored, k)
+    if keep != ["doc_id"]:  # weighed once more instead of being written with all their columns
+        scored = with_score(weights(keep)).drop("_worst", "_segments")
+    return scored.withColumn("kept", kept)
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
