@@ -17,7 +17,7 @@ but for apostrophes) and no piece of B holds the two characters next to each oth
 (its pieces are looked through). So ids equal those of the whole text (tests compare
 them), and a unit is encoded once a step and remembered.
 
-Corpus counts: documents are written in blocks of about ``STEP_BYTES`` of text,
+Corpus counts: documents are written in blocks of about ``BLOCK_BYTES`` of text,
 with their units and the block's distinct id pairs, as a table bucketed by block. Pairs are counted by one
 shuffle of a row a block and pair; each block then gets the counts of its own
 pairs back. A pair that is everywhere is a row a block, and both sides of that join
@@ -44,6 +44,8 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, col, ready, steps, with_uid, written
 
+#: Bytes of text of a block: the larger, the fewer units are encoded again.
+BLOCK_BYTES = 4 << 20
 #: Units that a Python worker remembers from one turn of its memory (see ``tokens``), and how long they may be.
 REMEMBERED = 50_000
 UNIT_CHARS = 64
@@ -284,7 +286,7 @@ _ROW = ("n_a", "n_b", "n_groups", "n_links")
 def _blocks(a_path: str, b_path: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(a_path, b_path)
-        for b in steps(batches):
+        for b in steps(batches, size=BLOCK_BYTES):
             rows, bounds, codes, cut, number, pairs = aligned_block(col(b, "text"), tool)
             docs = pa.StructArray.from_arrays(
                 [*(col(b, c) for c in keep), *(pa.array(rows[c], pa.int64()) for c in _ROW),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quire.session import scratch_path, ship_package
 
 #: Bytes of text that one Python step takes at a time; a longer single text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 #: Rows in an Arrow batch, at most, while an intermediate table is written: texts are long.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 
 @contextmanager
