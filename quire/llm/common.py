@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -143,6 +144,16 @@ def row_keys(df: DataFrame, columns: list) -> DataFrame:
     return df.select(*columns, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, so that a reused worker doesn't grow from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices holding about ``size`` bytes of ``column``; never inside a row."""
     for batch in batches:
@@ -155,7 +166,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = S
             total += n
         if batch.num_rows > start:
             yield batch.slice(start)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:
