@@ -34,14 +34,14 @@ BATCH_ROWS = 1024
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Plans that are run inside hand rows to Python in batches of ``BATCH_ROWS`` at most."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Plans that are run inside hand rows to Python in batches of ``rows`` at most."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    if 0 < int(before) <= BATCH_ROWS:
+    if 0 < int(before) <= rows:
         yield
         return
-    spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set(key, str(rows))
     try:
         yield
     finally:

@@ -27,9 +27,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's summed conditional log-probabilities under the network trained on all documents."""
-    docs = table(spark, sf_dir, "documents")
-    out = pseudolikelihood.score(docs, pseudolikelihood.fit(docs))
+    """Every document's summed conditional log-probabilities under the model of all documents."""
+    out = pseudolikelihood.fitted_scores(table(spark, sf_dir, "documents"))
     return out.withColumn("log_prob_per_word", F.col("log_prob") / F.greatest("n_words", F.lit(1)))
 
 
