@@ -29,6 +29,8 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Of intermediate tables: texts take less disk, and its buffers lie on the heap (snappy's direct ones stay with the pool).
+CODEC = "zstd"
 #: Rows in an Arrow batch, at most, while an intermediate table is written: texts are long.
 BATCH_ROWS = 1024
 
@@ -57,7 +59,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{what}-{uuid.uuid4().hex}")
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.option("compression", CODEC).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
@@ -83,7 +85,7 @@ def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
     name = f"llm_{what}_{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
     with small_batches(spark):
-        df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(name)
+        df.write.format("parquet").option("compression", CODEC).bucketBy(buckets, by).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._folder, out._table = path, name
     return out
