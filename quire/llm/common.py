@@ -75,7 +75,7 @@ def drop(*frames: DataFrame) -> None:
             spark.sql(f"DROP TABLE {df._table}")
 
 
-def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, what: str, by: str, buckets: int, rows: int = BATCH_ROWS) -> DataFrame:
     """``df`` written to the shared folder as a table bucketed by column ``by``, and read back.
 
     Rows don't move: a task writes a file for each bucket that its rows fall into, so ``by`` should have few values a
@@ -84,7 +84,7 @@ def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     name = f"llm_{what}_{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
-    with small_batches(spark):
+    with small_batches(spark, rows):
         df.write.format("parquet").option("compression", CODEC).bucketBy(buckets, by).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._folder, out._table = path, name

@@ -50,8 +50,11 @@ ROUNDS = 2
 BATCH = 16_384
 RATE = 0.1
 FAN = 64
+#: Bytes of text whose words make a block, and rows that are looked at for it: a word counts once in a larger block.
+BLOCK_BYTES = 8 << 20
+TEXT_ROWS = 4096
 #: Blocks that a Python worker is handed at a time.
-BLOCK_ROWS = 8
+BLOCK_ROWS = 2
 _CHUNK = 8192
 _V = CLASSES * CLASSES
 _BITS = _V.bit_length() - 1
@@ -202,7 +205,7 @@ def _place_type(n: int) -> str:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in steps(batches):
+    for b in steps(batches, size=BLOCK_BYTES):
         w = words(col(b, "text"), "plain")
         coded = pa.array(w.hashes).dictionary_encode()
         found, places = coded.dictionary.to_numpy(), coded.indices.to_numpy()
@@ -221,7 +224,7 @@ def word_blocks(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = StructType([StructField("docs", ArrayType(doc)), StructField("words", ArrayType(LongType())),
                          StructField("counts", ArrayType(LongType())), StructField("places", BinaryType())])
     return bucketed(with_uid(named.mapInArrow(_blocks, schema), "block"), "words", "block",
-                    int(spark.conf.get("spark.sql.shuffle.partitions")))
+                    int(spark.conf.get("spark.sql.shuffle.partitions")), TEXT_ROWS)
 
 
 def _of_block(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
