@@ -129,6 +129,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row, the log-probability of one place."""
+    most = x.max(1)
+    return x[np.arange(len(x)), at] - most - np.log(np.exp(x - most[:, None]).sum(1))
+
+
 def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
     total = net.hidden + net.place[0][around[0]]
     for k in range(1, len(around)):
@@ -144,13 +150,12 @@ def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray) -> np.n
         c, word = part // CLASSES, part % CLASSES
         order = np.argsort(c, kind="stable")
         ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        p = np.empty(len(part))
-        of_class = _softmax(h @ net.to_class + net.class_bias)[np.arange(len(part)), c]
+        p = _log_softmax_at(h @ net.to_class + net.class_bias, c)
         for k in range(CLASSES):
             at = order[ends[k]:ends[k + 1]]
             if len(at):
-                p[at] = _softmax(h[at] @ net.to_word[k] + net.word_bias[k])[np.arange(len(at)), word[at]]
-        out[i:i + BATCH] = np.log(of_class) + np.log(p)
+                p[at] += _log_softmax_at(h[at] @ net.to_word[k] + net.word_bias[k], word[at])
+        out[i:i + BATCH] = p
     return out
 
 
