@@ -181,9 +181,10 @@ def _gradient(net: Network, ids: np.ndarray, around: np.ndarray) -> Network:
             dh[at] += d @ net.to_word[k].T
     dh *= (1 - h * h) / n
     grad.hidden[:] = dh.sum(0)
+    each = np.ascontiguousarray(dh.T, dtype=np.float64)
     for place in range(len(around)):
         for j in range(WIDTH):
-            grad.place[place][:, j] = np.bincount(around[place], weights=dh[:, j], minlength=_V + 1)
+            grad.place[place][:, j] = np.bincount(around[place], weights=each[j], minlength=_V + 1)
     return grad
 
 
