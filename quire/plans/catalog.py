@@ -52,7 +52,11 @@ def _registry() -> completion.ProviderRegistry:
 
 
 def _routed_requests(spark: SparkSession, root: str) -> DataFrame:
-    return completion.resolve_options(completion.route_provider(fx.llm_requests(spark, root), _registry()))
+    return _routed_of(fx.llm_requests(spark, root))
+
+
+def _routed_of(requests: DataFrame) -> DataFrame:
+    return completion.resolve_options(completion.route_provider(requests, _registry()))
 
 
 def _available_languages(spark: SparkSession) -> DataFrame:
@@ -446,11 +450,14 @@ def q_chat_batch(spark, root):
     f" CAST(sum({D_TC(f'coalesce(mock_response, {D_MOCK})')}) AS BIGINT) AS completion_tokens"
     f" FROM {D_RESOLVED} WHERE registered_provider IS NOT NULL GROUP BY 1, 2", "llm_requests", "provider_config"))
 def q_usage_rollup(spark, root):
-    req = _routed_requests(spark, root).filter(F.col("registered_provider").isNotNull())
+    return completion.usage_rollup(_completed(_routed_requests(spark, root)))
+
+
+def _completed(routed: DataFrame) -> DataFrame:
+    req = routed.filter(F.col("registered_provider").isNotNull())
     done = completion.mock_complete(req, prompts.parse_prompt(F.col("prompt"), F.col("text")), F.col("mock_response"))
-    return completion.usage_rollup(done.select(F.col("registered_provider").alias("provider"),
-                                               F.col("eff_model").alias("model"), "prompt_tokens",
-                                               "completion_tokens"))
+    return done.select(F.col("registered_provider").alias("provider"), F.col("eff_model").alias("model"), "prompt_tokens",
+                       "completion_tokens")
 
 
 D_NOT_FOUND = ("concat('[', lower(provider), '] Provider ''', lower(provider),"
@@ -1022,3 +1029,40 @@ def q_incremental_ingest(spark, root):
     return kept.documents().join(pages, "file_id", "left").select(
         "file_id", "file_name", "created_at", "updated_at", F.coalesce("n_pages", F.lit(0)).alias("n_pages"),
         F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
+def _arriving(spark: SparkSession, root: str, name: str, log: DataFrame) -> DataFrame:
+    """``log`` written as files once an application, and read as a stream of them."""
+    import uuid
+
+    key = (spark.sparkContext.applicationId, f"{name} {root}")
+    if key not in _DROPPED:
+        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+        log.write.parquet(path)
+        _DROPPED[key] = path
+    return spark.readStream.schema(log.schema).parquet(_DROPPED[key])
+
+
+@register("usage_rollup_stream", ORACLE["usage_rollup"])
+def q_usage_rollup_stream(spark, root):
+    """A5 kept up to date: requests arrive as files, are routed and completed in the stream, and rolled up in its state."""
+    import uuid
+
+    from quire.streaming.rollups import read_usage_rollup, start_usage_rollup
+
+    own = scratch_path(spark, f"usage-{uuid.uuid4().hex}")
+    requests = _arriving(spark, root, "requests", fx.llm_requests(spark, root))
+    start_usage_rollup(_completed(_routed_of(requests)), own).awaitTermination()
+    return read_usage_rollup(spark, own)
+
+
+@register("health_rollup_stream", ORACLE["health_rollup"])
+def q_health_rollup_stream(spark, root):
+    """A6 kept up to date: status rows arrive as files; each component's latest flag is the stream's state."""
+    import uuid
+
+    from quire.streaming.rollups import read_health_rollup, start_health_rollup
+
+    own = scratch_path(spark, f"health-{uuid.uuid4().hex}")
+    start_health_rollup(_arriving(spark, root, "status", fx.component_status(spark, root)), own).awaitTermination()
+    return read_health_rollup(spark, own)
