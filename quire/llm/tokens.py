@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 #: Words that a Python worker remembers from one turn of its memory; beyond them a new turn begins, and words of the
 #: last turn are still known (and taken over) while it lasts.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Marks that a word may end in without changing the ids before them.
 _TAIL = ".,;:!?"
 #: What must stand before them: letters and digits that normalising leaves as such.
