@@ -421,6 +421,20 @@ def _call(functions: dict, provider: str, given, options: dict) -> dict:
         return {"error_kind": "completion", "error_message": prefix + COMPLETION_FAILED_TEMPLATE % exc}
 
 
+#: Bytes of requests that are answered at a time: answers and their copies of the request are held as often.
+REQUEST_BYTES = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in order, halved until a piece has ``REQUEST_BYTES`` at most or fewer than twice ``least`` rows."""
+    if batch.nbytes <= REQUEST_BYTES or batch.num_rows < 2 * least:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from pieces(batch.slice(0, half), least)
+    yield from pieces(batch.slice(half), least)
+
+
 def _batches(functions: dict, concurrency: int, keep: list[str]):
     def call(row: dict) -> dict:
         if row["_error_kind"] is not None:
@@ -435,11 +449,13 @@ def _batches(functions: dict, concurrency: int, keep: list[str]):
             pool = ThreadPoolExecutor(max_workers=concurrency)  # one client pool per task, shared by its batches
         try:
             for batch in batches:
-                rows = batch.drop_columns(keep).to_pylist()
-                out = list(pool.map(call, rows)) if pool else [call(r) for r in rows]  # map keeps input order
-                done = pa.RecordBatch.from_pylist(out, schema=_RESULT)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *done.columns],
-                                                 names=[*keep, *_RESULT.names])
+                # a pool's threads wait for each other at the end of a piece, so it has some requests for each of them
+                for piece in pieces(batch, 1 if pool is None else 4 * concurrency):
+                    rows = piece.drop_columns(keep).to_pylist()
+                    out = list(pool.map(call, rows)) if pool else [call(r) for r in rows]  # map keeps input order
+                    done = pa.RecordBatch.from_pylist(out, schema=_RESULT)
+                    yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *done.columns],
+                                                     names=[*keep, *_RESULT.names])
         finally:
             if pool:
                 pool.shutdown(wait=True)

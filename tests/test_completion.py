@@ -1,3 +1,6 @@
+import json
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +195,24 @@ def test_complete_batch_concurrent_and_pruned(spark):
     assert got == {i: i % 5 for i in range(40)}
 
 
+def test_a_worker_answers_a_large_batch_in_pieces():
+    n, size = 64, 100_000
+    text = [f"{i} " + "x" * size for i in range(n)]
+    none = pa.nulls(n, pa.string())
+    given = {"id": pa.array(range(n)), "_given": pa.array(text), "_provider": pa.array(["mock"] * n), "_error_kind": none,
+             "_error_message": none, **{f"_{c}": none for c in C.OPTIONS}}
+    batch = pa.RecordBatch.from_pydict(given)
+    for concurrency, rows in ((1, 10), (4, 32)):  # a pool's pieces have some rows for each of its threads
+        out = list(C._batches(C.PROVIDER_FUNCTIONS, concurrency, ["id"])(iter([batch])))
+        assert max(b.num_rows for b in out) <= rows
+        done = pa.Table.from_batches(out)
+        assert done["id"].to_pylist() == list(range(n)) and done["prompt_tokens"].to_pylist() == [2] * n
+        assert [json.loads(r)["prompt"] for r in done["raw_response"].to_pylist()] == text
+    small = list(C._batches(C.PROVIDER_FUNCTIONS, 1, ["id"])(iter([batch.slice(0, 8)])))
+    assert [b.num_rows for b in small] == [8]
+    assert not list(C._batches(C.PROVIDER_FUNCTIONS, 1, ["id"])(iter([batch.slice(0, 0)])))[0].num_rows
+
+
 def test_chat_batch_matches_jvm_mock_and_reports_errors(spark):
     conv = spark.createDataFrame([(7, 0, "user", "hi there"), (7, 1, "assistant", "a b c"), (8, 0, "user", "boom")],
                                  "conv_id long, turn long, role string, text string")
