@@ -33,6 +33,7 @@ rows are documents of their own, each counted.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -47,7 +48,7 @@ from .common import bucketed, col, ready, steps, with_uid, written
 #: Bytes of text of a block: the larger, the fewer units are encoded again.
 BLOCK_BYTES = 4 << 20
 #: Units that a Python worker remembers from one turn of its memory (see ``tokens``), and how long they may be.
-REMEMBERED = 50_000
+REMEMBERED = 150_000
 UNIT_CHARS = 64
 #: Fixed value: the mark that B's pieces have for a space.
 MARK = "▁"
@@ -102,6 +103,10 @@ class Aligner:
                 continue
             self.b_bytes.append(piece.replace(MARK, " ").encode())
             beside.update(zip(piece, piece[1:]))
+        #: By id, as the hot loops take them from lists: A's bytes, and ids as text.
+        n_a = 1 + max(self.a.get_vocab(with_added_tokens=True).values(), default=-1)
+        self.a_parts = [self.a_bytes.get(i, b"") for i in range(n_a)]
+        self.names = [str(i) for i in range(max(n_a, len(self.b_bytes)))]
         self.cuts_at_spaces = not any(y == MARK and x != MARK for x, y in beside)
         #: Whether a unit may begin at a byte, by the byte before it and its own.
         self.cuts = np.zeros((256, 256), dtype=bool)
@@ -116,14 +121,18 @@ class Aligner:
         """Ids and byte ends, or None if the bytes aren't the unit's."""
         found = self.a.encode(unit, add_special_tokens=False)
         ids, spans = found.ids, found.offsets
-        parts = [self.a_bytes.get(i, b"") for i in ids]
+        of = self.a_parts
+        parts = [of[i] for i in ids]
         if b"".join(parts) != raw:
             return None
         ends = [e for _, e in spans]
         if len(raw) != len(unit):
-            place = list(accumulate((len(c.encode()) for c in unit), initial=0))
-            inside = [k + 1 < len(spans) and spans[k + 1][0] < spans[k][1] for k in range(len(spans))]
-            ends = refined([place[e] for e in ends], inside, [len(p) for p in parts])
+            place = list(accumulate([1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in unit],
+                                    initial=0))
+            inside = [begin < end for (begin, _), end in zip(spans[1:], ends)]
+            ends = [place[e] for e in ends]
+            if True in inside:
+                ends = refined(ends, [*inside, False], [len(p) for p in parts])
         return ids, ends
 
     def b_tokens(self, unit: str, raw: bytes, pieces) -> tuple[list[int], list[int]] | None:
@@ -139,7 +148,9 @@ class Aligner:
             return None
         ends = [p.end + shift for p in pieces]
         if len(raw) != len(unit):
-            ends = refined(ends, [p.begin == p.end for p in pieces], [len(x) for x in parts])
+            inside = [p.begin == p.end for p in pieces]
+            if True in inside:
+                ends = refined(ends, inside, [len(x) for x in parts])
         return ids, ends
 
     def align(self, unit: str, pieces) -> tuple[int, int, str, bytes] | None:
@@ -151,35 +162,42 @@ class Aligner:
         if found_a is None or found_b is None:
             return None
         (a, a_ends), (b, b_ends) = found_a, found_b
-        groups, pairs = [], []
+        names, groups, pairs = self.names, [], array("q")
+        n_a, n_b = len(a), len(b)
         i = j = i0 = j0 = 0
-        while i < len(a) and j < len(b):
-            if a_ends[i] == b_ends[j]:
+        while i < n_a and j < n_b:
+            x, y = a_ends[i], b_ends[j]
+            if x == y:
                 pairs.append(a[i] << _A_SHIFT | b[j])
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                i0, j0 = i, j
-            elif a_ends[i] < b_ends[j]:
+                left = names[a[i]] if i == i0 else ",".join([names[k] for k in a[i0:i + 1]])
+                right = names[b[j]] if j == j0 else ",".join([names[k] for k in b[j0:j + 1]])
+                groups.append(f"{left}|{right}")
+                i0 = i = i + 1
+                j0 = j = j + 1
+            elif x < y:
                 i += 1
             else:
                 j += 1
-        return len(a), len(b), ";".join(groups), np.array(pairs, dtype=np.int64).tobytes()
+        return n_a, n_b, ";".join(groups), pairs.tobytes()
 
     def records(self, units: list[str]) -> list[tuple | None]:
         """``align`` of every unit; one that is remembered isn't encoded again."""
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
         known, before = self.known, self.before
-        found = [known[u] if u in known else before.get(u, _NEW) for u in units]
-        new = [i for i, r in enumerate(found) if r is _NEW]
+        found = [known.get(u, _NEW) for u in units]
+        late = [i for i, r in enumerate(found) if r is _NEW]
+        for i in late:
+            found[i] = before.get(units[i], _NEW)
+        new = [i for i in late if found[i] is _NEW]
         for s in range(0, len(new), _AT_ONCE):
             part = new[s:s + _AT_ONCE]
             told = self.b.encode([b_text(units[i]) for i in part], return_type="proto", num_threads=1)
             for i, x in zip(part, told):
                 found[i] = self.align(units[i], x.pieces)
-        for u, r in zip(units, found):
-            if len(u) <= UNIT_CHARS:
-                known[u] = r
+        for i in late:
+            if len(units[i]) <= UNIT_CHARS:
+                known[units[i]] = found[i]
         return found
 
 

@@ -121,6 +121,19 @@ def test_memory_turns_over(tool, monkeypatch):
     assert len(tool.known) <= 7
 
 
+def test_units_of_a_few_blocks_are_remembered(tool, monkeypatch):
+    """A block of real text has some 125,000 different units."""
+    asked = []
+    monkeypatch.setattr(tool, "known", {})
+    monkeypatch.setattr(tool, "before", {})
+    monkeypatch.setattr(tool, "b", type("B", (), {"encode": lambda _, texts, **more: [type("P", (), {"pieces": ()})] * len(texts)})())
+    monkeypatch.setattr(tool, "align", lambda unit, _: asked.append(unit) or (0, 0, unit, b""))
+    blocks = [[f" {k}x{i}" for i in range(60_000)] for k in range(4)]
+    for units in [*blocks, *blocks[:2]]:
+        assert [r[2] for r in tool.records(units)] == units
+    assert len(asked) == 240_000
+
+
 def test_nasty_empty_and_clashing(spark):
     out = alignment.align(nasty_docs(spark), A_PATH, B_PATH)
     assert out.count() == 20
